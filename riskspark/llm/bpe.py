@@ -1 +1,254 @@
+"""Byte-level BPE as a streaming transducer with bounded lookahead, and the decoder back to text.
 
+The encoder does not apply merges over a whole word.  It keeps, for every byte position, the last token of
+the encoding of the word up to there.  That token is unique: of the vocabulary's tokens that end at the
+position it is the one that can follow the encoding before it, and whether two tokens can stand side by side
+depends on these two alone (merging their joined bytes must give the pair back).  A final
+encoding passes a token boundary at least once in every ``lookahead`` bytes, where lookahead is the length of the merge list's
+longest token, so all tokens before the point where the chains from the last ``lookahead`` positions
+meet are stable: they are emitted and forgotten.  Memory stays constant however long a word is.
+
+Short words repeat, so their encodings are kept in a bounded table.  Documents are independent: no shuffle.
+The vocabulary file is a parameter; by default that of the public tokenizers package, read where it is installed on each worker.
+"""
+
+from __future__ import annotations
+
+import codecs
+import hashlib
+import json
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskspark.llm.common import documents
+
+VOCABULARY = "byte_bpe_50k.json"
+#: How a text is split into words before merging (fixed by the vocabulary).
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words longer than this many characters are streamed, shorter ones kept in the table.
+SHORT = 32
+TABLE = 300_000
+#: Token ids that the decoder takes at once.
+STEP = 1 << 14
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary file: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class Merges:
+    """The vocabulary and its merge list."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        letter = byte_letters()
+        to_bytes = lambda s: bytes(letter[c] for c in s)
+        model = file["model"]
+        self.ids = {to_bytes(s): i for s, i in model["vocab"].items()}
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, m in enumerate(model["merges"]):
+            a, b = map(to_bytes, m.split(" ") if isinstance(m, str) else m)
+            self.rank[self.ids[a], self.ids[b]] = (k, self.ids[a + b])
+        self.lookahead = max(map(len, self.ids))
+        self._beside: dict[tuple[int, int], bool] = {}
+        self._whole: dict[int, bool] = {}
+        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def merged(self, raw: bytes) -> list[int]:
+        """Plain merging, lowest rank first; used on the bytes of one or two tokens only."""
+        word = [self.ids[raw[k : k + 1]] for k in range(len(raw))]
+        while len(word) > 1:
+            (_, new), at = min(((self.rank.get(pair, (1 << 60, -1)), k) for k, pair in enumerate(zip(word, word[1:]))), default=((0, -1), 0))
+            if new < 0:
+                break
+            pair, out, k = (word[at], word[at + 1]), [], 0
+            while k < len(word):
+                if k + 1 < len(word) and (word[k], word[k + 1]) == pair:
+                    out.append(new)
+                    k += 2
+                else:
+                    out.append(word[k])
+                    k += 1
+            word = out
+        return word
+
+    def whole(self, token: int) -> bool:
+        """Whether merging a token's bytes gives that token."""
+        if (found := self._whole.get(token)) is None:
+            found = self._whole[token] = self.merged(self.bytes[token]) == [token]
+        return found
+
+    def beside(self, a: int, b: int) -> bool:
+        """Whether b can follow a."""
+        if (found := self._beside.get((a, b))) is None:
+            if len(self._beside) >= 1_000_000:
+                self._beside.clear()
+            found = self._beside[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+        return found
+
+
+class WordEncoder:
+    """Encodes one word that arrives in pieces; ``feed`` returns the tokens that have become stable."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.raw, self.last, self.before, self.due = merges, b"", [], -1, 4 * merges.lookahead
+
+    def _extend(self, piece: bytes) -> None:
+        ids, longest, beside, last = self.merges.ids, self.merges.lookahead, self.merges.beside, self.last
+        at, self.raw = len(self.raw), self.raw + piece
+        raw = self.raw
+        for end in range(at + 1, len(raw) + 1):
+            for start in range(max(0, end - longest), end):
+                token = ids.get(raw[start:end])
+                if token is None or not self.merges.whole(token):
+                    continue
+                previous = last[start - 1] if start else self.before
+                if previous == -1 or (previous >= 0 and beside(previous, token)):
+                    last.append(token)
+                    break
+            else:
+                last.append(-2)
+
+    def _chain(self, end: int) -> list[int]:
+        """Boundaries on the way back from ``end``."""
+        out = [end]
+        while end > 0:
+            end -= len(self.merges.bytes[self.last[end - 1]])
+            out.append(end)
+        return out
+
+    def _take(self, end: int) -> list[int]:
+        out = []
+        for e in reversed(self._chain(end)[:-1]):
+            out.append(self.last[e - 1])
+        if out:
+            self.before = out[-1]
+        self.raw, self.last = self.raw[end:], self.last[end:]
+        return out
+
+    def feed(self, piece: bytes) -> list[int]:
+        out: list[int] = []
+        for k in range(0, len(piece), self.merges.lookahead):
+            self._extend(piece[k : k + self.merges.lookahead])
+            if len(self.raw) >= self.due:
+                meet: set[int] | None = None
+                for p in range(len(self.raw) - self.merges.lookahead + 1, len(self.raw) + 1):
+                    if self.last[p - 1] >= 0:
+                        chain = set(self._chain(p))
+                        meet = chain if meet is None else meet & chain
+                if stable := max(meet or {0}):
+                    out += self._take(stable)
+                self.due = len(self.raw) + 4 * self.merges.lookahead
+        return out
+
+    def finish(self) -> list[int]:
+        return self._take(len(self.raw)) if self.raw else []
+
+
+class Words(dict):
+    """word -> its ids as little-endian 32-bit numbers; bounded."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, word: str) -> bytes:
+        encoder = WordEncoder(self.merges)
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = np.array(encoder.feed(raw) + encoder.finish(), "<u4").tobytes()
+        if len(word) <= SHORT:
+            if len(self) >= TABLE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class Codec:
+    """Text to ids and back."""
+
+    def __init__(self, path: str):
+        self.merges = Merges(path)
+        self.words = Words(self.merges)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers. Special tokens that stand in a text are taken as such."""
+        if self.merges.specials is None or not any(s in text for s in self.merges.special):
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
+        out, at = [], 0
+        for m in self.merges.specials.finditer(text):
+            out += [*map(self.words.__getitem__, WORDS.findall(text[at : m.start()])), np.array([self.merges.special[m[0]]], "<u4").tobytes()]
+            at = m.end()
+        return b"".join([*out, *map(self.words.__getitem__, WORDS.findall(text[at:]))])
+
+    def decode(self, ids: bytes) -> Iterator[str]:
+        """Pieces of the text: token bytes go through an incremental UTF-8 state machine, so a character may span tokens."""
+        machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.merges.bytes
+        for k in range(0, len(ids), 4 * STEP):
+            yield machine.decode(b"".join(map(table.__getitem__, np.frombuffer(ids[k : k + 4 * STEP], "<u4").tolist())))
+        yield machine.decode(b"", True)
+
+
+def _encode(batches: Iterable[pa.RecordBatch], path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    codec = Codec(path or default_vocabulary())
+    for batch in batches:
+        counts, shas, decoded, ids = [], [], [], []
+        for text in batch.column("text"):
+            raw = codec.encode(text.as_py() or "")
+            counts.append(len(raw) // 4)
+            shas.append(hashlib.sha256(raw).hexdigest())
+            digest = hashlib.sha256()
+            for piece in codec.decode(raw):
+                digest.update(piece.encode("utf-8"))
+            decoded.append(digest.hexdigest())
+            if with_ids:
+                ids.append(raw)
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(ids))])))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``.
+
+    Null and empty texts have no tokens. Repeated rows are encoded each. An empty table gives no rows. Other columns are not read.
+    """
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(lambda batches: _encode(batches, path, with_ids), schema)
+
+
+def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, text`` from ``doc_id, ids``; a null list gives an empty text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(path or default_vocabulary())
+        for batch in batches:
+            texts = ["".join(codec.decode(np.array(x.as_py() or [], "<u4").tobytes())) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir))

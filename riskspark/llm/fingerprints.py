@@ -1 +1,175 @@
+"""Document fingerprints: a Merkle tree over sections, paragraphs and their pieces.
 
+Leaves are pieces of a paragraph (a line): clauses up to a punctuation mark, words at most PIECE_WORDS.  A
+node above the leaves is a section: consecutive leaves up to one whose digest hits a pattern, so
+section borders follow the text and an edit moves only those around it.  The root covers the
+section digests.  Equal roots mean equal texts; where roots differ, equal sections are skipped as a whole and only
+differing branches are walked, which locates the edits.
+
+A fingerprint is text: ``root/section:leaf.leaf.../section:leaf...`` (hexadecimal digests).
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskspark.llm.common import documents
+
+PIECE_WORDS = 8
+#: A clause ends behind punctuation or a line break, or behind PIECE_WORDS words.
+PIECES = re.compile(r"(?:[^\s.,;:!?\n]+[^\S\n]*){1,%d}[\s.,;:!?]*|[\s.,;:!?]+" % PIECE_WORDS)
+#: One leaf in 8 ends a section.
+SECTION = frozenset("02468ace")
+
+
+def _leaf(piece: str) -> str:
+    return hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=4).hexdigest()
+
+
+def fingerprint(text: str) -> str:
+    """The serialised tree of a whole text."""
+    leaves = [_leaf(p) for p in PIECES.findall(text)]
+    sections, a = [], 0
+    for k, leaf in enumerate(leaves):
+        if (leaf[-1] in "08" and leaf[-2] in SECTION) or k + 1 == len(leaves):
+            body = ".".join(leaves[a : k + 1])
+            sections.append(f"{hashlib.blake2b(body.encode(), digest_size=8).hexdigest()}:{body}")
+            a = k + 1
+    # The root also covers the text itself, so that it decides equality whatever the short leaf digests do.
+    whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    return "/".join([whole, *sections])
+
+
+def parse(mark: str) -> tuple[str, list[tuple[str, list[str]]]]:
+    root, *sections = mark.split("/")
+    return root, [(head, body.split(".")) for head, _, body in (s.partition(":") for s in sections)]
+
+
+def likeness(a: str, b: str) -> float:
+    """Share of leaves that two fingerprints have in common (Dice, with repetitions): 1 for equal roots, 0 for nothing in common."""
+    (root_a, left), (root_b, right) = parse(a), parse(b)
+    if root_a == root_b:
+        return 1.0
+    total = sum(len(x) for _, x in left) + sum(len(x) for _, x in right)
+    if not total:
+        return 0.0
+    # Sections that both have are settled by their digest; leaves are compared in the others only.
+    heads = Counter(h for h, _ in left) & Counter(h for h, _ in right)
+    common, rest = 0, []
+    for side, count in ((left, True), (right, False)):
+        open_heads, leaves = Counter(heads), Counter()
+        for head, body in side:
+            if open_heads[head]:
+                open_heads[head] -= 1
+                common += len(body) * count
+            else:
+                leaves.update(body)
+        rest.append(leaves)
+    common += (rest[0] & rest[1]).total()
+    return min(1.0, 2.0 * common / total)
+
+
+def edits(a: str, b: str) -> list[tuple[int, int]]:
+    """Sections of ``a`` that ``b`` lacks: (section number, number of leaves not in ``b``)."""
+    (root_a, left), (root_b, right) = parse(a), parse(b)
+    if root_a == root_b:
+        return []
+    heads, leaves = {h for h, _ in right}, {x for _, body in right for x in body}
+    return [(k, sum(x not in leaves for x in body)) for k, (head, body) in enumerate(left) if head not in heads]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint`` per row. Null and empty texts have a root only. No shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t.as_py() or "") for t in batch.column("text")], pa.string())], ["doc_id", "fingerprint"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+
+
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket and order; a bucket ends with the rows of the id that follows it (``halo``)."""
+    held, names = None, [f.split()[0] for f in SCHEMA.split(", ")]
+
+    def pair(current: tuple, following: tuple) -> tuple:
+        _, _, doc_id, text, mark = current
+        n, quarter = len(text), len(text) // 4
+        edited = text[: n - quarter] + following[3][:quarter]
+        edited_mark = mark if edited == text else fingerprint(edited)
+        return doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, following[4])
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            out, part = [], batch.slice(a, 256)
+            for row in zip(*(part.column(c).to_pylist() for c in ("bucket", "halo", "doc_id", "text")), strict=True):
+                if held is not None and held[0] == row[0] and held[1] and row[1]:
+                    continue  # one row after the bucket is enough
+                row = (*row[:3], row[3] or "", "")
+                row = (*row[:4], fingerprint(row[3]))
+                if held is not None and not held[1]:
+                    out.append(pair(held, row if held[0] == row[0] else held))
+                held = row
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
+    if held is not None and not held[1]:
+        out = [pair(held, held)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
+
+
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 4096) -> DataFrame:
+    """Fingerprints of every text and of its edited text, whose last quarter comes from the next document by id.
+
+    Columns: see SCHEMA. Null texts count as empty. Order: id (null first), then text; rows that repeat an id follow each other. The
+    last row's next is the first row; a table with one row compares it with itself. An empty table gives no rows.
+
+    Ids are cut into ranges at quantiles.  Each range also gets the first id of the range after it, so every
+    row meets its successor in one pass over one shuffle of the texts.  What is broadcast is one pair of numbers
+    per range (rows / rows_per_bucket, held below 65536 ranges).
+    """
+    # A null id is ordered first: the smallest long stands for it.
+    least = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), least).alias("at"), F.col(text_col).alias("text"))
+    count = rows.count()
+    if not count:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    ranges = max(1, min(65535, count // rows_per_bucket))
+    ends = sorted(set(rows.select("at").approxQuantile("at", [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    spark = docs.sparkSession
+    bounds = [int(x) for x in ends]
+    # Bucket: how many bounds are at or below the id; a literal array, searched per row without a join.
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("at"))) if bounds and len(bounds) <= 32 else None
+    if bucket is None:
+        import numpy as np
+
+        table = np.array(bounds, np.int64)
+
+        @F.pandas_udf("int")
+        def place(ids):
+            import pandas as pd
+
+            return pd.Series(np.searchsorted(table, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+        bucket = place("at") if bounds else F.lit(0)
+    rows = rows.withColumn("own", bucket.cast("int"))
+    firsts = [(r["own"], r["at"]) for r in rows.groupBy("own").agg(F.min("at").alias("at")).orderBy("own").collect()]  # one row per range
+    halo = [(firsts[(k + 1) % len(firsts)][1], firsts[k][0]) for k in range(len(firsts))]
+    halos = spark.createDataFrame(halo, "at long, before int")
+    joined = rows.join(F.broadcast(halos), "at", "left")
+    both = F.when(F.col("before").isNull(), F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("halo")))).otherwise(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("halo")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("halo"))))
+    spread = joined.select("doc_id", "at", "text", F.explode(both).alias("b")).select("b.bucket", "b.halo", "at", "doc_id", "text")
+    return spread.repartition("bucket").sortWithinPartitions("bucket", "halo", "at", "text").select("bucket", "halo", "doc_id", "text").mapInArrow(_compare, SCHEMA)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(documents(spark, sf_dir))
