@@ -1,6 +1,6 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and their pieces.
 
-Leaves are pieces of a paragraph (a line): clauses up to a punctuation mark, words at most PIECE_WORDS.  A
+Leaves are pieces of a paragraph (a line): sentences, cut behind PIECE_WORDS words.  A
 node above the leaves is a section: consecutive leaves up to one whose digest hits a pattern, so
 section borders follow the text and an edit moves only those around it.  The root covers the
 section digests.  Equal roots mean equal texts; where roots differ, equal sections are skipped as a whole and only
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import documents
 
-PIECE_WORDS = 8
-#: A clause ends behind punctuation or a line break, or behind PIECE_WORDS words.
-PIECES = re.compile(r"(?:[^\s.,;:!?\n]+[^\S\n]*){1,%d}[\s.,;:!?]*|[\s.,;:!?]+" % PIECE_WORDS)
+PIECE_WORDS = 12
+#: A piece ends behind a sentence mark or a line break, or behind PIECE_WORDS words.
+PIECES = re.compile(r"(?:[^\s.!?]+[^\S\n]*){1,%d}[\s.!?]*|[\s.!?]+" % PIECE_WORDS)
 #: One leaf in 8 ends a section.
 SECTION = frozenset("02468ace")
 

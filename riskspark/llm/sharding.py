@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark.llm.common import cut, documents
 
@@ -70,7 +71,7 @@ def external_shuffle(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     # Offsets: one row per bucket (total bytes / bucket_bytes of them).
     offsets = cut(counts.select(F.col("__bucket").alias("__at"), (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__offset")))
     scattered = hashed.repartition("__bucket").sortWithinPartitions("__bucket", "__hash", id_col)
-    schema = scattered.schema.add("__place", "long")
+    schema = T.StructType([*scattered.schema.fields, T.StructField("__place", T.LongType())])
     shuffled = scattered.mapInArrow(lambda batches: _shuffle_buckets(batches, seed), schema)
     if n_buckets <= 100_000:  # below 3 MB; beyond that, a join by shuffle
         offsets = F.broadcast(offsets)
