@@ -1 +1,212 @@
+"""Near-duplicates by b-bit MinHash signatures and a multi-index Hamming join.
 
+1. Sets and signatures: the distinct 5-word shingles of a whole text as 64-bit hashes, and the low 16 bits of
+   the smallest value under each of 72 hash functions.  Texts with equal sets become one vertex, so exact copies cost nothing later on.
+2. Multi-index: a signature of 72 positions is split into 12 chunks of 6.  Two signatures that differ in at most 23 positions have, by
+   pigeonhole, a chunk with at most one error; each vertex therefore enters the index under every chunk with each one of its positions
+   left out (72 keys).  A pair at Jaccard 0.75 differs in 18 positions on average; the chance that every one of its chunks has two
+   errors or more is (1 - 0.75^6 - 6 * 0.25 * 0.75^5)^12 = 1e-4, at 0.8 it is 3e-6.
+3. Stars: in every bucket each member is paired with the smallest one, so a bucket of n members gives n - 1 pairs.  The
+   pairs are confirmed on full sets, and the links so found are closed to components.
+4. Rest: a bucket whose members are still in several components may hide links between them.  Only these buckets go on, one of each set of
+   equal buckets, in blocks of bounded size; signatures are compared within blocks, pairs of different components that differ in at
+   most FAR positions are confirmed on full sets, and components are closed again.  After that every pair that shares a bucket is
+   either in one component or was rejected, so no link within the index is lost, and no group is expanded to all its pairs.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskspark.llm.common import cut, documents, mix, powers, seeded, slices, text_buffer, word_hashes
+
+WORDS = 5
+CHUNKS, CHUNK = 12, 6
+POSITIONS = CHUNKS * CHUNK
+#: Signatures further apart than this are not at 0.75 (five standard deviations).
+FAR = 38
+#: Members of a bucket that are compared with each other at once.
+BLOCK = 256
+XOR, TIMES = seeded(101, POSITIONS), seeded(202, POSITIONS) | np.uint64(1)
+ROLL = powers(np.uint64(0x9FB21C651E98DF25), WORDS)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes per row; fewer words than ``words`` are one shingle, no words none."""
+    hashes, at = word_hashes(data, offsets)
+    out = []
+    if len(hashes) >= words:
+        n = len(hashes) - words + 1
+        rolled = np.zeros(n, np.uint64)
+        for k in range(words):
+            rolled += hashes[k : k + n] * ROLL[k]
+        rolled = mix(rolled)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= words:
+            out.append(np.unique(rolled[a : b - words + 1]))
+        elif b > a:
+            out.append(mix((hashes[a:b] * ROLL[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """16-bit MinHash signatures, one row per set; zeros for an empty set."""
+    out = np.zeros((len(sets), POSITIONS), np.uint16)
+    full = [k for k, s in enumerate(sets) if len(s)]
+    if full:
+        values = np.concatenate([sets[k] for k in full])
+        starts = np.concatenate([[0], np.cumsum([len(sets[k]) for k in full])[:-1]])
+        for j in range(POSITIONS):
+            out[full, j] = mix(np.minimum.reduceat((values ^ XOR[j]) * TIMES[j], starts)).astype(np.uint16)
+    return out
+
+
+def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        sizes, low, high, marks = [], [], [], []
+        for a, b in slices(offsets):
+            sets = shingle_sets(data, offsets[a : b + 1])
+            sizes += map(len, sets)
+            for s in sets:
+                digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                low.append(int(digest[0]))
+                high.append(int(digest[1]))
+            marks += [row.tobytes() for row in signatures(sets)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "mark"])
+
+
+def index_keys(marks: np.ndarray) -> np.ndarray:
+    """Keys per signature: every chunk with each of its positions left out."""
+    wide = marks.astype(np.uint64).reshape(len(marks), CHUNKS, CHUNK) * powers(np.uint64(0xA0761D6478BD642F), CHUNK)
+    without = wide.sum(2, keepdims=True, dtype=np.uint64) - wide
+    return mix(mix(without) + np.arange(POSITIONS, dtype=np.uint64).reshape(CHUNKS, CHUNK)).reshape(len(marks), POSITIONS)
+
+
+def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2048):
+            part = batch.slice(a, 2048)
+            marks = np.frombuffer(b"".join(part.column("mark").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+            keys = index_keys(marks).astype(np.int64)
+            vertex = np.repeat(part.column("vertex").to_numpy(), POSITIONS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(vertex)], ["key", "vertex"])
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        for a, b in slices(offsets):
+            sets = shingle_sets(data, offsets[a : b + 1])
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("vertex")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["vertex", "shingles"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (lo, hi) with 100 * common >= percent * union on full sets."""
+    left, right = sets.select(F.col("vertex").alias("lo"), F.col("shingles").alias("a")), sets.select(F.col("vertex").alias("hi"), F.col("shingles").alias("b"))
+    sized = pairs.join(left, "lo").join(right, "hi").where(F.least(F.size("a"), F.size("b")) * 100 >= F.greatest(F.size("a"), F.size("b")) * percent)
+    common = F.size(F.array_intersect("a", "b"))
+    return sized.where(common * 100 >= (F.size("a") + F.size("b") - common) * percent).select("lo", "hi").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``vertex, component`` (the smallest vertex reachable) for every vertex with a link.
+
+    Alternating stars: large (every larger neighbour points to the smallest one), then small (every smaller neighbour and the vertex itself
+    do).  Degrees of centres only shrink to one edge per vertex; each round is written to the shared folder.
+    """
+    edges = cut(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).where("u > v").distinct())
+    before = None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+        before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        moved = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(moved.unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+
+
+def _compare_blocks(rows: pa.Table) -> pa.Table:
+    """Pairs of one task's rows (tile, side, vertex, component, mark): sides 0 and 1 against each other, or side 2 within itself."""
+    side = rows.column("side").to_numpy()
+    vertex, component = rows.column("vertex").to_numpy(), rows.column("component").to_numpy()
+    marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side < 2).any() else (np.arange(len(side)),) * 2
+    lo, hi = [], []
+    for i in left:
+        j = right[component[right] != component[i]]
+        j = j[(marks[j] != marks[i]).sum(1) <= FAR]
+        lo.append(np.minimum(vertex[i], vertex[j]))
+        hi.append(np.maximum(vertex[i], vertex[j]))
+    lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi))
+    return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+
+
+def hidden_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (lo, hi) of different components within the buckets that still hold several components."""
+    labelled = members.join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    # Equal buckets are told by count and sums of hashed members; one of each is enough.
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.shiftright(F.xxhash64("vertex"), 8)).alias("s1"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("s2")).where("x < y")
+    mixed = cut(mixed.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = labelled.select("key", "vertex", "component").join(mixed, "key").join(signed.select("vertex", "mark"), "vertex")
+    own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
+    # A tile is a pair of blocks (i <= j); with one block that is the bucket itself.
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"), F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
+    tiled = rows.withColumn("own", own).select("key", F.explode(tiles).alias("t"), "vertex", "component", "mark").select("key", "t.i", "t.j", "t.side", "vertex", "component", "mark")
+    return tiled.groupBy("key", "i", "j").applyInArrow(_compare_blocks, "lo long, hi long").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``.
+
+    ``component_id`` is the smallest id reachable over links with 100 * common >= percent * union of the shingle sets.  Null and
+    empty texts and texts without words have no shingles and no links.  Rows that repeat an id are one vertex with the links of all its rows; a null
+    id has no links and a null component.  An empty table gives no rows.  Only the two named columns are read.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed = cut(texts.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, mark binary"))
+    usable = signed.where("n_shingles > 0 and doc_id is not null")
+    vertices = cut(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("vertex"), F.first("mark").alias("mark")))
+    index = vertices.select("vertex", "mark").mapInArrow(_index, "key long, vertex long")
+    buckets = cut(index.groupBy("key").agg(F.min("vertex").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    members = cut(index.join(buckets, "key").select("key", "vertex", "least"))
+    stars = cut(members.where("vertex > least").select(F.col("least").alias("lo"), F.col("vertex").alias("hi")).distinct())
+    # Full sets, of the vertices in some bucket only; any row with the vertex's id and a set of its own will do.
+    wanted = members.select("vertex").distinct()
+    chosen = texts.join(wanted, texts["doc_id"] == wanted["vertex"], "left_semi").select(F.col("doc_id").alias("vertex"), "text")
+    sets = cut(chosen.mapInArrow(_sets, "vertex long, shingles array<bigint>"))
+    links = cut(confirm(stars, sets, percent))
+    labels = cut(components(links))
+    hidden = cut(hidden_pairs(members, labels, vertices).join(stars, ["lo", "hi"], "left_anti"))
+    more = confirm(hidden, sets, percent)
+    stars_of = labels.where("vertex > component").select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))
+    labels = cut(components(stars_of.unionByName(more)))
+    # Back to rows: a row's vertex is that of its set.
+    of_set = cut(vertices.join(labels, "vertex", "left").select("d1", "d2", F.coalesce("component", "vertex").alias("found")))
+    joined = signed.join(of_set, ["d1", "d2"], "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with their own columns; rows with a null id stay."""
+    gone = cut(near_duplicates(docs, id_col, text_col, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
