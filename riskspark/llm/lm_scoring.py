@@ -1 +1,286 @@
+"""Language-model scores from a probabilistic suffix tree over words.
 
+Symbols are words (A-Z lowered) and one end per text.  The root holds add-one word probabilities.  A node is a
+context of one to DEPTH words:
+
+* candidates are contexts whose share of all training tokens is at least CONTEXT (so there are at most
+  1 / CONTEXT of them per length, whatever the corpus), with those next symbols whose joint share is at least JOINT;
+* a candidate is retained if its next-symbol distribution diverges from that of its longest retained suffix: count * Kullback-Leibler
+  divergence >= DIVERGENCE nats;
+* smoothing: kept symbols have (count - DISCOUNT) / context count, all others the suffix's probability times
+  what is left, so that every distribution sums to one over the vocabulary and one unknown word.
+
+A text is scored by the longest retained suffix of what came before each token.
+
+At scale: counts are summed per task in NumPy, then by Spark.  Only the head of the vocabulary (words with a share of at least
+HEAD, so at most 1 / HEAD of them) and the tree, both bounded by these shares, are broadcast.  All other words, whose counts are low and so
+free of skew, meet their counts in a shuffle join, and texts add up the parts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskspark.llm.common import cut, documents, mix, powers, remainder, slices, text_buffer, word_hashes
+
+DEPTH = 3
+CONTEXT, JOINT, HEAD = 1e-5, 2e-6, 2e-7
+LEAST = 3
+DIVERGENCE, DISCOUNT = 20.0, 0.5
+END = np.uint64(0x5851F42D4C957F2D)
+SHIFT = powers(np.uint64(0xC6A4A7935BD1E995), DEPTH + 2)
+#: Local sums are passed on when they have more entries than this.
+HOLD = 1 << 20
+
+
+class Table:
+    """64-bit keys to rows of an array, by open addressing; looked up for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.rows = np.full(int(self.mask) + 1, -1, np.int32)
+        left = np.arange(len(keys))
+        keys = keys.astype(np.uint64)
+        step = np.uint64(0)
+        while len(left):
+            slot = ((keys[left] + step) & self.mask).astype(np.int64)
+            free = self.rows[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            put = left[free][first]
+            at = slot[free][first]
+            self.keys[at], self.rows[at] = keys[put], put
+            left = left[~np.isin(left, put, assume_unique=True)]
+            step += np.uint64(1)
+        self.steps = int(step)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 if there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys))
+        for step in range(self.steps):
+            slot = ((keys[left] + np.uint64(step)) & self.mask).astype(np.int64)
+            rows, same = self.rows[slot], self.keys[slot] == keys[left]
+            hit = (rows >= 0) & same
+            out[left[hit]] = rows[hit]
+            left = left[(rows >= 0) & ~same]
+            if not len(left):
+                break
+        return out
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes with an end behind each row, each token's place in its row, and n + 1 offsets."""
+    words, at = word_hashes(data, offsets)
+    counts = np.diff(at) + 1
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    out = np.full(int(edges[-1]), END, np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[edges[1:] - 1] = False
+    out[inner] = words
+    return out, np.arange(len(out)) - np.repeat(edges[:-1], counts), edges
+
+
+def contexts(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of the ``depth`` symbols before each position (meaningless in a row's first ``depth`` places)."""
+    total = np.full(len(symbols), np.uint64(depth))
+    for k in range(1, min(depth, len(symbols) - 1) + 1):
+        total[k:] += symbols[:-k] * SHIFT[k]
+    return mix(total)
+
+
+def joint(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(context * SHIFT[1] + symbol)
+
+
+def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        for a, b in slices(offsets, 1 << 20):
+            yield tokens(data, offsets[a : b + 1])
+
+
+def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) -> Iterator[pa.RecordBatch]:
+    """Sums by key per task: ``rows_of(symbols, place)`` gives an array (n x width) of 64-bit columns whose first is the key."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        rows, counts = np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held])
+        _, first, back = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+        return rows[first], np.bincount(back, counts).astype(np.int64)
+
+    def out(rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(rows), 1 << 16):
+            columns = [pa.array(np.ascontiguousarray(rows[a : a + (1 << 16), k]).astype(np.int64)) for k in range(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[a : a + (1 << 16)])], [*(f"k{k}" for k in range(width)), "c"])
+
+    size = 0
+    for symbols, place, _ in _each(batches):
+        rows = rows_of(symbols, place)
+        if not len(rows):
+            continue
+        _, first, counts = np.unique(rows[:, 0], return_index=True, return_counts=True)
+        held.append((rows[first], counts))
+        size += len(first)
+        if size > 2 * HOLD:
+            held = [merge()]
+            size = len(held[0][0])
+            if size > HOLD:
+                yield from out(*held[0])
+                held, size = [], 0
+    if held:
+        yield from out(*merge())
+
+
+def _count(texts: DataFrame, rows_of: Callable, width: int) -> DataFrame:
+    names = [f"k{k}" for k in range(width)]
+    schema = ", ".join(f"{n} long" for n in names) + ", c long"
+    return texts.mapInArrow(lambda batches: _summed(batches, rows_of, width), schema).groupBy("k0").agg(*(F.first(n).alias(n) for n in names[1:]), F.sum("c").alias("c"))
+
+
+class Tree:
+    """The head of the vocabulary and the retained contexts."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+        self.total, self.distinct = total, distinct
+        self.scale = float(total + distinct + 1)
+        self.words, self.counts = Table(words), counts
+        self.root = (counts + 1) / self.scale
+        self.nodes: list[tuple[Table, np.ndarray]] = []  # per depth: context -> what is left for other symbols, as a factor
+        self.pairs: list[tuple[Table, np.ndarray]] = []  # per depth: (context, symbol) -> probability
+
+    def step(self, k: int, context: np.ndarray, symbol: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities under depth k + 1, given those under the suffixes."""
+        node = self.nodes[k][0].find(context)
+        rows = np.flatnonzero(node >= 0)
+        if not len(rows):
+            return p
+        p = p.copy()
+        p[rows] *= self.nodes[k][1][node[rows]]
+        pair = self.pairs[k][0].find(joint(context[rows], symbol[rows]))
+        p[rows[pair >= 0]] = self.pairs[k][1][pair[pair >= 0]]
+        return p
+
+    def grow(self, context: np.ndarray, symbol: np.ndarray, pair: np.ndarray, count: np.ndarray, lower: np.ndarray, sizes: Callable) -> int:
+        """Add the candidates of one more length: rows (context, symbol) with counts and the suffix's probability. Returns how many are retained."""
+        names, back = np.unique(context, return_inverse=True)
+        size = sizes(names).astype(float)
+        p = np.maximum(count - DISCOUNT, 0.1) / size[back]
+        kept, below = np.bincount(back, p), np.bincount(back, lower)
+        rest, rest_below = np.maximum(1 - kept, 1e-12), np.maximum(1 - below, 1e-12)
+        divergence = size * (np.bincount(back, p * np.log(p / lower)) + rest * np.log(rest / rest_below))
+        # kept < 1 because of the discount; a context that is not where its counts say is left out.
+        good = (divergence >= DIVERGENCE) & (kept < 1) & (below < 1)
+        rows = good[back]
+        self.nodes.append((Table(names[good]), (rest / rest_below)[good]))
+        self.pairs.append((Table(pair[rows]), p[rows]))
+        return int(good.sum())
+
+    def probabilities(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per token: its row in the head (-1: not there), and its probability, in units of its root probability if it is not in the head."""
+        row = self.words.find(symbols)
+        p = np.where(row >= 0, self.root[np.maximum(row, 0)] if len(self.root) else 1.0, 1.0)
+        for k in range(len(self.nodes)):
+            inside = np.flatnonzero(place > k)
+            p[inside] = self.step(k, contexts(symbols, k + 1)[inside], symbols[inside], p[inside])
+        return row, p
+
+
+def fit(texts: DataFrame) -> tuple[Tree, DataFrame]:
+    """The tree learned from ``text`` of all rows, and the table of all word counts (k0, c)."""
+    counts = cut(_count(texts, lambda symbols, place: symbols.reshape(-1, 1), 1))
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    head = counts.where(F.col("c") >= max(1.0, HEAD * total)).toPandas()
+    tree = Tree(head["k0"].to_numpy(np.int64).astype(np.uint64), head["c"].to_numpy(np.int64), total, distinct)
+    least, often = max(LEAST, JOINT * total), max(LEAST, CONTEXT * total)
+    sc = texts.sparkSession.sparkContext
+    # Candidate contexts of length 1 are frequent words; then frequent extensions of candidates.
+    symbol_ok = Table(head["k0"].to_numpy(np.int64).astype(np.uint64)[head["c"].to_numpy() >= least])
+    frequent = head[head["c"] >= often]
+    known = frequent["k0"].to_numpy(np.int64).astype(np.uint64)
+    known = known[known != END]
+    names, size = mix(known * SHIFT[1] + np.uint64(1)), frequent["c"].to_numpy()[frequent["k0"].to_numpy(np.int64).astype(np.uint64) != END]
+    for depth in range(1, DEPTH + 1):
+        if not len(names):
+            break
+        shared = sc.broadcast((Table(names), symbol_ok))
+
+        def rows_of(symbols: np.ndarray, place: np.ndarray, depth=depth, shared=shared) -> np.ndarray:
+            candidates, ok = shared.value
+            at = np.flatnonzero(place >= depth)
+            at = at[candidates.find(contexts(symbols, depth)[at]) >= 0]
+            at = at[ok.find(symbols[at]) >= 0]
+            levels = [contexts(symbols, d)[at] for d in range(depth, 0, -1)]
+            longer = contexts(np.concatenate([symbols, [END]]), depth + 1)[at + 1]
+            return np.stack([joint(levels[0], symbols[at]), symbols[at], longer, *levels], 1)
+
+        found = _count(texts, rows_of, 3 + depth).where(F.col("c") >= least).toPandas()
+        column = lambda n, found=found: found[n].to_numpy(np.int64).astype(np.uint64)
+        symbol, count = column("k1"), found["c"].to_numpy(np.int64)
+        levels = [column(f"k{2 + d}") for d in range(depth, 0, -1)]  # contexts of length 1, 2, ... depth
+        p = tree.root[tree.words.find(symbol)] if len(found) else np.zeros(0)
+        for k in range(depth - 1):
+            p = tree.step(k, levels[k], symbol, p)
+        order = np.argsort(names)
+        sizes = lambda wanted, order=order, names=names, size=size: size[order[np.searchsorted(names[order], wanted)]]
+        tree.grow(levels[-1], symbol, column("k0"), count, p, sizes)
+        rows = (count >= often) & (symbol != END)
+        names, size = column("k2")[rows], count[rows]
+    return tree, counts
+
+
+def _scored(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
+    tree = tree.value
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        parts = []
+        for a, b in slices(offsets, 1 << 20):
+            symbols, place, edges = tokens(data, offsets[a : b + 1])
+            row, p = tree.probabilities(symbols, place)
+            base = np.where(row >= 0, np.log10(tree.root[np.maximum(row, 0)]) if len(tree.root) else 0.0, 0.0)
+            parts.append(np.stack([np.diff(edges), *(np.add.reduceat(x, edges[:-1]) for x in ((row >= 0).astype(float), base, np.log10(p)))]))
+        n, known, base, score = np.concatenate(parts, 1) if parts else np.zeros((4, 0))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], ["row", "doc_id", "n", "known", "base", "score"])
+
+
+def _rare(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
+    """row, word for every token outside the head."""
+    words = tree.value.words
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        keys = batch.column("row").to_numpy()
+        for a, b in slices(offsets, 1 << 20):
+            symbols, _, edges = tokens(data, offsets[a : b + 1])
+            at = np.flatnonzero(words.find(symbols) < 0)
+            owner = np.searchsorted(edges, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a + owner]), pa.array(symbols[at].astype(np.int64))], ["row", "word"])
+
+
+def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row, learned from the rows where ``learn`` holds.
+
+    Null and empty texts are one end. Without training rows every token is unknown and has probability 1. Rows that repeat id and text get
+    the same scores. An empty table gives no rows. Other columns are not read.
+    """
+    tree, counts = fit(docs.where(learn).select(F.col(text_col).alias("text")))
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    rows = docs.select(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    main = rows.mapInArrow(lambda batches: _scored(batches, shared), "row long, doc_id long, n long, known long, base double, score double")
+    rare = rows.select("row", "text").mapInArrow(lambda batches: _rare(batches, shared), "row long, word long")
+    log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(tree.scale))
+    extra = rare.join(counts, rare["word"] == counts["k0"], "left").select("row", log.alias("log"), F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("more"))
+    parts = main.select("row", "doc_id", "n", "known", "base", "score", F.lit(1).cast("long").alias("m")).unionByName(extra.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.col("more").alias("known"), F.col("log").alias("base"), F.col("log").alias("score"), F.lit(0).cast("long").alias("m")))
+    # Rows that repeat id and text add up, so each sum is divided by their number.
+    whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score", "m")))
+    each = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    return each.select("doc_id", (F.col("n") / F.col("m")).cast("long").alias("n_tokens"), (F.col("known") / F.col("m")).cast("long").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
