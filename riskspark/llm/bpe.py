@@ -17,7 +17,10 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,17 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
-#: How a text is split into words before merging (fixed by the vocabulary).
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: How a text is split into words before merging (fixed by the vocabulary); white space is spelled out, since engines differ in it.
+SPACES = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: The same for texts of Latin-1 characters only, where letters and numbers can be listed; about twice as fast.
+LETTERS, NUMBERS, LATIN_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0"
+LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{LATIN_SPACES}{LETTERS}{NUMBERS}]+|[{LATIN_SPACES}]+(?![^{LATIN_SPACES}])|[{LATIN_SPACES}]+")
 #: Words longer than this many characters are streamed, shorter ones kept in the table.
-SHORT = 32
-TABLE = 300_000
+SHORT = 40
+TABLE = 600_000
+#: Characters of text whose words are looked up together.
+TOGETHER = 1 << 20
 #: Token ids that the decoder takes at once.
 STEP = 1 << 14
 
@@ -67,6 +76,8 @@ class Merges:
             a, b = map(to_bytes, m.split(" ") if isinstance(m, str) else m)
             self.rank[self.ids[a], self.ids[b]] = (k, self.ids[a + b])
         self.lookahead = max(map(len, self.ids))
+        #: All endings of tokens: a search to the left from some position stops where the bytes are none.
+        self.endings = {b[k:] for b in self.ids for k in range(len(b))}
         self._beside: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -104,6 +115,28 @@ class Merges:
         return found
 
 
+    def extend(self, raw: bytes, at: int, last: list[int], before: int = -1) -> None:
+        """Append the last token of the encoding up to each position after ``at`` to ``last`` (-2: none ends there)."""
+        endings, ids, known, whole = self.endings, self.ids, self._beside, self.whole
+        for end in range(at + 1, len(raw) + 1):
+            start = end - 1
+            while start > 0 and raw[start - 1 : end] in endings:
+                start -= 1
+            while start < end:
+                token = ids.get(raw[start:end])
+                if token is not None and whole(token):
+                    previous = last[start - 1] if start else before
+                    if previous == -1:
+                        break
+                    if previous >= 0:
+                        fits = known.get((previous, token))
+                        if self.beside(previous, token) if fits is None else fits:
+                            break
+                start += 1
+            else:
+                token = -2
+            last.append(token)
+
 class WordEncoder:
     """Encodes one word that arrives in pieces; ``feed`` returns the tokens that have become stable."""
 
@@ -111,20 +144,8 @@ class WordEncoder:
         self.merges, self.raw, self.last, self.before, self.due = merges, b"", [], -1, 4 * merges.lookahead
 
     def _extend(self, piece: bytes) -> None:
-        ids, longest, beside, last = self.merges.ids, self.merges.lookahead, self.merges.beside, self.last
         at, self.raw = len(self.raw), self.raw + piece
-        raw = self.raw
-        for end in range(at + 1, len(raw) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(raw[start:end])
-                if token is None or not self.merges.whole(token):
-                    continue
-                previous = last[start - 1] if start else self.before
-                if previous == -1 or (previous >= 0 and beside(previous, token)):
-                    last.append(token)
-                    break
-            else:
-                last.append(-2)
+        self.merges.extend(self.raw, at, self.last, self.before)
 
     def _chain(self, end: int) -> list[int]:
         """Boundaries on the way back from ``end``."""
@@ -162,40 +183,66 @@ class WordEncoder:
         return self._take(len(self.raw)) if self.raw else []
 
 
-class Words(dict):
-    """word -> its ids as little-endian 32-bit numbers; bounded."""
-
-    def __init__(self, merges: Merges):
-        super().__init__()
-        self.merges = merges
-
-    def __missing__(self, word: str) -> bytes:
-        encoder = WordEncoder(self.merges)
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = np.array(encoder.feed(raw) + encoder.finish(), "<u4").tobytes()
-        if len(word) <= SHORT:
-            if len(self) >= TABLE:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Codec:
     """Text to ids and back."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.words = Words(self.merges)
+        #: word -> its ids as little-endian 32-bit numbers; bounded.
+        self.table: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put words into the table; returns the long ones, which are not to stay there. In sorted order a word starts like the one before, so the transducer goes on from where they part."""
+        long, size = [], self.merges.bytes
+        raw, last = b"", []
+        for word in sorted(words):
+            new = word.encode("utf-8")
+            if len(word) > SHORT:
+                encoder = WordEncoder(self.merges)
+                self.table[word] = np.array(encoder.feed(new) + encoder.finish(), "<u4").tobytes()
+                long.append(word)
+                continue
+            same, most = 0, min(len(raw), len(new))
+            while same < most and raw[same] == new[same]:
+                same += 1
+            del last[same:]
+            self.merges.extend(new, same, last)
+            raw, end, out = new, len(new), []
+            while end:
+                token = last[end - 1]
+                out.append(token)
+                end -= len(size[token])
+            self.table[word] = np.array(out[::-1], "<u4").tobytes()
+        return long
+
+    def _words(self, text: str) -> list[str]:
+        latin = text.isascii() or len(text.encode("latin-1", "ignore")) == len(text)
+        return (LATIN_WORDS if latin else WORDS).findall(text)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids per text as little-endian unsigned 32-bit numbers. Special tokens that stand in a text are taken as such."""
+        parts = [[("", text)] if not any(x in text for x in self.merges.special) else self._split(text) for text in texts]
+        split = [[(special, self._words(piece)) for special, piece in part] for part in parts]
+        words = set(chain.from_iterable(words for part in split for _, words in part))
+        if len(self.table) + len(words) > TABLE:
+            self.table.clear()
+        long = self._learn(words.difference(self.table))
+        look = self.table.__getitem__
+        mark = lambda special: np.array([self.merges.special[special]], "<u4").tobytes() if special else b""
+        out = [b"".join([mark(special) + b"".join(map(look, words)) for special, words in part]) for part in split]
+        for word in long:
+            del self.table[word]
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers. Special tokens that stand in a text are taken as such."""
-        if self.merges.specials is None or not any(s in text for s in self.merges.special):
-            return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
-        out, at = [], 0
+    def _split(self, text: str) -> list[tuple[str, str]]:
+        out, at, before = [], 0, ""
         for m in self.merges.specials.finditer(text):
-            out += [*map(self.words.__getitem__, WORDS.findall(text[at : m.start()])), np.array([self.merges.special[m[0]]], "<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, *map(self.words.__getitem__, WORDS.findall(text[at:]))])
+            out.append((before, text[at : m.start()]))
+            before, at = m[0], m.end()
+        return [*out, (before, text[at:])]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> Iterator[str]:
         """Pieces of the text: token bytes go through an incremental UTF-8 state machine, so a character may span tokens."""
@@ -205,27 +252,45 @@ class Codec:
         yield machine.decode(b"", True)
 
 
+@lru_cache(2)
+def codec_of(path: str | None) -> Codec:
+    """One per worker process, with its table."""
+    return Codec(path or default_vocabulary())
+
+
+def _groups(column: pa.Array) -> Iterator[list[str]]:
+    group, size = [], 0
+    for text in column:
+        text = text.as_py() or ""
+        group.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _encode(batches: Iterable[pa.RecordBatch], path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    codec = Codec(path or default_vocabulary())
+    codec = codec_of(path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     for batch in batches:
-        counts, shas, decoded, ids = [], [], [], []
-        for text in batch.column("text"):
-            raw = codec.encode(text.as_py() or "")
-            counts.append(len(raw) // 4)
-            shas.append(hashlib.sha256(raw).hexdigest())
-            digest = hashlib.sha256()
-            for piece in codec.decode(raw):
-                digest.update(piece.encode("utf-8"))
-            decoded.append(digest.hexdigest())
+        at = 0
+        for group in _groups(batch.column("text")):
+            raws = codec.encode_all(group)
+            counts = [len(raw) // 4 for raw in raws]
+            decoded = []
+            for raw in raws:
+                digest = hashlib.sha256()
+                for piece in codec.decode(raw):
+                    digest.update(piece.encode("utf-8"))
+                decoded.append(digest.hexdigest())
+            columns = [batch.column("doc_id").slice(at, len(group)), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(raw).hexdigest() for raw in raws], pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                ids.append(raw)
-        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if with_ids:
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(ids))])))
-            names.append("ids")
-        yield pa.RecordBatch.from_arrays(columns, names)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(raws))])))
+            at += len(group)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -242,7 +307,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; a null list gives an empty text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path or default_vocabulary())
+        codec = codec_of(path)
         for batch in batches:
             texts = ["".join(codec.decode(np.array(x.as_py() or [], "<u4").tobytes())) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
