@@ -8,10 +8,11 @@
    errors or more is (1 - 0.75^6 - 6 * 0.25 * 0.75^5)^12 = 1e-4, at 0.8 it is 3e-6.
 3. Stars: in every bucket each member is paired with the smallest one, so a bucket of n members gives n - 1 pairs.  The
    pairs are confirmed on full sets, and the links so found are closed to components.
-4. Rest: a bucket whose members are still in several components may hide links between them.  Only these buckets go on, one of each set of
-   equal buckets, in blocks of bounded size; signatures are compared within blocks, pairs of different components that differ in at
-   most FAR positions are confirmed on full sets, and components are closed again.  After that every pair that shares a bucket is
-   either in one component or was rejected, so no link within the index is lost, and no group is expanded to all its pairs.
+4. Rest: a bucket whose members are still in several components may hide links between them.  Only these buckets go on, in blocks
+   of bounded size, and only pairs of different components are looked at: within its first common bucket (so once), first on
+   the 72 positions, then on a wide signature of 512 positions.  Pairs within both distances are confirmed on full sets and
+   components are closed again.  After that every pair that shares a bucket is in one component or was rejected,
+   so no link within the index is lost, and no group is expanded to all its pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ POSITIONS = CHUNKS * CHUNK
 #: Signatures further apart than this are not at 0.75 (five standard deviations).
 FAR = 38
 #: Members of a bucket that are compared with each other at once.
-BLOCK = 256
+BLOCK = 2048
+#: The wide signature: 8-bit positions; further apart than WIDE_FAR is not at 0.75 (four and a half standard deviations).
+WIDE, WIDE_FAR = 512, 172
 XOR, TIMES = seeded(101, POSITIONS), seeded(202, POSITIONS) | np.uint64(1)
+WIDE_XOR, WIDE_TIMES = seeded(303, WIDE), seeded(404, WIDE) | np.uint64(1)
 ROLL = powers(np.uint64(0x9FB21C651E98DF25), WORDS)
 
 
@@ -140,34 +144,64 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(moved.unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct())
 
 
+def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
+            sets = part.column("shingles")
+            values = sets.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            starts = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
+            out = np.empty((part.num_rows, WIDE), np.uint8)
+            for j in range(WIDE):
+                out[:, j] = mix(np.minimum.reduceat((values ^ WIDE_XOR[j]) * WIDE_TIMES[j], starts)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("vertex"), pa.array([row.tobytes() for row in out], pa.binary())], ["vertex", "wide"])
+
+
 def _compare_blocks(rows: pa.Table) -> pa.Table:
-    """Pairs of one task's rows (tile, side, vertex, component, mark): sides 0 and 1 against each other, or side 2 within itself."""
+    """Near pairs of one task's rows (key, side, vertex, component, mark, wide): sides 0 and 1 against each other, or side 2 within itself."""
     side = rows.column("side").to_numpy()
     vertex, component = rows.column("vertex").to_numpy(), rows.column("component").to_numpy()
     marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side < 2).any() else (np.arange(len(side)),) * 2
+    wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
+    bucket = np.int64(rows.column("key")[0].as_py()).astype(np.uint64)
+    own = index_keys(marks) == bucket
+    cross = bool((side < 2).any())
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(side)),) * 2
     lo, hi = [], []
-    for i in left:
-        j = right[component[right] != component[i]]
-        j = j[(marks[j] != marks[i]).sum(1) <= FAR]
+    for n, i in enumerate(left):
+        j = right if cross else right[n + 1 :]
+        j = j[component[j] != component[i]]
+        differ = marks[j] != marks[i]
+        near = differ.sum(1) <= FAR
+        j, differ = j[near], differ[near].reshape(-1, CHUNKS, CHUNK)
+        if not len(j):
+            continue
+        # The first key that both have: the first chunk with at most one error, without the position of that error.
+        errors = differ.sum(2)
+        chunk = (errors <= 1).argmax(1)
+        at = np.arange(len(j))
+        place = np.where(errors[at, chunk] == 1, differ[at, chunk].argmax(1), 0)
+        j = j[own[i, chunk * CHUNK + place]]
+        j = j[(wide[j] != wide[i]).sum(1) <= WIDE_FAR]
         lo.append(np.minimum(vertex[i], vertex[j]))
         hi.append(np.maximum(vertex[i], vertex[j]))
     lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi))
     return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
 
-def hidden_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+def hidden_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (lo, hi) of different components within the buckets that still hold several components."""
-    labelled = members.join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    # Equal buckets are told by count and sums of hashed members; one of each is enough.
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.shiftright(F.xxhash64("vertex"), 8)).alias("s1"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("s2")).where("x < y")
-    mixed = cut(mixed.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = labelled.select("key", "vertex", "component").join(mixed, "key").join(signed.select("vertex", "mark"), "vertex")
+    labelled = members.join(labels, "vertex", "left").select("key", "vertex", F.coalesce("component", "vertex").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    mixed = cut(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = cut(labelled.join(mixed, "key"))
+    wide = sets.join(rows.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]).mapInArrow(_wide, "vertex long, wide binary")
+    both = cut(signed.select("vertex", "mark").join(wide, "vertex"))
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     # A tile is a pair of blocks (i <= j); with one block that is the bucket itself.
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"), F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
-    tiled = rows.withColumn("own", own).select("key", F.explode(tiles).alias("t"), "vertex", "component", "mark").select("key", "t.i", "t.j", "t.side", "vertex", "component", "mark")
-    return tiled.groupBy("key", "i", "j").applyInArrow(_compare_blocks, "lo long, hi long").distinct()
+    tiled = rows.withColumn("own", own).select("key", F.explode(tiles).alias("t"), "vertex", "component").select("key", "t.i", "t.j", "t.side", "vertex", "component")
+    return tiled.join(both, "vertex").groupBy("key", "i", "j").applyInArrow(_compare_blocks, "lo long, hi long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -191,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(chosen.mapInArrow(_sets, "vertex long, shingles array<bigint>"))
     links = cut(confirm(stars, sets, percent))
     labels = cut(components(links))
-    hidden = cut(hidden_pairs(members, labels, vertices).join(stars, ["lo", "hi"], "left_anti"))
+    hidden = cut(hidden_pairs(members, labels, vertices, sets).join(stars, ["lo", "hi"], "left_anti"))
     more = confirm(hidden, sets, percent)
     stars_of = labels.where("vertex > component").select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))
     labels = cut(components(stars_of.unionByName(more)))
