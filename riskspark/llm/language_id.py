@@ -27,7 +27,7 @@ FAMILIES = {
     "turkic": ("tr", "kk", "az", "uz", "ky", "tt"),
 }
 BINS = 1 << 12
-SAMPLE = 6000
+SAMPLE = 3000
 UNKNOWN = "und"
 #: Bytes are read as one of these classes: letters (and bytes of longer characters) for themselves, a space, a mark.
 CLASS = np.full(256, 1, np.uint32)
@@ -62,7 +62,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, classes weighing alike; y is -1 or 1. Accelerated descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    # The last column of x is the bias.
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x.dtype)
     w = np.zeros(x.shape[1], x.dtype)
     ahead, pace = w, x.dtype.type(1 / (2 * 2.0 + 2 * penalty))
@@ -77,12 +77,13 @@ class Model:
     """Families one against the rest, then pairs of languages within each family."""
 
     def __init__(self, counts: np.ndarray, langs: list[str]):
-        x, lang = scaled(counts).astype(np.float32), np.array(langs)
+        x, lang = np.ones((len(counts), BINS + 1), np.float32), np.array(langs)
+        x[:, :-1] = scaled(counts)
         family = np.array([family_of(v) for v in langs])
         self.families = sorted(set(family))
         self.members = {f: sorted(set(lang[family == f])) for f in self.families}
         sign = lambda mask: np.where(mask, 1, -1).astype(np.float32)
-        self.first = np.array([fit_svm(x, sign(family == f)) for f in self.families]) if len(self.families) > 1 else np.zeros((1, x.shape[1] + 1), np.float32)
+        self.first = np.array([fit_svm(x, sign(family == f)) for f in self.families]) if len(self.families) > 1 else np.zeros((1, x.shape[1]), np.float32)
         self.pairs = {}
         for langs_of in self.members.values():
             for a, b in combinations(langs_of, 2):
@@ -133,7 +134,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fit on rows where ``learn`` holds and language and text are there; None without any such row."""
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count")).limit(200).collect()  # one row per language
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()  # the 200 most frequent languages are learned
     if not sizes:
         return None
     each = max(1, sample // len(sizes))
@@ -145,9 +146,10 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     table = taken.mapInArrow(_counted, "lang string, counts binary").toArrow()
     if not table.num_rows:
         return None
-    order = np.argsort(np.array([f"{v}".encode() + c for v, c in zip(table["lang"].to_pylist(), table["counts"].to_pylist(), strict=True)], object))
-    counts = np.array([np.frombuffer(table["counts"][int(k)].as_py(), "<u2") for k in order], np.float32)
-    return Model(counts, [table["lang"][int(k)].as_py() for k in order])
+    # In a fixed order, so that reruns give the same weights.
+    table = table.sort_by([("lang", "ascending"), ("counts", "ascending")]).combine_chunks()
+    counts = np.array([np.frombuffer(c.as_buffer(), "<u2") for c in table["counts"]], np.float32)
+    return Model(counts, table["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
