@@ -1,4 +1,4 @@
-"""All registered queries of the reference's own operators."""
+"""All registered queries of the scoring operators."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskspark.plans import intake, scoring  # noqa: F401
+from riskspark.plans.base import ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["ag19_score_posts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
