@@ -62,7 +62,7 @@ def overall(d: DataFrame) -> DataFrame:
     parts = {"text_speech": "text_speech", "visual": "visual_part", "metadata_links": "metadata_links", "behavior": "behavior", "db_similarity": "db_similarity"}
     total = reduce(lambda a, b: a + b, [F.lit(w[k]) * F.col(v) for k, v in parts.items()])
     damped = total * (1 - F.least(F.lit(0.55), F.coalesce("neg", F.lit(0.0)) / 180))
-    return d.withColumn("overall", F.round(damped, 9)).withColumn("score", clamp(F.col("overall"))).withColumn("level", risk_level(F.col("overall")))
+    return d.withColumn("overall", damped).withColumn("score", clamp(F.col("overall"))).withColumn("level", risk_level(F.col("overall")))
 
 
 def main_reason(d: DataFrame, hits: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def fold_sql(*xs: str) -> str:
 NEG = f"SELECT case_id, round({FOLD.format('confidence')}, 9) AS neg FROM hits WHERE dim = 'negative' GROUP BY 1"
 PARTS = f"""SELECT *, {fold_sql('profit', '0.85::DOUBLE * urgency')} AS text_speech, {fold_sql('gambling', 'visual')} AS visual_part, {fold_sql('0.85::DOUBLE * hashtags', '0.8::DOUBLE * messenger')} AS metadata_links,
  {fold_sql('referral', '0.7::DOUBLE * urgency', '0.6::DOUBLE * messenger')} AS behavior, reused AS db_similarity FROM wide LEFT JOIN neg USING (case_id)"""
-OVERALL = "SELECT *, CAST(least(100, greatest(0, round_even(overall, 0))) AS INTEGER) AS score, CASE WHEN overall >= 88 THEN 'critical' WHEN overall >= 65 THEN 'high' WHEN overall >= 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT *, round((0.35::DOUBLE * text_speech + 0.25::DOUBLE * visual_part + 0.15::DOUBLE * metadata_links + 0.15::DOUBLE * behavior + 0.10::DOUBLE * db_similarity) * (1 - least(0.55::DOUBLE, coalesce(neg, 0) / 180)), 9) AS overall FROM parts)"
+OVERALL = "SELECT *, CAST(least(100, greatest(0, round_even(overall, 0))) AS INTEGER) AS score, CASE WHEN overall >= 88 THEN 'critical' WHEN overall >= 65 THEN 'high' WHEN overall >= 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT *, (0.35::DOUBLE * text_speech + 0.25::DOUBLE * visual_part + 0.15::DOUBLE * metadata_links + 0.15::DOUBLE * behavior + 0.10::DOUBLE * db_similarity) * (1 - least(0.55::DOUBLE, coalesce(neg, 0) / 180)) AS overall FROM parts)"
 TOP_DIM = "list_max([" + ", ".join(f"{{'v': {d}, 'n': {-n}, 'k': '{d}'}}" for n, d in enumerate(config.DIMENSIONS)) + "]).k"
 BEST = "SELECT case_id, dim, coalesce(nullif(trim(fragment), ''), signal) AS best FROM hits QUALIFY row_number() OVER (PARTITION BY case_id, dim ORDER BY confidence DESC, lane, seg_no, rule_ord, pos, source DESC, signal DESC) = 1"
 REASON = f"SELECT o.*, CASE WHEN overall < 40 THEN CASE WHEN coalesce(neg, 0) > 0 THEN 'warns of fraud' ELSE 'no clear signs' END WHEN b.best IS NOT NULL THEN o.top_dim || ': «' || b.best || '»' ELSE o.top_dim END AS reason FROM (SELECT *, {TOP_DIM} AS top_dim FROM overall) o LEFT JOIN best b ON b.case_id = o.case_id AND b.dim = o.top_dim"
