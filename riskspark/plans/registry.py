@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.plans import casework, evaluation, intake, scoring  # noqa: F401
+from riskspark.plans import casework, evaluation, intake, learning, scoring  # noqa: F401
 from riskspark.plans.base import ORACLES, QUERIES
 
 
