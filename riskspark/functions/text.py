@@ -50,7 +50,8 @@ def clip(c: Column, most: int = 160) -> Column:
 
 def sentence_around(text: Column, at: Column, size: Column) -> Column:
     """The sentence that holds the ``size`` characters from offset ``at`` (1-based), trimmed and cut."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), at - 1), r"[^.!?\n]*\z", 0)
+    # Read backwards from the offset: a pattern tied to the end would be tried from every place before it.
+    left = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), at - 1)), r"^[^.!?\n]*", 0))
     right = F.regexp_extract(F.substring(text, at + size, F.length(text)), r"^[^.!?\n]*", 0)
     return clip(F.trim(F.concat(left, F.substring(text, at, size), right)))
 
