@@ -10,7 +10,7 @@
    pairs are confirmed on full sets, and the links so found are closed to components.
 4. Rest: a bucket whose members are still in several components may hide links between them.  Only these buckets go on, in blocks
    of bounded size, and only pairs of different components are looked at: within its first common bucket (so once), first on
-   the 72 positions, then on a wide signature of 512 positions.  Pairs within both distances are confirmed on full sets and
+   the 72 positions, then on a wide signature of 1024 positions.  Pairs within both distances are confirmed on full sets and
    components are closed again.  After that every pair that shares a bucket is in one component or was rejected,
    so no link within the index is lost, and no group is expanded to all its pairs.
 """
@@ -35,7 +35,7 @@ FAR = 38
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 2048
 #: The wide signature: 8-bit positions; further apart than WIDE_FAR is not at 0.75 (four and a half standard deviations).
-WIDE, WIDE_FAR = 512, 172
+WIDE, WIDE_FAR = 1024, 318
 XOR, TIMES = seeded(101, POSITIONS), seeded(202, POSITIONS) | np.uint64(1)
 WIDE_XOR, WIDE_TIMES = seeded(303, WIDE), seeded(404, WIDE) | np.uint64(1)
 ROLL = powers(np.uint64(0x9FB21C651E98DF25), WORDS)
