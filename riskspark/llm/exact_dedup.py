@@ -25,6 +25,8 @@ from riskspark.llm.common import cut, documents, seeded, slices, text_buffer
 
 #: Bounds of a chunk in bytes; the pattern makes about one cut in 4096 bytes after the lower bound.
 LEAST, MOST, PATTERN = 1024, 16384, np.uint32(0xFFF00000)
+#: Bytes of a chunk's digest; identifiers are verified whatever the size.
+DIGEST_BYTES = 16
 GEAR = (seeded(5, 256) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -64,11 +66,11 @@ def _cut_batch(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[tuple[int
         yield a, b, data, part, cuts(data, part)
 
 
-def _digest(x: memoryview) -> bytes:
-    return hashlib.blake2b(x, digest_size=16).digest()
+def _digest(x: memoryview, size: int) -> bytes:
+    return hashlib.blake2b(x, digest_size=size).digest()
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """digest, content of every chunk, once per slice."""
     for batch in batches:
         for _, _, data, part, ends in _cut_batch(batch):
@@ -76,13 +78,13 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, row in zip(part[:-1].tolist(), ends, strict=True):
                 for e in row:
                     piece = view[a:e]
-                    seen.setdefault((_digest(piece), bytes(piece)))
+                    seen.setdefault((_digest(piece, size), bytes(piece)))
                     a = e
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.binary())], ["digest", "content"])
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _recipes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """doc_id, sha256 and the recipe (the digests in order) of every row."""
     for batch in batches:
         recipes, shas = [], []
@@ -92,37 +94,37 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shas.append(hashlib.sha256(view[a:b]).hexdigest())
                 recipe = []
                 for e in row:
-                    recipe.append(_digest(view[a:e]))
+                    recipe.append(_digest(view[a:e], size))
                     a = e
                 recipes.append(b"".join(recipe))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shas, pa.string()), pa.array(recipes, pa.binary())], ["doc_id", "sha", "recipe"])
 
 
-def _clashes(texts: DataFrame) -> DataFrame:
+def _clashes(texts: DataFrame, size: int) -> DataFrame:
     """digest, content, ordinal of the chunks whose digest stands for several contents (none, as a rule)."""
-    contents = texts.mapInArrow(_contents, "digest binary, content binary").distinct()
+    contents = texts.mapInArrow(lambda batches: _contents(batches, size), "digest binary, content binary").distinct()
     several = cut(contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     if several.isEmpty():
         return several.select("digest", F.lit(None).cast("binary").alias("content"), F.lit(0).alias("ordinal"))
     return cut(contents.join(several, "digest").withColumn("ordinal", F.row_number().over(Window.partitionBy("digest").orderBy("content"))))
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """``doc_id, sha, recipe`` per row, with verified identifiers in the recipe."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    plain = cut(texts.mapInArrow(_recipes, "doc_id long, sha string, recipe binary"))
-    clashes = _clashes(texts)
+    plain = cut(texts.mapInArrow(lambda batches: _recipes(batches, digest_bytes), "doc_id long, sha string, recipe binary"))
+    clashes = _clashes(texts, digest_bytes)
     if clashes.isEmpty():
         return plain
     # A digest with two contents: the rows that use it carry the ordinals of those chunks behind the recipe.
     # Chunks are cut again for those rows only, and are told apart by their bytes.
-    pieces = texts.mapInArrow(_pieces, "doc_id long, sha string, place int, digest binary, content binary")
+    pieces = texts.mapInArrow(lambda batches: _pieces(batches, digest_bytes), "doc_id long, sha string, place int, digest binary, content binary")
     ordinals = pieces.join(clashes, ["digest", "content"]).distinct().groupBy("doc_id", "sha").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "ordinal"))), lambda x: F.concat_ws(":", x["place"], x["ordinal"])), ",").cast("binary").alias("more"))
     joined = plain.join(ordinals, plain["doc_id"].eqNullSafe(ordinals["doc_id"]) & (plain["sha"] == ordinals["sha"]), "left")
     return cut(joined.select(plain["doc_id"], plain["sha"], F.concat(plain["recipe"], F.coalesce("more", F.lit(b""))).alias("recipe")))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         for first, _, data, part, ends in _cut_batch(batch):
@@ -130,21 +132,21 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (a, b, row) in enumerate(zip(part[:-1].tolist(), part[1:].tolist(), ends, strict=True)):
                 sha = hashlib.sha256(view[a:b]).hexdigest()
                 for place, e in enumerate(row):
-                    rows.append((ids[first + k], sha, place, _digest(view[a:e]), bytes(view[a:e])))
+                    rows.append((ids[first + k], sha, place, _digest(view[a:e], size), bytes(view[a:e])))
                     a = e
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "sha", "place", "digest", "content"])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts (a null counts as empty) the row with the largest id stays; null ids come first in that order, so a
     group without any id has a null ``keep_id`` and keeps one row.  If that id is repeated with the same text, one of the
     rows, which are then alike, is kept.  An empty table gives no rows.  Only the two named columns are read.
     """
-    rows = recipes(docs, id_col, text_col)
+    rows = recipes(docs, id_col, text_col, digest_bytes)
     distinct = rows.groupBy("doc_id", "sha", "recipe").agg(F.count("*").alias("repeats"))
     groups = cut(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     joined = distinct.join(groups, "recipe")
