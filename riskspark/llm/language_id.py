@@ -27,7 +27,7 @@ FAMILIES = {
     "turkic": ("tr", "kk", "az", "uz", "ky", "tt"),
 }
 BINS = 1 << 12
-SAMPLE = 3000
+SAMPLE = 1500
 UNKNOWN = "und"
 #: Bytes are read as one of these classes: letters (and bytes of longer characters) for themselves, a space, a mark.
 CLASS = np.full(256, 1, np.uint32)
@@ -78,7 +78,9 @@ class Model:
 
     def __init__(self, counts: np.ndarray, langs: list[str]):
         x, lang = np.ones((len(counts), BINS + 1), np.float32), np.array(langs)
-        x[:, :-1] = scaled(counts)
+        # In place, since the driver's memory is small.
+        np.divide(counts, np.maximum(counts.sum(1, keepdims=True), 1), out=x[:, :-1])
+        np.sqrt(x[:, :-1], out=x[:, :-1])
         family = np.array([family_of(v) for v in langs])
         self.families = sorted(set(family))
         self.members = {f: sorted(set(lang[family == f])) for f in self.families}
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return None
     # In a fixed order, so that reruns give the same weights.
     table = table.sort_by([("lang", "ascending"), ("counts", "ascending")]).combine_chunks()
-    counts = np.array([np.frombuffer(c.as_buffer(), "<u2") for c in table["counts"]], np.float32)
+    counts = np.frombuffer(b"".join(c.as_py() for c in table["counts"]), "<u2").reshape(table.num_rows, BINS)
     return Model(counts, table["lang"].to_pylist())
 
 
