@@ -11,9 +11,8 @@
 4. Rest: a bucket whose members are still in several components may hide links between them.  Only these buckets go on, in blocks
    of bounded size, and only pairs of different components are looked at: within its first common bucket (so once), first on
    the 72 positions, then on a wide signature of 2048 2-bit positions.  Pairs within both distances are confirmed on full sets and
-   components are closed again: in a first round only the closest pair that leaves each component of a block, so a group grows
-   together without all its pairs, then every pair still between different components.  After that every pair that shares a
-   bucket is in one component or was rejected, so no link within the index is lost.
+   components are closed again.  After that every pair that shares a bucket is in one component or was rejected,
+   so no link within the index is lost, and no group is expanded to all its pairs.
 """
 
 from __future__ import annotations
@@ -35,8 +34,6 @@ POSITIONS = CHUNKS * CHUNK
 FAR = 38
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 2048
-#: Rounds in which each component tries its closest pairs only, before all pairs that are then left.
-NEAREST_ROUNDS = 1
 #: The wide signature: 2-bit positions in 512 bytes; further apart than WIDE_FAR is not at 0.75 (384 expected, four and a half standard deviations).
 WIDE, WIDE_FAR = 2048, 464
 XOR, TIMES = seeded(101, POSITIONS), seeded(202, POSITIONS) | np.uint64(1)
@@ -170,18 +167,8 @@ def wide_distance(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
 
 
-def _nearest(component: np.ndarray, lo: np.ndarray, hi: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Places of the pairs (lo, hi: places in ``component``) that are the closest one of some component."""
-    ends, pair = np.concatenate([component[lo], component[hi]]), np.tile(np.arange(len(lo)), 2)
-    order = np.lexsort((pair, far[pair], ends))
-    return np.unique(pair[order[np.unique(ends[order], return_index=True)[1]]])
-
-
-def _compare_blocks(rows: pa.Table, nearest: bool) -> pa.Table:
-    """Near pairs of one task's rows (key, side, vertex, component, mark, wide): sides 0 and 1 against each other, or side 2 within itself.
-
-    With ``nearest`` only the closest pair that leaves each component.
-    """
+def _compare_blocks(rows: pa.Table) -> pa.Table:
+    """Near pairs of one task's rows (key, side, vertex, component, mark, wide): sides 0 and 1 against each other, or side 2 within itself."""
     side = rows.column("side").to_numpy()
     vertex, component = rows.column("vertex").to_numpy(), rows.column("component").to_numpy()
     marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), np.uint16).reshape(-1, POSITIONS)
@@ -190,7 +177,7 @@ def _compare_blocks(rows: pa.Table, nearest: bool) -> pa.Table:
     own = index_keys(marks) == bucket
     cross = bool((side < 2).any())
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(side)),) * 2
-    one, two, far = [], [], []
+    lo, hi = [], []
     for n, i in enumerate(left):
         j = right if cross else right[n + 1 :]
         j = j[component[j] != component[i]]
@@ -205,16 +192,11 @@ def _compare_blocks(rows: pa.Table, nearest: bool) -> pa.Table:
         at = np.arange(len(j))
         place = np.where(errors[at, chunk] == 1, differ[at, chunk].argmax(1), 0)
         j = j[own[i, chunk * CHUNK + place]]
-        apart = wide_distance(wide[i], wide[j])
-        j, apart = j[apart <= WIDE_FAR], apart[apart <= WIDE_FAR]
-        one.append(np.full(len(j), i))
-        two.append(j)
-        far.append(apart)
-    one, two, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two, far))
-    if nearest:
-        kept = _nearest(component, one, two, far)
-        one, two = one[kept], two[kept]
-    return pa.table({"lo": pa.array(np.minimum(vertex[one], vertex[two]), pa.int64()), "hi": pa.array(np.maximum(vertex[one], vertex[two]), pa.int64())})
+        j = j[wide_distance(wide[i], wide[j]) <= WIDE_FAR]
+        lo.append(np.minimum(vertex[i], vertex[j]))
+        hi.append(np.maximum(vertex[i], vertex[j]))
+    lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi))
+    return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
 
 def mixed_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,18 +208,18 @@ def mixed_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def wide_marks(rows: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Both signatures of the vertices of ``rows``, which later rounds only leave, never enter."""
+    """Both signatures of the vertices of ``rows``."""
     wide = sets.join(rows.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]).mapInArrow(_wide, "vertex long, wide binary")
     return cut(signed.select("vertex", "mark").join(wide, "vertex"))
 
 
-def hidden_pairs(rows: DataFrame, both: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (lo, hi) of different components within the buckets of ``rows``; with ``nearest`` the closest ones of each component and tile."""
+def hidden_pairs(rows: DataFrame, both: DataFrame) -> DataFrame:
+    """Pairs (lo, hi) of different components within the buckets of ``rows``."""
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     # A tile is a pair of blocks (i <= j); with one block that is the bucket itself.
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"), F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
     tiled = rows.withColumn("own", own).select("key", F.explode(tiles).alias("t"), "vertex", "component").select("key", "t.i", "t.j", "t.side", "vertex", "component")
-    return tiled.join(both, "vertex").groupBy("key", "i", "j").applyInArrow(lambda t: _compare_blocks(t, nearest), "lo long, hi long").distinct()
+    return tiled.join(both, "vertex").groupBy("key", "i", "j").applyInArrow(_compare_blocks, "lo long, hi long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -261,15 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(chosen.mapInArrow(_sets, "vertex long, shingles array<bigint>"))
     links = cut(confirm(stars, sets, percent))
     labels = cut(components(links))
-    tried, both = stars, None
-    for nearest in (*[True] * NEAREST_ROUNDS, False):
-        rows = mixed_rows(members, labels)
-        both = wide_marks(rows, vertices, sets) if both is None else both
-        hidden = cut(hidden_pairs(rows, both, nearest).join(tried, ["lo", "hi"], "left_anti"))
-        more = confirm(hidden, sets, percent)
-        stars_of = labels.where("vertex > component").select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))
-        labels = cut(components(stars_of.unionByName(more)))
-        tried = tried.unionByName(hidden)
+    rows = mixed_rows(members, labels)
+    hidden = cut(hidden_pairs(rows, wide_marks(rows, vertices, sets)).join(stars, ["lo", "hi"], "left_anti"))
+    more = confirm(hidden, sets, percent)
+    stars_of = labels.where("vertex > component").select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))
+    labels = cut(components(stars_of.unionByName(more)))
     # Back to rows: a row's vertex is that of its set.
     of_set = cut(vertices.join(labels, "vertex", "left").select("d1", "d2", F.coalesce("component", "vertex").alias("found")))
     joined = signed.join(of_set, ["d1", "d2"], "left")

@@ -157,14 +157,11 @@ def test_index_guarantee():
         assert set(keys[0].tolist()) & set(keys[1].tolist())
 
 
-def test_wide_distance_and_nearest_pairs():
+def test_wide_distance():
     rng = np.random.default_rng(5)
     fields = rng.integers(0, 4, (6, near_dedup.WIDE), np.uint8)
     packed = (fields.reshape(6, -1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(2, dtype=np.uint8).view(np.uint64)
     assert near_dedup.wide_distance(packed[0], packed).tolist() == [(fields[0] != f).sum() for f in fields]
-    lo, hi, far = np.array([0, 0, 1, 2]), np.array([1, 2, 3, 3]), np.array([9, 4, 4, 7])
-    # Components 7, 7, 8, 9: the closest pairs are (0, 2) for 7 and 8, (1, 3) for 9.
-    assert near_dedup._nearest(np.array([7, 7, 8, 9]), lo, hi, far).tolist() == [1, 2]
 
 
 def test_fingerprints(spark, docs, table, empty):
