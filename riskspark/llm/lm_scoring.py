@@ -3,8 +3,7 @@
 Symbols are words (A-Z lowered) and one end per text.  The root holds add-one word probabilities.  A node is a
 context of one to DEPTH words:
 
-* candidates are contexts whose share of all training tokens is at least CONTEXT (so there are at most
-  1 / CONTEXT of them per length, whatever the corpus), with those next symbols whose joint share is at least JOINT;
+* candidates are contexts and pairs (context, next symbol) seen LEAST times, at every size of the corpus;
 * a candidate is retained if its next-symbol distribution diverges from that of its longest retained suffix: count * Kullback-Leibler
   divergence >= DIVERGENCE nats;
 * smoothing: kept symbols have (count - DISCOUNT) / context count, all others the suffix's probability times
@@ -12,9 +11,12 @@ context of one to DEPTH words:
 
 A text is scored by the longest retained suffix of what came before each token.
 
-At scale: counts are summed per task in NumPy, then by Spark.  Only the head of the vocabulary (words with a share of at least
-HEAD, so at most 1 / HEAD of them) and the tree, both bounded by these shares, are broadcast.  All other words, whose counts are low and so
-free of skew, meet their counts in a shuffle join, and texts add up the parts.
+At scale: the counts of words and of sequences of two to DEPTH + 1 words (a context and its next symbol) are Spark tables that grow with the
+text, summed per task in NumPy, then by Spark.  A sequence can only be seen LEAST times if both sequences one word shorter are, so
+positions are dropped early by a bitmap of those; it is of fixed size, and a full one drops less but loses nothing.  The logarithm of a probability is a sum of
+one weight per sequence that ends at a token, so each weight is looked up on its own: the head (words with a share of at least HEAD, longer
+sequences of at least SHARE, so at most 1 / share of them) is broadcast, all others, whose counts are low and so free of skew, meet their
+weights in a shuffle join, and texts add up the parts.  The shares decide where a weight is looked up, not what it is.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import cut, documents, mix, powers, remainder, slices, text_buffer, word_hashes
+from riskspark.llm.common import cut, documents, mix, remainder, slices, text_buffer, word_hashes
 
 DEPTH = 3
-CONTEXT, JOINT, HEAD = 1e-5, 2e-6, 2e-7
+HEAD, SHARE = 2e-7, 1e-6
 LEAST = 3
 DIVERGENCE, DISCOUNT = 20.0, 0.5
 END = np.uint64(0x5851F42D4C957F2D)
-SHIFT = powers(np.uint64(0xC6A4A7935BD1E995), DEPTH + 2)
+STEP = np.uint64(0xC6A4A7935BD1E995)
+#: Bits of a bitmap, as a power of two.
+BITS = 27
 #: Local sums are passed on when they have more entries than this.
 HOLD = 1 << 20
 
@@ -86,16 +90,52 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.arange(len(out)) - np.repeat(edges[:-1], counts), edges
 
 
+def grams(symbols: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, ... ``most`` symbols that end at each position (meaningless where the row has fewer)."""
+    out = [symbols]
+    for _ in range(most - 1):
+        longer = out[-1].copy()
+        longer[1:] = joint(out[-1][:-1], out[-1][1:])
+        out.append(longer)
+    return out
+
+
 def contexts(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Hash of the ``depth`` symbols before each position (meaningless in a row's first ``depth`` places)."""
-    total = np.full(len(symbols), np.uint64(depth))
-    for k in range(1, min(depth, len(symbols) - 1) + 1):
-        total[k:] += symbols[:-k] * SHIFT[k]
-    return mix(total)
+    return np.roll(grams(symbols, depth)[-1], 1)
+
 
+def joint(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from those of all its symbols but the last, and but the first."""
+    return mix(first * STEP + last)
 
-def joint(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context * SHIFT[1] + symbol)
+
+def inside(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key may be in the bitmap; never False for one that is."""
+    at = keys & np.uint64(32 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        block, bit = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("block", "bit"))
+        for k in np.unique(block):
+            words, at = held.setdefault(int(k), np.zeros(size // 32, np.uint32)), bit[block == k]
+            np.bitwise_or.at(words, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+    for k, words in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([words.tobytes()])], ["block", "bits"])
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the column ``key``, put together in blocks by the tasks, so that the driver gets 2^BITS bits whatever the number of keys."""
+    size = 1 << max(5, BITS - 8)
+    at = F.col("key").bitwiseAND((1 << BITS) - 1)
+    placed = keys.select((at / size).cast("int").alias("block"), (at % size).cast("int").alias("bit")).repartition(64, "block")
+    out = np.zeros((1 << BITS) // 32, np.uint32)
+    for r in placed.mapInArrow(lambda batches: _blocks(batches, size), "block long, bits binary").collect():
+        out[r["block"] * size // 32 :][: size // 32] = np.frombuffer(r["bits"], np.uint32)
+    return out
 
 
 def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,7 +146,7 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) -> Iterator[pa.RecordBatch]:
-    """Sums by key per task: ``rows_of(symbols, place)`` gives an array (n x width) of 64-bit columns whose first is the key."""
+    """Sums by key per task: ``rows_of(symbols, place)`` gives an array of 64-bit columns whose first is the key; the last ``width`` are passed on."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merge() -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +156,7 @@ def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) ->
 
     def out(rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(rows), 1 << 16):
-            columns = [pa.array(np.ascontiguousarray(rows[a : a + (1 << 16), k]).astype(np.int64)) for k in range(width)]
+            columns = [pa.array(np.ascontiguousarray(rows[a : a + (1 << 16), k - width]).astype(np.int64)) for k in range(width)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[a : a + (1 << 16)])], [*(f"k{k}" for k in range(width)), "c"])
 
     size = 0
@@ -140,11 +180,11 @@ def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) ->
 def _count(texts: DataFrame, rows_of: Callable, width: int) -> DataFrame:
     names = [f"k{k}" for k in range(width)]
     schema = ", ".join(f"{n} long" for n in names) + ", c long"
-    return texts.mapInArrow(lambda batches: _summed(batches, rows_of, width), schema).groupBy("k0").agg(*(F.first(n).alias(n) for n in names[1:]), F.sum("c").alias("c"))
+    return texts.mapInArrow(lambda batches: _summed(batches, rows_of, width), schema).groupBy(*names).agg(F.sum("c").alias("c"))
 
 
 class Tree:
-    """The head of the vocabulary and the retained contexts."""
+    """The root and the head of the weights: per number of symbols, sequence -> (gain as the end of a context, factor as a context)."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         self.total, self.distinct = total, distinct
@@ -152,86 +192,100 @@ class Tree:
         self.words, self.counts = Table(words), counts
         self.root = (counts + 1) / self.scale
         self.nodes: list[tuple[Table, np.ndarray]] = []  # per depth: context -> what is left for other symbols, as a factor
-        self.pairs: list[tuple[Table, np.ndarray]] = []  # per depth: (context, symbol) -> probability
-
-    def step(self, k: int, context: np.ndarray, symbol: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probabilities under depth k + 1, given those under the suffixes."""
-        node = self.nodes[k][0].find(context)
-        rows = np.flatnonzero(node >= 0)
-        if not len(rows):
-            return p
-        p = p.copy()
-        p[rows] *= self.nodes[k][1][node[rows]]
-        pair = self.pairs[k][0].find(joint(context[rows], symbol[rows]))
-        p[rows[pair >= 0]] = self.pairs[k][1][pair[pair >= 0]]
-        return p
-
-    def grow(self, context: np.ndarray, symbol: np.ndarray, pair: np.ndarray, count: np.ndarray, lower: np.ndarray, sizes: Callable) -> int:
-        """Add the candidates of one more length: rows (context, symbol) with counts and the suffix's probability. Returns how many are retained."""
-        names, back = np.unique(context, return_inverse=True)
-        size = sizes(names).astype(float)
-        p = np.maximum(count - DISCOUNT, 0.1) / size[back]
-        kept, below = np.bincount(back, p), np.bincount(back, lower)
-        rest, rest_below = np.maximum(1 - kept, 1e-12), np.maximum(1 - below, 1e-12)
-        divergence = size * (np.bincount(back, p * np.log(p / lower)) + rest * np.log(rest / rest_below))
-        # kept < 1 because of the discount; a context that is not where its counts say is left out.
-        good = (divergence >= DIVERGENCE) & (kept < 1) & (below < 1)
-        rows = good[back]
-        self.nodes.append((Table(names[good]), (rest / rest_below)[good]))
-        self.pairs.append((Table(pair[rows]), p[rows]))
-        return int(good.sum())
+        self.pairs: list[tuple[Table, np.ndarray]] = []  # per depth: context and symbol -> probability, in units of what it is without this node
+        self.more = np.zeros(1 << (BITS - 5), np.uint32)  # sequences with a weight
 
     def probabilities(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token: its row in the head (-1: not there), and its probability, in units of its root probability if it is not in the head."""
+        """Per token: its row in the head (-1: not there), and its probability by the head, in units of its root probability if it is not in the head."""
         row = self.words.find(symbols)
         p = np.where(row >= 0, self.root[np.maximum(row, 0)] if len(self.root) else 1.0, 1.0)
-        for k in range(len(self.nodes)):
-            inside = np.flatnonzero(place > k)
-            p[inside] = self.step(k, contexts(symbols, k + 1)[inside], symbols[inside], p[inside])
+        found = grams(symbols, DEPTH + 1)
+        for k, (nodes, pairs) in enumerate(zip(self.nodes, self.pairs)):
+            at = np.flatnonzero(place > k)
+            for (table, weight), keys in ((nodes, found[k][at - 1]), (pairs, found[k + 1][at])):
+                hit = table.find(keys)
+                p[at[hit >= 0]] *= weight[hit[hit >= 0]]
         return row, p
 
+    def elsewhere(self, symbols: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and keys (words, then longer sequences) whose weights may be outside the head."""
+        at = np.flatnonzero(self.words.find(symbols) < 0)
+        yield at, symbols[at]
+        found = grams(symbols, DEPTH + 1)
+        for k, (pairs, _) in enumerate(self.pairs):
+            at = np.flatnonzero(place > k)
+            at = at[inside(self.more, found[k + 1][at])]
+            at = at[pairs.find(found[k + 1][at]) < 0]
+            yield at, found[k + 1][at]
+
+
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first, last = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.uint64) for n in ("k0", "k1"))
+        yield pa.RecordBatch.from_arrays([pa.array(joint(first, last).astype(np.int64)), *batch.columns], ["key", "k0", "k1", "c"])
+
 
 def fit(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree learned from ``text`` of all rows, and the table of all word counts (k0, c)."""
+    """The head of the tree learned from ``text`` of all rows, and the table of all words (k0, c, factor)."""
+    return _fit(texts)[:2]
+
+
+def _fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
+    """The head of the tree, all words (k0, c, factor) and all longer sequences with a weight (key, c, gain, factor)."""
     counts = cut(_count(texts, lambda symbols, place: symbols.reshape(-1, 1), 1))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.where(F.col("c") >= max(1.0, HEAD * total)).toPandas()
-    tree = Tree(head["k0"].to_numpy(np.int64).astype(np.uint64), head["c"].to_numpy(np.int64), total, distinct)
-    least, often = max(LEAST, JOINT * total), max(LEAST, CONTEXT * total)
+    scale = float(total + distinct + 1)
     sc = texts.sparkSession.sparkContext
-    # Candidate contexts of length 1 are frequent words; then frequent extensions of candidates.
-    symbol_ok = Table(head["k0"].to_numpy(np.int64).astype(np.uint64)[head["c"].to_numpy() >= least])
-    frequent = head[head["c"] >= often]
-    known = frequent["k0"].to_numpy(np.int64).astype(np.uint64)
-    known = known[known != END]
-    names, size = mix(known * SHIFT[1] + np.uint64(1)), frequent["c"].to_numpy()[frequent["k0"].to_numpy(np.int64).astype(np.uint64) != END]
+    # Sequences of ``depth`` symbols seen often enough, with the probability p of the last one.
+    known = counts.where(F.col("c") >= LEAST).select(F.col("k0").alias("key"), "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"), F.lit(1.0).alias("gain"))
+    levels, nodes = [known], []
     for depth in range(1, DEPTH + 1):
-        if not len(names):
-            break
-        shared = sc.broadcast((Table(names), symbol_ok))
+        shared = sc.broadcast(bitmap_of(known))
 
         def rows_of(symbols: np.ndarray, place: np.ndarray, depth=depth, shared=shared) -> np.ndarray:
-            candidates, ok = shared.value
+            keys = grams(symbols, depth)[-1]
+            ok = inside(shared.value, keys)
             at = np.flatnonzero(place >= depth)
-            at = at[candidates.find(contexts(symbols, depth)[at]) >= 0]
-            at = at[ok.find(symbols[at]) >= 0]
-            levels = [contexts(symbols, d)[at] for d in range(depth, 0, -1)]
-            longer = contexts(np.concatenate([symbols, [END]]), depth + 1)[at + 1]
-            return np.stack([joint(levels[0], symbols[at]), symbols[at], longer, *levels], 1)
-
-        found = _count(texts, rows_of, 3 + depth).where(F.col("c") >= least).toPandas()
-        column = lambda n, found=found: found[n].to_numpy(np.int64).astype(np.uint64)
-        symbol, count = column("k1"), found["c"].to_numpy(np.int64)
-        levels = [column(f"k{2 + d}") for d in range(depth, 0, -1)]  # contexts of length 1, 2, ... depth
-        p = tree.root[tree.words.find(symbol)] if len(found) else np.zeros(0)
-        for k in range(depth - 1):
-            p = tree.step(k, levels[k], symbol, p)
-        order = np.argsort(names)
-        sizes = lambda wanted, order=order, names=names, size=size: size[order[np.searchsorted(names[order], wanted)]]
-        tree.grow(levels[-1], symbol, column("k0"), count, p, sizes)
-        rows = (count >= often) & (symbol != END)
-        names, size = column("k2")[rows], count[rows]
-    return tree, counts
+            at = at[ok[at] & ok[at - 1]]
+            return np.stack([joint(keys[at - 1], keys[at]), keys[at - 1], keys[at]], 1)
+
+        pairs = _count(texts, rows_of, 2).where(F.col("c") >= LEAST).mapInArrow(_keyed, "key long, k0 long, k1 long, c long")
+        pairs = cut(cut(pairs).join(known.select(F.col("key").alias("k1"), F.col("p").alias("lower")), "k1").select("key", F.col("k0").alias("context"), "c", "lower"))
+        share = F.col("c") - DISCOUNT
+        sums = pairs.groupBy("context").agg(F.sum(share).alias("a"), F.sum("lower").alias("below"), F.sum(share * F.log(share / F.col("lower"))).alias("s"))
+        sized = sums.join(known.select(F.col("key").alias("context"), F.col("c").alias("size")), "context")
+        # kept < 1 because of the discount; a context that is not where its counts say is left out.
+        rest, rest_below = F.greatest(1 - F.col("a") / F.col("size"), F.lit(1e-12)), F.greatest(1 - F.col("below"), F.lit(1e-12))
+        divergence = F.col("s") - F.col("a") * F.log("size") + F.col("size") * rest * F.log(rest / rest_below)
+        good = (divergence >= DIVERGENCE) & (F.col("a") < F.col("size")) & (F.col("below") < 1)
+        nodes.append(cut(sized.where(good).select("context", "size", (rest / rest_below).alias("factor"))))
+        p = share / F.col("size")
+        joined = pairs.join(nodes[-1], "context", "left")
+        known = cut(joined.select("key", "c", F.coalesce(p, "lower").alias("p"), F.coalesce(p / (F.col("lower") * F.col("factor")), F.lit(1.0)).alias("gain")))
+        levels.append(known)
+        shared.unpersist()
+        del pairs, sums, sized, joined
+        sc._jvm.System.gc()  # lets go of shuffle files that are done with
+    word = counts.join(nodes[0].select(F.col("context").alias("k0"), "factor"), "k0", "left").select("k0", "c", F.coalesce("factor", F.lit(1.0)).alias("factor"))
+    words = cut(word)
+    longer = [level.join(node.select(F.col("context").alias("key"), "factor"), "key", "left") for level, node in zip(levels[1:-1], nodes[1:])] + [levels[-1].withColumn("factor", F.lit(1.0))]
+    weights = None
+    for n, df in enumerate(longer, 2):
+        df = df.select(F.lit(n).alias("n"), "key", "c", "gain", F.coalesce("factor", F.lit(1.0)).alias("factor")).where("gain <> 1 or factor <> 1")
+        weights = df if weights is None else weights.unionByName(df)
+    weights = cut(weights)
+    unsigned = lambda x: x.to_numpy(np.int64).astype(np.uint64)
+    head = words.where(F.col("c") >= max(1.0, HEAD * total)).toPandas()
+    tree = Tree(unsigned(head["k0"]), head["c"].to_numpy(np.int64), total, distinct)
+    heads = weights.where(F.col("c") >= SHARE * total).toPandas()
+    tables = [(tree.words, None, head["factor"].to_numpy(float))]
+    for n in range(2, DEPTH + 2):
+        part = heads[heads["n"] == n]
+        tables.append((Table(unsigned(part["key"])), part["gain"].to_numpy(float), part["factor"].to_numpy(float)))
+    tree.nodes = [(table, factor) for table, _, factor in tables[:-1]]
+    tree.pairs = [(table, gain) for table, gain, _ in tables[1:]]
+    tree.more = bitmap_of(weights)
+    return tree, words, weights
 
 
 def _scored(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
@@ -249,16 +303,16 @@ def _scored(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]
 
 
 def _rare(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
-    """row, word for every token outside the head."""
-    words = tree.value.words
+    """row, key, and whether it is a word, for every word outside the head and every longer sequence that may have a weight outside the head."""
+    tree = tree.value
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        keys = batch.column("row").to_numpy()
+        ids = batch.column("row").to_numpy()
         for a, b in slices(offsets, 1 << 20):
-            symbols, _, edges = tokens(data, offsets[a : b + 1])
-            at = np.flatnonzero(words.find(symbols) < 0)
-            owner = np.searchsorted(edges, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a + owner]), pa.array(symbols[at].astype(np.int64))], ["row", "word"])
+            symbols, place, edges = tokens(data, offsets[a : b + 1])
+            for k, (at, keys) in enumerate(tree.elsewhere(symbols, place)):
+                owner = np.searchsorted(edges, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + owner]), pa.array(keys.astype(np.int64)), pa.array(np.full(len(at), k == 0))], ["row", "key", "word"])
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,14 +321,18 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     Null and empty texts are one end. Without training rows every token is unknown and has probability 1. Rows that repeat id and text get
     the same scores. An empty table gives no rows. Other columns are not read.
     """
-    tree, counts = fit(docs.where(learn).select(F.col(text_col).alias("text")))
+    tree, words, weights = _fit(docs.where(learn).select(F.col(text_col).alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(tree)
     rows = docs.select(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     main = rows.mapInArrow(lambda batches: _scored(batches, shared), "row long, doc_id long, n long, known long, base double, score double")
-    rare = rows.select("row", "text").mapInArrow(lambda batches: _rare(batches, shared), "row long, word long")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(tree.scale))
-    extra = rare.join(counts, rare["word"] == counts["k0"], "left").select("row", log.alias("log"), F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("more"))
-    parts = main.select("row", "doc_id", "n", "known", "base", "score", F.lit(1).cast("long").alias("m")).unionByName(extra.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.col("more").alias("known"), F.col("log").alias("base"), F.col("log").alias("score"), F.lit(0).cast("long").alias("m")))
+    rare = rows.select("row", "text").mapInArrow(lambda batches: _rare(batches, shared), "row long, key long, word boolean")
+    root = F.log10((F.col("c") + 1) / F.lit(tree.scale))
+    table = words.where(F.col("c") < max(1.0, HEAD * tree.total)).select(F.col("k0").alias("key"), F.lit(True).alias("word"), root.alias("base"), F.log10("factor").alias("weight"))
+    table = table.unionByName(weights.where(F.col("c") < SHARE * tree.total).select("key", F.lit(False).alias("word"), F.lit(0.0).alias("base"), F.log10(F.col("gain") * F.col("factor")).alias("weight")))
+    base = F.coalesce("base", F.when(F.col("word"), F.lit(-np.log10(tree.scale))).otherwise(0.0))
+    extra = rare.join(table, ["key", "word"], "left").select("row", base.alias("base"), (base + F.coalesce("weight", F.lit(0.0))).alias("score"), (F.col("word") & F.col("base").isNotNull()).cast("long").alias("known"))
+    zero = F.lit(0).cast("long")
+    parts = main.withColumn("m", F.lit(1).cast("long")).unionByName(extra.select("row", F.lit(None).cast("long").alias("doc_id"), zero.alias("n"), "known", "base", "score", zero.alias("m")))
     # Rows that repeat id and text add up, so each sum is divided by their number.
     whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score", "m")))
     each = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))

@@ -312,6 +312,62 @@ def test_tree_sums_to_one(spark):
         assert total + rest / tree.scale == pytest.approx(1.0, abs=1e-6)
 
 
+def brute_tree(texts, least=3, depth=3, divergence=20.0, discount=0.5):
+    """Probability of a token given what came before it, by plain dictionaries."""
+    seqs = [[*WORD.findall(lower(t)), None] for t in texts]
+    grams = [collections.Counter(tuple(s[i - n + 1 : i + 1]) for s in seqs for i in range(n - 1, len(s))) for n in range(1, depth + 2)]
+    total, distinct = sum(grams[0].values()), len(grams[0])
+    kept = {}
+
+    def p(word, past):
+        for d in range(min(depth, len(past)), 0, -1):
+            node = kept.get(tuple(past[-d:]))
+            if node:
+                return node[0].get(word, None) or p(word, past[len(past) - d + 1 :]) * node[1]
+        return (grams[0][(word,)] + 1) / (total + distinct + 1)
+
+    for d in range(1, depth + 1):
+        found = collections.defaultdict(dict)
+        for g, c in grams[d].items():
+            if c >= least:
+                found[g[:-1]][g[-1]] = c
+        new = {}
+        for context, symbols in found.items():
+            size = grams[d - 1][context]
+            q = {w: (c - discount) / size for w, c in symbols.items()}
+            low = {w: p(w, list(context[1:])) for w in symbols}
+            rest, rest_below = max(1 - sum(q.values()), 1e-12), max(1 - sum(low.values()), 1e-12)
+            if size * (sum(x * math.log(x / low[w]) for w, x in q.items()) + rest * math.log(rest / rest_below)) >= divergence and sum(low.values()) < 1:
+                new[context] = (q, rest / rest_below)
+        kept |= new
+    return p, kept
+
+
+def test_tree_grows_with_the_corpus(spark, monkeypatch):
+    """A strong context of 4 occurrences counts the same in a small and in a large corpus, in the broadcast head or outside it."""
+    rng = random.Random(8)
+    strong = "alpha beta gamma delta"
+    texts = [strong] * 4 + [" ".join(rng.choice(["a b c", "a b d", "x y", "c a", f"w{rng.randrange(900)}"]) for _ in range(60)) for _ in range(150)]
+    p, kept = brute_tree(texts)
+    assert ("gamma",) in kept and any(len(x) > 1 for x in kept)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k: sum(math.log10(p(w, s[:i])) for i, w in enumerate(s)) for k, t in enumerate(texts) for s in [[*WORD.findall(lower(t)), None]]}
+    # As if the corpus were large: nothing but the most frequent sequences is in the head; later, a bitmap so small that it drops nearly nothing.
+    for head, share, bits in ((2e-7, 1e-6, 27), (1e-2, 1e-2, 27), (1e-2, 1e-2, 6)):
+        for name, value in (("HEAD", head), ("SHARE", share), ("BITS", bits)):
+            monkeypatch.setattr(lm_scoring, name, value)
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(df, F.lit(True)).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_no_share_of_the_corpus(spark):
+    """Among two million tokens the context of 4 occurrences is still there."""
+    df = spark.createDataFrame([("alpha beta gamma delta",)] * 4 + [("q " * 200_000,)] * 10, "text string").repartition(4)
+    tree, words, weights = lm_scoring._fit(df)
+    past = lm_scoring.word_hashes(np.frombuffer(b"alpha beta gamma delta", np.uint8), np.array([0, 22]))[0]
+    assert weights.where(F.col("key") == int(lm_scoring.grams(past, 2)[1][1].astype(np.int64))).count() == 1
+
+
 def test_bpe(spark, docs, table, empty):
     from tokenizers import Tokenizer
 
