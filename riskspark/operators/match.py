@@ -36,6 +36,18 @@ def match_phrases(texts: DataFrame, rules: DataFrame) -> DataFrame:
     return placed.withColumn("chip", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lower(F.trim(matched)))).withColumn("fragment", sentence_around(F.col("text"), F.col("pos"), F.col("size")))
 
 
+def find_matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every non-overlapping occurrence of each rule in each text: ``pos`` (1-based), ``matched``, ``size``, ``chip``, ``fragment``."""
+    pattern = F.expr("concat('(?iu)', case when is_regex then pattern else concat('\\\\Q', pattern, '\\\\E') end)")
+    hits = texts.join(F.broadcast(rules.withColumn("__p", pattern)), F.expr("text rlike __p"))
+    # An occurrence starts behind the gaps and occurrences before it.
+    found = hits.withColumn("__m", F.expr("regexp_extract_all(text, __p, 0)")).withColumn("__g", F.expr("split(text, __p, -1)"))
+    starts = F.expr("transform(__m, (m, i) -> struct(m as matched, 1 + aggregate(slice(__g, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(__m, 1, i), 0, (a, x) -> a + length(x)) as pos))")
+    each = found.withColumn("__o", F.explode(starts)).select(*texts.columns, *rules.columns, "__o.matched", "__o.pos").withColumn("size", F.length("matched"))
+    shown = F.when(F.col("is_regex"), F.col("matched")).otherwise(F.col("pattern"))
+    return each.withColumn("chip", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lower(F.trim(shown)))).withColumn("fragment", sentence_around(F.col("text"), F.col("pos"), F.col("size")))
+
+
 def count_phrases(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """``case_id, ord, n``: all non-overlapping occurrences of each rule."""
     pattern = F.expr("case when is_regex then concat('(?iu)', pattern) else concat('(?iu)\\\\Q', pattern, '\\\\E') end")
@@ -55,8 +67,10 @@ def scan(texts: DataFrame, rules: DataFrame, source: str) -> DataFrame:
 
 
 def scan_negatives(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits of negative markers in all texts of a case (``texts`` as for ``extract_links``), each marker once."""
     ready = rules.select("ord", F.lit("negative").alias("dim"), "pattern", "weight", F.lit(False).alias("is_regex"), F.lit("").alias("label"))
-    return scan(texts, ready, "Metadata")
+    placed = texts.select("case_id", F.col("source_ord").cast("long").alias("seg_no"), F.lit(None).cast("double").alias("time_s"), "text")
+    return scan(placed, ready, "Metadata")
 
 
 def extract_links(texts: DataFrame) -> DataFrame:
@@ -81,19 +95,23 @@ def link_hits(links: DataFrame) -> DataFrame:
 
 
 def funnel_hits(links: DataFrame, kinds: DataFrame) -> DataFrame:
-    """A behaviour hit per case and kind of contact (equi-join with the kinds)."""
-    once = first_per(links, ["case_id", "kind"], ["source_ord", "at"])
-    return once.join(F.broadcast(kinds), "kind").select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), F.lit(0).cast("long").alias("seg_no"), (100 + F.col("kind_ord")).alias("rule_ord"), F.lit(0).alias("pos"), F.col("confidence").cast("double").alias("confidence"), "signal", F.col("value").alias("fragment"), F.lit(None).cast("double").alias("time_s"), "dim", F.col("kind").alias("chip"))
+    """A behaviour hit per link, that is per case, kind of contact and value (equi-join with the kinds)."""
+    return links.join(F.broadcast(kinds), "kind").select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), F.lit(0).cast("long").alias("seg_no"), (100 + F.col("kind_ord")).alias("rule_ord"), (F.col("source_ord") * 100000 + F.col("at")).cast("int").alias("pos"), F.col("confidence").cast("double").alias("confidence"), F.concat("signal", F.lit(": "), "value").alias("signal"), F.col("value").alias("fragment"), F.lit(None).cast("double").alias("time_s"), "dim", F.col("value").alias("chip"))
 
 
 def call_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, d, p, w, True, tag, s) for k, (p, w, s, d, tag) in enumerate(config.CALLS)], "ord int, dim string, pattern string, weight int, is_regex boolean, label string, signal string")
 
 
-def call_hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Behaviour hits of calls to action, one per case and tag."""
-    found = first_per(match_phrases(texts, rules), ["case_id", "chip"], ["ord", "seg_no", "pos"])
-    return found.select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), "seg_no", F.col("ord").alias("rule_ord"), "pos", F.col("weight").cast("double").alias("confidence"), "signal", "fragment", F.lit(None).cast("double").alias("time_s"), "dim", "chip")
+def call_hits(texts: DataFrame, rules: DataFrame, timed: DataFrame) -> DataFrame:
+    """Behaviour hits of calls to action in all texts of a case (``texts`` as for ``extract_links``), one per case, tag and matched text.
+
+    Their time is that of the earliest row of ``timed`` (segments and frames) whose text contains the match.
+    """
+    found = find_matches(texts, rules).withColumn("low", F.lower(F.trim("matched")))
+    once = first_per(found, ["case_id", "chip", "low"], ["ord", "source_ord", "pos"])
+    times = locate_times(once.select("case_id", F.col("low").alias("chip")), timed).withColumnRenamed("chip", "low")
+    return once.join(times, ["case_id", "low"], "left").select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), F.col("source_ord").cast("long").alias("seg_no"), F.col("ord").alias("rule_ord"), "pos", F.col("weight").cast("double").alias("confidence"), "signal", "fragment", "time_s", "dim", "chip")
 
 
 def locate_times(hits: DataFrame, timed: DataFrame) -> DataFrame:

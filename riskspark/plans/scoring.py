@@ -109,7 +109,7 @@ class Scored:
     @cached_property
     def hits(self):
         lexicon, links = self.t.lexicon, self.links
-        return materialise(M.all_hits(M.link_hits(links), M.scan(self.meta, lexicon, "Metadata"), M.scan(self.speech, lexicon, "Audio"), M.scan(self.screen, lexicon, "OCR"), M.scan_negatives(self.meta, self.t.negatives), M.funnel_hits(links, self.t.funnel), M.call_hits(self.meta, M.call_rules(self.t.spark))))
+        return materialise(M.all_hits(M.link_hits(links), M.scan(self.meta, lexicon, "Metadata"), M.scan(self.speech, lexicon, "Audio"), M.scan(self.screen, lexicon, "OCR"), M.scan_negatives(self.link_texts, self.t.negatives), M.funnel_hits(links, self.t.funnel), M.call_hits(self.link_texts, M.call_rules(self.t.spark), self.speech.unionByName(self.screen))))
 
     @property
     def clusters(self):
@@ -143,6 +143,11 @@ def _(t):
     return M.count_phrases(M.meta_text(t.posts), t.lexicon)
 
 
+@query("mx1_find_matches")
+def _(t):
+    return M.find_matches(M.meta_text(t.posts), t.lexicon).select("case_id", "ord", "pos", "matched")
+
+
 @query("mx2_chips", chain(f"SELECT case_id, ord, chip FROM ({matches('meta', 'lexicon')})"))
 def _(t):
     return M.match_phrases(Scored(t).meta, t.lexicon).select("case_id", "ord", "chip")
@@ -160,7 +165,7 @@ def hits_query(name, table, build):
 hits_query("mx3_meta_hits", "meta_hits", lambda s: M.scan(s.meta, s.t.lexicon, "Metadata"))
 hits_query("mx4_speech_hits", "speech_hits", lambda s: M.scan(s.speech, s.t.lexicon, "Audio"))
 hits_query("mx5_screen_hits", "screen_hits", lambda s: M.scan(s.screen, s.t.lexicon, "OCR"))
-hits_query("mx6_negative_hits", "neg_hits", lambda s: M.scan_negatives(s.meta, s.t.negatives))
+hits_query("mx6_negative_hits", "neg_hits", lambda s: M.scan_negatives(s.link_texts, s.t.negatives))
 for _n, _kind in enumerate(("telegram", "whatsapp", "phone", "promocode", "url"), 7):
 
     def _links_of(kind, name):
@@ -182,7 +187,7 @@ def _(t):
 
 
 hits_query("mx13_funnel_hits", "funnel_hits", lambda s: M.funnel_hits(s.links, s.t.funnel))
-hits_query("mx14_call_hits", "call_hits", lambda s: M.call_hits(s.meta, M.call_rules(s.t.spark)))
+hits_query("mx14_call_hits", "call_hits", lambda s: M.call_hits(s.link_texts, M.call_rules(s.t.spark), s.speech.unionByName(s.screen)))
 
 
 @query("mx15_locate_times", chain("SELECT h.case_id, chip, min(t.time_s) AS time_s FROM hits h JOIN (SELECT case_id, time_s, text FROM speech UNION ALL SELECT case_id, time_s, text FROM screen) t ON t.case_id = h.case_id AND contains(lower(t.text), lower(chip)) GROUP BY 1, 2"))

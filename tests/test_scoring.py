@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions import text as T
+from riskspark.operators import match as M
 from riskspark.operators import metrics as E
 from riskspark.operators import score as S
 from riskspark.operators import timeline as L
@@ -92,3 +93,23 @@ def test_text_folding(spark):
     assert one(spark, T.looks_obfuscated(F.lit("д0ход")))
     assert not one(spark, T.looks_obfuscated(F.lit("a quiet day")))
     assert [one(spark, T.language_hint(F.lit(x))) for x in ("", "привет", "hello", "сәлем")] == ["", "ru", "en", "kz"]
+
+
+def test_hits_of_all_texts(spark):
+    """Calls and markers that are only spoken or shown count; each matched text, and each contact, is a hit of its own."""
+    texts = spark.createDataFrame([(1, 0, "description", "Осталось 5 мест, осталось 3 мест. ОСТАЛОСЬ 5 МЕСТ"), (1, 1, "transcript", "тут жми ссылку"), (1, 2, "ocr", "dm me, это обман")], "case_id long, source_ord int, source_field string, text string")
+    speech = spark.createDataFrame([(1, 2, 10.0, "тут"), (1, 3, 15.0, "Жми ссылку")], "case_id long, seg_no long, time_s double, text string")
+    screen = spark.createDataFrame([(1, 7, 3.0, "жми ссылку dm me")], "case_id long, seg_no long, time_s double, text string")
+    got = M.call_hits(texts, M.call_rules(spark), speech.unionByName(screen)).collect()
+    assert sorted((r["chip"], r["seg_no"], r["pos"], r["time_s"]) for r in got) == [("dm me", 2, 1, 3.0), ("жми ссылку", 1, 5, 3.0), ("осталось N мест", 0, 1, None), ("осталось N мест", 0, 18, None)]
+    rules = spark.createDataFrame([(0, "обман", 40)], "ord int, pattern string, weight int")
+    assert [(r["chip"], r["dim"], r["time_s"]) for r in M.scan_negatives(texts, rules).collect()] == [("обман", "negative", None)]
+    links = M.extract_links(spark.createDataFrame([(1, 0, "description", "t.me/first_one и t.me/second_one")], "case_id long, source_ord int, source_field string, text string"))
+    kinds = spark.createDataFrame([("telegram", "messenger", 70, "Канал")], "kind string, dim string, confidence int, signal string")
+    assert sorted(r["signal"] for r in M.funnel_hits(links, kinds).collect()) == ["Канал: first_one", "Канал: second_one"]
+
+
+def test_every_occurrence(spark):
+    texts = spark.createDataFrame([(1, "a.b A.B axb 12 3")], "case_id int, text string")
+    rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "[0-9]+", True, "")], "ord int, pattern string, is_regex boolean, label string")
+    assert sorted((r["ord"], r["pos"], r["matched"]) for r in M.find_matches(texts, rules).collect()) == [(0, 1, "a.b"), (0, 5, "A.B"), (1, 13, "12"), (1, 16, "3")]
