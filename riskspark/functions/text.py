@@ -69,7 +69,8 @@ def _seconds(c: Column) -> Column:
 
 def clock(c: Column) -> Column:
     s = _seconds(c)
-    return F.concat(F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    minutes = F.floor(s / 60).cast("string")  # lpad would cut off what is longer than two digits
+    return F.concat(F.when(F.length(minutes) < 2, F.lpad(minutes, 2, "0")).otherwise(minutes), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
 def short_clock(c: Column) -> Column:

@@ -222,7 +222,7 @@ SELECT case_id, frame, label, dim, round(p, 6) AS p FROM q WHERE dim <> '' AND p
 @query("mx19_image_labels", PROMPT_SQL)
 def _(t):
     names = t.spark.createDataFrame([(k, *p) for k, p in enumerate(config.PROMPTS)], "no int, label string, dim string")
-    means = t.embeddings.where("vec_id < 100").select(F.col("label").alias("no"), F.posexplode("embedding").alias("k", "x")).groupBy("no", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = t.embeddings.select(F.col("label").alias("no"), F.posexplode("embedding").alias("k", "x")).groupBy("no", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
     prompts = means.groupBy("no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("vector")).join(names, "no").select("label", "dim", "vector")
     frames = t.embeddings.select((F.col("vec_id") % 250).alias("case_id"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     return M.image_labels(frames, prompts).withColumn("p", F.round("p", 6))

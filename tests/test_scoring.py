@@ -5,11 +5,13 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from riskspark import config
 from riskspark.functions import text as T
 from riskspark.operators import match as M
 from riskspark.operators import metrics as E
 from riskspark.operators import score as S
 from riskspark.operators import timeline as L
+from riskspark.plans import registry
 from riskspark.sources import cases as C
 from riskspark.sources import intake as I
 
@@ -113,3 +115,17 @@ def test_every_occurrence(spark):
     texts = spark.createDataFrame([(1, "a.b A.B axb 12 3")], "case_id int, text string")
     rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "[0-9]+", True, "")], "ord int, pattern string, is_regex boolean, label string")
     assert sorted((r["ord"], r["pos"], r["matched"]) for r in M.find_matches(texts, rules).collect()) == [(0, 1, "a.b"), (0, 5, "A.B"), (1, 13, "12"), (1, 16, "3")]
+
+
+def test_no_id_subset(spark, tmp_path):
+    """Every post has a clock, also beyond 99 minutes; prompts come from all embeddings."""
+    spark.createDataFrame([(k, "text") for k in (1, 100, 1999, 2600, 90_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["case_id"]: (r["long_form"], r["short_form"]) for r in registry.queries()["tx9_clock"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("00:00", "0:00"), 100: ("00:00", "0:00"), 1999: ("79:08", "79:08"), 2600: ("104:10", "104:10"), 90_000: ("3745:50", "3745:50")}
+    # Label 1 occurs among large ids only.
+    spark.createDataFrame([(k, [1.0, 0.0] if k < 5 else [0.0, 1.0], int(k >= 5)) for k in (1, 2, 700, 701)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    names = [label for label, _ in config.PROMPTS]
+    seen = {r["frame"]: r["label"] for r in registry.queries()["mx19_image_labels"](spark, str(tmp_path)).collect()}
+    shown = {k for k in (0, 1) if config.PROMPTS[k][1]}
+    assert seen == {f: names[k] for f, k in ((1, 0), (2, 0), (700, 1), (701, 1)) if k in shown}
+    assert 1 in shown or 0 in shown
