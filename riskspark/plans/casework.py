@@ -49,7 +49,7 @@ TIMELINE = f"""SELECT case_id, 't' || row_number() OVER (PARTITION BY case_id OR
 
 @query("wn3_timeline", chain("").rstrip() + f",\ncand AS ({CAND})\nSELECT *, CASE WHEN confidence >= 85 THEN 'critical' WHEN confidence >= 65 THEN 'high' WHEN confidence >= 45 THEN 'medium' ELSE 'low' END AS severity FROM ({TIMELINE})")
 def _(t):
-    return L.build_timeline(L.candidates(Scored(t).hits, t.visual))
+    return L.build_timeline(L.dedup(L.candidates(Scored(t).hits, t.visual)))
 
 
 def card_sql(source: str, kind: str, extras: str = "") -> str:

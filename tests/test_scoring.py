@@ -12,6 +12,8 @@ from riskspark.operators import metrics as E
 from riskspark.operators import score as S
 from riskspark.operators import timeline as L
 from riskspark.plans import registry
+from riskspark.plans.base import Inputs
+from riskspark.plans.scoring import Scored
 from riskspark.sources import cases as C
 from riskspark.sources import intake as I
 
@@ -129,3 +131,27 @@ def test_no_id_subset(spark, tmp_path):
     shown = {k for k in (0, 1) if config.PROMPTS[k][1]}
     assert seen == {f: names[k] for f, k in ((1, 0), (2, 0), (700, 1), (701, 1)) if k in shown}
     assert 1 in shown or 0 in shown
+
+
+def test_timeline_of_deduplicated_events(spark):
+    """The registered timeline against a plain fold of the same candidates."""
+    sf = "/root/testdata/sf0.001"
+    t = Inputs(spark, sf)
+    cases, rank = {}, lambda c: sum(c >= x for x in (45, 65, 85))
+    for e in L.candidates(Scored(t).hits, t.visual).collect():
+        cases.setdefault(e["case_id"], []).append((e["time_s"], e["source"], e["signal"], float(e["confidence"])))
+    want, raw = [], 0
+    for case, events in cases.items():
+        kept = []
+        for e in sorted(events):
+            at = next((i for i, k in enumerate(kept) if k[1] == e[1] and (abs(k[0] - e[0]) <= config.TIMELINE_WINDOW or k[2].lower() == e[2].lower())), None)
+            if at is None:
+                kept.append(e)
+            elif (rank(e[3]), e[3]) > (rank(kept[at][3]), kept[at][3]):
+                kept[at] = e
+        raw += min(8, len(events))
+        best = sorted(sorted(kept, key=lambda e: (-rank(e[3]), -e[3], *e[:3]))[:8], key=lambda e: e[:3])
+        want += [(case, f"t{n}", e[1], e[2]) for n, e in enumerate(best, 1)]
+    got = registry.queries()["wn3_timeline"](spark, sf).collect()
+    assert sorted((r["case_id"], r["id"], r["source"], r["signal"]) for r in got) == sorted(want)
+    assert len(want) < raw
