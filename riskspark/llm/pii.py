@@ -34,7 +34,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"'`|]*)?")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])")
-GIVEN = re.compile(r"[\x20\t]*(?:number|no\.?|#)?[\x20\t]*[:=#][\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9_/+-]{5,127})", re.IGNORECASE)
+GIVEN = re.compile(r"[\x20\t]*(?:number|no\.?|#)?[\x20\t]*[:=#][\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9_/+-]{5,})", re.IGNORECASE)
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -65,6 +65,18 @@ def iban_ok(raw: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _iban(text: str, at: int) -> re.Match | None:
+    """The longest checked number at ``at`` that ends with a word: the match may run on into the words behind it."""
+    end = len(text)
+    while m := IBAN.match(text, at, end):
+        if iban_ok(m[0].replace(" ", "")):
+            return m
+        end = at + m[0].rfind(" ")
+        if end < at:
+            break
+    return None
+
+
 def _email(text: str, at: int, least: int) -> tuple[int, int] | None:
     start = at
     while start > least and text[start - 1] in LOCAL:
@@ -112,8 +124,8 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
                 continue
             near = re.compile(r"[\x20\t:=#]*").match(text, last + 1).end()
             if text[at : last + 1].lower() == "iban":
-                m = IBAN.match(text, near)
-                if m and near >= done["iban"] and iban_ok(m[0].replace(" ", "")):
+                m = _iban(text, near) if near >= done["iban"] else None
+                if m:
                     out["iban"].append(m.span())
                     done["iban"] = m.end()
             elif (m := GIVEN.match(text, last + 1)) and m.start(1) >= done["account"] and any(c in DIGITS for c in m[1]):

@@ -427,6 +427,16 @@ def test_personal_data(spark, docs, empty):
     assert hidden == "write <email> now"
 
 
+def test_whole_secrets():
+    """A long secret is found to its end, and a checked number although capitals follow."""
+    anchors, secret = pii.automaton(), "a1" * 300
+    assert pii.find(f"token: {secret} end", anchors)["account"] == [(7, 607)]
+    for text in ("IBAN DE89370400440532013000 Please", "IBAN DE89 3704 0044 0532 0130 00 PLEASE CALL ME NOW AT 5", "IBAN DE89370400440532013000"):
+        (a, b), = pii.find(text, anchors)["iban"]
+        assert text[a:b].replace(" ", "") == "DE89370400440532013000"
+    assert pii.find("IBAN DE88370400440532013000 Please", anchors)["iban"] == []
+
+
 def test_null_ids(spark):
     """A null id is a value like any other: rows stay, nothing fails."""
     df = spark.createDataFrame([(None, "a b c d e f", "en", None, 0, 0, 0, 0), (None, None, None, None, 0, 0, 0, 0), (3, "a b c d e f", "en", "s", 0, 0, 0, 0)], SCHEMA)
