@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +14,15 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the session names; set one only where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskspark-"))
+    """Use the checkpoint folder that the session names.
+
+    Where none is set, a temporary one is made on a local master (tests); on a cluster that is an error, as a machine's own folder is not shared.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskspark-"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,14 +31,41 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files are removed as soon as it has ended; the session's own setting is put back."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there.
+    """Write ``df`` once to the shared folder as Parquet and go on from there, with its shuffle files removed.
 
-    A table that was cut has no known partitioning, so a join with it puts a plain exchange
-    on both sides, which is the shape that adaptive execution can split when a key is hot.
+    A lost executor then costs the step at hand, not those before it.  A table that was cut has no known partitioning, so a join with it puts
+    a plain exchange on both sides, which is the shape that adaptive execution can split when a key is hot.
     """
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,3 +149,35 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
     h = np.add.reduceat(BYTE[data] * powers(ROOT, int(place.max()) + 1)[place], starts)
     return mix(h), counts
+
+
+#: Bits of a bitmap, as a power of two.
+BITS = 27
+
+
+def inside(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key may be in the bitmap; never False for one that is."""
+    at = keys & np.uint64(32 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        block, bit = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("block", "bit"))
+        for k in np.unique(block):
+            words, at = held.setdefault(int(k), np.zeros(size // 32, np.uint32)), bit[block == k]
+            np.bitwise_or.at(words, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+    for k, words in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([words.tobytes()])], ["block", "bits"])
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the column ``key``, put together in blocks by the tasks, so that the driver gets 2^BITS bits whatever the number of keys."""
+    size = 1 << max(5, BITS - 8)
+    at = F.col("key").bitwiseAND((1 << BITS) - 1)
+    placed = keys.select((at / size).cast("int").alias("block"), (at % size).cast("int").alias("bit")).repartition(64, "block")
+    out = np.zeros((1 << BITS) // 32, np.uint32)
+    for r in placed.mapInArrow(lambda batches: _blocks(batches, size), "block long, bits binary").collect():
+        out[r["block"] * size // 32 :][: size // 32] = np.frombuffer(r["bits"], np.uint32)
+    return out

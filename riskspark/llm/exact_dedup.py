@@ -140,7 +140,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, repeats`` (rows alike in id and text).
 
     Of equal texts (a null counts as empty) the row with the largest id stays; null ids come first in that order, so a
     group without any id has a null ``keep_id`` and keeps one row.  If that id is repeated with the same text, one of the
@@ -152,16 +152,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = distinct.join(groups, "recipe")
     # Repeated rows come back one by one; only the first of them can be the one that stays.
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    return copies.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+    return copies.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), "repeats")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    kept = cut(exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("keep_id").alias("__keep_id"), F.col("text_sha256").alias("__sha")))
+    """The rows of ``docs`` that stay, with their own columns; of rows alike in id and text one.
+
+    Texts are moved once, by a join with the ids and digests of the rows that stay, which is a filter and keeps nothing else of a row.
+    """
+    names = {"keep_id": "__keep_id", "text_sha256": "__keep_sha", "repeats": "__keep_repeats"}
+    kept = cut(exact_duplicates(docs, id_col, text_col).where("kept").select(*(F.col(a).alias(b) for a, b in names.items())))
     named = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    joined = named.join(kept, named["__sha"].eqNullSafe(kept["__sha"]) & F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id"))).drop(kept["__sha"])
-    first = Window.partitionBy("__sha", "__keep_id").orderBy("__keep_id")
-    return joined.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").select(*docs.columns)
+    same = (named["__sha"] == kept["__keep_sha"]) & named[id_col].cast("long").eqNullSafe(kept["__keep_id"])
+    once = named.join(kept.where("__keep_repeats = 1"), same, "left_semi").select(*docs.columns)
+    if kept.where("__keep_repeats > 1").isEmpty():
+        return once
+    # Rows alike in id and text: only these are sorted, to take the first of each.
+    first = Window.partitionBy("__sha", id_col).orderBy("__sha")
+    again = named.join(kept.where("__keep_repeats > 1"), same, "left_semi").withColumn("__copy", F.row_number().over(first)).where("__copy = 1")
+    return once.unionByName(again.select(*docs.columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

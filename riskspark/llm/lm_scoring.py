@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import cut, documents, mix, remainder, slices, text_buffer, word_hashes
+from riskspark.llm.common import BITS, bitmap_of, cut, documents, drop, inside, mix, remainder, shuffles_freed, slices, text_buffer, word_hashes
 
 DEPTH = 3
 HEAD, SHARE = 2e-7, 1e-6
@@ -36,8 +36,6 @@ LEAST = 3
 DIVERGENCE, DISCOUNT = 20.0, 0.5
 END = np.uint64(0x5851F42D4C957F2D)
 STEP = np.uint64(0xC6A4A7935BD1E995)
-#: Bits of a bitmap, as a power of two.
-BITS = 27
 #: Local sums are passed on when they have more entries than this.
 HOLD = 1 << 20
 
@@ -110,34 +108,6 @@ def joint(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix(first * STEP + last)
 
 
-def inside(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether a key may be in the bitmap; never False for one that is."""
-    at = keys & np.uint64(32 * len(bitmap) - 1)
-    return (bitmap[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
-
-
-def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        block, bit = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("block", "bit"))
-        for k in np.unique(block):
-            words, at = held.setdefault(int(k), np.zeros(size // 32, np.uint32)), bit[block == k]
-            np.bitwise_or.at(words, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-    for k, words in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([words.tobytes()])], ["block", "bits"])
-
-
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the column ``key``, put together in blocks by the tasks, so that the driver gets 2^BITS bits whatever the number of keys."""
-    size = 1 << max(5, BITS - 8)
-    at = F.col("key").bitwiseAND((1 << BITS) - 1)
-    placed = keys.select((at / size).cast("int").alias("block"), (at % size).cast("int").alias("bit")).repartition(64, "block")
-    out = np.zeros((1 << BITS) // 32, np.uint32)
-    for r in placed.mapInArrow(lambda batches: _blocks(batches, size), "block long, bits binary").collect():
-        out[r["block"] * size // 32 :][: size // 32] = np.frombuffer(r["bits"], np.uint32)
-    return out
-
-
 def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))

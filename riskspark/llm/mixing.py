@@ -55,10 +55,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return filled.select("source", F.col("source_size").cast("long").alias("source_size"), "n_docs", target.cast("double").alias("target"))
 
 
-def _fold(units: Column, seed: int) -> Column:
-    """Fold an array of undecided units (first, key, size, mass) to {left: the residual, done: [(key, taken)]}.
+def _fold(units: Column, seed: int, id_type: str) -> Column:
+    """Fold an array of undecided units (first, key, id, each, size, mass) to {left: the residual, done: [(id, each, taken)]}.
 
-    Units come largest first, so what is left at the end, and with it the error, is a small document.
+    Units come largest first, so what is left at the end, and with it the error, is a small document.  ``key`` is a hash for order and draws
+    only; a unit is told by its source, ``id`` and ``each`` (the size of one of its rows), so clashing hashes do no harm.
     """
 
     def step(state: Column, b: Column) -> Column:
@@ -69,13 +70,14 @@ def _fold(units: Column, seed: int) -> Column:
         a_mass = F.when(rise, F.when(a["size"] - a["mass"] <= b["mass"], a["size"]).otherwise(a["mass"] + up)).otherwise(F.when(a["mass"] <= b["size"] - b["mass"], F.lit(0.0)).otherwise(a["mass"] - down))
         b_mass = F.when(rise, F.when(b["mass"] <= a["size"] - a["mass"], F.lit(0.0)).otherwise(b["mass"] - up)).otherwise(F.when(b["size"] - b["mass"] <= a["mass"], b["size"]).otherwise(b["mass"] + down))
         a_done = (a_mass <= 0.0) | (a_mass >= a["size"])
-        unit = lambda u, mass: F.struct(u["first"].alias("first"), u["key"].alias("key"), u["size"].alias("size"), mass.alias("mass"))
+        unit = lambda u, mass: F.struct(*(u[c].alias(c) for c in ("first", "key", "id", "each", "size")), mass.alias("mass"))
+        decision = lambda u, mass: F.struct(u["id"].alias("id"), u["each"].alias("each"), (mass > 0.0).alias("up"))
         return F.struct(
             F.when(a_done, unit(b, b_mass)).otherwise(unit(a, a_mass)).alias("left"),
-            F.concat(state["done"], F.array(F.when(a_done, F.struct(a["key"].alias("key"), (a_mass > 0.0).alias("up"))).otherwise(F.struct(b["key"].alias("key"), (b_mass > 0.0).alias("up"))))).alias("done"),
+            F.concat(state["done"], F.array(F.when(a_done, decision(a, a_mass)).otherwise(decision(b, b_mass)))).alias("done"),
         )
 
-    nothing = F.array().cast("array<struct<key:bigint,up:boolean>>")
+    nothing = F.array().cast(f"array<struct<id:{id_type},each:bigint,up:boolean>>")
     return F.aggregate(F.slice(units, 2, F.size(units)), F.struct(units[0].alias("left"), nothing.alias("done")), step)
 
 
@@ -83,31 +85,34 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``doc_id, source, size, source_size, target, copies, taken``.
 
     Null and empty texts have size 0 and are taken as often as their source's whole copies say (0 words).
-    Rows that repeat an id within a source with the same size share one draw: they are rounded as one unit.
-    An empty table gives no rows.  Only the three named columns are read, so other columns may have any name.
+    Rows that repeat an id (or have none) within a source with the same size share one draw: they are rounded as one unit, so ties are
+    only broken between units, by hash.  A null source is a source of its own, apart from every text; ids are compared as they are.
+    A long text counts all its words.  An empty table gives no rows.  Only the three named columns are read, so other columns may have any name.
     """
     sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
     targets = cut(source_targets(sizes, weights, most))
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    # The key stands for (id, source, size): rows that agree in all three are interchangeable.
-    rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("doc_id", sizes["source"], "size", "source_size", "n_docs", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"), F.xxhash64(F.lit(seed), F.coalesce(sizes["source"], F.lit("\x00")), "doc_id", "size").alias("key"))
-    live = rows.where((F.col("part") > 0) & (F.col("size") > 0)).groupBy("source", "key").agg(F.sum("size").cast("double").alias("size"), F.first("part").alias("part"), F.first("n_docs").alias("n_docs"))
+    rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("doc_id", sizes["source"], "size", "source_size", "n_docs", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"))
+    # Rows that agree in source, id and size are interchangeable: one unit.
+    live = rows.where((F.col("part") > 0) & (F.col("size") > 0)).groupBy("source", "doc_id", F.col("size").alias("each")).agg(F.sum("size").cast("double").alias("size"), F.first("part").alias("part"), F.first("n_docs").alias("n_docs"))
+    live = live.withColumn("key", F.xxhash64(F.lit(seed), "source", "doc_id", "each"))
     blocks = F.ceil(F.col("n_docs") / block).cast("long")
-    live = live.select(F.col("source"), F.pmod(F.xxhash64(F.lit(seed + 1), "key"), blocks).alias("block"), F.struct((-F.col("size")).alias("first"), "key", "size", (F.col("size") * F.col("part")).alias("mass")).alias("unit"))
+    live = live.select(F.col("source"), F.pmod(F.xxhash64(F.lit(seed + 1), "key"), blocks).alias("block"), F.struct((-F.col("size")).alias("first"), "key", F.col("doc_id").alias("id"), "each", "size", (F.col("size") * F.col("part")).alias("mass")).alias("unit"))
     most_blocks = targets.agg(F.max(F.ceil(F.col("n_docs") / block))).first()[0] or 0
-    decided = []
+    decided, id_type = [], sizes.schema["doc_id"].dataType.simpleString()
     while True:
-        level = cut(live.groupBy("source", "block").agg(_fold(F.array_sort(F.collect_list("unit")), seed).alias("f")))
-        decided.append(level.select(F.explode("f.done").alias("d")).select("d.key", "d.up"))
+        level = cut(live.groupBy("source", "block").agg(_fold(F.array_sort(F.collect_list("unit")), seed, id_type).alias("f")))
+        decided.append(level.select("source", F.explode("f.done").alias("d")).select("source", "d.id", "d.each", "d.up"))
         if most_blocks <= 1:
             last = F.pmod(F.xxhash64(F.lit(seed + 2), "f.left.key"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-            decided.append(level.select(F.col("f.left.key").alias("key"), (last * F.col("f.left.size") < F.col("f.left.mass")).alias("up")))
+            decided.append(level.select("source", "f.left.id", "f.left.each", (last * F.col("f.left.size") < F.col("f.left.mass")).alias("up")))
             break
         live = level.select("source", F.floor(F.col("block") / block).alias("block"), F.col("f.left").alias("unit"))
         most_blocks = -(-most_blocks // block)
     up = reduce(DataFrame.unionByName, decided)
     copies = F.col("whole") + F.when(F.col("up"), 1).otherwise(0)
-    return rows.join(up, "key", "left").select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    same = rows["source"].eqNullSafe(up["source"]) & rows["doc_id"].eqNullSafe(up["id"]) & (rows["size"] == up["each"])
+    return rows.join(up, same, "left").select("doc_id", rows["source"], "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -115,12 +120,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Rows that repeat an id with the same source and size repeat one decision.  Empty documents hold no words, so they are taken 0 times.
     """
-    key = [F.xxhash64(F.lit(7), F.coalesce(F.col(c).cast("string"), F.lit("\x00"))) for c in (id_col, source_col)]
-    mixed = mix_sources(docs, id_col, text_col, source_col, **how).where("taken > 0").select(
-        *(F.xxhash64(F.lit(7), F.coalesce(F.col(c).cast("string"), F.lit("\x00"))).alias(f"__mix_{c}") for c in ("doc_id", "source")), F.col("size").alias("__mix_size"), F.col("copies").alias("__mix_copies")
-    ).distinct()
-    sized = docs.withColumns({"__mix_doc_id": key[0], "__mix_source": key[1], "__mix_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")})
-    joined = sized.join(mixed, ["__mix_doc_id", "__mix_source", "__mix_size"])
+    mixed = mix_sources(docs, id_col, text_col, source_col, **how).where("taken > 0").select(*(F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "size", "copies"))).distinct()
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+    sized = docs.withColumn("__mix_words", words)
+    same = sized[id_col].eqNullSafe(mixed["__mix_doc_id"]) & sized[source_col].eqNullSafe(mixed["__mix_source"]) & (sized["__mix_words"] == mixed["__mix_size"])
+    joined = sized.join(mixed, same)
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(*docs.columns)
 
 

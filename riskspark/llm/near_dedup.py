@@ -6,13 +6,17 @@
    pigeonhole, a chunk with at most one error; each vertex therefore enters the index under every chunk with each one of its positions
    left out (72 keys).  A pair at Jaccard 0.75 differs in 18 positions on average; the chance that every one of its chunks has two
    errors or more is (1 - 0.75^6 - 6 * 0.25 * 0.75^5)^12 = 1e-4, at 0.8 it is 3e-6.
-3. Stars: in every bucket each member is paired with the smallest one, so a bucket of n members gives n - 1 pairs.  The
-   pairs are confirmed on full sets, and the links so found are closed to components.
-4. Rest: a bucket whose members are still in several components may hide links between them.  Only these buckets go on, in blocks
-   of bounded size, and only pairs of different components are looked at: within its first common bucket (so once), first on
-   the 72 positions, then on a wide signature of 2048 2-bit positions.  Pairs within both distances are confirmed on full sets and
-   components are closed again.  After that every pair that shares a bucket is in one component or was rejected,
-   so no link within the index is lost, and no group is expanded to all its pairs.
+3. Stars: every vertex is paired with the smallest vertex of all its buckets, one pair each.  The pairs whose signatures are near are
+   confirmed on full sets, and the links so found are closed to components.  In buckets that still hold several components, the smallest
+   vertex of each component is paired with the smallest one of the bucket, and so on as before.
+4. Rest: a bucket whose members are still in several components may hide links between them.  Only pairs of different components are
+   looked at there: within their first common bucket (so once), first on the 72 positions, then on a wide signature of 2048 2-bit positions.
+   Pairs within both distances are confirmed on full sets and components are closed again.  After that every pair that shares a bucket is in
+   one component or was rejected, so no link within the index is lost, and no group is expanded to all its pairs.
+5. Hot buckets: where more than BLOCK members meet, as pages of one template do, they are not compared with each other.  Their members
+   get finer keys from their full sets: with shingles ordered by how many members hold them, rarest first, two sets at 0.75 or more share one
+   of each one's first quarter (the prefix filter, which is exact).  What a template has in common is at the end of that order, so its pages part.
+   Only a bucket of such a key that is itself larger than BLOCK is compared in tiles, spread over tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import cut, documents, mix, powers, seeded, slices, text_buffer, word_hashes
+from riskspark.llm.common import bitmap_of, cut, documents, drop, inside, mix, powers, seeded, slices, text_buffer, word_hashes
 
 WORDS = 5
 CHUNKS, CHUNK = 12, 6
@@ -95,18 +99,24 @@ def index_keys(marks: np.ndarray) -> np.ndarray:
     return mix(mix(without) + np.arange(POSITIONS, dtype=np.uint64).reshape(CHUNKS, CHUNK)).reshape(len(marks), POSITIONS)
 
 
-def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterable[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+    """key, vertex of every signature; with a bitmap of keys those that may be in it only."""
     for batch in batches:
         for a in range(0, batch.num_rows, 2048):
             part = batch.slice(a, 2048)
             marks = np.frombuffer(b"".join(part.column("mark").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-            keys = index_keys(marks).astype(np.int64)
+            keys = index_keys(marks).ravel()
             vertex = np.repeat(part.column("vertex").to_numpy(), POSITIONS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(vertex)], ["key", "vertex"])
+            if shared is not None:
+                ok = inside(shared.value, keys)
+                keys, vertex = keys[ok], vertex[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(vertex)], ["key", "vertex"])
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """vertex, shingles of the rows whose id may be in the bitmap."""
     for batch in batches:
+        batch = batch.filter(pa.array(inside(shared.value, batch.column("vertex").to_numpy().astype(np.uint64))))
         data, offsets = text_buffer(batch.column("text"))
         for a, b in slices(offsets):
             sets = shingle_sets(data, offsets[a : b + 1])
@@ -115,33 +125,61 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("vertex")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["vertex", "shingles"])
 
 
+def sets_of(texts: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``vertex, shingles``: the full sets of the vertices in ``vertices``, and by chance of some others.
+
+    The wanted ids are a bitmap of fixed size, so texts are read where they lie and not shuffled; a full bitmap lets more rows pass but loses none.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(vertices.select(F.col("vertex").alias("key"))))
+    return cut(texts.select(F.col("doc_id").alias("vertex"), "text").where("vertex is not null").mapInArrow(lambda batches: _sets(batches, shared), "vertex long, shingles array<bigint>"))
+
+
+def _close(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(-1, POSITIONS) for n in ("a", "b"))
+        n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+        near = ((a != b).sum(1) <= FAR) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        yield pa.RecordBatch.from_arrays([batch.column("lo"), batch.column("hi")], ["lo", "hi"]).filter(pa.array(near))
+
+
+def close_pairs(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs (lo, hi) whose sizes allow a link and whose signatures differ in at most FAR positions."""
+    left = vertices.select(F.col("vertex").alias("lo"), F.col("mark").alias("a"), F.col("n_shingles").alias("n"))
+    right = vertices.select(F.col("vertex").alias("hi"), F.col("mark").alias("b"), F.col("n_shingles").alias("m"))
+    return cut(pairs.join(left, "lo").join(right, "hi").select("lo", "hi", "a", "b", "n", "m").mapInArrow(lambda batches: _close(batches, percent), "lo long, hi long").distinct())
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (lo, hi) with 100 * common >= percent * union on full sets."""
     left, right = sets.select(F.col("vertex").alias("lo"), F.col("shingles").alias("a")), sets.select(F.col("vertex").alias("hi"), F.col("shingles").alias("b"))
     sized = pairs.join(left, "lo").join(right, "hi").where(F.least(F.size("a"), F.size("b")) * 100 >= F.greatest(F.size("a"), F.size("b")) * percent)
     common = F.size(F.array_intersect("a", "b"))
-    return sized.where(common * 100 >= (F.size("a") + F.size("b") - common) * percent).select("lo", "hi").distinct()
+    return cut(sized.where(common * 100 >= (F.size("a") + F.size("b") - common) * percent).select("lo", "hi").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
     """``vertex, component`` (the smallest vertex reachable) for every vertex with a link.
 
     Alternating stars: large (every larger neighbour points to the smallest one), then small (every smaller neighbour and the vertex itself
-    do).  Degrees of centres only shrink to one edge per vertex; each round is written to the shared folder.
+    do).  Degrees of centres only shrink to one edge per vertex; each round is written to the shared folder and replaces the one before.
     """
     edges = cut(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).where("u > v").distinct())
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+            out = cut(edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()))
+            drop(edges)
+            return out
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        drop(edges)
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        drop(large)
 
 
 def _wide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +206,13 @@ def wide_distance(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _compare_blocks(rows: pa.Table) -> pa.Table:
-    """Near pairs of one task's rows (key, side, vertex, component, mark, wide): sides 0 and 1 against each other, or side 2 within itself."""
+    """Near pairs of one task's rows (key, finer, side, vertex, component, mark, wide): sides 0 and 1 against each other, or side 2 within itself."""
     side = rows.column("side").to_numpy()
     vertex, component = rows.column("vertex").to_numpy(), rows.column("component").to_numpy()
     marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), np.uint16).reshape(-1, POSITIONS)
     wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 32)
     bucket = np.int64(rows.column("key")[0].as_py()).astype(np.uint64)
-    own = index_keys(marks) == bucket
+    own = None if rows.column("finer")[0].as_py() else index_keys(marks) == bucket
     cross = bool((side < 2).any())
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(side)),) * 2
     lo, hi = [], []
@@ -186,12 +224,13 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
         j, differ = j[near], differ[near].reshape(-1, CHUNKS, CHUNK)
         if not len(j):
             continue
-        # The first key that both have: the first chunk with at most one error, without the position of that error.
-        errors = differ.sum(2)
-        chunk = (errors <= 1).argmax(1)
-        at = np.arange(len(j))
-        place = np.where(errors[at, chunk] == 1, differ[at, chunk].argmax(1), 0)
-        j = j[own[i, chunk * CHUNK + place]]
+        if own is not None:
+            # The first key that both have: the first chunk with at most one error, without the position of that error.
+            errors = differ.sum(2)
+            chunk = (errors <= 1).argmax(1)
+            at = np.arange(len(j))
+            place = np.where(errors[at, chunk] == 1, differ[at, chunk].argmax(1), 0)
+            j = j[own[i, chunk * CHUNK + place]]
         j = j[wide_distance(wide[i], wide[j]) <= WIDE_FAR]
         lo.append(np.minimum(vertex[i], vertex[j]))
         hi.append(np.maximum(vertex[i], vertex[j]))
@@ -199,18 +238,35 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
     return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
 
-def mixed_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (key, vertex, component, blocks) of the buckets that hold several components."""
+def mixed_rows(members: DataFrame, labels: DataFrame, finer: bool = False) -> DataFrame:
+    """The members (key, finer, vertex, component, blocks) of the buckets that hold several components."""
     labelled = members.join(labels, "vertex", "left").select("key", "vertex", F.coalesce("component", "vertex").alias("component"))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    mixed = cut(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    return cut(labelled.join(mixed, "key"))
+    mixed = cut(mixed.select("key", F.lit(finer).alias("finer"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = cut(labelled.join(mixed, "key"))
+    drop(mixed)
+    return rows
 
 
-def wide_marks(rows: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Both signatures of the vertices of ``rows``."""
-    wide = sets.join(rows.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]).mapInArrow(_wide, "vertex long, wide binary")
-    return cut(signed.select("vertex", "mark").join(wide, "vertex"))
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """In every bucket the smallest vertex of each component with the smallest vertex of the bucket."""
+    of_component = rows.groupBy("key", "component").agg(F.min("vertex").alias("hi"))
+    least = rows.groupBy("key").agg(F.min("vertex").alias("lo"))
+    return of_component.join(least, "key").where("hi > lo").select("lo", "hi").distinct()
+
+
+def finer_rows(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (key, vertex) of buckets keyed by the rarest shingles of the vertices of ``rows``, by the prefix filter.
+
+    The shingles of a set are ordered by how many of these vertices hold them; two sets with 100 * common >= percent * union share one of the
+    first ``n - ceil(n * percent / 100) + 1`` of each.  Shingles that one vertex alone holds take up places but make no rows.
+    """
+    mine = sets.join(rows.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"])
+    each = mine.select("vertex", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    several = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = each.join(several, "key").groupBy("vertex").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    return ordered.where(room > 0).select("vertex", F.explode(F.slice("shared", F.lit(1), room.cast("int"))).alias("s")).select("s.key", "vertex")
 
 
 def hidden_pairs(rows: DataFrame, both: DataFrame) -> DataFrame:
@@ -218,8 +274,12 @@ def hidden_pairs(rows: DataFrame, both: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     # A tile is a pair of blocks (i <= j); with one block that is the bucket itself.
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"), F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
-    tiled = rows.withColumn("own", own).select("key", F.explode(tiles).alias("t"), "vertex", "component").select("key", "t.i", "t.j", "t.side", "vertex", "component")
-    return tiled.join(both, "vertex").groupBy("key", "i", "j").applyInArrow(_compare_blocks, "lo long, hi long").distinct()
+    tiled = rows.withColumn("own", own).select("key", "finer", F.explode(tiles).alias("t"), "vertex", "component").select("key", "finer", "t.i", "t.j", "t.side", "vertex", "component")
+    return cut(tiled.join(both, "vertex").groupBy("key", "finer", "i", "j").applyInArrow(_compare_blocks, "lo long, hi long").distinct())
+
+
+def stars_of(labels: DataFrame) -> DataFrame:
+    return labels.where("vertex > component").select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -227,30 +287,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable over links with 100 * common >= percent * union of the shingle sets.  Null and
     empty texts and texts without words have no shingles and no links.  Rows that repeat an id are one vertex with the links of all its rows; a null
-    id has no links and a null component.  An empty table gives no rows.  Only the two named columns are read.
+    id has no links and a null component.  Ties do not matter: a bucket's smallest vertex is by id.  A long text is one row, and its set
+    one array.  An empty table gives no rows.  Only the two named columns are read.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, mark binary"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    vertices = cut(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("vertex"), F.first("mark").alias("mark")))
-    index = vertices.select("vertex", "mark").mapInArrow(_index, "key long, vertex long")
-    buckets = cut(index.groupBy("key").agg(F.min("vertex").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(index.join(buckets, "key").select("key", "vertex", "least"))
-    stars = cut(members.where("vertex > least").select(F.col("least").alias("lo"), F.col("vertex").alias("hi")).distinct())
-    # Full sets, of the vertices in some bucket only; any row with the vertex's id and a set of its own will do.
-    wanted = members.select("vertex").distinct()
-    chosen = texts.join(wanted, texts["doc_id"] == wanted["vertex"], "left_semi").select(F.col("doc_id").alias("vertex"), "text")
-    sets = cut(chosen.mapInArrow(_sets, "vertex long, shingles array<bigint>"))
-    links = cut(confirm(stars, sets, percent))
-    labels = cut(components(links))
+    vertices = cut(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark")))
+    marks = vertices.select("vertex", "mark")
+    buckets = cut(marks.mapInArrow(_index, "key long, vertex long").groupBy("key").agg(F.min("vertex").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
+    shared = spark.sparkContext.broadcast(bitmap_of(buckets))
+    members = cut(marks.mapInArrow(lambda batches: _index(batches, shared), "key long, vertex long").join(buckets, "key"))
+    drop(buckets)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = close_pairs(pairs, vertices, percent)
+        sets = sets_of(texts, near.select(F.explode(F.array("lo", "hi")).alias("vertex")))
+        links = confirm(near, sets, percent)
+        drop(near, sets)
+        return links
+
+    links = linked(members.where("vertex > least").groupBy("vertex").agg(F.min("least").alias("lo")).withColumnRenamed("vertex", "hi"))
+    labels = components(links)
     rows = mixed_rows(members, labels)
-    hidden = cut(hidden_pairs(rows, wide_marks(rows, vertices, sets)).join(stars, ["lo", "hi"], "left_anti"))
+    more = linked(star_pairs(rows))
+    labels_2 = components(stars_of(labels).unionByName(more))
+    drop(links, labels, rows, more)
+    rows = mixed_rows(members, labels_2)
+    drop(members)
+    sets = sets_of(texts, rows)
+    wide = sets.join(rows.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]).mapInArrow(_wide, "vertex long, wide binary")
+    both = cut(marks.join(wide, "vertex"))
+    finer = mixed_rows(finer_rows(rows.where("blocks > 1"), sets, percent), labels_2, finer=True)
+    hidden = hidden_pairs(rows.where("blocks = 1").unionByName(finer), both)
     more = confirm(hidden, sets, percent)
-    stars_of = labels.where("vertex > component").select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))
-    labels = cut(components(stars_of.unionByName(more)))
+    drop(rows, finer, both, hidden, sets)
+    labels = components(stars_of(labels_2).unionByName(more))
+    drop(labels_2, more)
     # Back to rows: a row's vertex is that of its set.
-    of_set = cut(vertices.join(labels, "vertex", "left").select("d1", "d2", F.coalesce("component", "vertex").alias("found")))
-    joined = signed.join(of_set, ["d1", "d2"], "left")
+    of_set = vertices.join(labels, "vertex", "left").select("d1", "d2", F.coalesce("component", "vertex").alias("found"))
+    joined = signed.drop("mark").join(of_set, ["d1", "d2"], "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -91,6 +91,23 @@ def test_mixing(spark, docs, table, empty):
     assert mixing.take(docs).count() == sum(r["copies"] for r in got if r["taken"])
 
 
+def test_mixing_keys(spark, monkeypatch):
+    """A null source is not the source "\\x00", and clashing hashes merge nothing."""
+    data = [(k, "w " * (1 + k % 5), None, None if k % 2 else "\x00", 0, 0, 0, 0) for k in range(40)]
+    data += [(k // 2 * 2, "w " * (1 + k // 2 * 2 % 5), None, None, 0, 0, 0, 0) for k in range(20)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(mixing.F, "xxhash64", lambda *columns: F.lit(5).cast("long"))
+        got = mixing.mix_sources(docs).collect()
+        assert len(got) == len(data)
+        for source in (None, "\x00"):
+            mine = [r for r in got if r["source"] == source]
+            assert len(mine) == sum(x[3] == source for x in data)
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 3 * 2 * 5
+        assert mixing.take(docs).count() == sum(r["copies"] for r in got)
+
+
 def test_exact_dedup(spark, docs, table, empty):
     got = exact_dedup.exact_duplicates(docs).collect()
     groups = collections.defaultdict(list)
