@@ -1,16 +1,18 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and their pieces.
 
-Leaves are pieces of a paragraph (a line): sentences, cut behind PIECE_WORDS words.  A
-node above the leaves is a section: consecutive leaves up to one whose digest hits a pattern, so
-section borders follow the text and an edit moves only those around it.  The root covers the
-section digests.  Equal roots mean equal texts; where roots differ, equal sections are skipped as a whole and only
-differing branches are walked, which locates the edits.
-
-A fingerprint is text: ``root/section:leaf.leaf.../section:leaf...`` (hexadecimal digests).
+Leaves are pieces of a line: sentences, cut behind PIECE_WORDS words.  A paragraph is the pieces of a line (a very long line is also cut,
+behind pieces whose digest hits a pattern).  A section is consecutive paragraphs up to one whose digest hits a pattern, so its borders follow
+the text and an edit moves only those around it.  The digest of a paragraph is that of its leaves' digests, a section's that of its paragraphs',
+the root's that of its sections', each of 128 bits; pieces cover the whole text, so equal roots mean equal texts.  Where roots differ, equal
+sections and then equal paragraphs are skipped as a whole and only differing branches are walked, which locates the edits.
+
+A fingerprint is text: ``root/section:paragraph leaves,paragraph leaves/section:...`` in URL-safe base64, where only the root has its whole digest;
+sections are written with 48 bits, paragraphs with 36, leaves with 24.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections import Counter
@@ -25,31 +27,60 @@ from riskspark.llm.common import documents
 PIECE_WORDS = 12
 #: A piece ends behind a sentence mark or a line break, or behind PIECE_WORDS words.
 PIECES = re.compile(r"(?:[^\s.!?]+[^\S\n]*){1,%d}[\s.!?]*|[\s.!?]+" % PIECE_WORDS)
-#: One leaf in 8 ends a section.
-SECTION = frozenset("02468ace")
+#: Characters of a section, a paragraph and a leaf in a fingerprint.
+SECTION, PARAGRAPH, LEAF = 8, 6, 4
+#: One paragraph in 4 ends a section; one leaf in 16 ends a paragraph, wherever the line ends.
+LAST_OF_SECTION, LAST_OF_PARAGRAPH = 4, 16
+
+
+def _digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
 
 
-def _leaf(piece: str) -> str:
-    return hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=4).hexdigest()
+def _shown(digest: bytes, size: int) -> str:
+    return base64.urlsafe_b64encode(digest[:12]).decode()[:size]
 
 
 def fingerprint(text: str) -> str:
-    """The serialised tree of a whole text."""
-    leaves = [_leaf(p) for p in PIECES.findall(text)]
-    sections, a = [], 0
-    for k, leaf in enumerate(leaves):
-        if (leaf[-1] in "08" and leaf[-2] in SECTION) or k + 1 == len(leaves):
-            body = ".".join(leaves[a : k + 1])
-            sections.append(f"{hashlib.blake2b(body.encode(), digest_size=8).hexdigest()}:{body}")
-            a = k + 1
-    # The root also covers the text itself, so that it decides equality whatever the short leaf digests do.
-    whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
-    return "/".join([whole, *sections])
-
-
-def parse(mark: str) -> tuple[str, list[tuple[str, list[str]]]]:
+    """The serialised tree of a whole text; an empty text has a root only."""
+    sections, paragraphs, leaves = [], [], []  # (digest, shown); paragraphs and leaves of the section and the paragraph at hand
+    pieces = PIECES.findall(text)
+    for k, piece in enumerate(pieces, 1):
+        leaf = _digest(piece.encode("utf-8", "surrogatepass"))
+        leaves.append((leaf, _shown(leaf, LEAF)))
+        end = k == len(pieces)
+        if end or "\n" in piece or leaf[-1] % LAST_OF_PARAGRAPH == 0:
+            node = _digest(b"".join(d for d, _ in leaves))
+            paragraphs.append((node, _shown(node, PARAGRAPH) + "".join(x for _, x in leaves)))
+            leaves = []
+            if end or node[-1] % LAST_OF_SECTION == 0:
+                node = _digest(b"".join(d for d, _ in paragraphs))
+                sections.append((node, f"{_shown(node, SECTION)}:{','.join(x for _, x in paragraphs)}"))
+                paragraphs = []
+    root = base64.urlsafe_b64encode(_digest(b"".join(d for d, _ in sections))).decode().rstrip("=")
+    return "/".join([root, *(x for _, x in sections)])
+
+
+def parse(mark: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
+    """Root, and sections as (digest, [(paragraph digest, leaves)])."""
     root, *sections = mark.split("/")
-    return root, [(head, body.split(".")) for head, _, body in (s.partition(":") for s in sections)]
+    leaves = lambda p: [p[k : k + LEAF] for k in range(PARAGRAPH, len(p), LEAF)]
+    return root, [(s[:SECTION], [(p[:PARAGRAPH], leaves(p)) for p in s[SECTION + 1 :].split(",")]) for s in sections]
+
+
+def _unmatched(left: list[tuple], right: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The nodes of each side without a partner of the same digest on the other one."""
+    both = Counter(d for d, _ in left) & Counter(d for d, _ in right)
+    rest = []
+    for side in (left, right):
+        room = Counter(both)
+        rest.append([])
+        for node in side:
+            if room[node[0]]:
+                room[node[0]] -= 1
+            else:
+                rest[-1].append(node)
+    return rest[0], rest[1]
 
 
 def likeness(a: str, b: str) -> float:
@@ -57,36 +88,27 @@ def likeness(a: str, b: str) -> float:
     (root_a, left), (root_b, right) = parse(a), parse(b)
     if root_a == root_b:
         return 1.0
-    total = sum(len(x) for _, x in left) + sum(len(x) for _, x in right)
+    total = sum(len(x) for side in (left, right) for _, section in side for _, x in section)
     if not total:
         return 0.0
-    # Sections that both have are settled by their digest; leaves are compared in the others only.
-    heads = Counter(h for h, _ in left) & Counter(h for h, _ in right)
-    common, rest = 0, []
-    for side, count in ((left, True), (right, False)):
-        open_heads, leaves = Counter(heads), Counter()
-        for head, body in side:
-            if open_heads[head]:
-                open_heads[head] -= 1
-                common += len(body) * count
-            else:
-                leaves.update(body)
-        rest.append(leaves)
-    common += (rest[0] & rest[1]).total()
-    return min(1.0, 2.0 * common / total)
+    left, right = _unmatched(left, right)
+    left, right = _unmatched([p for _, section in left for p in section], [p for _, section in right for p in section])
+    left, right = (Counter(x for _, p in side for x in p) for side in (left, right))
+    return (total - (left - right).total() - (right - left).total()) / total
 
 
-def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """Sections of ``a`` that ``b`` lacks: (section number, number of leaves not in ``b``)."""
+def edits(a: str, b: str) -> list[tuple[int, int, int]]:
+    """What ``b`` lacks of ``a``: (section number, paragraph number in it, number of its leaves that are not in ``b``)."""
     (root_a, left), (root_b, right) = parse(a), parse(b)
     if root_a == root_b:
         return []
-    heads, leaves = {h for h, _ in right}, {x for _, body in right for x in body}
-    return [(k, sum(x not in leaves for x in body)) for k, (head, body) in enumerate(left) if head not in heads]
+    sections, paragraphs = {d for d, _ in right}, {d for _, section in right for d, _ in section}
+    leaves = {x for _, section in right for _, p in section for x in p}
+    return [(i, j, sum(x not in leaves for x in p)) for i, (d, section) in enumerate(left) if d not in sections for j, (e, p) in enumerate(section) if e not in paragraphs]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint`` per row. Null and empty texts have a root only. No shuffle."""
+    """``doc_id, fingerprint`` per row. Null and empty texts have a root only; repeated rows and ties get equal fingerprints. No shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +157,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Ids are cut into ranges at quantiles.  Each range also gets the first id of the range after it, so every
     row meets its successor in one pass over one shuffle of the texts.  What is broadcast is one pair of numbers
-    per range (rows / rows_per_bucket, held below 65536 ranges).
+    per range (rows / rows_per_bucket, held below 65536 ranges: beyond that ranges grow, the result does not change; rows of one id are one
+    range at least, and stream through it).
     """
     # A null id is ordered first: the smallest long stands for it.
     least = F.lit(-(1 << 63)).cast("long")

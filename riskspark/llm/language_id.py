@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,35 +130,40 @@ def has_letter(text: str | None) -> bool:
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        rows = [row.astype("<u2").tobytes() for a, b in slices(offsets) for row in np.minimum(features(data, offsets[a : b + 1]), 65535)]
+        rows = [row.astype("<u4").tobytes() for a, b in slices(offsets) for row in features(data, offsets[a : b + 1])]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], ["lang", "counts"])
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on rows where ``learn`` holds and language and text are there; None without any such row."""
+    """Fit on rows where ``learn`` holds and language and text are there; None without any such row.
+
+    ``sample``: about so many documents are fitted on, shared evenly by the languages, at least one each; so at most that many languages, the
+    most frequent ones (ties by name), can be learned.  Texts of the sample are read whole.
+    """
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()  # the 200 most frequent languages are learned
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not sizes:
         return None
     each = max(1, sample // len(sizes))
     spread = F.pmod(F.xxhash64(F.lit(41), id_col), F.lit(1 << 40)) / float(1 << 40)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    taken = docs.where(learn & (spread < share)).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("text != ''")
+    # One row per language, at most ``sample``.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "__lang string, __share double")
+    known = docs.where(learn).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), spread.alias("at"))
+    taken = known.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where("at < __share and text != ''").select("lang", "text")
     table = taken.mapInArrow(_counted, "lang string, counts binary").toArrow()
     if not table.num_rows:
         return None
     # In a fixed order, so that reruns give the same weights.
     table = table.sort_by([("lang", "ascending"), ("counts", "ascending")]).combine_chunks()
-    counts = np.frombuffer(b"".join(c.as_py() for c in table["counts"]), "<u2").reshape(table.num_rows, BINS)
+    counts = np.frombuffer(b"".join(c.as_py() for c in table["counts"]), "<u4").reshape(table.num_rows, BINS)
     return Model(counts, table["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` per row; ``und`` and 0 for a null text, a text without letters, or without a model.
 
-    Repeated rows are predicted each. An empty table gives no rows. Other columns are not read.
+    Repeated rows are predicted each; ties of votes go to the larger sum of scores, then to the first language by name. A long text is one row of
+    counts, whatever its length. An empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,25 +188,27 @@ def learning(id_col: str = "doc_id") -> Column:
     return remainder(id_col, 3) != 1
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known, with their own columns.
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is known, with their own columns; where ``lang_col`` is null it takes the predicted language.
 
-    The prediction rides along with the row through one pass, so nothing is joined or shuffled.
+    A row goes if it is predicted ``und``.  The prediction rides along with the row through one pass, so nothing is joined or shuffled.
     """
-    model = fit(docs, learning(id_col), id_col, text_col)
+    model = fit(docs, learning(id_col), id_col, text_col, lang_col)
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
+        at, lang = names.index(text_col), names.index(lang_col)
         for batch in batches:
             column = batch.column(at)
             data, offsets = text_buffer(column)
-            keep = []
+            found = []
             for a, b in slices(offsets):
                 known = [has_letter(t.as_py()) for t in column[a:b]]
-                got = model.predict(features(data, offsets[a : b + 1]))[0] if model is not None else [UNKNOWN if not k else "" for k in known]
-                keep += [k and g != UNKNOWN for k, g in zip(known, got, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                got = model.predict(features(data, offsets[a : b + 1]))[0] if model is not None else [None] * len(known)
+                found += [g if k else UNKNOWN for k, g in zip(known, got, strict=True)]
+            found = pa.array(found, pa.string())
+            filled = batch.set_column(lang, batch.schema.field(lang), pc.coalesce(batch.column(lang), found.cast(batch.column(lang).type)))
+            yield filled.filter(pc.fill_null(pc.not_equal(found, UNKNOWN), True))
 
     return docs.mapInArrow(run, schema)
 

@@ -11,12 +11,16 @@ context of one to DEPTH words:
 
 A text is scored by the longest retained suffix of what came before each token.
 
+DEPTH, LEAST, DIVERGENCE and DISCOUNT are arguments of ``fit`` and ``score_documents``; a deeper tree costs one more pass over the text per step.
+
 At scale: the counts of words and of sequences of two to DEPTH + 1 words (a context and its next symbol) are Spark tables that grow with the
 text, summed per task in NumPy, then by Spark.  A sequence can only be seen LEAST times if both sequences one word shorter are, so
 positions are dropped early by a bitmap of those; it is of fixed size, and a full one drops less but loses nothing.  The logarithm of a probability is a sum of
 one weight per sequence that ends at a token, so each weight is looked up on its own: the head (words with a share of at least HEAD, longer
 sequences of at least SHARE, so at most 1 / share of them) is broadcast, all others, whose counts are low and so free of skew, meet their
 weights in a shuffle join, and texts add up the parts.  The shares decide where a weight is looked up, not what it is.
+A row is told by a number that is given when its head score is written down, so no two rows can be mixed up; logarithms are summed as
+whole multiples of 1 / UNIT, so sums do not depend on the order of a shuffle.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import BITS, bitmap_of, cut, documents, drop, inside, mix, remainder, shuffles_freed, slices, text_buffer, word_hashes
+from riskspark.llm.common import BITS, bitmap_of, cut, documents, drop, inside, mix, remainder, slices, text_buffer, word_hashes
 
 DEPTH = 3
 HEAD, SHARE = 2e-7, 1e-6
@@ -38,6 +43,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 STEP = np.uint64(0xC6A4A7935BD1E995)
 #: Local sums are passed on when they have more entries than this.
 HOLD = 1 << 20
+#: Logarithms are added up in units of 1 / UNIT.
+UNIT = 1 << 34
 
 
 class Table:
@@ -156,8 +163,8 @@ def _count(texts: DataFrame, rows_of: Callable, width: int) -> DataFrame:
 class Tree:
     """The root and the head of the weights: per number of symbols, sequence -> (gain as the end of a context, factor as a context)."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, depth: int = DEPTH):
+        self.total, self.distinct, self.depth = total, distinct, depth
         self.scale = float(total + distinct + 1)
         self.words, self.counts = Table(words), counts
         self.root = (counts + 1) / self.scale
@@ -169,7 +176,7 @@ class Tree:
         """Per token: its row in the head (-1: not there), and its probability by the head, in units of its root probability if it is not in the head."""
         row = self.words.find(symbols)
         p = np.where(row >= 0, self.root[np.maximum(row, 0)] if len(self.root) else 1.0, 1.0)
-        found = grams(symbols, DEPTH + 1)
+        found = grams(symbols, self.depth + 1)
         for k, (nodes, pairs) in enumerate(zip(self.nodes, self.pairs)):
             at = np.flatnonzero(place > k)
             for (table, weight), keys in ((nodes, found[k][at - 1]), (pairs, found[k + 1][at])):
@@ -181,7 +188,7 @@ class Tree:
         """Positions and keys (words, then longer sequences) whose weights may be outside the head."""
         at = np.flatnonzero(self.words.find(symbols) < 0)
         yield at, symbols[at]
-        found = grams(symbols, DEPTH + 1)
+        found = grams(symbols, self.depth + 1)
         for k, (pairs, _) in enumerate(self.pairs):
             at = np.flatnonzero(place > k)
             at = at[inside(self.more, found[k + 1][at])]
@@ -195,21 +202,21 @@ def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(joint(first, last).astype(np.int64)), *batch.columns], ["key", "k0", "k1", "c"])
 
 
-def fit(texts: DataFrame) -> tuple[Tree, DataFrame]:
+def fit(texts: DataFrame, **how) -> tuple[Tree, DataFrame]:
     """The head of the tree learned from ``text`` of all rows, and the table of all words (k0, c, factor)."""
-    return _fit(texts)[:2]
+    return _fit(texts, **how)[:2]
 
 
-def _fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
+def _fit(texts: DataFrame, most: int = DEPTH, least: int = LEAST, least_divergence: float = DIVERGENCE, discount: float = DISCOUNT) -> tuple[Tree, DataFrame, DataFrame]:
     """The head of the tree, all words (k0, c, factor) and all longer sequences with a weight (key, c, gain, factor)."""
     counts = cut(_count(texts, lambda symbols, place: symbols.reshape(-1, 1), 1))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     scale = float(total + distinct + 1)
     sc = texts.sparkSession.sparkContext
     # Sequences of ``depth`` symbols seen often enough, with the probability p of the last one.
-    known = counts.where(F.col("c") >= LEAST).select(F.col("k0").alias("key"), "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"), F.lit(1.0).alias("gain"))
+    known = counts.where(F.col("c") >= least).select(F.col("k0").alias("key"), "c", ((F.col("c") + 1) / F.lit(scale)).alias("p"), F.lit(1.0).alias("gain"))
     levels, nodes = [known], []
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, most + 1):
         shared = sc.broadcast(bitmap_of(known))
 
         def rows_of(symbols: np.ndarray, place: np.ndarray, depth=depth, shared=shared) -> np.ndarray:
@@ -219,37 +226,39 @@ def _fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
             at = at[ok[at] & ok[at - 1]]
             return np.stack([joint(keys[at - 1], keys[at]), keys[at - 1], keys[at]], 1)
 
-        pairs = _count(texts, rows_of, 2).where(F.col("c") >= LEAST).mapInArrow(_keyed, "key long, k0 long, k1 long, c long")
-        pairs = cut(cut(pairs).join(known.select(F.col("key").alias("k1"), F.col("p").alias("lower")), "k1").select("key", F.col("k0").alias("context"), "c", "lower"))
-        share = F.col("c") - DISCOUNT
+        pairs = _count(texts, rows_of, 2).where(F.col("c") >= least).mapInArrow(_keyed, "key long, k0 long, k1 long, c long")
+        counted = cut(pairs)
+        pairs = cut(counted.join(known.select(F.col("key").alias("k1"), F.col("p").alias("lower")), "k1").select("key", F.col("k0").alias("context"), "c", "lower"))
+        share = F.col("c") - discount
         sums = pairs.groupBy("context").agg(F.sum(share).alias("a"), F.sum("lower").alias("below"), F.sum(share * F.log(share / F.col("lower"))).alias("s"))
         sized = sums.join(known.select(F.col("key").alias("context"), F.col("c").alias("size")), "context")
         # kept < 1 because of the discount; a context that is not where its counts say is left out.
         rest, rest_below = F.greatest(1 - F.col("a") / F.col("size"), F.lit(1e-12)), F.greatest(1 - F.col("below"), F.lit(1e-12))
         divergence = F.col("s") - F.col("a") * F.log("size") + F.col("size") * rest * F.log(rest / rest_below)
-        good = (divergence >= DIVERGENCE) & (F.col("a") < F.col("size")) & (F.col("below") < 1)
+        good = (divergence >= least_divergence) & (F.col("a") < F.col("size")) & (F.col("below") < 1)
         nodes.append(cut(sized.where(good).select("context", "size", (rest / rest_below).alias("factor"))))
         p = share / F.col("size")
         joined = pairs.join(nodes[-1], "context", "left")
         known = cut(joined.select("key", "c", F.coalesce(p, "lower").alias("p"), F.coalesce(p / (F.col("lower") * F.col("factor")), F.lit(1.0)).alias("gain")))
         levels.append(known)
         shared.unpersist()
-        del pairs, sums, sized, joined
-        sc._jvm.System.gc()  # lets go of shuffle files that are done with
+        drop(counted, pairs)
     word = counts.join(nodes[0].select(F.col("context").alias("k0"), "factor"), "k0", "left").select("k0", "c", F.coalesce("factor", F.lit(1.0)).alias("factor"))
     words = cut(word)
+    drop(counts)
     longer = [level.join(node.select(F.col("context").alias("key"), "factor"), "key", "left") for level, node in zip(levels[1:-1], nodes[1:])] + [levels[-1].withColumn("factor", F.lit(1.0))]
     weights = None
     for n, df in enumerate(longer, 2):
         df = df.select(F.lit(n).alias("n"), "key", "c", "gain", F.coalesce("factor", F.lit(1.0)).alias("factor")).where("gain <> 1 or factor <> 1")
         weights = df if weights is None else weights.unionByName(df)
     weights = cut(weights)
+    drop(*levels[1:], *nodes)
     unsigned = lambda x: x.to_numpy(np.int64).astype(np.uint64)
     head = words.where(F.col("c") >= max(1.0, HEAD * total)).toPandas()
-    tree = Tree(unsigned(head["k0"]), head["c"].to_numpy(np.int64), total, distinct)
+    tree = Tree(unsigned(head["k0"]), head["c"].to_numpy(np.int64), total, distinct, most)
     heads = weights.where(F.col("c") >= SHARE * total).toPandas()
     tables = [(tree.words, None, head["factor"].to_numpy(float))]
-    for n in range(2, DEPTH + 2):
+    for n in range(2, most + 2):
         part = heads[heads["n"] == n]
         tables.append((Table(unsigned(part["key"])), part["gain"].to_numpy(float), part["factor"].to_numpy(float)))
     tree.nodes = [(table, factor) for table, _, factor in tables[:-1]]
@@ -258,55 +267,57 @@ def _fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     return tree, words, weights
 
 
+SCORED = "row long, doc_id long, n long, known long, base long, score long, key long, word boolean"
+
+
 def _scored(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
-    tree = tree.value
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        parts = []
-        for a, b in slices(offsets, 1 << 20):
-            symbols, place, edges = tokens(data, offsets[a : b + 1])
-            row, p = tree.probabilities(symbols, place)
-            base = np.where(row >= 0, np.log10(tree.root[np.maximum(row, 0)]) if len(tree.root) else 0.0, 0.0)
-            parts.append(np.stack([np.diff(edges), *(np.add.reduceat(x, edges[:-1]) for x in ((row >= 0).astype(float), base, np.log10(p)))]))
-        n, known, base, score = np.concatenate(parts, 1) if parts else np.zeros((4, 0))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], ["row", "doc_id", "n", "known", "base", "score"])
+    """Per row its number, id and sums over the head; then row, key and whether it is a word, for every word outside the head and every
+    longer sequence that may have a weight outside the head."""
+    tree, row = tree.value, TaskContext.get().partitionId() << 36
+    names = [x.split()[0] for x in SCORED.split(", ")]
+    types = [pa.bool_() if x.endswith("boolean") else pa.int64() for x in SCORED.split(", ")]
 
+    def out(**columns) -> pa.RecordBatch:
+        n = len(columns["row"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
-def _rare(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
-    """row, key, and whether it is a word, for every word outside the head and every longer sequence that may have a weight outside the head."""
-    tree = tree.value
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        ids = batch.column("row").to_numpy()
         for a, b in slices(offsets, 1 << 20):
             symbols, place, edges = tokens(data, offsets[a : b + 1])
+            ids = row + np.arange(b - a)
+            row += b - a
+            found, p = tree.probabilities(symbols, place)
+            base = np.where(found >= 0, np.log10(tree.root[np.maximum(found, 0)]) if len(tree.root) else 0.0, 0.0)
+            known, base, score = (np.add.reduceat(x, edges[:-1]) for x in ((found >= 0).astype(np.int64), base, np.log10(p)))
+            yield out(row=ids, doc_id=batch.column("doc_id")[a:b], n=np.diff(edges), known=known, base=np.rint(base * UNIT).astype(np.int64), score=np.rint(score * UNIT).astype(np.int64))
             for k, (at, keys) in enumerate(tree.elsewhere(symbols, place)):
-                owner = np.searchsorted(edges, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + owner]), pa.array(keys.astype(np.int64)), pa.array(np.full(len(at), k == 0))], ["row", "key", "word"])
+                yield out(row=ids[np.searchsorted(edges, at, "right") - 1], key=keys.astype(np.int64), word=np.full(len(at), k == 0))
 
 
-def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row, learned from the rows where ``learn`` holds.
 
-    Null and empty texts are one end. Without training rows every token is unknown and has probability 1. Rows that repeat id and text get
-    the same scores. An empty table gives no rows. Other columns are not read.
+    ``how``: most (words of the longest context), least, least_divergence, discount.  Null and empty texts are one end. Without training rows every
+    token is unknown and has probability 1. Rows that repeat id and text get the same scores; a null id stays null. A long text is scored
+    whole, piece by piece in the task that reads it. An empty table gives no rows. Other columns are not read.
     """
-    tree, words, weights = _fit(docs.where(learn).select(F.col(text_col).alias("text")))
+    tree, words, weights = _fit(docs.where(learn).select(F.col(text_col).alias("text")), **how)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    rows = docs.select(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    main = rows.mapInArrow(lambda batches: _scored(batches, shared), "row long, doc_id long, n long, known long, base double, score double")
-    rare = rows.select("row", "text").mapInArrow(lambda batches: _rare(batches, shared), "row long, key long, word boolean")
+    parts = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _scored(batches, shared), SCORED))
+    fixed = lambda x: F.round(x * UNIT).cast("long")
     root = F.log10((F.col("c") + 1) / F.lit(tree.scale))
     table = words.where(F.col("c") < max(1.0, HEAD * tree.total)).select(F.col("k0").alias("key"), F.lit(True).alias("word"), root.alias("base"), F.log10("factor").alias("weight"))
     table = table.unionByName(weights.where(F.col("c") < SHARE * tree.total).select("key", F.lit(False).alias("word"), F.lit(0.0).alias("base"), F.log10(F.col("gain") * F.col("factor")).alias("weight")))
     base = F.coalesce("base", F.when(F.col("word"), F.lit(-np.log10(tree.scale))).otherwise(0.0))
-    extra = rare.join(table, ["key", "word"], "left").select("row", base.alias("base"), (base + F.coalesce("weight", F.lit(0.0))).alias("score"), (F.col("word") & F.col("base").isNotNull()).cast("long").alias("known"))
-    zero = F.lit(0).cast("long")
-    parts = main.withColumn("m", F.lit(1).cast("long")).unionByName(extra.select("row", F.lit(None).cast("long").alias("doc_id"), zero.alias("n"), "known", "base", "score", zero.alias("m")))
-    # Rows that repeat id and text add up, so each sum is divided by their number.
-    whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score", "m")))
-    each = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    return each.select("doc_id", (F.col("n") / F.col("m")).cast("long").alias("n_tokens"), (F.col("known") / F.col("m")).cast("long").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
+    rare = parts.where("key is not null").select("row", "key", "word").join(table, ["key", "word"], "left")
+    extra = rare.select("row", (F.col("word") & F.col("base").isNotNull()).cast("long").alias("known"), fixed(base).alias("base"), fixed(base + F.coalesce("weight", F.lit(0.0))).alias("score"))
+    sums = ("known", "base", "score")
+    extra = cut(extra.groupBy("row").agg(*(F.sum(c).alias(c) for c in sums)))
+    none = F.lit(None).cast("long")
+    whole = parts.where("key is null").select("row", "doc_id", "n", *sums).unionByName(extra.select("row", none.alias("doc_id"), none.alias("n"), *sums))
+    each = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *(F.sum(c).alias(c) for c in sums))
+    return each.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") / F.lit(float(UNIT))).alias("base_score"), (F.col("score") / F.lit(float(UNIT))).alias("score"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

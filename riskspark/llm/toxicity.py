@@ -6,13 +6,15 @@ labelled tokens a two-tag chain is fitted (hashed word, stem and shape features;
 each token's probability; a document's score comes from its strongest tokens and their expected number, and runs of
 tokens above one half are the offending spans.
 
-Fitting uses a bounded sample (at most TOXIC and CLEAN documents, by a hash of the id): features are made on the executors and the
-sample's hashed tokens reach the driver.  Scoring reads every text whole, in place: no shuffle.
-Chains are sentences, cut at CHAIN tokens, so memory does not grow with a document.
+Fitting uses a bounded sample: about TOXIC and CLEAN documents by a hash of the id, of at most LONGEST bytes each; of near copies among them one; and of
+their sentences without a toxic token as many as come to CLEAN_TOKENS tokens or CLEAN_TIMES as many tokens as the others have.  Features are made
+on the executors and the sample's hashed tokens reach the driver.  All four are arguments of ``fit``.
+Scoring reads every text whole, in place: no shuffle.  A chain is a sentence, however long: messages run through it from end to end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import BYTE, ROOT, documents, mix, powers, remainder, slices, text_buffer
 
 TOXIC, CLEAN = 1500, 3000
+LONGEST, CLEAN_TOKENS, CLEAN_TIMES = 1 << 17, 20_000, 4
 BINS = 1 << 18
-CHAIN = 64
+#: While at least so many chains are as long, their tokens are worked on together, place by place; the ends of the few longest ones token by token.
+TOGETHER = 12
 #: Feature templates: the whole word, then stems of so many bytes.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -75,9 +79,6 @@ class Tokens:
         sentence = stops[self.starts] + np.searchsorted(row, self.starts, "right") * (stops[-1] + 1)
         new = np.concatenate([[True], sentence[1:] != sentence[:-1]])
         heads = np.flatnonzero(new)
-        place = np.arange(n) - np.repeat(heads, np.diff(heads, append=n))
-        new |= place % CHAIN == 0
-        heads = np.flatnonzero(new)
         self.chain = np.cumsum(new) - 1
         self.place = np.arange(n) - np.repeat(heads, np.diff(heads, append=n))
 
@@ -93,39 +94,54 @@ def marginals(emission: np.ndarray, move: np.ndarray, chain: np.ndarray, place:
         return np.zeros(0), np.zeros((2, 2)), 0.0
     e = np.exp(np.clip(emission, -30, 30))
     m = np.exp(move)
-    order = np.argsort(place, kind="stable")
-    edges = np.searchsorted(place[order], np.arange(int(place.max()) + 2))
-    head = order[: edges[1]]
-    slot = np.empty(int(chain.max()) + 1, np.int64)
-    slot[chain[head]] = np.arange(len(head))
+    heads = np.flatnonzero(place == 0)  # a chain's tokens lie one after the other
+    lengths = np.diff(heads, append=n)
+    # Chains are longer than ``shared`` in fewer than TOGETHER cases.
+    shared = max(1, int(np.sort(lengths)[max(0, len(lengths) - TOGETHER)]))
+    tails = [(s, int(heads[s]), int(heads[s] + lengths[s])) for s in np.flatnonzero(lengths > shared).tolist()]
+    levels = [(s, heads[s] + k) for k in range(shared) for s in [np.flatnonzero(lengths > k)]]
     ahead, back = np.ones(n), np.ones(n)
-    log_z = np.zeros(len(head))
-    ratio = np.zeros(len(head))
-    levels = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    for k, level in enumerate(levels):
-        s = slot[chain[level]]
+    log_z, ratio = np.zeros(len(heads)), np.zeros(len(heads))
+    (m00, m01), (m10, m11) = m.tolist()
+    for k, (s, level) in enumerate(levels):
         if k == 0:
             new = e[level]
         else:
             r = ratio[s]
-            zero, one = m[0, 0] + r * m[1, 0], m[0, 1] + r * m[1, 1]
+            zero, one = m00 + r * m10, m01 + r * m11
             log_z[s] += np.log(zero)
             new = e[level] * one / zero
         ratio[s] = np.clip(new, 1e-30, 1e30)
         ahead[level] = ratio[s]
+    for s, head, end in tails:
+        r, z, out = float(ratio[s]), 0.0, []
+        for x in e[head + shared : end].tolist():
+            zero = m00 + r * m10
+            z += math.log(zero)
+            r = min(max(x * (m01 + r * m11) / zero, 1e-30), 1e30)
+            out.append(r)
+        ratio[s], ahead[head + shared : end] = r, out
+        log_z[s] += z
     log_z += np.log1p(ratio)
-    later = np.ones(len(head))
-    pairs = np.zeros((2, 2))
-    for k in range(len(levels) - 1, -1, -1):
-        level = levels[k]
-        back[level] = later[slot[chain[level]]]
+    later = np.ones(len(heads))
+    for s, head, end in tails:
+        b, out = 1.0, []
+        for x in e[head + shared : end][::-1].tolist():
+            out.append(b)
+            q = x * b
+            b = min(max((m10 + m11 * q) / (m00 + m01 * q), 1e-30), 1e30)
+        later[s], back[head + shared : end] = b, out[::-1]
+    for k in range(shared - 1, -1, -1):
+        s, level = levels[k]
+        back[level] = later[s]
         if k:
-            s = slot[chain[level]]
             q = e[level] * back[level]
-            before = ahead[level - 1]  # a chain's tokens lie one after the other
-            joint = np.array([[m[0, 0] * np.ones(len(level)), m[0, 1] * q], [before * m[1, 0], before * m[1, 1] * q]])
-            pairs += (joint / joint.sum((0, 1))).sum(2)
-            later[s] = np.clip((m[1, 0] + m[1, 1] * q) / (m[0, 0] + m[0, 1] * q), 1e-30, 1e30)
+            later[s] = np.clip((m10 + m11 * q) / (m00 + m01 * q), 1e-30, 1e30)
+    # Expected transitions, from the messages on both sides of each.
+    follow = np.flatnonzero(place > 0)
+    q, before = e[follow] * back[follow], ahead[follow - 1]
+    joint = np.stack([np.full(len(follow), m00), m01 * q, before * m10, before * m11 * q])
+    pairs = (joint / joint.sum(0)).sum(1).reshape(2, 2)
     odds = ahead * back
     return odds / (1 + odds), pairs, float(log_z.sum())
 
@@ -219,7 +235,7 @@ def _tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = np.concatenate([[0], np.cumsum(t.counts)])
             for x, y in zip(edges[:-1], edges[1:], strict=True):
                 out["features"].append(t.features[x:y].tobytes())
-                out["place"].append(t.place[x:y].astype(np.int16).tobytes())
+                out["place"].append(t.place[x:y].astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(v, pa.binary()) for v in out.values())], ["toxic", *out])
 
 
@@ -235,8 +251,12 @@ def distinct_enough(table: list[dict]) -> list[dict]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_toxic: int = TOXIC, most_clean: int = CLEAN) -> Model:
-    """Fit on ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)`` where ``learn`` holds; without toxic or without clean rows the model says no."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_toxic: int = TOXIC, most_clean: int = CLEAN, longest: int = LONGEST, clean_tokens: int = CLEAN_TOKENS, clean_times: float = CLEAN_TIMES) -> Model:
+    """Fit on ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)`` where ``learn`` holds; without toxic or without clean rows the model says no.
+
+    The sample is bounded in documents and in bytes (see the head of the module), so what reaches the driver does not grow with the tables; the
+    share of toxic documents is counted over all labels.
+    """
     model = Model()
     labels = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -246,13 +266,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_toxic: int = TOX
     share = F.when(F.col("toxic") == 1, min(1.0, most_toxic / size[1])).otherwise(min(1.0, most_clean / size[0]))
     # At most about most_toxic + most_clean ids of 12 bytes: the bound on what is broadcast.
     chosen = labels.where(spread < share)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
     table = rows.select("toxic", "text").mapInArrow(_tokenised, "toxic int, features binary, place binary").toArrow().to_pylist()
     table.sort(key=lambda r: (r["toxic"], r["features"]))
     table = distinct_enough(table)
-    lengths = [len(r["place"]) // 2 for r in table]
+    lengths = [len(r["place"]) // 4 for r in table]
     features = np.frombuffer(b"".join(r["features"] for r in table), np.int32).reshape(-1, 1 + len(STEMS))
-    place = np.frombuffer(b"".join(r["place"] for r in table), np.int16).astype(np.int64)
+    place = np.frombuffer(b"".join(r["place"] for r in table), np.int32).astype(np.int64)
     toxic = np.array([r["toxic"] == 1 for r in table])
     doc = np.repeat(np.arange(len(table)), lengths)
     if not len(features):
@@ -260,10 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_toxic: int = TOX
     tags = token_tags(features, doc, toxic)
     if tags.any():
         chain = np.cumsum(place == 0) - 1
-        # Sentences with a toxic token all count; of the others one in a few, by position, up to four times as many tokens.
+        # Sentences with a toxic token all count; of the others one in a few, by position.
         hot = np.zeros(int(chain.max()) + 1, bool)
         hot[chain[tags]] = True
-        every = max(1, int((~hot[chain]).sum() // max(20_000, 4 * hot[chain].sum())))
+        every = max(1, int((~hot[chain]).sum() // max(clean_tokens, clean_times * hot[chain].sum())))
         rest = np.cumsum(~hot) % every == 0
         rows_used = (hot | rest)[chain]
         fit_chain(model, features[rows_used], np.cumsum(place[rows_used] == 0) - 1, place[rows_used], tags[rows_used])
@@ -275,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_toxic: int = TOX
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, spans`` per row; ``spans``: ``start:end`` byte offsets of toxic runs, comma-joined.
 
-    Null and empty texts get the score of a text without toxic tokens. Repeated rows are scored each. An empty table gives no rows. Other columns are not read.
+    Null and empty texts get the score of a text without toxic tokens. Repeated rows are scored each. A long text, or a long sentence, is scored whole, in pieces of memory that grow
+    with that one text only. An empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
