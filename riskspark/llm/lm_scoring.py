@@ -19,7 +19,8 @@ positions are dropped early by a bitmap of those; it is of fixed size, and a ful
 one weight per sequence that ends at a token, so each weight is looked up on its own: the head (words with a share of at least HEAD, longer
 sequences of at least SHARE, so at most 1 / share of them) is broadcast, all others, whose counts are low and so free of skew, meet their
 weights in a shuffle join, and texts add up the parts.  The shares decide where a weight is looked up, not what it is.
-A row is told by a number that is given when its head score is written down, so no two rows can be mixed up; logarithms are summed as
+What is counted or looked up moves in packets, one per piece of text and part of the key space, so Spark shuffles thousands of binary rows in place of
+millions of small ones.  Every piece of text has a number, and a row its place in the piece, so no two rows can be mixed up; logarithms are summed as
 whole multiples of 1 / UNIT, so sums do not depend on the order of a shuffle.
 """
 
@@ -122,8 +123,36 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield tokens(data, offsets[a : b + 1])
 
 
+#: Parts of the key space: a key belongs to the one that its leading bits name.
+PART_BITS = 10
+
+
+def packets(keys: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """Parts of the key space, and for each part the columns' values as bytes, in one order for all columns."""
+    part = (keys >> np.uint64(64 - PART_BITS)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    present, first = np.unique(part[order], return_index=True)
+    edges = np.append(first, len(keys))
+    return pa.array(present), [packed(x[order], edges) for x in columns]
+
+
+def packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values[edges[k] : edges[k + 1]]``."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packets without nulls, and how many each packet has."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data.to_pybytes() if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(values.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
 def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) -> Iterator[pa.RecordBatch]:
-    """Sums by key per task: ``rows_of(symbols, place)`` gives an array of 64-bit columns whose first is the key; the last ``width`` are passed on."""
+    """Packets of sums by key per task: ``rows_of(symbols, place)`` gives an array of 64-bit columns whose first is the key; the last ``width`` are passed on."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merge() -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +160,9 @@ def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) ->
         _, first, back = np.unique(rows[:, 0], return_index=True, return_inverse=True)
         return rows[first], np.bincount(back, counts).astype(np.int64)
 
-    def out(rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(rows), 1 << 16):
-            columns = [pa.array(np.ascontiguousarray(rows[a : a + (1 << 16), k - width]).astype(np.int64)) for k in range(width)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[a : a + (1 << 16)])], [*(f"k{k}" for k in range(width)), "c"])
+    def out(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        part, columns = packets(rows[:, 0], *(rows[:, k - width] for k in range(width)), counts)
+        return pa.RecordBatch.from_arrays([part, *columns], ["part", *(f"k{k}" for k in range(width)), "c"])
 
     size = 0
     for symbols, place, _ in _each(batches):
@@ -148,16 +176,36 @@ def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) ->
             held = [merge()]
             size = len(held[0][0])
             if size > HOLD:
-                yield from out(*held[0])
+                yield out(*held[0])
                 held, size = [], 0
     if held:
-        yield from out(*merge())
+        yield out(*merge())
 
 
-def _count(texts: DataFrame, rows_of: Callable, width: int) -> DataFrame:
+def _merged(batches: Iterable[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Whole sums by key of some parts of the key space, of ``least`` at least."""
     names = [f"k{k}" for k in range(width)]
-    schema = ", ".join(f"{n} long" for n in names) + ", c long"
-    return texts.mapInArrow(lambda batches: _summed(batches, rows_of, width), schema).groupBy(*names).agg(F.sum("c").alias("c"))
+    held = [[unpacked(batch.column(n), np.uint64)[0] for n in names] + [unpacked(batch.column("c"), np.int64)[0]] for batch in batches]
+    if not held:
+        return
+    *ks, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    key = joint(*ks) if width == 2 else ks[0]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    c = np.add.reduceat(c[order], first) if len(first) else c
+    ok = c >= least
+    at, c = first[ok], c[ok]
+    columns = ([key[at]] if width == 2 else []) + [k[order[at]] for k in ks]
+    for a in range(0, len(at), 1 << 16):
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + (1 << 16)].astype(np.int64)) for x in columns), pa.array(c[a : a + (1 << 16)])], [*(["key"] if width == 2 else []), *names, "c"])
+
+
+def _count(texts: DataFrame, rows_of: Callable, width: int, least: int = 1) -> DataFrame:
+    """``k0, c`` (one column of keys) or ``key, k0, k1, c``: a partition of the shuffle holds its parts' sums at once, so the number of shuffle partitions bounds memory."""
+    names = [f"k{k}" for k in range(width)]
+    sums = texts.mapInArrow(lambda batches: _summed(batches, rows_of, width), "part int, " + "".join(f"{n} binary, " for n in names) + "c binary")
+    return sums.repartition("part").mapInArrow(lambda batches: _merged(batches, width, least), ("key long, " if width == 2 else "") + ", ".join(f"{n} long" for n in names) + ", c long")
 
 
 class Tree:
@@ -196,12 +244,6 @@ class Tree:
             yield at, found[k + 1][at]
 
 
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        first, last = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.uint64) for n in ("k0", "k1"))
-        yield pa.RecordBatch.from_arrays([pa.array(joint(first, last).astype(np.int64)), *batch.columns], ["key", "k0", "k1", "c"])
-
-
 def fit(texts: DataFrame, **how) -> tuple[Tree, DataFrame]:
     """The head of the tree learned from ``text`` of all rows, and the table of all words (k0, c, factor)."""
     return _fit(texts, **how)[:2]
@@ -226,8 +268,7 @@ def _fit(texts: DataFrame, most: int = DEPTH, least: int = LEAST, least_divergen
             at = at[ok[at] & ok[at - 1]]
             return np.stack([joint(keys[at - 1], keys[at]), keys[at - 1], keys[at]], 1)
 
-        pairs = _count(texts, rows_of, 2).where(F.col("c") >= least).mapInArrow(_keyed, "key long, k0 long, k1 long, c long")
-        counted = cut(pairs)
+        counted = cut(_count(texts, rows_of, 2, least))
         pairs = cut(counted.join(known.select(F.col("key").alias("k1"), F.col("p").alias("lower")), "k1").select("key", F.col("k0").alias("context"), "c", "lower"))
         share = F.col("c") - discount
         sums = pairs.groupBy("context").agg(F.sum(share).alias("a"), F.sum("lower").alias("below"), F.sum(share * F.log(share / F.col("lower"))).alias("s"))
@@ -241,7 +282,7 @@ def _fit(texts: DataFrame, most: int = DEPTH, least: int = LEAST, least_divergen
         joined = pairs.join(nodes[-1], "context", "left")
         known = cut(joined.select("key", "c", F.coalesce(p, "lower").alias("p"), F.coalesce(p / (F.col("lower") * F.col("factor")), F.lit(1.0)).alias("gain")))
         levels.append(known)
-        shared.unpersist()
+        shared.destroy()
         drop(counted, pairs)
     word = counts.join(nodes[0].select(F.col("context").alias("k0"), "factor"), "k0", "left").select("k0", "c", F.coalesce("factor", F.lit(1.0)).alias("factor"))
     words = cut(word)
@@ -267,32 +308,112 @@ def _fit(texts: DataFrame, most: int = DEPTH, least: int = LEAST, least_divergen
     return tree, words, weights
 
 
-SCORED = "row long, doc_id long, n long, known long, base long, score long, key long, word boolean"
+#: Packets on their way to the part of the key space where weights lie (kinds 0: weights, 1: requests, 2: rows with what the head says).
+PACKETS = "part int, kind int, piece long, a binary, b binary, c binary, d binary, e binary"
+NAMES = [x.split()[0] for x in PACKETS.split(", ")]
+WORD_BIT = np.uint32(1 << 31)
 
 
-def _scored(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
-    """Per row its number, id and sums over the head; then row, key and whether it is a word, for every word outside the head and every
-    longer sequence that may have a weight outside the head."""
-    tree, row = tree.value, TaskContext.get().partitionId() << 36
-    names = [x.split()[0] for x in SCORED.split(", ")]
-    types = [pa.bool_() if x.endswith("boolean") else pa.int64() for x in SCORED.split(", ")]
+def _packet_rows(part: pa.Array, kind: int, piece: int, *columns: pa.Array) -> pa.RecordBatch:
+    n = len(part)
+    empty = pa.array([b""] * n, pa.binary())
+    return pa.RecordBatch.from_arrays([part.cast(pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, piece, np.int64)), *columns, *[empty] * (5 - len(columns))], NAMES)
 
-    def out(**columns) -> pa.RecordBatch:
-        n = len(columns["row"])
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
+def _requests(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
+    """Per piece of text one packet with what the head says of its rows, and packets of (row, key) for every word outside the head and every
+    longer sequence that may have a weight outside the head."""
+    tree, piece = tree.value, TaskContext.get().partitionId() << 36
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
+        ids = batch.column("doc_id")
+        known_id, ids = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy()
         for a, b in slices(offsets, 1 << 20):
             symbols, place, edges = tokens(data, offsets[a : b + 1])
-            ids = row + np.arange(b - a)
-            row += b - a
             found, p = tree.probabilities(symbols, place)
             base = np.where(found >= 0, np.log10(tree.root[np.maximum(found, 0)]) if len(tree.root) else 0.0, 0.0)
             known, base, score = (np.add.reduceat(x, edges[:-1]) for x in ((found >= 0).astype(np.int64), base, np.log10(p)))
-            yield out(row=ids, doc_id=batch.column("doc_id")[a:b], n=np.diff(edges), known=known, base=np.rint(base * UNIT).astype(np.int64), score=np.rint(score * UNIT).astype(np.int64))
-            for k, (at, keys) in enumerate(tree.elsewhere(symbols, place)):
-                yield out(row=ids[np.searchsorted(edges, at, "right") - 1], key=keys.astype(np.int64), word=np.full(len(at), k == 0))
+            every = np.array([0, b - a])
+            rows = [ids[a:b], known_id[a:b] + 2 * np.diff(edges), known, np.rint(base * UNIT).astype(np.int64), np.rint(score * UNIT).astype(np.int64)]
+            yield _packet_rows(pa.array([piece % (1 << PART_BITS)]), 2, piece, *(packed(x, every) for x in rows))
+            wanted = list(tree.elsewhere(symbols, place))
+            keys = np.concatenate([k for _, k in wanted])
+            owner = np.concatenate([(np.searchsorted(edges, at, "right") - 1).astype(np.uint32) | (WORD_BIT if k == 0 else np.uint32(0)) for k, (at, _) in enumerate(wanted)])
+            if len(keys):
+                part, columns = packets(keys, owner, keys)
+                yield _packet_rows(part, 1, piece, *columns)
+            piece += 1
+
+
+def _weights(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys = batch.column("key").to_numpy().astype(np.uint64)
+            part, columns = packets(keys, keys, batch.column("word").to_numpy(zero_copy_only=False).astype(np.uint8), batch.column("base").to_numpy(), batch.column("weight").to_numpy())
+            yield _packet_rows(part, 0, 0, *columns)
+
+
+def _resolved(batches: Iterable[pa.RecordBatch], unknown: int) -> Iterator[pa.RecordBatch]:
+    """Packets of sums per piece (kind 1), and the rows of kind 2 as they come.  ``unknown``: what a word without a weight adds."""
+    weights, requests = [], []
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        if (kind == 2).any():
+            yield batch.filter(pa.array(kind == 2))
+        part = batch.filter(pa.array(kind == 0))
+        weights.append([unpacked(part.column(c), t)[0] for c, t in zip("abcd", (np.uint64, np.uint8, np.int64, np.int64), strict=True)])
+        part = batch.filter(pa.array(kind == 1))
+        owner, n = unpacked(part.column("a"), np.uint32)
+        requests.append([np.repeat(part.column("piece").to_numpy(), n), owner, unpacked(part.column("b"), np.uint64)[0]])
+    if not requests:
+        return
+    piece, owner, wanted = (np.concatenate(x) for x in zip(*requests, strict=True))
+    if not len(wanted):
+        return
+    keys, word, base, weight = (np.concatenate(x) for x in zip(*weights, strict=True))
+    order = np.lexsort((word, keys))
+    keys, word, base, weight = keys[order], word[order], base[order], weight[order]
+    is_word = (owner & WORD_BIT) != 0
+    # A word and a longer sequence may share a key; they lie next to each other then.
+    at = np.searchsorted(keys, wanted)
+    for _ in range(2):
+        inside_ = at < len(keys)
+        next_ = inside_.copy()
+        next_[inside_] = (keys[at[inside_]] == wanted[inside_]) & (word[at[inside_]] != is_word[inside_])
+        at[next_] += 1
+    hit = at < len(keys)
+    hit[hit] = (keys[at[hit]] == wanted[hit]) & (word[at[hit]] == is_word[hit])
+    to_base = np.where(is_word, unknown, 0).astype(np.int64)
+    to_base[hit] = base[at[hit]]
+    to_score = to_base.copy()
+    to_score[hit] += weight[at[hit]]
+    row = (owner & ~WORD_BIT).astype(np.int64)
+    order = np.lexsort((row, piece))
+    piece, row = piece[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])]))
+    sums = [np.add.reduceat(x[order], first) for x in ((hit & is_word).astype(np.int64), to_base, to_score)]
+    piece, row = piece[first], row[first]
+    heads = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+    edges = np.append(heads, len(piece))
+    empty = pa.array([b""] * len(heads), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(heads), np.int32)), pa.array(np.ones(len(heads), np.int32)), pa.array(piece[heads]), packed(row.astype(np.uint32), edges), *(packed(x, edges) for x in sums), empty], NAMES)
+
+
+def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows from the packets of whole pieces."""
+    rows: dict[int, list[np.ndarray]] = {}
+    more: list[tuple[int, list[np.ndarray]]] = []
+    for batch in batches:
+        for kind, piece, *columns in zip(*(batch.column(n).to_pylist() for n in ("kind", "piece", "a", "b", "c", "d", "e")), strict=True):
+            if kind == 2:
+                rows[piece] = [np.frombuffer(x, np.int64).copy() for x in columns]
+            else:
+                more.append((piece, [np.frombuffer(columns[0], np.uint32), *(np.frombuffer(x, np.int64) for x in columns[1:4])]))
+    for piece, (row, *sums) in more:
+        for to, x in zip(rows[piece][2:], sums, strict=True):
+            to[row] += x  # a packet has a row once
+    for ids, n, known, base, score in rows.values():
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=n % 2 == 0), pa.array(n // 2), pa.array(known), pa.array(base / UNIT), pa.array(score / UNIT)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -300,24 +421,20 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
 
     ``how``: most (words of the longest context), least, least_divergence, discount.  Null and empty texts are one end. Without training rows every
     token is unknown and has probability 1. Rows that repeat id and text get the same scores; a null id stays null. A long text is scored
-    whole, piece by piece in the task that reads it. An empty table gives no rows. Other columns are not read.
+    whole, in the task that reads it. An empty table gives no rows. Other columns are not read.  ``docs`` should be a table or a narrow
+    selection of one, whose rows a retried task reads in the same order.
     """
     tree, words, weights = _fit(docs.where(learn).select(F.col(text_col).alias("text")), **how)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    parts = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _scored(batches, shared), SCORED))
+    requests = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _requests(batches, shared), PACKETS)
     fixed = lambda x: F.round(x * UNIT).cast("long")
-    root = F.log10((F.col("c") + 1) / F.lit(tree.scale))
-    table = words.where(F.col("c") < max(1.0, HEAD * tree.total)).select(F.col("k0").alias("key"), F.lit(True).alias("word"), root.alias("base"), F.log10("factor").alias("weight"))
-    table = table.unionByName(weights.where(F.col("c") < SHARE * tree.total).select("key", F.lit(False).alias("word"), F.lit(0.0).alias("base"), F.log10(F.col("gain") * F.col("factor")).alias("weight")))
-    base = F.coalesce("base", F.when(F.col("word"), F.lit(-np.log10(tree.scale))).otherwise(0.0))
-    rare = parts.where("key is not null").select("row", "key", "word").join(table, ["key", "word"], "left")
-    extra = rare.select("row", (F.col("word") & F.col("base").isNotNull()).cast("long").alias("known"), fixed(base).alias("base"), fixed(base + F.coalesce("weight", F.lit(0.0))).alias("score"))
-    sums = ("known", "base", "score")
-    extra = cut(extra.groupBy("row").agg(*(F.sum(c).alias(c) for c in sums)))
-    none = F.lit(None).cast("long")
-    whole = parts.where("key is null").select("row", "doc_id", "n", *sums).unionByName(extra.select("row", none.alias("doc_id"), none.alias("n"), *sums))
-    each = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *(F.sum(c).alias(c) for c in sums))
-    return each.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") / F.lit(float(UNIT))).alias("base_score"), (F.col("score") / F.lit(float(UNIT))).alias("score"))
+    root, none = F.log10((F.col("c") + 1) / F.lit(tree.scale)), F.lit(0).cast("long")
+    table = words.where(F.col("c") < max(1.0, HEAD * tree.total)).select(F.col("k0").alias("key"), F.lit(True).alias("word"), fixed(root).alias("base"), fixed(F.log10("factor")).alias("weight"))
+    table = table.unionByName(weights.where(F.col("c") < SHARE * tree.total).select("key", F.lit(False).alias("word"), none.alias("base"), fixed(F.log10(F.col("gain") * F.col("factor"))).alias("weight")))
+    unknown = round(-np.log10(tree.scale) * UNIT)
+    met = requests.unionByName(table.mapInArrow(_weights, PACKETS)).repartition("part").mapInArrow(lambda batches: _resolved(batches, unknown), PACKETS)
+    scored = met.repartition("piece").mapInArrow(_together, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
