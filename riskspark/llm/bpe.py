@@ -39,7 +39,7 @@ LETTERS, NUMBERS, LATIN_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾
 LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{LATIN_SPACES}{LETTERS}{NUMBERS}]+|[{LATIN_SPACES}]+(?![^{LATIN_SPACES}])|[{LATIN_SPACES}]+")
 #: Words longer than this many characters are streamed, shorter ones kept in the table.
 SHORT = 40
-TABLE = 600_000
+TABLE = 250_000
 #: Characters of text whose words are looked up together.
 TOGETHER = 1 << 20
 #: Token ids that the decoder takes at once.
@@ -109,7 +109,7 @@ class Merges:
     def beside(self, a: int, b: int) -> bool:
         """Whether b can follow a."""
         if (found := self._beside.get((a, b))) is None:
-            if len(self._beside) >= 1_000_000:
+            if len(self._beside) >= TABLE:
                 self._beside.clear()
             found = self._beside[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return found

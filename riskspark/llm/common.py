@@ -2,70 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.session import drop, materialise, shared_folder  # noqa: F401
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the session names.
 
-    Where none is set, a temporary one is made on a local master (tests); on a cluster that is an error, as a machine's own folder is not shared.
-    """
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
-        return
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskspark-"))
+#: Within ``cut`` an Arrow batch has at most so many rows and bytes; with Spark's default of 10000 whole texts one batch alone takes tens of MB, in the JVM and in Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see."""
-    ensure_checkpoints(spark)
-    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within, a query's shuffle files are removed as soon as it has ended; the session's own setting is put back."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def cut(df: DataFrame) -> DataFrame:
+    """``materialise`` with small Arrow batches; the session's own settings are put back."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        conf.set(k, v)
     try:
-        yield
+        return materialise(df)
     finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder as Parquet and go on from there, with its shuffle files removed.
-
-    A lost executor then costs the step at hand, not those before it.  A table that was cut has no known partitioning, so a join with it puts
-    a plain exchange on both sides, which is the shape that adaptive execution can split when a key is hot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with shuffles_freed(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` that no later step reads."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,12 +133,13 @@ def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([words.tobytes()])], ["block", "bits"])
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the column ``key``, put together in blocks by the tasks, so that the driver gets 2^BITS bits whatever the number of keys."""
-    size = 1 << max(5, BITS - 8)
-    at = F.col("key").bitwiseAND((1 << BITS) - 1)
+def bitmap_of(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A bitmap of the column ``key``, put together in blocks by the tasks, so that the driver gets 2^bits bits whatever the number of keys."""
+    bits = bits or BITS
+    size = 1 << max(5, bits - 8)
+    at = F.col("key").bitwiseAND((1 << bits) - 1)
     placed = keys.select((at / size).cast("int").alias("block"), (at % size).cast("int").alias("bit")).repartition(64, "block")
-    out = np.zeros((1 << BITS) // 32, np.uint32)
+    out = np.zeros((1 << bits) // 32, np.uint32)
     for r in placed.mapInArrow(lambda batches: _blocks(batches, size), "block long, bits binary").collect():
         out[r["block"] * size // 32 :][: size // 32] = np.frombuffer(r["bits"], np.uint32)
     return out

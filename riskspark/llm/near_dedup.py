@@ -38,6 +38,8 @@ POSITIONS = CHUNKS * CHUNK
 FAR = 38
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 2048
+#: Bits of the bitmaps of index keys and of ids, as powers of two.
+KEY_BITS, ID_BITS = 26, 25
 #: The wide signature: 2-bit positions in 512 bytes; further apart than WIDE_FAR is not at 0.75 (384 expected, four and a half standard deviations).
 WIDE, WIDE_FAR = 2048, 464
 XOR, TIMES = seeded(101, POSITIONS), seeded(202, POSITIONS) | np.uint64(1)
@@ -130,8 +132,10 @@ def sets_of(texts: DataFrame, vertices: DataFrame) -> DataFrame:
 
     The wanted ids are a bitmap of fixed size, so texts are read where they lie and not shuffled; a full bitmap lets more rows pass but loses none.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(vertices.select(F.col("vertex").alias("key"))))
-    return cut(texts.select(F.col("doc_id").alias("vertex"), "text").where("vertex is not null").mapInArrow(lambda batches: _sets(batches, shared), "vertex long, shingles array<bigint>"))
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(vertices.select(F.col("vertex").alias("key")), ID_BITS))
+    sets = cut(texts.select(F.col("doc_id").alias("vertex"), "text").where("vertex is not null").mapInArrow(lambda batches: _sets(batches, shared), "vertex long, shingles array<bigint>"))
+    shared.destroy()
+    return sets
 
 
 def _close(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -297,9 +301,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertices = cut(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark")))
     marks = vertices.select("vertex", "mark")
     buckets = cut(marks.mapInArrow(_index, "key long, vertex long").groupBy("key").agg(F.min("vertex").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
-    shared = spark.sparkContext.broadcast(bitmap_of(buckets))
+    shared = spark.sparkContext.broadcast(bitmap_of(buckets, KEY_BITS))
     members = cut(marks.mapInArrow(lambda batches: _index(batches, shared), "key long, vertex long").join(buckets, "key"))
     drop(buckets)
+    shared.destroy()
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = close_pairs(pairs, vertices, percent)
