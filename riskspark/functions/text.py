@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 
-#: Look-alike and digit substitutes and the letters they stand for.
-CONFUSABLE_FROM, CONFUSABLE_TO = "aceopxykmhtb0134", "асеорхукмнтвоізч"
+# Look-alike and digit substitutes and the letters they stand for.
+CONFUSABLE_FROM, CONFUSABLE_TO = "aeopcxykmhtbnru013456789@$", "аеорсхукмнтвпгиоиечѕбтв9аѕ"
 KAZAKH = "әғқңөұүһі"
 
 

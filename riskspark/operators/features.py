@@ -1,15 +1,111 @@
-"""Features of posts."""
+"""Features of posts: telling n-grams, raw features per case and their numeric slots."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskspark import config
+from riskspark.functions import text as T
+
+
+def _ranked(words: list[str], k: int) -> list[tuple[str, int]]:
+    counts: Counter = Counter(words)
+    for a, b in zip(words, words[1:]):
+        counts[f"{a} {b}"] += 2
+    inner: Counter = Counter()
+    for w, c in Counter(words).items():
+        for n in range(3, 6):
+            for at in range(len(w) - n + 1):
+                inner[w[at : at + n]] += c
+    for gram, c in inner.items():
+        counts[gram] += c
+    return counts.most_common(k)  # equal counts in the order they were first seen
+
+
+def top_ngrams(tokens: DataFrame, k: int) -> DataFrame:
+    """``case_id, gram, n`` from rows ``case_id, w`` (the words of a case): per case the k grams of most weight.
+
+    Words weigh 1, pairs of neighbours 2, character 3- to 5-grams within a word 1; of equal weights the first seen: words, then pairs, then
+    characters.  All grams of a case come from one row, so they are counted in that row: no gram is shuffled.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column("case_id").to_pylist(), [_ranked(w or [], k) for w in batch.column("w").to_pylist()]
+            rows = [(i, g, n) for i, grams in zip(ids, found, strict=True) for g, n in grams]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["case_id", "gram", "n"])
+
+    return tokens.select(F.col("case_id").cast("long").alias("case_id"), "w").mapInArrow(run, "case_id long, gram string, n long")
+
+
+KINDS = tuple(config.LINK_FORMATS)
+BEHAVIOURS = ("urgency", "referral", "messenger")
+
+
+def raw_features(posts: DataFrame, hits: DataFrame, links: DataFrame, images: DataFrame, segments: DataFrame, media: DataFrame, texts: DataFrame, kb: DataFrame) -> DataFrame:
+    """One row per post: behaviour (strongest / 100 per dimension, their number, strongest negative), contacts by kind, best image score per
+    dimension, duration, spoken segments, tags, whole text, language, and the knowledge base's likeness (0 to 1).
+
+    Each input is one partial aggregate by case; what a case lacks is 0.
+    """
+    own = F.col("source") == "Behavior"
+    most = lambda when: F.coalesce(F.max(F.when(when, F.col("confidence"))), F.lit(0.0)) / 100
+    behaviour = hits.groupBy("case_id").agg(*[most(own & (F.col("dim") == d)).alias(f"behavior_{d}") for d in BEHAVIOURS], F.count_if(own).alias("behavior_count"), most(F.col("dim") == "negative").alias("behavior_negative"))
+    contacts = links.groupBy("case_id").agg(*[F.count_if(F.col("kind") == k).alias(f"link_{k}") for k in KINDS])
+    seen = images.where("dim <> ''").groupBy("case_id").agg(*[F.max(F.when(F.col("dim") == d, F.col("score"))).alias(f"visual_{d}") for d in config.DIMENSIONS])
+    spoken = segments.where(F.trim("text") != "").groupBy("case_id").agg(F.count("*").alias("num_segments"))
+    base = posts.select("case_id", "hashtags")
+    parts = [texts, behaviour, contacts, seen, spoken, media.select("case_id", "duration_s"), kb.select("case_id", (F.col("kb_score") / 100).alias("kb_similarity"))]
+    joined = reduce(lambda a, b: a.join(b, "case_id", "left"), parts, base)
+    numbers = [c for c in joined.columns if c not in ("case_id", "hashtags", "text")]
+    return joined.select("case_id", "hashtags", F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in numbers]).withColumn("lang_hint", T.language_hint(F.col("text")))
+
+
+# Caps and codes of the numeric slots.
+LANG_CODES = {"": 0.0, "ru": 0.0, "kz": 0.33, "en": 0.66, "mixed": 1.0}
+SLOTS = (
+    *(f"visual.{d}" for d in config.DIMENSIONS), "behavior.urgency", "behavior.referral", "behavior.messenger", "behavior.count", "behavior.negative",
+    "link.telegram", "link.whatsapp", "link.url", "link.promocode", "link.phone", "link.total", "kb_similarity", "duration_s", "num_segments", "hashtag_count",
+    "hashtag.suspicious_ratio", "text_len", "has_url", "has_telegram_or_wa", "has_promocode", "digit_ratio", "emoji_zerowidth_count", "profit_density", "lang_code",
+)
+
+
+def numeric_slots(raw: DataFrame, tag_anchors: tuple[str, ...], text_anchors: tuple[str, ...]) -> list[Column]:
+    """The 32 numeric features of ``raw_features``, each between 0 and 1, in the order of SLOTS; column expressions only."""
+    c = F.col
+    share = lambda x, most: F.least(x.cast("double"), F.lit(float(most))) / most
+    yes = lambda x: F.when(x, 1.0).otherwise(0.0)
+    total = reduce(lambda a, b: a + b, [c(f"link_{k}") for k in KINDS])
+    lang = F.element_at(F.create_map(*[F.lit(x) for kv in LANG_CODES.items() for x in kv]), c("lang_hint"))
+    return [
+        *(c(f"visual_{d}").cast("double") for d in config.DIMENSIONS),
+        *(c(f"behavior_{d}") for d in BEHAVIOURS),
+        share(c("behavior_count"), 5),
+        c("behavior_negative"),
+        *(share(c(f"link_{k}"), 4) for k in ("telegram", "whatsapp", "url", "promocode", "phone")),
+        share(total, 8),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("kb_similarity").cast("double"))),
+        F.least(F.log1p(F.greatest(F.lit(0.0), c("duration_s"))) / F.log1p(F.lit(600.0)), F.lit(1.0)),
+        share(c("num_segments"), 40),
+        share(F.size("hashtags"), 12),
+        T.suspicious_tags(F.transform("hashtags", T.fold_lookalikes), tag_anchors),
+        T.log_length(c("text")),
+        yes(c("link_url") > 0),
+        yes((c("link_telegram") > 0) | (c("link_whatsapp") > 0)),
+        yes(c("link_promocode") > 0),
+        T.digit_ratio(c("text")),
+        T.emoji_share(c("text")),
+        T.anchor_density(T.fold_lookalikes(c("text")), text_anchors),
+        F.coalesce(lang, F.lit(0.0)),
+    ]
+
 
-def top_ngrams(grams: DataFrame, k: int) -> DataFrame:
-    """``case_id, gram, n``: per case the k grams of most weight (pairs weigh 2), first seen first."""
-    rows = grams.select("case_id", F.posexplode("grams").alias("pos", "gram"))
-    weight = F.when(F.col("gram").contains(" "), 2).otherwise(1)
-    summed = rows.groupBy("case_id", "gram").agg(F.sum(weight).alias("n"), F.min("pos").alias("pos"))
-    best = Window.partitionBy("case_id").orderBy(F.desc("n"), "pos")
-    return summed.withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= k).select("case_id", "gram", "n")
+def numeric_table(raw: DataFrame, tag_anchors: tuple[str, ...], text_anchors: tuple[str, ...]) -> DataFrame:
+    """``case_id, v0 .. v31``."""
+    return raw.select("case_id", *[x.alias(f"v{k}") for k, x in enumerate(numeric_slots(raw, tag_anchors, text_anchors))])

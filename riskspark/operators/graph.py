@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import config
-from riskspark.session import materialise
+from riskspark.session import drop, materialise
 
 
 def top_handles(links: DataFrame, most: int = config.HANDLES_MOST) -> DataFrame:
     """``case_id, n, label``: the first handles of a case, with an at-sign."""
-    rows = links.where("kind = 'telegram'").groupBy("case_id", F.lower("value").alias("low")).agg(F.min(F.struct("source_ord", "at", "value")).alias("o"))
+    rows = links.where("kind = 'telegram'").groupBy("case_id", F.lower("value").alias("low")).agg(F.min(F.struct("place", "kind_ord", "at", "value")).alias("o"))
     n = Window.partitionBy("case_id").orderBy("o")
     return rows.withColumn("n", F.row_number().over(n)).where(F.col("n") <= most).select("case_id", "n", F.concat(F.lit("@"), F.regexp_replace("o.value", "^@", "")).alias("label"))
 
@@ -26,8 +26,8 @@ def top_tags(tags: DataFrame, most: int = config.TAGS_MOST) -> DataFrame:
 
 
 def related(kb: DataFrame, rows: DataFrame, most: int = config.RELATED_MOST) -> DataFrame:
-    """Related items of a case's cluster (``rows``: cluster, n, label, type), broadcast like the knowledge base itself."""
-    return kb.join(F.broadcast(rows.where(F.col("n") <= most)), "cluster").select("case_id", "n", "label", "type")
+    """Related items of a case's cluster (``rows``: cluster, n, label, type), by an equi-join."""
+    return kb.join(rows.where(F.col("n") <= most), "cluster").select("case_id", "n", "label", "type")
 
 
 def neighbours(handles: DataFrame, tags: DataFrame, near: DataFrame) -> DataFrame:
@@ -38,6 +38,18 @@ def neighbours(handles: DataFrame, tags: DataFrame, near: DataFrame) -> DataFram
     return once.withColumn("k", F.row_number().over(k)).select("case_id", "k", F.concat(F.lit("n"), "k").alias("id"), "type", F.col("o.label").alias("label"))
 
 
+def edges(nodes: DataFrame) -> DataFrame:
+    """``case_id, id, source, target, type``: one edge from the case (node v1) to each neighbour; its kind goes by the neighbour's type."""
+    kind = F.when(F.col("type") == "telegram", "contact").when(F.col("type") == "hashtag", "hashtag").otherwise("similar")
+    return nodes.select("case_id", F.concat(F.lit("e"), "k").alias("id"), F.lit("v1").alias("source"), F.col("id").alias("target"), kind.alias("type"))
+
+
+def with_center(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``case_id, id, type, label``: the neighbours, and the case itself as node v1 (``labels``: case_id, label)."""
+    own = labels.select("case_id", F.lit("v1").alias("id"), F.lit("video").alias("type"), "label")
+    return own.unionByName(nodes.select("case_id", "id", "type", "label"))
+
+
 def ring(nodes: DataFrame) -> DataFrame:
     """Coordinates on a ring around the case, with a wobble of the radius by number mod 3."""
     count = F.count("*").over(Window.partitionBy("case_id"))
@@ -61,10 +73,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy(F.col("a").alias("case_id")).agg(F.least(F.min("b"), F.col("a")).alias("cluster")))
     while True:
         near = both.join(labels, both["b"] == labels["case_id"]).groupBy("a").agg(F.min("cluster").alias("near"))
-        lower = labels.join(near, labels["case_id"] == near["a"]).select("case_id", F.least("cluster", "near").alias("cluster"), F.col("cluster").alias("old"))
-        step = materialise(lower)
+        step = materialise(labels.join(near, labels["case_id"] == near["a"]).select("case_id", F.least("cluster", "near").alias("cluster"), F.col("cluster").alias("old")))
         jump = step.select(F.col("case_id").alias("c"), F.col("cluster").alias("next"))
         after = materialise(step.join(jump, step["cluster"] == jump["c"]).select("case_id", F.least("cluster", "next").alias("cluster"), "old"))
+        drop(labels, step)
         if after.where("cluster <> old").isEmpty():
+            drop(both)
             return after.select("case_id", "cluster")
-        labels = after.select("case_id", "cluster")
+        labels = after

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import config
+from riskspark.functions.text import clamp, risk_level
+from riskspark.operators.score import blend
+from riskspark.session import drop, materialise
 
 #: Hashed features and numeric slots; training settings.
 BUCKETS, EPOCHS, RATE = 4096, 12, 0.01
@@ -35,12 +39,24 @@ def merge_labels(weak: DataFrame, strong: DataFrame) -> DataFrame:
     return ranked.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "rank")
 
 
-def stratified_split(df: DataFrame, key: str, stratum: str, part: float = 0.15, seed: int = 7) -> DataFrame:
-    """``held`` for the first ``part`` of every stratum (one row at least) in the order of a seeded hash."""
+def stratified_split(df: DataFrame, key: str, stratum: str, part: float = 0.15, seed: int = 7, cells: int = 1024) -> DataFrame:
+    """``held`` for the first ``part`` of every stratum (one row at least) in the order of a seeded hash of the key.
+
+    Rows are counted by stratum and cell (leading bits of the hash).  A stratum's quota ends within one cell, so whole cells are settled by the
+    counts, and only the rows of that one are ordered: no stratum goes through one task, however large.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), key)).withColumn("__cell", F.floor(F.pmod(F.shiftright("__h", 16), F.lit(cells))))
+    counts = hashed.groupBy(stratum, "__cell").agg(F.count("*").alias("n"))  # ``cells`` rows per stratum
     w = Window.partitionBy(stratum)
-    order = w.orderBy(F.xxhash64(F.lit(seed), key), key)
-    n = F.count("*").over(w)
-    return df.withColumn("held", F.row_number().over(order) <= F.greatest(F.lit(1), F.floor(n * part)))
+    before = F.sum("n").over(w.orderBy("__cell")) - F.col("n")
+    quota = F.greatest(F.lit(1), F.floor(F.sum("n").over(w) * part))
+    bounds = counts.select(F.col(stratum).alias("__s"), F.col("__cell").alias("__c"), F.col("n").alias("__n"), (quota - before).alias("__left"))
+    placed = hashed.join(bounds, hashed[stratum].eqNullSafe(bounds["__s"]) & (hashed["__cell"] == bounds["__c"]))
+    split = (F.col("__left") > 0) & (F.col("__left") < F.col("__n"))
+    order = Window.partitionBy(stratum, "__cell").orderBy("__h", key)
+    settled = placed.where(~split).withColumn("held", F.col("__left") > 0)
+    ordered = placed.where(split).withColumn("held", F.row_number().over(order) <= F.col("__left"))
+    return settled.unionByName(ordered).select(*df.columns, "held")
 
 
 def codemix(text: Column, key: Column, clauses: tuple[str, ...], rate: int = 3) -> Column:
@@ -83,7 +99,7 @@ def obfuscate(df: DataFrame, key: str = "case_id", text: str = "text", seed: int
 def hashed_features(grams: DataFrame, buckets: int = BUCKETS, seed: int = 3) -> DataFrame:
     """``case_id, bucket, value``: signed hashing of grams, scaled to length 1 per case."""
     h = F.xxhash64(F.lit(seed), "gram")
-    summed = grams.select("case_id", F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.when(F.shiftright(h, 62) % 2 == 0, 1.0).otherwise(-1.0).alias("s")).groupBy("case_id", "bucket").agg(F.sum("s").alias("v")).where("v <> 0")
+    summed = grams.select("case_id", bucket_of(F.col("gram"), buckets, seed).alias("bucket"), F.when(F.shiftright(h, 62) % 2 == 0, 1.0).otherwise(-1.0).alias("s")).groupBy("case_id", "bucket").agg(F.sum("s").alias("v")).where("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("case_id")))
     return summed.select("case_id", "bucket", (F.col("v") / norm).alias("value"))
 
@@ -94,46 +110,202 @@ def sparse_rows(features: DataFrame) -> DataFrame:
     return features.groupBy("case_id").agg(F.transform(pairs, lambda p: p["bucket"]).alias("idx"), F.transform(pairs, lambda p: p["value"]).alias("val"))
 
 
-def train_logistic(rows: DataFrame, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = 0.5) -> np.ndarray:
-    """Weights and bias from ``idx, val, y (0..1), w``: each step sums one gradient row per partition; only weights travel."""
-    weights, velocity = np.zeros(buckets + 1), np.zeros(buckets + 1)
-    rows = rows.select("idx", "val", "y", "w").cache()
-    total = rows.agg(F.sum("w")).first()[0] or 1.0
-    for _ in range(epochs):
-        shared = rows.sparkSession.sparkContext.broadcast(weights)
-
-        def gradient(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            w, g = shared.value, np.zeros(buckets + 1)
-            for batch in batches:
-                for idx, val, y, sample in zip(batch["idx"], batch["val"], batch["y"], batch["w"], strict=True):
-                    idx = np.asarray(idx, int)
-                    gap = sample * (1 / (1 + np.exp(-(w[idx] @ val + w[-1]))) - y)
-                    g[idx] += gap * np.asarray(val)
-                    g[-1] += gap
-            yield pd.DataFrame({"g": [g.tolist()]})
-
-        parts = rows.mapInPandas(gradient, "g array<double>").select(F.posexplode("g").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
-        step = np.zeros(buckets + 1)
-        step[parts["k"].to_numpy()] = parts["g"].to_numpy() / total
-        velocity = 0.9 * velocity - rate * (step + 1e-4 * weights)
-        weights = weights + velocity
-    rows.unpersist()
-    return weights
-
-
-def predict(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``case_id, p``: a literal array of weights and built-in functions."""
-    w = F.lit([float(x) for x in weights[:-1]])
-    z = F.aggregate(F.zip_with("idx", "val", lambda i, v: F.element_at(w, i + 1) * v), F.lit(float(weights[-1])), lambda a, x: a + x)
-    return rows.select("case_id", (1 / (1 + F.exp(-z))).alias("p"))
-
-
-def attributions(rows: DataFrame, weights: np.ndarray, k: int = 8) -> DataFrame:
-    """``case_id, bucket, weight``: the k largest contributions (coefficient times value) per case."""
-    w = F.lit([float(x) for x in weights[:-1]])
-    each = rows.select("case_id", F.explode(F.arrays_zip("idx", "val")).alias("f")).select("case_id", F.col("f.idx").alias("bucket"), (F.element_at(w, F.col("f.idx") + 1) * F.col("f.val")).alias("weight"))
+def vectors(hashed: DataFrame, slots: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``case_id, idx, val``: the hashed features of a case, then its numeric slots (``numeric_table``) behind the buckets."""
+    names = [c for c in slots.columns if c != "case_id"]
+    numbers = slots.select("case_id", F.array(*names).alias("numbers"))
+    joined = numbers.join(sparse_rows(hashed), "case_id", "left")
+    places = F.array(*[F.lit(buckets + k) for k in range(len(names))])
+    return joined.select("case_id", F.concat(F.coalesce("idx", F.array().cast("array<int>")), places).alias("idx"), F.concat(F.coalesce("val", F.array().cast("array<double>")), "numbers").alias("val"))
+
+
+#: Outputs of a model: risk, the dimensions, the categories.
+CATEGORY_NAMES = (*(c[0] for c in config.CATEGORIES), "suspicious_other", "no_violation")
+HEADS = ("risk", *config.DIMENSIONS, *CATEGORY_NAMES)
+DIMS = slice(1, 1 + len(config.DIMENSIONS))
+CATS = slice(1 + len(config.DIMENSIONS), len(HEADS))
+
+
+def _dense(batch: dict, at: np.ndarray, width: int) -> np.ndarray:
+    """Rows ``at`` of a batch of (idx, val) as a matrix with a column of ones at its end."""
+    x = np.zeros((len(at), width + 1), np.float32)
+    for k, r in enumerate(at):
+        x[k, batch["idx"][r]] = batch["val"][r]
+    x[:, -1] = 1
+    return x
+
+
+def _forward(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Probabilities of all heads: risk and dimensions by themselves, categories together."""
+    z = np.clip(x @ weights, -30, 30)
+    out = 1 / (1 + np.exp(-z))
+    e = np.exp(z[:, CATS] - z[:, CATS].max(1, keepdims=True))
+    out[:, CATS] = e / e.sum(1, keepdims=True)
+    return out
+
+
+def _gap(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Derivative of the loss by the logits: risk + 1/2 mean of the dimensions + 1/2 of the categories, rows by weight."""
+    g = (p - y) * w[:, None]
+    g[:, DIMS] *= 0.5 / len(config.DIMENSIONS)
+    g[:, CATS] *= 0.5
+    return g
+
+
+def _loss(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    q = np.clip(p, 1e-7, 1 - 1e-7)
+    bce = -(y * np.log(q) + (1 - y) * np.log(1 - q))
+    return float((w * (bce[:, 0] + 0.5 * bce[:, DIMS].mean(1) - 0.5 * (y[:, CATS] * np.log(q[:, CATS])).sum(1))).sum())
+
+
+@dataclass
+class HeadModel:
+    """Weights (features and bias x heads) and what training has seen: (epoch, loss on held rows)."""
+
+    weights: np.ndarray
+    history: list[tuple[int, float]]
+    temperature: float = 1.0
+
+    @property
+    def best_epoch(self) -> int:
+        return min(self.history, key=lambda h: (h[1], h[0]))[0]
+
+
+def targets(labels: DataFrame) -> DataFrame:
+    """``case_id, y, w``: one array of all heads' targets per labelled row; a missing category spreads evenly, a missing weight is 1."""
+    category = F.array(*[F.when(F.col("category").isin(*CATEGORY_NAMES), (F.col("category") == c).cast("double")).otherwise(1.0 / len(CATEGORY_NAMES)) for c in CATEGORY_NAMES])
+    share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
+    return labels.select("case_id", F.concat(F.array(share("risk"), *map(share, config.DIMENSIONS)), category).alias("y"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w"))
+
+
+def train_heads(rows: DataFrame, width: int, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.05, l2: float = 1e-4, parts: int = 8, seed: int = 11) -> HeadModel:
+    """A linear model of all heads from ``case_id, idx, val, y, w, held``: data-parallel Adam with averaging.
+
+    Every epoch each of ``parts`` partitions goes once over its rows in mini-batches, starting from the shared weights, and gives back its weights and the
+    loss of those shared weights on its held rows; weights are averaged by numbers of rows.  What travels is the model, ``parts`` times; rows stay
+    where they are, in an order that a hash fixes.  The weights with the least loss on held rows win.
+    """
+    spark = rows.sparkSession
+    placed = materialise(rows.select("case_id", "idx", "val", "y", "w", "held").repartition(parts, F.xxhash64(F.lit(seed), "case_id")).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), "case_id"), "case_id"))
+    weights, history, best = np.zeros((width + 1, len(HEADS)), np.float32), [], None
+
+    def epoch(batches: Iterable[pd.DataFrame], shared, learn: bool) -> Iterator[pd.DataFrame]:
+        w = shared.value.copy()
+        first, second, step = np.zeros_like(w), np.zeros_like(w), 0
+        n, loss, held = 0, 0.0, 0.0
+        for frame in batches:
+            data = {c: frame[c].to_numpy() for c in ("idx", "val")}
+            y, own, out = np.stack(frame["y"].to_numpy()), frame["w"].to_numpy(), frame["held"].to_numpy(bool)
+            for a in range(0, len(own), batch):
+                at = np.arange(a, min(a + batch, len(own)))
+                x = _dense(data, at, width)
+                kept, rest = out[at], ~out[at]
+                if kept.any():
+                    loss += _loss(_forward(x[kept], shared.value), y[at][kept], own[at][kept])
+                    held += own[at][kept].sum()
+                if learn and rest.any():
+                    x, g = x[rest], _gap(_forward(x[rest], w), y[at][rest], own[at][rest])
+                    grad = x.T @ g / max(own[at][rest].sum(), 1e-9) + l2 * w
+                    step += 1
+                    first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+                    w = (w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    n += int(rest.sum())
+        yield pd.DataFrame({"n": [n], "loss": [loss], "held": [float(held)], "w": [w.tobytes() if n else b""]})
+
+    for k in range(epochs + 1):
+        shared = spark.sparkContext.broadcast(weights)
+        found = placed.mapInPandas(lambda batches, s=shared, last=k == epochs: epoch(batches, s, not last), "n long, loss double, held double, w binary").collect()
+        history.append((k, sum(r["loss"] for r in found) / max(sum(r["held"] for r in found), 1e-9)))
+        if best is None or history[-1][1] < best[0]:
+            best = (history[-1][1], weights)
+        total = sum(r["n"] for r in found)
+        if total:
+            weights = sum(np.frombuffer(r["w"], np.float32).reshape(weights.shape) * np.float32(r["n"] / total) for r in found if r["n"])
+        shared.unpersist()
+    drop(placed)
+    return HeadModel(best[1], history)
+
+
+PREDICTION = "case_id long, prob double, " + ", ".join(f"{d} int" for d in config.DIMENSIONS) + ", category string, confidence double"
+
+
+def predict(rows: DataFrame, model: HeadModel, width: int) -> DataFrame:
+    """``case_id, prob, score, level``, the dimensions (0 to 100), ``category, confidence, uncertain`` per row of ``case_id, idx, val``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for frame in batches:
+            for a in range(0, len(frame), 256):
+                part = frame.iloc[a : a + 256]
+                x = _dense({c: part[c].to_numpy() for c in ("idx", "val")}, np.arange(len(part)), width)
+                p = _forward(x, m.weights)
+                q = np.clip(p[:, 0], 1e-6, 1 - 1e-6)
+                prob = 1 / (1 + np.exp(-np.log(q / (1 - q)) / m.temperature))
+                dims = np.rint(100 * p[:, DIMS]).astype(int)
+                best = p[:, CATS].argmax(1)
+                yield pd.DataFrame({"case_id": part["case_id"].to_numpy(), "prob": prob} | {d: dims[:, k] for k, d in enumerate(config.DIMENSIONS)} | {"category": [CATEGORY_NAMES[k] for k in best], "confidence": p[:, CATS].max(1).astype(float)})
+
+    found = rows.select("case_id", "idx", "val").mapInPandas(run, PREDICTION)
+    score = clamp(100 * F.col("prob"))
+    return found.withColumns({"score": score, "level": risk_level(score), "uncertain": F.col("prob").between(*config.UNCERTAIN)})
+
+
+def with_fallback(scores: DataFrame, predictions: DataFrame, mode: str = "blend") -> DataFrame:
+    """Rule scores (``case_id, score`` and the dimensions) blended with predictions, dimension by dimension; without a prediction the rules stay."""
+    guess = predictions.select("case_id", F.col("score").alias("__score"), *[F.col(d).alias(f"__{d}") for d in config.DIMENSIONS])
+    joined = scores.join(guess, "case_id", "left")
+    return joined.select("case_id", *[blend(F.col(c).cast("int"), F.col(f"__{c}"), mode).alias(c) for c in ("score", *config.DIMENSIONS)], F.col("__score").isNull().alias("rules_only"))
+
+
+def soft_targets(predictions: DataFrame) -> DataFrame:
+    """Labels for a smaller model from the predictions of a larger one: its probabilities as targets, its confidence as weight."""
+    return predictions.select("case_id", F.col("prob").alias("risk"), (F.col("prob") >= 0.5).alias("is_scam"), F.greatest(F.lit(0.2), F.col("confidence")).alias("weight"), "category", *[(F.col(d) / 100).alias(d) for d in config.DIMENSIONS])
+
+
+def attributions(rows: DataFrame, model: HeadModel, names: DataFrame, slots: tuple[str, ...], k: int = 8, buckets: int = BUCKETS) -> DataFrame:
+    """``case_id, feature, weight``: the k largest contributions (risk coefficient times value) per case, by name.
+
+    A slot has its own name, a bucket that of the first n-gram (``names``: case_id, bucket, gram) of the case that fell into it.
+    """
+    risk = F.lit([float(x) for x in model.weights[:-1, 0]])
+    each = rows.select("case_id", F.explode(F.arrays_zip("idx", "val")).alias("f")).select("case_id", F.col("f.idx").alias("bucket"), (F.element_at(risk, F.col("f.idx") + 1) * F.col("f.val")).alias("weight")).where("weight <> 0")
     best = Window.partitionBy("case_id").orderBy(F.desc(F.abs("weight")), "bucket")
-    return each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+    top = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    first = names.groupBy("case_id", "bucket").agg(F.min("gram").alias("gram"))
+    slot = F.element_at(F.array(*map(F.lit, slots)), F.greatest(F.lit(1), F.col("bucket") - buckets + 1))
+    return top.join(first, ["case_id", "bucket"], "left").select("case_id", F.when(F.col("bucket") >= buckets, slot).otherwise(F.col("gram")).alias("feature"), "weight")
+
+
+def bucket_of(gram: Column, buckets: int = BUCKETS, seed: int = 3) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), gram), F.lit(buckets)).cast("int")
+
+
+def sampling_plan(strata: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """``key, n, quota, share``: rows of each stratum, how many a balanced sample takes (alike for all, no more than there are), and that as a share.
+
+    ``strata`` has a row per row of the data; without ``total`` every stratum gives as many as the smallest one.
+    """
+    counts = strata.groupBy(key).agg(F.count("*").alias("n"))
+    every = Window.partitionBy()  # over one row per stratum
+    even = F.min("n").over(every) if total is None else F.floor(F.lit(total) / F.count("*").over(every))
+    return counts.withColumn("quota", F.least("n", even)).withColumn("share", F.col("quota") / F.col("n"))
+
+
+def balanced_sample(df: DataFrame, key: str, stratum: str, plan: DataFrame, seed: int = 29) -> DataFrame:
+    """Rows by a hash of their key under their stratum's share: about the quota of each, without ordering any stratum."""
+    shares = plan.select(F.col(stratum).alias("__s"), F.col("share").alias("__share"))
+    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
+    return df.join(shares, df[stratum].eqNullSafe(shares["__s"])).where(u < F.col("__share")).select(*df.columns)
+
+
+def isotonic(df: DataFrame, p: str, y: str = "y") -> DataFrame:
+    """``df`` with ``calibrated``: isotonic regression of ``y`` on ``p``, fitted on one weighted row per distinct score."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    points = df.groupBy(F.col(p).alias("__p")).agg(F.avg(y).alias("__y"), F.count("*").cast("double").alias("__w"))
+    model = IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w", predictionCol="calibrated").fit(points)
+    return model.transform(df.withColumn("__p", F.col(p))).drop("__p")
 
 
 def tempered(p: Column, temperature: float | Column) -> Column:

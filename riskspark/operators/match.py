@@ -1,7 +1,8 @@
 """Matching texts with rule tables: phrases, negative markers, contacts, calls to action.
 
-Rules are small tables that do not grow with the posts, so they are broadcast and each text is read once.
-Hits carry (source_ord, seg_no, rule_ord, pos), and "first" always means the smallest of these.
+Texts are rows (case_id, source_ord, source_field, place, time_s, text): the metadata, each spoken segment and each frame of a case; nothing is
+put together to one long text per case.  All rules go over a text in one projection: their patterns are literals, so each is compiled once, and a
+text that no rule meets is dropped first.  "First" always means the smallest of (place, rule_ord, pos).
 """
 
 from __future__ import annotations
@@ -12,9 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark import config
-from riskspark.functions.text import sentence_around
+from riskspark.functions.text import clip, sentence_around
 
 HIT = ("case_id", "lane", "source", "seg_no", "rule_ord", "pos", "confidence", "signal", "fragment", "time_s", "dim", "chip")
+SOURCES = ("Metadata", "Audio", "OCR")
+#: Rules that are made literals of one projection; a larger table is joined instead.
+RULES_MOST = 500
+PLACE = 10**12
 
 
 def meta_text(posts: DataFrame) -> DataFrame:
@@ -22,36 +27,48 @@ def meta_text(posts: DataFrame) -> DataFrame:
     return posts.select("case_id", F.lit(0).cast("long").alias("seg_no"), F.lit(None).cast("double").alias("time_s"), F.concat_ws("\n", *[F.when(F.col(c) != "", F.col(c)) for c in ("title", "description", "tags")]).alias("text"))
 
 
-def match_phrases(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """First place of each rule in each text: ``pos`` (1-based), ``size``, ``chip`` (label, or the matched text in lower case), ``fragment``.
+def all_texts(meta: DataFrame, speech: DataFrame, screen: DataFrame) -> DataFrame:
+    """The texts of a case as rows; each input: case_id, seg_no, time_s, text.  ``place`` orders them: metadata, then speech, then frames."""
+    parts = [(0, "description", meta), (1, "transcript", speech), (2, "ocr", screen)]
+    return reduce(DataFrame.unionByName, [df.select("case_id", F.lit(k).alias("source_ord"), F.lit(name).alias("source_field"), (F.lit(k * PLACE).cast("long") + F.col("seg_no")).alias("place"), "time_s", "text") for k, name, df in parts])
 
-    A literal phrase is a substring in lower case; a regex ignores case. The join's condition does the matching (broadcast nested loop).
+
+def quoted(pattern: str) -> str:
+    return "\\Q" + pattern + "\\E"
+
+
+def find_matches(texts: DataFrame, rules: DataFrame, every: bool = True) -> DataFrame:
+    """Occurrences of each rule in each text, with the rule's columns and ``pos`` (1-based), ``matched``, ``size``, ``chip``, ``fragment``.
+
+    ``rules``: ord (its number, unique), pattern, is_regex, label and what else is to be carried.  Case does not count.  The chip is the label, or
+    the matched text in lower case.  ``every=False`` gives the first occurrence only where all occurrences have the same chip.
+
+    Which rules a text meets is one array of tests on literals; places are looked for in the pairs that are left.
     """
-    low = F.lower("text")
-    found = F.when(F.col("is_regex"), F.expr("text rlike concat('(?iu)', pattern)")).otherwise(F.contains(low, F.lower("pattern")))
-    hits = texts.join(F.broadcast(rules), found)
-    before = F.expr("regexp_extract(text, concat('(?ius)^(.*?)(?:', pattern, ')'), 1)")
-    matched = F.when(F.col("is_regex"), F.expr("regexp_extract(text, concat('(?iu)', pattern), 0)")).otherwise(F.col("pattern"))
-    placed = hits.withColumn("pos", F.when(F.col("is_regex"), F.length(before) + 1).otherwise(F.expr("instr(lower(text), lower(pattern))"))).withColumn("size", F.length(matched))
-    return placed.withColumn("chip", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lower(F.trim(matched)))).withColumn("fragment", sentence_around(F.col("text"), F.col("pos"), F.col("size")))
-
-
-def find_matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every non-overlapping occurrence of each rule in each text: ``pos`` (1-based), ``matched``, ``size``, ``chip``, ``fragment``."""
-    pattern = F.expr("concat('(?iu)', case when is_regex then pattern else concat('\\\\Q', pattern, '\\\\E') end)")
-    hits = texts.join(F.broadcast(rules.withColumn("__p", pattern)), F.expr("text rlike __p"))
+    rows = rules.select("ord", "pattern", "is_regex").orderBy("ord").limit(RULES_MOST + 1).collect()
+    whole = F.expr("concat('(?iu)', case when is_regex then pattern else concat('\\\\Q', pattern, '\\\\E') end)")
+    if 0 < len(rows) <= RULES_MOST:
+        text, low = F.col("text"), F.lower("text")
+        met = [F.when(text.rlike("(?iu)" + r["pattern"]) if r["is_regex"] else F.contains(low, F.lit(r["pattern"].lower())), F.lit(r["ord"]).cast("int")) for r in rows]
+        any_rule = "(?iu)" + "|".join(r["pattern"] if r["is_regex"] else quoted(r["pattern"]) for r in rows)
+        pairs = texts.where(text.rlike(any_rule)).withColumn("ord", F.explode(F.array_compact(F.array(*met))))
+        hits = pairs.join(F.broadcast(rules.withColumn("__p", whole)), "ord")  # RULES_MOST rows at most
+    else:
+        hits = texts.join(rules.withColumn("__p", whole), F.expr("text rlike __p"))
     # An occurrence starts behind the gaps and occurrences before it.
-    found = hits.withColumn("__m", F.expr("regexp_extract_all(text, __p, 0)")).withColumn("__g", F.expr("split(text, __p, -1)"))
+    cut = hits.withColumn("__m", F.expr("regexp_extract_all(text, __p, 0)")).withColumn("__g", F.expr("split(text, __p, -1)"))
+    if not every:
+        cut = cut.withColumn("__m", F.when(F.col("is_regex") & (F.col("label") == ""), F.col("__m")).otherwise(F.slice("__m", 1, 1)))
     starts = F.expr("transform(__m, (m, i) -> struct(m as matched, 1 + aggregate(slice(__g, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(__m, 1, i), 0, (a, x) -> a + length(x)) as pos))")
-    each = found.withColumn("__o", F.explode(starts)).select(*texts.columns, *rules.columns, "__o.matched", "__o.pos").withColumn("size", F.length("matched"))
+    found = cut.withColumn("__o", F.explode(starts)).select(*texts.columns, *rules.columns, "__o.matched", "__o.pos").where("matched <> ''")
     shown = F.when(F.col("is_regex"), F.col("matched")).otherwise(F.col("pattern"))
-    return each.withColumn("chip", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lower(F.trim(shown)))).withColumn("fragment", sentence_around(F.col("text"), F.col("pos"), F.col("size")))
+    sized = found.withColumn("size", F.length("matched")).withColumn("chip", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lower(F.trim(shown))))
+    return sized.withColumn("fragment", sentence_around(F.col("text"), F.col("pos"), F.col("size")))
 
 
-def count_phrases(texts: DataFrame, rules: DataFrame) -> DataFrame:
+def count_phrases(found: DataFrame) -> DataFrame:
     """``case_id, ord, n``: all non-overlapping occurrences of each rule."""
-    pattern = F.expr("case when is_regex then concat('(?iu)', pattern) else concat('(?iu)\\\\Q', pattern, '\\\\E') end")
-    return texts.join(F.broadcast(rules), F.col("text").rlike("(?s).") ).withColumn("n", F.size(F.regexp_extract_all("text", pattern, F.lit(0)))).where("n > 0").groupBy("case_id", "ord").agg(F.sum("n").alias("n"))
+    return found.groupBy("case_id", "ord").agg(F.count("*").alias("n"))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -60,58 +77,65 @@ def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__first", F.row_number().over(w)).where("__first = 1").drop("__first")
 
 
-def scan(texts: DataFrame, rules: DataFrame, source: str) -> DataFrame:
-    """Dimension hits of one source; per case, dimension and chip the first by segment, rule and place."""
-    hits = first_per(match_phrases(texts, rules), ["case_id", "dim", "chip"], ["seg_no", "ord", "pos"])
-    return hits.select("case_id", F.lit(1).alias("lane"), F.lit(source).alias("source"), "seg_no", F.col("ord").alias("rule_ord"), "pos", F.col("weight").cast("double").alias("confidence"), F.col("chip").alias("signal"), "fragment", "time_s", "dim", "chip")
+def all_rules(lexicon: DataFrame, negatives: DataFrame, calls: DataFrame) -> DataFrame:
+    """One table of the three kinds of rules; ``ord`` is unique, ``rule_ord`` a rule's number within its kind.
 
+    A call counts with every text that it matches, so it has no label here and its tag is apart.
+    """
+    kinds = [("phrase", lexicon.withColumns({"signal": F.lit(""), "tag": F.lit("")})), ("negative", negatives.withColumns({"dim": F.lit("negative"), "is_regex": F.lit(False), "label": F.lit(""), "signal": F.lit(""), "tag": F.lit("")})), ("call", calls.withColumn("tag", F.col("label")).withColumn("label", F.lit("")))]
+    parts = [df.select((F.col("ord") + k * 1_000_000).alias("ord"), F.col("ord").alias("rule_ord"), F.lit(kind).alias("kind"), "dim", "pattern", "weight", "is_regex", "label", "signal", "tag") for k, (kind, df) in enumerate(kinds)]
+    return reduce(DataFrame.unionByName, parts)
 
-def scan_negatives(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits of negative markers in all texts of a case (``texts`` as for ``extract_links``), each marker once."""
-    ready = rules.select("ord", F.lit("negative").alias("dim"), "pattern", "weight", F.lit(False).alias("is_regex"), F.lit("").alias("label"))
-    placed = texts.select("case_id", F.col("source_ord").cast("long").alias("seg_no"), F.lit(None).cast("double").alias("time_s"), "text")
-    return scan(placed, ready, "Metadata")
 
+def scan(found: DataFrame) -> DataFrame:
+    """Dimension hits from matches of phrases (``find_matches`` with ``all_rules``); per case, source, dimension and chip the first."""
+    hits = first_per(found.where("kind = 'phrase'"), ["case_id", "source_ord", "dim", "chip"], ["place", "rule_ord", "pos"])
+    source = F.element_at(F.array(*map(F.lit, SOURCES)), F.col("source_ord") + 1)
+    return hits.select("case_id", F.lit(1).alias("lane"), source.alias("source"), F.col("place").alias("seg_no"), "rule_ord", "pos", F.col("weight").cast("double").alias("confidence"), F.col("chip").alias("signal"), "fragment", "time_s", "dim", "chip")
 
-def extract_links(texts: DataFrame) -> DataFrame:
-    """``case_id, kind, value, source_field``: contacts of all texts, each kind and value once, first source first.
 
-    ``texts``: case_id, source_ord, source_field, text. One pass per text: the five patterns are literals, so they are compiled once.
-    """
+def scan_negatives(found: DataFrame) -> DataFrame:
+    """Hits of negative markers in all texts of a case, each marker once, without a time."""
+    hits = first_per(found.where("kind = 'negative'"), ["case_id", "chip"], ["place", "rule_ord", "pos"])
+    return hits.select("case_id", F.lit(1).alias("lane"), F.lit("Metadata").alias("source"), F.col("place").alias("seg_no"), "rule_ord", "pos", F.col("weight").cast("double").alias("confidence"), F.col("chip").alias("signal"), "fragment", F.lit(None).cast("double").alias("time_s"), "dim", "chip")
+
+
+def extract_links(texts: DataFrame) -> DataFrame:
+    """``case_id, kind_ord, kind, value, source_field, place, at``: contacts of all texts, each kind and value once, first text first."""
 
     def found(k: int, kind: str, regex: str) -> Column:
         values = F.regexp_extract_all("text", F.lit("(?iu)" + regex), F.lit(1))
-        return F.transform(values, lambda v: F.struct(F.lit(k).alias("kind_ord"), F.lit(kind).alias("kind"), F.trim(v).alias("value")))
+        return F.transform(values, lambda v, i: F.struct(F.lit(k).alias("kind_ord"), F.lit(kind).alias("kind"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("value"), (i + 1).alias("at")))
 
     each = [found(k, kind, regex) for k, (kind, regex, *_) in enumerate(config.LINKS)]
-    rows = texts.select("case_id", "source_ord", "source_field", F.posexplode(F.concat(*each)).alias("at", "l")).select("case_id", "source_ord", "source_field", "at", "l.*").where("value <> ''")
-    return first_per(rows.withColumn("low", F.lower("value")), ["case_id", "kind", "low"], ["source_ord", "at"]).select("case_id", "kind_ord", "kind", "value", "source_ord", "source_field", "at")
+    rows = texts.select("case_id", "source_field", "place", F.explode(F.concat(*each)).alias("l")).select("case_id", "source_field", "place", "l.*").where("value <> ''")
+    return first_per(rows.withColumn("low", F.lower("value")), ["case_id", "kind", "low"], ["place", "at"]).select("case_id", "kind_ord", "kind", "value", "source_field", "place", "at")
 
 
 def link_hits(links: DataFrame) -> DataFrame:
     """A hit of source Metadata per link, with its kind's dimension and confidence."""
     kind = lambda at: F.element_at(F.create_map(*[x for k in config.LINKS for x in (F.lit(k[0]), F.lit(k[at]))]), F.col("kind"))
-    return links.select("case_id", F.lit(0).alias("lane"), F.lit("Metadata").alias("source"), F.lit(0).cast("long").alias("seg_no"), F.col("kind_ord").alias("rule_ord"), (F.col("source_ord") * 100000 + F.col("at")).cast("int").alias("pos"), kind(3).cast("double").alias("confidence"), F.concat(kind(4), F.lit(": "), "value").alias("signal"), F.col("value").alias("fragment"), F.lit(None).cast("double").alias("time_s"), kind(2).alias("dim"), F.col("value").alias("chip"))
+    return links.select("case_id", F.lit(0).alias("lane"), F.lit("Metadata").alias("source"), F.col("place").alias("seg_no"), F.col("kind_ord").alias("rule_ord"), F.col("at").alias("pos"), kind(3).cast("double").alias("confidence"), F.concat(kind(4), F.lit(": "), "value").alias("signal"), F.col("value").alias("fragment"), F.lit(None).cast("double").alias("time_s"), kind(2).alias("dim"), F.col("value").alias("chip"))
 
 
 def funnel_hits(links: DataFrame, kinds: DataFrame) -> DataFrame:
     """A behaviour hit per link, that is per case, kind of contact and value (equi-join with the kinds)."""
-    return links.join(F.broadcast(kinds), "kind").select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), F.lit(0).cast("long").alias("seg_no"), (100 + F.col("kind_ord")).alias("rule_ord"), (F.col("source_ord") * 100000 + F.col("at")).cast("int").alias("pos"), F.col("confidence").cast("double").alias("confidence"), F.concat("signal", F.lit(": "), "value").alias("signal"), F.col("value").alias("fragment"), F.lit(None).cast("double").alias("time_s"), "dim", F.col("value").alias("chip"))
+    return links.join(kinds, "kind").select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), F.col("place").alias("seg_no"), (100 + F.col("kind_ord")).alias("rule_ord"), F.col("at").alias("pos"), F.col("confidence").cast("double").alias("confidence"), F.concat("signal", F.lit(": "), "value").alias("signal"), clip(F.col("value")).alias("fragment"), F.lit(None).cast("double").alias("time_s"), "dim", F.col("value").alias("chip"))
 
 
 def call_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, d, p, w, True, tag, s) for k, (p, w, s, d, tag) in enumerate(config.CALLS)], "ord int, dim string, pattern string, weight int, is_regex boolean, label string, signal string")
 
 
-def call_hits(texts: DataFrame, rules: DataFrame, timed: DataFrame) -> DataFrame:
-    """Behaviour hits of calls to action in all texts of a case (``texts`` as for ``extract_links``), one per case, tag and matched text.
+def call_hits(found: DataFrame, timed: DataFrame) -> DataFrame:
+    """Behaviour hits of calls to action in all texts of a case, one per case, tag and matched text.
 
     Their time is that of the earliest row of ``timed`` (segments and frames) whose text contains the match.
     """
-    found = find_matches(texts, rules).withColumn("low", F.lower(F.trim("matched")))
-    once = first_per(found, ["case_id", "chip", "low"], ["ord", "source_ord", "pos"])
+    low = F.lower(F.trim("matched"))
+    once = first_per(found.where("kind = 'call'").withColumn("low", low), ["case_id", "tag", "low"], ["rule_ord", "place", "pos"])
     times = locate_times(once.select("case_id", F.col("low").alias("chip")), timed).withColumnRenamed("chip", "low")
-    return once.join(times, ["case_id", "low"], "left").select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), F.col("source_ord").cast("long").alias("seg_no"), F.col("ord").alias("rule_ord"), "pos", F.col("weight").cast("double").alias("confidence"), "signal", "fragment", "time_s", "dim", "chip")
+    return once.join(times.withColumnRenamed("time_s", "t"), ["case_id", "low"], "left").select("case_id", F.lit(2).alias("lane"), F.lit("Behavior").alias("source"), F.col("place").alias("seg_no"), "rule_ord", "pos", F.col("weight").cast("double").alias("confidence"), "signal", clip(F.trim("matched")).alias("fragment"), F.col("t").alias("time_s"), "dim", F.col("tag").alias("chip"))
 
 
 def locate_times(hits: DataFrame, timed: DataFrame) -> DataFrame:
@@ -133,12 +157,20 @@ def escalate(score: Column, text: Column, has_media: Column) -> Column:
 def image_labels(frames: DataFrame, prompts: DataFrame, least: float = config.VISION_LEAST, most: int = config.VISION_MOST) -> DataFrame:
     """Zero-shot labels: softmax over prompts of 100 * cosine per frame; labels with a dimension and p above ``least``, the best ``most`` per case.
 
-    ``prompts`` (number, label, dim, vector) is a handful of rows and is broadcast.
+    ``prompts`` (label, dim, vector) is a handful of rows: they are collected to one array that every frame is compared with in its own row, so
+    frames are shuffled once, by case, and only those with a label.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = frames.join(F.broadcast(prompts), F.lit(True)).withColumn("z", 100 * dot / (norm(F.col("embedding")) * norm(F.col("vector"))))
-    frame = Window.partitionBy("case_id", "frame")
-    p = scored.withColumn("e", F.exp(F.col("z") - F.max("z").over(frame))).withColumn("p", F.col("e") / F.sum("e").over(frame))
+    dot = lambda v, w: F.aggregate(F.zip_with(v, w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    rows = prompts.select("label", "dim", "vector").orderBy("label").limit(RULES_MOST + 1).collect()
+    if len(rows) > RULES_MOST:
+        raise ValueError(f"more than {RULES_MOST} prompts")
+    if not rows:
+        return frames.select("case_id", "frame", F.lit("").alias("label"), F.lit("").alias("dim"), F.lit(0.0).alias("p")).where(F.lit(False))
+    each = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["dim"]).alias("dim"), F.array(*map(F.lit, r["vector"])).alias("v")) for r in rows])
+    z = frames.withColumn("__n", norm(F.col("embedding"))).withColumn("__z", F.transform(each, lambda p: F.struct(p["label"].alias("label"), p["dim"].alias("dim"), (100 * dot(F.col("embedding"), p["v"]) / (F.col("__n") * norm(p["v"]))).alias("z"))))
+    top = z.withColumn("__m", F.array_max(F.transform("__z", lambda x: x["z"])))
+    e = top.withColumn("__e", F.transform("__z", lambda x: F.struct(x["label"].alias("label"), x["dim"].alias("dim"), F.exp(x["z"] - F.col("__m")).alias("e")))).withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x["e"]))
+    p = e.select("case_id", "frame", "__s", F.explode("__e").alias("x")).select("case_id", "frame", "x.label", "x.dim", (F.col("x.e") / F.col("__s")).alias("p"))
     best = Window.partitionBy("case_id").orderBy(F.desc("p"), "frame", "label")
     return p.where((F.col("dim") != "") & (F.col("p") > least)).withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= most).select("case_id", "frame", "label", "dim", "p")

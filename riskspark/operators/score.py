@@ -105,17 +105,23 @@ def fingerprint(posts: DataFrame, links: DataFrame) -> DataFrame:
     return posts.select("case_id", tags.alias("tags"), kb_text(text).alias("text")).join(handles, "case_id", "left").withColumn("handles", F.coalesce("handles", F.array().cast("array<string>")))
 
 
-def kb_similarity(prints: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``case_id, cluster, raw, kb_score`` of the most similar cluster (first on ties); below the least there is none.
+def kb_pairs(prints: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``case_id, cluster, ord, raw``: likeness of every case to every cluster of the knowledge base.
 
-    ``clusters`` (ord, cluster, handles, tags, keywords as arrays) is the broadcast knowledge base.
+    ``clusters`` (ord, cluster, handles, tags, keywords as arrays) is what every case is held against, so it is a stated query set; it is broadcast by
+    the optimiser where its size allows.
     """
     clusters = clusters.select("ord", "cluster", F.col("handles").alias("kb_handles"), F.col("tags").alias("kb_tags"), "keywords")
     jaccard = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
     covered = F.coalesce(F.size(F.filter("keywords", lambda k: F.contains(F.col("text"), k))) / F.nullif(F.size("keywords"), F.lit(0)), F.lit(0.0))
     a, b, c = config.KB_WEIGHTS
     raw = a * jaccard(F.col("handles"), F.col("kb_handles")) + b * jaccard(F.col("tags"), F.col("kb_tags")) + c * covered
-    scored = prints.crossJoin(F.broadcast(clusters)).select("case_id", "cluster", "ord", F.round(raw, 9).alias("raw"))
+    return prints.crossJoin(clusters).select("case_id", "cluster", "ord", F.round(raw, 9).alias("raw"))
+
+
+def kb_similarity(prints: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``case_id, cluster, raw, kb_score`` of the most similar cluster (first on ties); below the least there is none."""
+    scored = kb_pairs(prints, clusters)
     best = scored.groupBy("case_id").agg(F.max_by(F.struct("cluster", "raw"), F.struct("raw", -F.col("ord"))).alias("b"))
     near = F.col("b.raw") >= config.KB_LEAST
     return best.select("case_id", F.when(near, F.col("b.cluster")).otherwise("isolated").alias("cluster"), F.col("b.raw").alias("raw"), F.when(near, clamp(F.col("b.raw") * config.KB_SCALE)).otherwise(0).alias("kb_score"))

@@ -100,7 +100,7 @@ def image_card(images: DataFrame, most: int = config.FINDINGS_MOST) -> DataFrame
 
 def link_card(links: DataFrame, hits: DataFrame) -> DataFrame:
     """Different values joined; confidence of the strongest messenger or referral hit, else 70."""
-    order = F.array_sort(F.collect_list(F.struct("source_ord", "at", "value")))
+    order = F.array_sort(F.collect_list(F.struct("place", "kind_ord", "at", "value")))
     values = links.groupBy("case_id").agg(F.array_distinct(F.transform(order, lambda x: x["value"])).alias("values"))
     near = hits.where("dim in ('messenger', 'referral')").groupBy("case_id").agg(F.max("confidence").alias("c"))
     return values.join(near, "case_id", "left").select("case_id", F.lit("links").alias("type"), clamp(F.coalesce("c", F.lit(70.0))).alias("confidence"), quote(F.array_join("values", "; ")).alias("fragment"), F.array_join(F.slice("values", 1, config.FINDINGS_MOST), "|").alias("findings"))

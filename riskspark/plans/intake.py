@@ -62,7 +62,7 @@ def _(t):
     return t.pages.select("page_id", I.resolve_platform(F.lit(None).cast("string"), F.col("url")).alias("platform"))
 
 
-SCRAPED = r"list_filter(list_transform(list_filter(regexp_split_to_array(concat_ws(' ', title, description, tags, provided_transcript), '[ \n\t\r]+'), lambda w: starts_with(w, '#')), lambda w: regexp_replace(w, '[.,!?;:]+$', '')), lambda w: length(w) > 1)"
+SCRAPED = r"""list_filter(list_transform(regexp_split_to_array(concat_ws(' ', title, description, tags, provided_transcript), '[ \n\t\r]+'), lambda w: regexp_replace(w, '^[.,!?;:()\[\]{}"''«»]+|[.,!?;:()\[\]{}"''«»]+$', '', 'g')), lambda w: starts_with(w, '#') AND length(w) > 1)"""
 TAGGED = f"SELECT case_id, CASE WHEN len(g) > 0 THEN {DEDUP.format('g')} ELSE {DEDUP.format('s')}[1:12] END AS l FROM (SELECT case_id, {FORCED.format(COERCED)} AS g, {SCRAPED} AS s FROM posts)"
 
 
@@ -142,9 +142,14 @@ def _(t):
     return C.unpack_cases(broken, "id BIGINT, title STRING, score INT")
 
 
-@query("io19_export_examples", with_("posts") + "SELECT count(*) AS n FROM posts")
+# The lines themselves, taken apart again by each engine's own JSON reader.
+LINE = "json_object('case_id', case_id, 'title', title, 'tags', tags, 'is_scam', case_id % 2 = 0)"
+
+
+@query("io19_export_examples", with_("posts") + f"SELECT case_id, title, tags, is_scam FROM (SELECT (l ->> 'case_id')::BIGINT AS case_id, l ->> 'title' AS title, l ->> 'tags' AS tags, (l ->> 'is_scam')::BOOLEAN AS is_scam FROM (SELECT {LINE} AS l FROM posts))")
 def _(t):
-    return C.to_lines(t.posts.select("case_id", "title", "tags")).agg(F.count("line").alias("n"))
+    lines = C.to_lines(t.posts.select("case_id", "title", "tags", (F.col("case_id") % 2 == 0).alias("is_scam")))
+    return lines.select(F.from_json("line", "case_id BIGINT, title STRING, tags STRING, is_scam BOOLEAN").alias("x")).select("x.*")
 
 
 VERSIONS = [(1, "2024-01-01", 0.91), (2, "2024-01-05", 0.94), (3, "2024-02-01", 0.93)]
@@ -173,8 +178,8 @@ simple("tx2_meta_text", lambda: F.sha2(T.joined([F.col("title"), F.col("descript
 KB = "translate(lower(trim({0})), 'ё', 'е')"
 simple("tx3_kb_text", lambda: F.sha2(T.kb_text(F.col("description")), 256), f"sha256({KB.format('description')})")
 simple("tx4_kb_handle", lambda: T.kb_handle(F.coalesce(F.col("url"), F.lit("@Some_Name/"))), "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + KB.format("coalesce(url, '@Some_Name/')") + r", '^https?://', ''), '^t\.me/', ''), '^telegram\.me/', ''), '^@', ''), '^/+|/+$', '', 'g')")
-TAG = "regexp_replace(" + KB.format("split_part(tags, ' ', 1)") + ", '^#+', '')"
-simple("tx5_kb_tag", lambda: T.kb_tag(F.split_part(F.col("tags"), F.lit(" "), F.lit(1))), f"CASE WHEN replace({TAG}, '_', '') = '' THEN '' ELSE '#' || replace({TAG}, '_', '') END")
+TAG = "regexp_replace(" + KB.format("x") + ", '^#+', '')"
+simple("tx5_kb_tag", lambda: F.array_join(F.transform(I.coerce_hashtags(F.col("tags")), T.kb_tag), "|"), f"array_to_string(list_transform({COERCED}, lambda x: CASE WHEN replace({TAG}, '_', '') = '' THEN '' ELSE '#' || replace({TAG}, '_', '') END), '|')")
 AROUND = r"trim(regexp_extract(substr(description, 1, p0 - 1), '[^.!?\n]*\z') || substr(description, p0, 5) || regexp_extract(substr(description, p0 + 5), '^[^.!?\n]*'))"
 simple("tx6_sentence_around", lambda: T.sentence_around(F.col("description"), F.greatest(F.instr("description", "the"), F.lit(1)), F.lit(5)), f"CASE WHEN length({AROUND}) > 160 THEN rtrim(substr({AROUND}, 1, 160)) || '…' ELSE {AROUND} END", P, "posts")
 ORACLES["tx6_sentence_around"] = ORACLES["tx6_sentence_around"].removesuffix("FROM posts") + "FROM (SELECT *, greatest(instr(description, 'the'), 1) AS p0 FROM posts)"
@@ -184,7 +189,7 @@ simple("tx8_quote", lambda: T.quote(F.col("description")), f"CASE WHEN {FLAT} =
 SEC = "CAST(round_even(greatest((case_id - 100) * 2.5::DOUBLE, 0), 0) AS BIGINT)"
 
 
-@query("tx9_clock", P + f"SELECT case_id, lpad(CAST({SEC} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({SEC} % 60 AS VARCHAR), 2, '0') AS long_form, CAST({SEC} // 60 AS VARCHAR) || ':' || lpad(CAST({SEC} % 60 AS VARCHAR), 2, '0') AS short_form FROM posts WHERE case_id < 2000")
+@query("tx9_clock", P + f"SELECT case_id, lpad(CAST({SEC} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({SEC} % 60 AS VARCHAR), 2, '0') AS long_form, CAST({SEC} // 60 AS VARCHAR) || ':' || lpad(CAST({SEC} % 60 AS VARCHAR), 2, '0') AS short_form FROM posts")
 def _(t):
     s = (F.col("case_id") - 100) * 2.5
     return t.posts.select("case_id", T.clock(s).alias("long_form"), T.short_clock(s).alias("short_form"))
@@ -263,10 +268,14 @@ def _(t):
     return t.posts.select("case_id", T.suspicious_tags(I.coerce_hashtags(F.col("tags")), TAG_ANCHORS).alias("v"))
 
 
-@query("tx24_top_ngrams", P.rstrip() + ",\n" + GRAMS + "SELECT case_id, gram, n FROM (SELECT case_id, gram, sum(weight) AS n, min(pos) AS pos FROM grams GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, pos) <= 5")
+INNER = """, within AS (SELECT case_id, w, pos, unnest([3, 4, 5]) AS n FROM toks), cut AS (SELECT case_id, w, pos, n, unnest(range(1, length(w) - n + 2)) AS k FROM within WHERE length(w) >= n),
+weighed AS (SELECT case_id, gram, pos::BIGINT AS pos, weight FROM grams UNION ALL SELECT case_id, substr(w, k, n), 1000000000000 + pos * 1000000 + n * 100000 + k, 1 FROM cut)
+"""
+
+
+@query("tx24_top_ngrams", P.rstrip() + ",\n" + GRAMS + INNER + "SELECT case_id, gram, n::BIGINT AS n FROM (SELECT case_id, gram, sum(weight) AS n, min(pos) AS pos FROM weighed GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, pos) <= 5")
 def _(t):
-    tokens = t.posts.select("case_id", T.words(F.col("description")).alias("w"))
-    return top_ngrams(tokens.select("case_id", T.word_ngrams(F.col("w")).alias("grams")), 5)
+    return top_ngrams(t.posts.select("case_id", T.words(F.col("description")).alias("w")), 5)
 
 
 LABELS = [("critical", "Критический", "Critical"), ("high", "Высокий", "High"), ("medium", "Средний", "Medium"), ("low", "Низкий", "Low")]

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions import text as T
 from riskspark.operators import learning as L
 from riskspark.plans.base import query
-from riskspark.plans.scoring import Scored, chain
+from riskspark.operators.features import SLOTS
+from riskspark.plans.scoring import CHAIN, Features, Scored, chain
+from riskspark.session import materialise
 from riskspark.sources.fixtures import with_
 
+class RawTexts:
+    """Inputs whose posts are the documents' texts and nothing else."""
+
+    def __init__(self, t):
+        self.t = t
+
+    def __getattr__(self, name):
+        if name == "posts":
+            empty, none = F.lit(""), F.lit(None).cast("string")
+            return self.t.documents.select(F.col("doc_id").alias("case_id"), empty.alias("title"), F.col("text").alias("description"), empty.alias("tags"), none.alias("filename"), none.alias("provided_transcript"))
+        found = getattr(self.t, name)
+        return found.where(F.lit(False)) if name in ("segments", "ocr", "visual") else found
+
+
 WEIGHT = "greatest(0.2::DOUBLE, least(1::DOUBLE, least(abs(score - 40), abs(score - 65), abs(score - 88)) / (CASE WHEN score < 40 THEN 20 WHEN score < 65 THEN 12.5 WHEN score < 88 THEN 11.5 ELSE 6 END)::DOUBLE))"
 
 
 @query("ml1_weak_labels", chain("SELECT case_id, score / 100::DOUBLE AS risk, score >= 50 AS is_scam, category, profit / 100 AS profit FROM category"))
 def _(t):
-    return L.weak_labels(Scored(t).cases).select("case_id", "risk", "is_scam", "category", "profit")
+    return L.weak_labels(Scored(t).graded).select("case_id", "risk", "is_scam", "category", "profit")
 
 
 @query("ml2_label_weight", with_("posts") + f"SELECT case_id, round({WEIGHT}, 6) AS weight FROM (SELECT case_id, (case_id % 101)::DOUBLE AS score FROM posts)")
@@ -24,6 +42,16 @@ def _(t):
     return t.posts.select("case_id", F.round(L.label_weight((F.col("case_id") % 101).cast("double")), 6).alias("weight"))
 
 
+# Raw texts as posts of their own, without speech, frames or links to media.
+RAW = "SELECT doc_id AS case_id, '' AS title, text AS description, '' AS tags, CAST(NULL AS VARCHAR) AS filename, CAST(NULL AS VARCHAR) AS provided_transcript FROM documents"
+RAW_CHAIN = CHAIN | {"posts": RAW} | {n: f"SELECT * FROM ({CHAIN[n]}) WHERE FALSE" for n in ("segments", "ocr", "visual")}
+
+
+@query("ml3_label_texts", with_(**RAW_CHAIN) + "SELECT case_id, score / 100::DOUBLE AS risk, score >= 50 AS is_scam, category FROM category")
+def _(t):
+    return L.weak_labels(Scored(RawTexts(t)).graded).select("case_id", "risk", "is_scam", "category")
+
+
 @query("ml4_merge_labels", "SELECT doc_id AS case_id, coalesce(l.toxic, d.doc_id % 2) AS y FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(t):
     weak = t.documents.select(F.col("doc_id").alias("case_id"), (F.col("doc_id") % 2).cast("long").alias("y"))
@@ -32,7 +60,7 @@ def _(t):
 
 @query("ml5_training_table", chain("SELECT case_id, round(least(1, greatest(0, score / 100::DOUBLE)), 6) AS y, " + ", ".join(f"round({d} / 100, 6) AS {d}" for d in config.DIMENSIONS) + " FROM category"))
 def _(t):
-    w = L.weak_labels(Scored(t).cases)
+    w = L.weak_labels(Scored(t).graded)
     return w.select("case_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "risk")), 6).alias("y"), *[F.round(d, 6).alias(d) for d in config.DIMENSIONS])
 
 
@@ -42,6 +70,7 @@ def _(t):
 
 
 GRAM_ROWS = lambda t: t.posts.select("case_id", T.words(F.col("description")).alias("w")).select("case_id", F.explode(T.word_ngrams(F.col("w"))).alias("gram"))
+WIDTH = L.BUCKETS + len(SLOTS)
 
 
 @query("ml7_hashed_features")
@@ -49,22 +78,94 @@ def _(t):
     return L.hashed_features(GRAM_ROWS(t)).withColumn("value", F.round("value", 6))
 
 
-def _training(t):
-    rows = L.sparse_rows(L.hashed_features(GRAM_ROWS(t)))
-    y = (F.col("case_id") % 10).isin(0, 1, 2, 5, 6).cast("double")
-    return rows.withColumn("y", y).withColumn("w", F.lit(1.0))
+class Learned:
+    """Vectors, weak labels and a model of all heads over the fixtures."""
+
+    def __init__(self, t):
+        self.t, self.s = t, Scored(t)
+
+    @cached_property
+    def rows(self):
+        return materialise(L.vectors(L.hashed_features(GRAM_ROWS(self.t)), Features(self.s).slots))
+
+    @cached_property
+    def labelled(self):
+        return materialise(L.stratified_split(L.weak_labels(self.s.graded), "case_id", "is_scam"))
+
+    @cached_property
+    def model(self):
+        goals = L.targets(self.labelled).join(self.labelled.select("case_id", "held"), "case_id")
+        return L.train_heads(self.rows.join(goals, "case_id"), WIDTH)
+
+    @property
+    def predictions(self):
+        return L.predict(self.rows, self.model, WIDTH)
+
+
+def shown(df):
+    return df.withColumns({c: F.round(c, 4) for c in ("prob", "confidence") if c in df.columns})
+
+
+@query("ml6_split_members")
+def _(t):
+    return L.stratified_split(t.documents.select("doc_id", "lang"), "doc_id", "lang")
+
+
+@query("ml8_vectors")
+def _(t):
+    return Learned(t).rows.select("case_id", F.size("idx").alias("n"), F.round(F.aggregate("val", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("ml10_train_and_predict")
 def _(t):
-    rows = _training(t)
-    return L.predict(rows, L.train_logistic(rows)).withColumn("p", F.round("p", 4))
+    return shown(Learned(t).predictions)
+
+
+@query("ml10_history")
+def _(t):
+    m = Learned(t).model
+    return t.spark.createDataFrame([(k, round(x, 6), k == m.best_epoch) for k, x in m.history], "epoch int, held_loss double, best boolean")
+
+
+@query("ml12_predictions")
+def _(t):
+    one = Learned(t)
+    return shown(one.predictions).join(one.labelled.select("case_id", F.col("risk").alias("target"), "held"), "case_id")
+
+
+@query("ml13_with_fallback")
+def _(t):
+    one = Learned(t)
+    # Every third case has no prediction, as if no model had seen it: the rules stay.
+    return L.with_fallback(one.s.graded, one.predictions.where("case_id % 3 <> 0"))
+
+
+@query("ml16_isotonic")
+def _(t):
+    return L.isotonic(t.scored, "p_model").select("id", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("ml17_attributions")
 def _(t):
-    rows = _training(t)
-    return L.attributions(rows, L.train_logistic(rows, epochs=4)).withColumn("weight", F.round("weight", 4))
+    one = Learned(t)
+    names = GRAM_ROWS(t).select("case_id", L.bucket_of(F.col("gram")).alias("bucket"), "gram")
+    return L.attributions(one.rows, one.model, names, SLOTS).withColumn("weight", F.round("weight", 4))
+
+
+@query("ml22_sampling_plan", "SELECT lang, n, least(n, min(n) OVER ()) AS quota, round(least(n, min(n) OVER ()) / n::DOUBLE, 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
+def _(t):
+    return L.sampling_plan(t.documents.select("lang"), "lang").withColumn("share", F.round("share", 6))
+
+
+@query("ml22_balanced_sample")
+def _(t):
+    docs = t.documents.select("doc_id", "lang")
+    return L.balanced_sample(docs, "doc_id", "lang", L.sampling_plan(docs, "lang"))
+
+
+@query("ml23_soft_targets")
+def _(t):
+    return L.soft_targets(Learned(t).predictions).select("case_id", F.round("risk", 4).alias("risk"), "is_scam", "category")
 
 
 GRID = "SELECT 0.25::DOUBLE * pow(40::DOUBLE, k / 40::DOUBLE) AS t FROM (SELECT unnest(range(41)) AS k)"

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +18,52 @@ def build(name: str = "riskspark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names, which the driver and all executors see.
+
+    Where none is set, a temporary one is made on a local master (tests); on a cluster that is an error, as a machine's own folder is not shared.
+    """
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskspark-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files are removed as soon as it has ended; the session's own setting is put back."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once to the session's checkpoint folder; a folder is set only where none is."""
+    """Write ``df`` once to the shared folder as Parquet and go on from there, with its shuffle files removed.
+
+    A lost executor then costs the step at hand, not those before it.  A table that was written has no known partitioning, so a join with it
+    puts a plain exchange on both sides, which is the shape that adaptive execution can split when a key is hot.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskspark-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

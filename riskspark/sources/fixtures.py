@@ -25,19 +25,19 @@ def values(rows: list[tuple] | tuple, names: str) -> str:
 
 
 SNIPPETS = [
-    (0, "Гарантированный доход от 500 000 тенге в месяц! Пиши + в директ, осталось 5 мест. Только сегодня", "#заработок, #ПассивныйДоход #заработок", "https://www.instagram.com/p/1", None, "my_first-clip.mp4", None),
-    (1, "Онлайн казино без риска: промокод WIN777, жми ссылку t.me/casino_lux_kz", "#казино #easymoney", "vm.tiktok.com/xyz", "TikTok", None, "Слушай: онлайн казино платит"),
-    (2, "Приведи 3 друзей и получи бонус. Whatsapp: +7 701 123 45 67. По моей ссылке bit.ly/abc123", "", "https://youtu.be/abc", "Unknown", None, None),
-    (3, "Сегодня готовим борщ по бабушкиному рецепту", "#кухня", None, None, "C:/video/borsch.mov", None),
-    (4, "Осторожно мошенники: как распознать обман, финграмотность для всех", "#финграмотность", "https://facebook.com/w", None, None, None),
-    (5, "Earn fast money today, guaranteed profit, limited offer! DM me @fast_money_team", "#EasyMoney,#easymoney,#invest", "https://t.me/some", None, None, "Fast money every day"),
-    (6, "к а з и н о б3з вложений, д0ход каждый день. Доход каждый день", None, None, "Telegram", None, None),
+    (0, "Деньги на автопилоте: 500 000 тенге за вечер! Ставь плюс и стучись в телегу, последние 5 кресел. Успей до полуночи, плачу 300 и плачу 900", "#деньгизавечер, #КухняДома #деньгизавечер", "https://www.instagram.com/p/1", None, "my_first-clip.mp4", None),
+    (1, "Крутим барабаны без риска: промокод WIN777, код ABC123, тапай сюда t.me/casino_lux_kz", "#фартит #quickcash", "vm.tiktok.com/xyz", "TikTok", None, "Слушай: крутим барабаны весь день"),
+    (2, "Зови 3 и получи бонус за каждого друга. Зови 7! Whatsapp: +7 701 123 45 67. Вход по коду: cutt.ly/abc123", "", "https://youtu.be/abc", "Unknown", None, None),
+    (3, "Сегодня готовим борщ по бабушкиному рецепту (#борщ) «#ужин»", None, None, None, "C:/video/borsch.mov", None),
+    (4, "Осторожно мошенники! Берегитесь обмана: разбор уловок, финансовая грамотность для всех", "#финграмотность", "https://vk.com/w", None, None, None),
+    (5, "Double your cash today, money while you sleep, offer ends tonight! Text me @fast_money_team", "#QuickCash,#quickcash,#invest", "https://t.me/some", None, None, "Double your cash every day"),
+    (6, "б а р а б а н ы б3з вложений, д0ход. Капает на карту, капает на карту", None, None, "Telegram", None, None),
     (7, "Тек бүгін ақша табу оңай, telegram арнамызға жазыл @tez_aqsha", "#Без_вложений", "http://example.com/a", None, None, ""),
     (8, "", None, "", "", "", ""),
     (9, None, None, None, None, None, None),
 ]
-SPOKEN = [(0, "гарантированный доход"), (1, None), (2, "жми ссылку и приведи 2 друзей"), (3, "онлайн казино"), (4, "")]
-SHOWN = [(0, "промокод WIN777"), (1, "free spins"), (2, None)]
+SPOKEN = [(0, "деньги на автопилоте"), (1, None), (2, "тапай сюда и зови 2 друзей"), (3, "крутим барабаны, берегитесь обмана"), (4, "")]
+SHOWN = [(0, "промокод WIN777"), (1, "lucky wheel"), (2, "зови 9")]
 
 POSTS = f"""SELECT d.doc_id AS case_id, CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE substr(d.text, 1, 40) END AS title,
  concat_ws(chr(10), d.text, v.snippet) AS description, v.tags AS tags, v.url AS url, v.platform AS platform, v.filename AS filename,
@@ -46,9 +46,9 @@ POSTS = f"""SELECT d.doc_id AS case_id, CASE WHEN d.doc_id % 4 = 0 THEN NULL ELS
 SEGMENTS = f"""SELECT c.conv_id AS case_id, c.turn AS seg_no, CAST(5 * c.turn AS DOUBLE) AS start_s, CAST(5 * c.turn + 4 AS DOUBLE) AS end_s,
  CASE WHEN c.turn = 3 THEN ' ' ELSE concat_ws(' ', c.text, v.phrase) END AS text
  FROM conversations c JOIN {values(SPOKEN, "k, phrase")} ON (c.conv_id + c.turn) % 5 = v.k"""
-OCR = f"""SELECT b.item_id % 25 AS case_id, CAST(b.item_id % 7 * 3 AS DOUBLE) AS time_s, b.item_id AS frame, concat_ws(' ', b.text, v.phrase) AS text,
+OCR = f"""SELECT CAST(floor(b.item_id / 8) AS BIGINT) AS case_id, CAST(b.item_id % 7 * 3 AS DOUBLE) AS time_s, b.item_id AS frame, concat_ws(' ', b.text, v.phrase) AS text,
  CAST(40 + b.item_id % 60 AS DOUBLE) AS confidence FROM benchmark b JOIN {values(SHOWN, "k, phrase")} ON b.item_id % 3 = v.k"""
-VISUAL = f"""SELECT e.vec_id % 250 AS case_id, CAST(e.vec_id % 90 AS DOUBLE) AS time_s, e.vec_id AS frame, v.label AS label, v.dim AS dim,
+VISUAL = f"""SELECT CAST(floor(e.vec_id / 4) AS BIGINT) AS case_id, CAST(e.vec_id % 90 AS DOUBLE) AS time_s, e.vec_id AS frame, v.label AS label, v.dim AS dim,
  CAST(e.vec_id * 37 % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS score FROM embeddings e JOIN {values([(k, *p) for k, p in enumerate(config.PROMPTS)], "k, label, dim")} ON e.label = v.k"""
 MEDIA = "SELECT doc_id AS case_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 200 AS DOUBLE) END AS duration_s FROM documents"
 #: Scores of a model and of the rules against a label, with ties.

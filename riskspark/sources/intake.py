@@ -56,11 +56,11 @@ def resolve_platform(platform: Column, url: Column) -> Column:
 
 
 def resolve_hashtags(tags: Column, *texts: Column) -> Column:
-    """Given tags, or the first 12 ``#words`` of the texts without punctuation at their ends."""
+    """Given tags, or the first 12 ``#words`` of the texts; punctuation, brackets and quotes around a word are taken off first."""
     given = first_of_each(forced(coerce_hashtags(tags)))
     text = F.concat_ws(" ", *texts)
-    found = F.transform(F.filter(F.split(text, r"[ \n\t\r]+"), lambda w: w.startswith("#")), lambda w: F.regexp_replace(w, r"[.,!?;:]+$", ""))
-    scraped = F.slice(first_of_each(F.filter(found, lambda w: F.length(w) > 1)), 1, 12)
+    bare = F.transform(F.split(text, r"[ \n\t\r]+"), lambda w: F.regexp_replace(w, r"^[.,!?;:()\[\]{}\"'«»]+|[.,!?;:()\[\]{}\"'«»]+$", ""))
+    scraped = F.slice(first_of_each(F.filter(bare, lambda w: w.startswith("#") & (F.length(w) > 1))), 1, 12)
     return F.when(F.size(given) > 0, given).otherwise(scraped)
 
 

@@ -2,11 +2,15 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark import config
+from riskspark import config, session
 from riskspark.functions import text as T
+from riskspark.operators import features as X
+from riskspark.operators import graph as G
+from riskspark.operators import learning as K
 from riskspark.operators import match as M
 from riskspark.operators import metrics as E
 from riskspark.operators import score as S
@@ -99,20 +103,56 @@ def test_text_folding(spark):
     assert [one(spark, T.language_hint(F.lit(x))) for x in ("", "привет", "hello", "сәлем")] == ["", "ru", "en", "kz"]
 
 
+TEXT = "case_id long, source_ord int, source_field string, place long, time_s double, text string"
+
+
 def test_hits_of_all_texts(spark):
     """Calls and markers that are only spoken or shown count; each matched text, and each contact, is a hit of its own."""
-    texts = spark.createDataFrame([(1, 0, "description", "Осталось 5 мест, осталось 3 мест. ОСТАЛОСЬ 5 МЕСТ"), (1, 1, "transcript", "тут жми ссылку"), (1, 2, "ocr", "dm me, это обман")], "case_id long, source_ord int, source_field string, text string")
-    speech = spark.createDataFrame([(1, 2, 10.0, "тут"), (1, 3, 15.0, "Жми ссылку")], "case_id long, seg_no long, time_s double, text string")
-    screen = spark.createDataFrame([(1, 7, 3.0, "жми ссылку dm me")], "case_id long, seg_no long, time_s double, text string")
-    got = M.call_hits(texts, M.call_rules(spark), speech.unionByName(screen)).collect()
-    assert sorted((r["chip"], r["seg_no"], r["pos"], r["time_s"]) for r in got) == [("dm me", 2, 1, 3.0), ("жми ссылку", 1, 5, 3.0), ("осталось N мест", 0, 1, None), ("осталось N мест", 0, 18, None)]
-    rules = spark.createDataFrame([(0, "обман", 40)], "ord int, pattern string, weight int")
-    assert [(r["chip"], r["dim"], r["time_s"]) for r in M.scan_negatives(texts, rules).collect()] == [("обман", "negative", None)]
-    links = M.extract_links(spark.createDataFrame([(1, 0, "description", "t.me/first_one и t.me/second_one")], "case_id long, source_ord int, source_field string, text string"))
+    rows = [(1, 0, "description", 0, None, "Зови 5 человек, зови 3. ЗОВИ 5"), (1, 1, "transcript", M.PLACE + 2, 10.0, "тут"), (1, 1, "transcript", M.PLACE + 3, 15.0, "Тапай сюда"), (1, 2, "ocr", 2 * M.PLACE + 7, 3.0, "тапай сюда text me, это обман")]
+    texts = spark.createDataFrame(rows, TEXT)
+    lexicon = spark.createDataFrame([(0, "referral", "человек", 50, False, "")], "ord int, dim string, pattern string, weight int, is_regex boolean, label string")
+    negatives = spark.createDataFrame([(0, "обман", 40)], "ord int, pattern string, weight int")
+    found = M.find_matches(texts, M.all_rules(lexicon, negatives, M.call_rules(spark)), every=False)
+    got = M.call_hits(found, texts.where("source_ord > 0").select("case_id", "time_s", "text")).collect()
+    assert sorted((r["chip"], r["seg_no"], r["pos"], r["time_s"], r["fragment"]) for r in got) == [("text me", 2 * M.PLACE + 7, 12, 3.0, "text me"), ("зови N", 0, 1, None, "Зови 5"), ("зови N", 0, 17, None, "зови 3"), ("тапай сюда", M.PLACE + 3, 1, 3.0, "Тапай сюда")]
+    assert [(r["chip"], r["dim"], r["time_s"]) for r in M.scan_negatives(found).collect()] == [("обман", "negative", None)]
+    assert [(r["chip"], r["source"], r["pos"]) for r in M.scan(found).collect()] == [("человек", "Metadata", 8)]
+    links = M.extract_links(spark.createDataFrame([(1, 0, "description", 0, None, "t.me/first_one и t.me/second_one"), (1, 1, "transcript", M.PLACE, 0.0, "код ABC123, cutt.ly/x1 и T.ME/First_One")], TEXT))
+    assert sorted((r["kind"], r["value"]) for r in links.collect()) == [("promocode", "ABC123"), ("telegram", "first_one"), ("telegram", "second_one"), ("url", "cutt.ly/x1")]
     kinds = spark.createDataFrame([("telegram", "messenger", 70, "Канал")], "kind string, dim string, confidence int, signal string")
     assert sorted(r["signal"] for r in M.funnel_hits(links, kinds).collect()) == ["Канал: first_one", "Канал: second_one"]
 
 
+def test_rules_as_literals_or_joined(spark, monkeypatch):
+    """A rule table beyond the bound of literals gives the same matches by a join; no rules, no matches."""
+    texts = spark.createDataFrame([(1, "Зови 5. ЗОВИ 12 друзей (a.b) 😀 a.b"), (2, ""), (3, None)], "case_id int, text string")
+    rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "зови [0-9]+", True, ""), (2, "друзей", False, "d")], "ord int, pattern string, is_regex boolean, label string")
+    found = lambda **how: sorted((r["ord"], r["pos"], r["matched"], r["chip"]) for r in M.find_matches(texts, rules, **how).collect())
+    want = [(0, 25, "a.b", "a.b"), (0, 32, "a.b", "a.b"), (1, 1, "Зови 5", "зови 5"), (1, 9, "ЗОВИ 12", "зови 12"), (2, 17, "друзей", "d")]
+    assert found() == want
+    assert found(every=False) == [x for x in want if x[:2] != (0, 32)]
+    assert M.find_matches(texts, rules.limit(0)).count() == 0
+    monkeypatch.setattr(M, "RULES_MOST", 1)
+    assert found() == want
+
+
+def test_fixed_formats(spark):
+    """Hand-worked rows of hosts, tags, look-alikes and categories."""
+    places = [("https://vk.com/a", "VK"), ("m.vkvideo.ru/x", "VK"), ("https://facebook.com/x", "Instagram"), ("https://t.me/x", "Telegram"), (None, "Instagram")]
+    got = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(places)], "k int, u string").select("k", I.resolve_platform(F.lit(None).cast("string"), F.col("u")).alias("p"))
+    assert [r["p"] for r in got.orderBy("k").collect()] == [p for _, p in places]
+    assert one(spark, F.array_join(I.resolve_hashtags(F.lit(None).cast("string"), F.lit("(#win) «#tag» #win, #, x#y \"#q\"")), "|")) == "#win|#tag|#q"
+    assert one(spark, T.fold_lookalikes(F.lit("KA3NHO 1@$5"))) == "каепно иаѕѕ"
+    neg = spark.createDataFrame([(t, 50.0, 0.0, 0.0, 0.0, 10) for t in ("Разоблачаем схему", "образовательный ролик", "как не попасться", "объясняю простыми словами", "иное")], "text string, neg double, gambling double, referral double, profit double, score int")
+    assert [r["c"] for r in neg.select(S.category(neg, F.col("text")).alias("c")).collect()] == ["educational_antifraud", "educational", "educational_antifraud", "educational", "no_violation"]
+
+
+def test_top_ngrams(spark):
+    rows = spark.createDataFrame([(1, ["abcd", "xy", "abcd", "xy"]), (2, []), (3, None)], "case_id long, w array<string>")
+    # Words weigh 1, pairs 2; abcd holds abc, bcd and itself once more, each twice.
+    assert [(r["case_id"], r["gram"], r["n"]) for r in X.top_ngrams(rows, 4).collect()] == [(1, "abcd", 4), (1, "abcd xy", 4), (1, "xy", 2), (1, "xy abcd", 2)]
+
+
 def test_every_occurrence(spark):
     texts = spark.createDataFrame([(1, "a.b A.B axb 12 3")], "case_id int, text string")
     rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "[0-9]+", True, "")], "ord int, pattern string, is_regex boolean, label string")
@@ -155,3 +195,80 @@ def test_timeline_of_deduplicated_events(spark):
     got = registry.queries()["wn3_timeline"](spark, sf).collect()
     assert sorted((r["case_id"], r["id"], r["source"], r["signal"]) for r in got) == sorted(want)
     assert len(want) < raw
+
+
+def test_split_members(spark):
+    """Every stratum gives its share, one row at least, and the same rows however the table lies."""
+    df = spark.createDataFrame([(k, "abc"[min(2, k // 300)] if k else None) for k in range(607)], "id long, s string")
+    got = {r["id"]: r["held"] for r in K.stratified_split(df, "id", "s", cells=16).collect()}
+    again = {r["id"]: r["held"] for r in K.stratified_split(df.repartition(5), "id", "s", cells=16).collect()}
+    assert got == again and len(got) == 607
+    for low, high, want in ((0, 1, 1), (1, 300, 44), (300, 600, 45), (600, 607, 1)):
+        assert sum(got[k] for k in range(low, high)) == want
+
+
+def test_heads_learn(spark):
+    """Risk, dimensions and categories are learned from planted features; the best epoch wins; a missing prediction leaves the rules."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(600):
+        bad = k % 2
+        idx = [int(rng.integers(0, 20)), 20 + bad, 30 + k % 3]
+        rows.append((k, idx, [1.0, 1.0, 1.0], [float(bad)] + [bad * 0.8] + [0.1] * 7 + [float(c == k % 3) for c in range(7)], 1.0, k % 7 == 0))
+    df = spark.createDataFrame(rows, "case_id long, idx array<int>, val array<double>, y array<double>, w double, held boolean")
+    model = K.train_heads(df, 40, parts=3)
+    assert model.history[model.best_epoch][1] == min(x for _, x in model.history) < model.history[0][1] / 2
+    got = {r["case_id"]: r for r in K.predict(df, model, 40).collect()}
+    held = [k for k in range(600) if k % 7 == 0]
+    assert all((got[k]["prob"] >= 0.5) == (k % 2 == 1) for k in held)
+    assert all(got[k]["category"] == K.CATEGORY_NAMES[k % 3] for k in held)
+    assert abs(got[7]["profit"] - 80) < 15 and got[14]["profit"] < 20
+    scores = spark.createDataFrame([(1, 10, *[10] * 8), (7000, 40, *[5] * 8)], "case_id long, score int, " + ", ".join(f"{d} int" for d in config.DIMENSIONS))
+    mixed = {r["case_id"]: r for r in K.with_fallback(scores, K.predict(df, model, 40)).collect()}
+    assert (mixed[7000]["score"], mixed[7000]["urgency"], mixed[7000]["rules_only"]) == (40, 5, True)
+    assert mixed[1]["score"] == round(0.6 * got[1]["score"] + 4) and not mixed[1]["rules_only"]
+
+
+def test_isotonic(spark):
+    """Against pooling of adjacent violators, written plainly."""
+    rng = np.random.default_rng(9)
+    data = [(k, float(rng.integers(0, 12)) / 12, int(rng.random() < 0.5)) for k in range(80)]
+    blocks = []
+    for p in sorted({x[1] for x in data}):
+        ys = [y for _, q, y in data if q == p]
+        blocks.append([sum(ys), len(ys), [p]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            y, n, ps = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + y, blocks[-1][1] + n, blocks[-1][2] + ps]
+    want = {p: y / n for y, n, ps in blocks for p in ps}
+    got = K.isotonic(spark.createDataFrame(data, "id long, p double, y int"), "p").collect()
+    assert len(got) == 80 and all(abs(r["calibrated"] - want[r["p"]]) < 1e-9 for r in got)
+
+
+def test_sampling_plan(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 10 == 0]) for k in range(5000)], "id long, s string")
+    plan = K.sampling_plan(df, "s")
+    assert sorted((r["s"], r["n"], r["quota"]) for r in plan.collect()) == [("a", 4500, 500), ("b", 500, 500)]
+    taken = K.balanced_sample(df, "id", "s", plan).groupBy("s").count().collect()
+    assert all(abs(r["count"] - 500) < 90 for r in taken)
+
+
+def test_components_of_a_graph(spark):
+    links = [(1, 2), (2, 3), (5, 6), (9, 7), (7, 8), (3, 9)]
+    got = {r["case_id"]: r["cluster"] for r in G.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 5: 5, 6: 5}
+
+
+def test_no_private_folder_on_a_cluster():
+    """Off a local master a session without a checkpoint folder is told so."""
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {"spark.checkpoint.dir": None}
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session)
