@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from riskspark.llm.common import documents, shared_folder
+from riskspark.llm.common import documents, drop, shared_folder
+from riskspark.session import shuffles_freed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents without any letter (language ``und``) go; the others stay with their own columns."""
+    """Operator 7: documents of no language (``und``: without any letter) go; the others stay with their own columns, a missing lang filled in."""
     return language_id.keep_known(docs)
 
 
@@ -53,21 +54,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-#: Rows of one Arrow batch while the stages run; with Spark's default of 10000 whole texts a batch alone takes tens of MB, in the JVM and in Python.
-BATCH_ROWS = 1000
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``; the session's own batch size is set back afterwards."""
+    """Apply all stages to the documents of ``sf_dir``; a stage's folder is deleted when the next one is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, BATCH_ROWS)
-    try:
-        for k, (_, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
+        with shuffles_freed(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    finally:
-        spark.conf.set(BATCH_CONF, before)
+        if k:
+            drop(docs)
+        docs = spark.read.parquet(f"{folder}/{k}")
+        docs.written_to = f"{folder}/{k}"
     return docs
