@@ -13,22 +13,58 @@ def by_score(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*keys, F.col(p).alias("p")).agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("neg"))
 
 
+def running(steps: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], down: bool = False, cells: int = 1024) -> DataFrame:
+    """Sums of ``columns`` over the scores before each row's (``before_...``), scores rising or falling.
+
+    Scores between 0 and 1 lie in ``cells`` ranges.  Ranges are summed first (that many rows per key), then each range by itself, so no task
+    sees all scores, however many are distinct.
+    """
+    way = F.desc if down else F.asc
+    placed = steps.withColumn("__cell", F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(F.col("p") * cells))))
+    sums = placed.groupBy(*keys, "__cell").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    earlier = Window.partitionBy(*keys).orderBy(way("__cell")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "__cell", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in columns])
+    within = Window.partitionBy(*keys, "__cell").orderBy(way("p")).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(offsets, [*keys, "__cell"])
+    return joined.select(*steps.columns, *[(F.col(f"__{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in columns])
+
+
 def auroc(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve with ties at half; 0.5 if one class is missing."""
-    below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    wins = by_score(df, p, keys).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    total = wins.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("a"), F.sum("neg").alias("b"))
+    wins = running(by_score(df, p, keys), keys, ("neg",))
+    total = wins.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     return total.select(*keys, F.when((F.col("a") == 0) | (F.col("b") == 0), 0.5).otherwise(F.col("w") / (F.col("a").cast("double") * F.col("b"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Step integral of precision over recall, tied scores together."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by_score(df, p, keys).withColumn("tp", F.sum("pos").over(down)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(down))
-    total = steps.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / F.col("n")).alias("s"), F.sum("pos").alias("a"))
+    steps = running(by_score(df, p, keys), keys, ("pos", "neg"), down=True).withColumn("tp", F.col("before_pos") + F.col("pos"))
+    n = F.col("tp") + F.col("before_neg") + F.col("neg")
+    total = steps.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / n).alias("s"), F.sum("pos").alias("a"))
     return total.select(*keys, F.when(F.col("a") == 0, 0.0).otherwise(F.col("s") / F.col("a")).alias("ap"))
 
 
+def quantiles(df: DataFrame, key: str, value: str, qs: list[float], cells: int = 1024) -> DataFrame:
+    """``key, q, v``: exact quantiles per key, linear between neighbours.
+
+    Values are counted in ``cells`` equal ranges per key; only the ranges that hold a wanted rank are ordered, on distinct values with counts.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    bounds = counted.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(cells - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells))).otherwise(0).cast("int")
+    placed = counted.join(bounds, "k").select("k", "v", "c", cell.alias("cell"))
+    before = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("k", "cell").agg(F.sum("c").alias("in_cell")).withColumn("before", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
+    at = bounds.select("k", F.explode(F.array(*map(F.lit, qs))).alias("q"), "n").withColumn("at", F.col("q") * (F.col("n") - 1))
+    ranks = at.select("k", "q", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    wanted = ranks.join(ranges, "k").where("rank >= before and rank < before + in_cell").select("k", "q", "at", "rank", "cell", "before")
+    inside = Window.partitionBy("k", "cell").orderBy("v")
+    ordered = placed.join(wanted.select("k", "cell", "before").distinct(), ["k", "cell"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    met = wanted.join(ordered.select("k", "cell", "v", (F.col("upto") - F.col("c")).alias("since"), "upto"), ["k", "cell"]).where("rank >= since and rank < upto")
+    ends = met.groupBy("k", "q", "at").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    return ends.select(F.col("k").alias(key), "q", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("v"))
+
+
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 
@@ -57,12 +93,12 @@ def reliability(df: DataFrame, p: str, bins: int = config.ECE_BINS) -> DataFrame
 def error_and_correlation(df: DataFrame, key: str, truth: str, guess: str) -> DataFrame:
     """Mean absolute error and Pearson correlation (0 for a constant side) per key."""
     flat = (F.stddev_pop(truth) < 1e-12) | (F.stddev_pop(guess) < 1e-12)
-    return df.groupBy(key).agg(F.avg(F.abs(F.col(truth) - F.col(guess))).alias("mae"), F.when(flat, 0.0).otherwise(F.coalesce(F.corr(truth, guess), F.lit(0.0))).alias("r"))
+    return df.groupBy(key).agg(F.avg(F.abs(F.col(truth) - F.col(guess))).alias("mae"), F.when(flat, 0.0).otherwise(F.coalesce(F.try_divide(F.covar_pop(truth, guess), F.stddev_pop(truth) * F.stddev_pop(guess)), F.lit(0.0))).alias("r"))
 
 
 def threshold_at_fpr(df: DataFrame, p: str, target: float = 0.10) -> DataFrame:
     """The (1 - target) quantile of the negatives, linear."""
-    return df.where("y = 0").agg(F.percentile(p, 1 - target).alias("threshold"))
+    return quantiles(df.where("y = 0").withColumn("__all", F.lit(0)), "__all", p, [1 - target]).select(F.col("v").alias("threshold"))
 
 
 def rates_at(df: DataFrame, p: str, threshold: Column) -> tuple[Column, Column]:
@@ -90,6 +126,14 @@ def sliced_metrics(df: DataFrame) -> DataFrame:
     return classification(s, "p", keys=keys).join(auroc(s, "p", keys), list(keys)).join(average_precision(s, "p", keys), list(keys))
 
 
+def sliced_delta(df: DataFrame) -> DataFrame:
+    """Per slice how much the model is above the rules, metric by metric: one pivot of ``sliced_metrics``."""
+    each = sliced_metrics(df)
+    names = [c for c in each.columns if c not in ("slice", "predictor", "n")]
+    of = lambda who, c: F.max(F.when(F.col("predictor") == who, F.col(c)))
+    return each.groupBy("slice").agg(*[(of("model", c) - of("rules", c)).alias(c) for c in names])
+
+
 def uncertainty(df: DataFrame, p: str, band: tuple[float, float] = config.UNCERTAIN) -> DataFrame:
     """Share of rows in the uncertain band; error rates inside and outside."""
     inside = (F.col(p) >= band[0]) & (F.col(p) <= band[1])
@@ -103,13 +147,27 @@ def agreement(df: DataFrame) -> DataFrame:
     return df.agg(same(m, F.col("y")).alias("model_truth"), same(r, F.col("y")).alias("rule_truth"), same(m, r).alias("model_rule"))
 
 
+def decile_edges(df: DataFrame, key: str, value: str, bins: int = config.PSI_BINS) -> DataFrame:
+    """``key, edges``: the inner quantiles of each key, equal ones once; the ends are open."""
+    return quantiles(df, key, value, [k / bins for k in range(1, bins)]).groupBy(key).agg(F.array_sort(F.collect_set("v")).alias("edges"))
+
+
+def baseline_bins(df: DataFrame, key: str, value: str, bins: int = config.PSI_BINS) -> DataFrame:
+    """``key, bin, edge, share``: every bin's upper edge (null for the last) and share of the key's rows."""
+    edges = decile_edges(df, key, value, bins)
+    counts = df.join(edges, key).groupBy(key, F.size(F.filter("edges", lambda e: e < F.col(value))).alias("bin")).agg(F.count("*").alias("n"))
+    every = edges.select(key, "edges", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(counts, [key, "bin"], "left").select(key, "bin", F.try_element_at("edges", F.col("bin") + 1).alias("edge"), (n / F.sum(n).over(Window.partitionBy(key))).alias("share"))
+
+
 def psi(values: DataFrame, baseline: Column, key: str, value: str, bins: int = config.PSI_BINS, floor: float = config.PSI_FLOOR) -> DataFrame:
     """Population stability index per key: bins at the baseline's deciles, shares floored and scaled to 1 again.
 
-    The edges are one row per key; each value finds its bin by counting the edges below it.
+    The edges are one row per key, joined by key; each value finds its bin by counting the edges below it.
     """
-    edges = values.where(baseline).groupBy(key).agg(F.array_sort(F.array_distinct(F.percentile(value, [k / bins for k in range(1, bins)]))).alias("edges"))
-    placed = values.join(F.broadcast(edges), key).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
+    edges = decile_edges(values.where(baseline), key, value, bins)
+    placed = values.join(edges, key).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
     counts = placed.groupBy(key, "bin").agg(F.sum(F.when(baseline, 1).otherwise(0)).alias("b"), F.sum(F.when(baseline, 0).otherwise(1)).alias("c"))
     every = edges.select(key, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     w = Window.partitionBy(key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark import config
+from riskspark.operators import documents as D
 from riskspark.operators import graph as G
 from riskspark.operators import timeline as L
 from riskspark.plans.base import query
@@ -171,9 +172,21 @@ def _(t):
     return G.related(g.kb, g.rows)
 
 
-@query("gr4_nodes", GRAPH + "SELECT case_id, 'n' || k AS id, type, label FROM nodes")
+LABEL = "SELECT case_id, coalesce(nullif(substr(trim(title), 1, 40), ''), nullif(substr(filename, 1, 40), ''), 'case') AS label FROM posts"
+
+
+def _labels(t):
+    return t.posts.select("case_id", F.coalesce(F.nullif(F.substring(F.trim("title"), 1, 40), F.lit("")), F.nullif(F.substring("filename", 1, 40), F.lit("")), F.lit("case")).alias("label"))
+
+
+@query("gr4_nodes", GRAPH + f"SELECT case_id, 'n' || k AS id, type, label FROM nodes UNION ALL SELECT case_id, 'v1', 'video', label FROM ({LABEL})")
+def _(t):
+    return G.with_center(Graph(t).nodes, _labels(t))
+
+
+@query("gr4_edges", GRAPH + "SELECT case_id, 'e' || k AS id, 'v1' AS source, 'n' || k AS target, CASE type WHEN 'telegram' THEN 'contact' WHEN 'hashtag' THEN 'hashtag' ELSE 'similar' END AS type FROM nodes")
 def _(t):
-    return Graph(t).nodes.select("case_id", "id", "type", "label")
+    return G.edges(Graph(t).nodes)
 
 
 @query("gr5_ring", GRAPH + "SELECT case_id, 'n' || k AS id, round(50 + (35 + 4 * ((k - 1) % 3)) * cos(2 * pi() * (k - 1) / count(*) OVER (PARTITION BY case_id)), 4) AS x, round(50 + (35 + 4 * ((k - 1) % 3)) * sin(2 * pi() * (k - 1) / count(*) OVER (PARTITION BY case_id)), 4) AS y FROM nodes")
@@ -189,14 +202,16 @@ def _(t):
     return n.join(g.kb, "case_id").join(sizes, "cluster", "left").select("case_id", F.greatest(F.coalesce("size", F.lit(0)), "n").cast("long").alias("size"))
 
 
-@query("gr7_central_label", with_("posts") + "SELECT case_id, coalesce(nullif(substr(trim(title), 1, 40), ''), nullif(substr(filename, 1, 40), ''), 'case') AS label FROM posts")
+@query("gr7_central_label", with_("posts") + LABEL)
 def _(t):
-    return t.posts.select("case_id", F.coalesce(F.nullif(F.substring(F.trim("title"), 1, 40), F.lit("")), F.nullif(F.substring("filename", 1, 40), F.lit("")), F.lit("case")).alias("label"))
+    return _labels(t)
 
 
-@query("gr8_node_counts", GRAPH + "SELECT case_id, type, count(*) AS n FROM nodes GROUP BY 1, 2")
+@query("gr8_node_counts", GRAPH + "SELECT case_id, type, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT case_id, 'edges', count(DISTINCT 'n' || k) FROM nodes GROUP BY 1")
 def _(t):
-    return Graph(t).nodes.groupBy("case_id", "type").agg(F.count("*").alias("n"))
+    nodes = Graph(t).nodes
+    links = G.edges(nodes).groupBy("case_id").agg(F.lit("edges").alias("type"), F.count_distinct("source", "target").alias("n"))
+    return nodes.groupBy("case_id", "type").agg(F.count("*").alias("n")).unionByName(links)
 
 
 ENTITIES = "SELECT DISTINCT case_id, lower(label) AS entity FROM (SELECT case_id, label FROM handles UNION ALL SELECT case_id, label FROM top_tags)"
@@ -215,3 +230,10 @@ def _(t):
 @query("gr9_components")
 def _(t):
     return G.components(G.shared_edges(_entities(t)))
+
+
+@query("ag18_case_documents")
+def _(t):
+    s, g = Scored(t), Graph(t)
+    cards = [L.speech_card(s.hits, I.assemble_transcripts(t.segments, t.posts)), L.screen_card(s.hits, t.ocr), L.image_card(t.visual), L.hit_card(s.hits, "Metadata", "metadata", t.posts.select("case_id", I.coerce_hashtags(F.col("tags")).alias("tags"))), L.link_card(s.links, s.hits), L.hit_card(s.hits, "Behavior", "engagement")]
+    return D.case_documents(t.posts, s.cases, s.boosted, L.build_timeline(L.dedup(L.candidates(s.hits, t.visual))), cards, G.with_center(g.nodes, _labels(t)), G.edges(g.nodes))

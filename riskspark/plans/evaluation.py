@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from riskspark.operators import metrics as E
 from riskspark.plans.base import query
-from riskspark.plans.scoring import Scored, chain
-from riskspark.sources.fixtures import with_
+from riskspark.plans.intake import BY_HOST, HOST, VALID
+from riskspark.plans.scoring import CHAIN, Scored, chain
+from riskspark.sources import intake as I
+from riskspark.sources.fixtures import SQL, with_
 
 W = with_("scored")
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -92,6 +94,22 @@ def _(t):
     return rounded(E.sliced_metrics(t.scored), "slice", "predictor", "n")
 
 
+METRICS = ("accuracy", "precision", "recall", "f1", "brier", "auroc", "ap")
+
+
+@query("ev10_delta", with_("scored", sliced=SLICED, m=f"SELECT slice, predictor, {', '.join(METRICS)} FROM ({cls_sql('sliced', 'p', 'slice, predictor')}) JOIN ({auroc_sql('sliced', 'p', 'slice, predictor')}) USING (slice, predictor) JOIN ({ap_sql('sliced', 'p', 'slice, predictor')}) USING (slice, predictor)") + "SELECT a.slice, " + ", ".join(f"round(a.{c} - b.{c}, 6) AS {c}" for c in METRICS) + " FROM m a JOIN m b USING (slice) WHERE a.predictor = 'model' AND b.predictor = 'rules'")
+def _(t):
+    return rounded(E.sliced_delta(t.scored), "slice")
+
+
+# The eight dimensions before and after the knowledge base has its say, as two readings of the same cases.
+@query("ev6_dimensions", chain("SELECT a.dim, round(avg(abs(a.value - b.value)), 6) AS mae, round(CASE WHEN stddev_pop(a.value) < 1e-12 OR stddev_pop(b.value) < 1e-12 THEN 0 ELSE corr(a.value, b.value) END, 6) AS r FROM dim_rows a JOIN boosted b USING (case_id, dim) GROUP BY 1"))
+def _(t):
+    s = Scored(t)
+    pairs = s.dims.select("case_id", "dim", F.col("value").cast("double").alias("truth")).join(s.boosted.select("case_id", "dim", F.col("value").cast("double").alias("guess")), ["case_id", "dim"])
+    return rounded(E.error_and_correlation(pairs, "dim", "truth", "guess"), "dim")
+
+
 INSIDE = "p_model >= 0.4 AND p_model <= 0.6"
 WRONG = "CAST((CASE WHEN p_model >= 0.5 THEN 1 ELSE 0 END) <> y AS INT)"
 
@@ -132,11 +150,21 @@ def _(t):
     return t.scored.orderBy(F.desc(flagged), F.abs(F.col("p_model") - 0.5), "id").limit(50).select("id", F.round(0.5 - F.abs(F.col("p_model") - 0.5), 6).alias("uncertainty"))
 
 
-@query("io18_review_queue", W + "SELECT count(*) AS n FROM scored WHERE p_model >= 0.4 AND p_model <= 0.6")
+@query("io18_review_queue", W + "SELECT id, round(p_model, 6) AS p_model, round(0.5 - abs(p_model - 0.5), 6) AS uncertainty FROM scored WHERE p_model >= 0.4 AND p_model <= 0.6")
 def _(t):
     from riskspark.sources.cases import to_lines
 
-    return to_lines(t.scored.where("p_model >= 0.4 and p_model <= 0.6").select("id", "p_model")).agg(F.count("line").alias("n"))
+    lines = to_lines(t.scored.where("p_model >= 0.4 and p_model <= 0.6").select("id", "p_model", (0.5 - F.abs(F.col("p_model") - 0.5)).alias("uncertainty")))
+    return rounded(lines.select(F.from_json("line", "id BIGINT, p_model DOUBLE, uncertainty DOUBLE").alias("x")).select("x.*"), "id")
+
+
+@query("io20_metrics_document", W + f"SELECT n, accuracy, f1, auroc, ap FROM ({r6(cls_sql('scored', 'p_model'), 'accuracy', 'f1', keep='n')}), ({r6(auroc_sql('scored', 'p_model'), 'auroc')}), ({r6(ap_sql('scored', 'p_model'), 'ap')})")
+def _(t):
+    from riskspark.sources.cases import metrics_document
+
+    one = metrics_document({"classification": E.classification(t.scored, "p_model"), "ranking": E.auroc(t.scored, "p_model").crossJoin(E.average_precision(t.scored, "p_model"))})
+    found = one.select(F.from_json("document", "classification STRUCT<n: BIGINT, accuracy: DOUBLE, f1: DOUBLE>, ranking STRUCT<auroc: DOUBLE, ap: DOUBLE>").alias("d"))
+    return rounded(found.select("d.classification.*", "d.ranking.*"), "n")
 
 
 DRIFT = """WITH v AS (SELECT event_type AS k, value AS v, ts < TIMESTAMP '2024-01-16' AS base FROM events), e AS (SELECT k, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM v WHERE base GROUP BY 1),
@@ -150,10 +178,17 @@ def _events(t):
     return t.events.select(F.col("event_type").alias("k"), F.col("value").alias("v"), (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("base"))
 
 
-@query("ml24_baseline", "SELECT event_type AS k, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS lo, max(value) AS hi, min(value) = max(value) AS constant, round(quantile_cont(value, 0.1), 6) AS d1, round(quantile_cont(value, 0.9), 6) AS d9 FROM events GROUP BY 1")
+@query("ml24_baseline", "SELECT event_type AS k, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS lo, max(value) AS hi, min(value) = max(value) AS constant FROM events GROUP BY 1")
 def _(t):
     e = t.events
-    return e.groupBy(F.col("event_type").alias("k")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.min("value") == F.max("value")).alias("constant"), F.round(F.percentile("value", 0.1), 6).alias("d1"), F.round(F.percentile("value", 0.9), 6).alias("d9"))
+    return e.groupBy(F.col("event_type").alias("k")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.min("value") == F.max("value")).alias("constant"))
+
+
+@query("ml24_bins", """WITH v AS (SELECT event_type AS k, value AS v FROM events), e AS (SELECT k, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM v GROUP BY 1),
+c AS (SELECT k, len(list_filter(edges, lambda x: x < v)) AS bin, count(*) AS n FROM v JOIN e USING (k) GROUP BY 1, 2), a AS (SELECT k, edges, unnest(range(len(edges) + 1)) AS bin FROM e)
+SELECT k, bin::INT AS bin, round(edges[bin + 1], 6) AS edge, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY k), 6) AS share FROM a LEFT JOIN c USING (k, bin)""")
+def _(t):
+    return rounded(E.baseline_bins(t.events.select(F.col("event_type").alias("k"), F.col("value").cast("double").alias("v")), "k", "v"), "k", "bin")
 
 
 @query("ml25_psi", DRIFT + "SELECT k, round(psi, 6) AS psi FROM psi")
@@ -166,21 +201,28 @@ def _(t):
     return E.psi(_events(t), F.col("base"), "k", "v").agg(F.count_if(F.col("psi") > 0.2).alias("flagged"), F.round(F.max("psi"), 6).alias("worst"), F.round(F.avg("psi"), 6).alias("mean"))
 
 
+@query("ml26_top_features", DRIFT + "SELECT k AS feature, round(psi, 6) AS psi, psi > 0.2 AS flagged FROM psi ORDER BY psi DESC, k LIMIT 15")
+def _(t):
+    top = E.psi(_events(t), F.col("base"), "k", "v").orderBy(F.desc("psi"), "k").limit(15)
+    return top.select(F.col("k").alias("feature"), F.round("psi", 6).alias("psi"), (F.col("psi") > 0.2).alias("flagged"))
+
+
 # ---- dashboard -------------------------------------------------------------------------------------------------------
 STATUS = "CASE case_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'review' ELSE 'closed' END"
-BOARD = chain("").rstrip() + ",\nboard AS (SELECT o.case_id, score, level, category, created, " + STATUS + " AS status, coalesce(title, '') AS title FROM category o JOIN (SELECT case_id, created, title FROM posts) USING (case_id))\n"
+BOARD = chain("").rstrip() + ",\nboard AS (SELECT o.case_id, score, level, category, created, " + STATUS + f" AS status, coalesce(title, '') AS title, CASE WHEN platform IN {VALID} THEN platform {BY_HOST} ELSE 'Instagram' END AS platform FROM category o JOIN (SELECT case_id, created, title, platform, {HOST} AS h FROM posts) USING (case_id))\n"
 
 
 def _board(t):
     status = F.when(F.col("case_id") % 3 == 0, "new").when(F.col("case_id") % 3 == 1, "review").otherwise("closed")
-    return Scored(t).cases.select("case_id", "score", "level", "category").join(t.posts.select("case_id", "created", F.coalesce("title", F.lit("")).alias("title")), "case_id").withColumn("status", status)
+    posts = t.posts.select("case_id", "created", F.coalesce("title", F.lit("")).alias("title"), I.resolve_platform(F.col("platform"), F.col("url")).alias("platform"))
+    return Scored(t).graded.select("case_id", "score", "level", "category").join(posts, "case_id").withColumn("status", status)
 
 
-def filter_queue(board, text=None, level=None, status=None):
+def filter_queue(board, text=None, level=None, status=None, platform=None):
     """Optional conditions, all of which must hold."""
     if text:
         board = board.where(F.contains(F.lower("title"), F.lit(text.lower())))
-    for column, value in (("level", level), ("status", status)):
+    for column, value in (("level", level), ("status", status), ("platform", platform)):
         if value:
             board = board.where(F.col(column) == value)
     return board
@@ -191,10 +233,23 @@ def _(t):
     return filter_queue(_board(t), "The", status="review").select("case_id", "score", "level")
 
 
-@query("db2_kpis", BOARD + "SELECT count(*) AS analysed, count(*) FILTER (score >= 65) AS high, count(*) FILTER (status = 'review') AS review, count(*) FILTER (created >= DATE '2024-01-22') - count(*) FILTER (created < DATE '2024-01-22' AND created >= DATE '2024-01-15') AS delta FROM board")
+@query("db1_shown", BOARD + "SELECT count(*) FILTER (status = 'review' AND platform = 'Instagram') AS shown, count(*) AS total FROM board")
+def _(t):
+    # Conditions as an aggregate, so that shown and total are one pass over the board.
+    return _board(t).agg(F.count_if((F.col("status") == "review") & (F.col("platform") == "Instagram")).alias("shown"), F.count("*").alias("total"))
+
+
+NEW, OLD = "created >= DATE '2024-01-22'", "created < DATE '2024-01-22' AND created >= DATE '2024-01-15'"
+KPIS = {"analysed": "TRUE", "high": "score >= 65", "review": "status = 'review'"}
+
+
+@query("db2_kpis", BOARD + ", seen AS (SELECT b.*, cluster FROM board b LEFT JOIN kb USING (case_id)) SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}, count(*) FILTER ({c} AND {NEW}) - count(*) FILTER ({c} AND {OLD}) AS {n}_delta" for n, c in KPIS.items()) + f", count(DISTINCT cluster) FILTER (cluster <> 'isolated') AS clusters, count(DISTINCT cluster) FILTER (cluster <> 'isolated' AND {NEW}) - count(DISTINCT cluster) FILTER (cluster <> 'isolated' AND {OLD}) AS clusters_delta FROM seen")
 def _(t):
-    new, old = F.col("created") >= "2024-01-22", (F.col("created") < "2024-01-22") & (F.col("created") >= "2024-01-15")
-    return _board(t).agg(F.count("*").alias("analysed"), F.count_if(F.col("score") >= 65).alias("high"), F.count_if(F.col("status") == "review").alias("review"), (F.count_if(new) - F.count_if(old)).alias("delta"))
+    seen = _board(t).join(Scored(t).kb.select("case_id", F.nullif("cluster", F.lit("isolated")).alias("cluster")), "case_id", "left")
+    new, old = F.expr(NEW), F.expr(OLD)
+    counts = [x for n, c in KPIS.items() for x in (F.count_if(F.expr(c)).alias(n), (F.count_if(F.expr(c) & new) - F.count_if(F.expr(c) & old)).alias(f"{n}_delta"))]
+    clusters = lambda when: F.count_distinct(F.when(when, F.col("cluster")))
+    return seen.agg(*counts, clusters(F.lit(True)).alias("clusters"), (clusters(new) - clusters(old)).alias("clusters_delta"))
 
 
 @query("db3_daily_trend", BOARD + "SELECT created, count(*) AS analysed, count(*) FILTER (score >= 65) AS high, count(*) FILTER (score >= 40) AS flagged FROM board GROUP BY 1")
@@ -221,11 +276,29 @@ def _(t):
     return Scored(t).hits.where("time_s is not null").groupBy("source", severity(F.col("confidence")).alias("severity")).agg(F.count("*").alias("n"))
 
 
-@query("db7_emerging_clusters", chain("SELECT cluster, count(*) AS matches, count(*) FILTER (created >= DATE '2024-01-22') AS recent, round(avg(score), 6) AS mean_risk FROM kb JOIN overall USING (case_id) JOIN (SELECT case_id, created FROM posts) USING (case_id) WHERE cluster <> 'isolated' GROUP BY 1"))
+DURATION = "SELECT p.case_id, coalesce(m.duration_s, s.x, f.x, 0) AS duration_s FROM posts p LEFT JOIN media m USING (case_id) LEFT JOIN (SELECT case_id, max(end_s) x FROM segments GROUP BY 1) s USING (case_id) LEFT JOIN (SELECT case_id, max(time_s) x FROM (SELECT case_id, time_s FROM ocr UNION ALL SELECT case_id, time_s FROM visual) GROUP BY 1) f USING (case_id)"
+
+
+@query("db6_positions", with_(**CHAIN, media=SQL["media"], lengths=DURATION) + "SELECT h.case_id, source, signal, time_s, round(CASE WHEN duration_s > 0 THEN least(100, 100 * time_s / duration_s) ELSE 0 END, 6) AS percent FROM hits h JOIN lengths USING (case_id) WHERE time_s IS NOT NULL AND source = 'Audio'")
+def _(t):
+    timed = Scored(t).hits.where("time_s is not null and source = 'Audio'")
+    lengths = I.resolve_duration(t.posts, t.media, t.segments, t.ocr, t.visual)
+    percent = F.when(F.col("duration_s") > 0, F.least(F.lit(100.0), 100 * F.col("time_s") / F.col("duration_s"))).otherwise(0.0)
+    return timed.join(lengths, "case_id").select("case_id", "source", "signal", "time_s", F.round(percent, 6).alias("percent"))
+
+
+ACCOUNTS = "SELECT account, min(created) AS first_seen FROM (SELECT lower(value) AS account, created FROM links JOIN (SELECT case_id, created FROM posts) USING (case_id) WHERE kind = 'telegram') GROUP BY 1"
+
+
+@query("db7_emerging_clusters", BOARD + f", accounts AS ({ACCOUNTS}), fresh AS (SELECT cluster, count(DISTINCT account) AS new_accounts FROM kb JOIN (SELECT case_id, lower(value) AS account FROM links WHERE kind = 'telegram') USING (case_id) JOIN accounts USING (account) WHERE first_seen >= DATE '2024-01-22' GROUP BY 1) SELECT cluster, count(*) AS matches, count(*) FILTER ({NEW}) AS recent, count(DISTINCT platform) AS platforms, round(avg(score), 6) AS mean_risk, coalesce(any_value(new_accounts), 0) AS new_accounts FROM kb JOIN board USING (case_id) LEFT JOIN fresh USING (cluster) WHERE cluster <> 'isolated' GROUP BY 1")
 def _(t):
     s = Scored(t)
-    joined = s.kb.where("cluster <> 'isolated'").join(s.scores.select("case_id", "score"), "case_id").join(t.posts.select("case_id", "created"), "case_id")
-    return joined.groupBy("cluster").agg(F.count("*").alias("matches"), F.count_if(F.col("created") >= "2024-01-22").alias("recent"), F.round(F.avg("score"), 6).alias("mean_risk"))
+    mine = s.kb.where("cluster <> 'isolated'").select("case_id", "cluster")
+    handles = s.links.where("kind = 'telegram'").select("case_id", F.lower("value").alias("account")).join(t.posts.select("case_id", "created"), "case_id")
+    first = handles.groupBy("account").agg(F.min("created").alias("first_seen")).where("first_seen >= DATE '2024-01-22'")
+    fresh = handles.join(first, "account").join(mine, "case_id").groupBy("cluster").agg(F.count_distinct("account").alias("new_accounts"))
+    cases = mine.join(_board(t), "case_id").groupBy("cluster").agg(F.count("*").alias("matches"), F.count_if(F.expr(NEW)).alias("recent"), F.count_distinct("platform").alias("platforms"), F.round(F.avg("score"), 6).alias("mean_risk"))
+    return cases.join(fresh, "cluster", "left").withColumn("new_accounts", F.coalesce("new_accounts", F.lit(0)))
 
 
 @query("wn13_top_cases", BOARD + "SELECT case_id, score FROM board ORDER BY score DESC, case_id LIMIT 4")

@@ -152,14 +152,27 @@ def _(t):
     return lines.select(F.from_json("line", "case_id BIGINT, title STRING, tags STRING, is_scam BOOLEAN").alias("x")).select("x.*")
 
 
-VERSIONS = [(1, "2024-01-01", 0.91), (2, "2024-01-05", 0.94), (3, "2024-02-01", 0.93)]
-
-
 @query("io21_model_versions", "SELECT source AS model, max(doc_id) AS active, count(*) AS versions, CAST(arg_max(n_chars, doc_id) AS BIGINT) AS metric FROM documents GROUP BY 1")
 def _(t):
     return C.active_versions(t.documents.select(F.col("source").alias("model"), F.col("doc_id").alias("version"), F.col("doc_id").alias("activated_at"), F.col("n_chars").alias("metric")))
 
 
+def _versions(t):
+    return t.documents.select(F.col("source").alias("model"), F.col("doc_id").alias("version"), F.col("doc_id").alias("activated_at"), F.col("n_chars").alias("metric"))
+
+
+@query("io21_list_versions", "SELECT source AS model, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place, doc_id AS version FROM documents")
+def _(t):
+    return C.list_versions(_versions(t))
+
+
+# Version 5 of its model becomes active again.
+@query("io21_roll_back", "SELECT source AS model, CASE WHEN bool_or(doc_id = 5) THEN 5 ELSE max(doc_id) END AS active FROM documents GROUP BY 1")
+def _(t):
+    model = F.lit(t.documents.where("doc_id = 5").select("source").first()["source"])
+    return C.active_versions(C.roll_back(_versions(t), model, 5, F.lit(1 << 60))).select("model", "active")
+
+
 # ---- text functions -------------------------------------------------------------------------------------------------
 
 P = with_("posts")

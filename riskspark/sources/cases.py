@@ -52,6 +52,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def metrics_document(parts: dict[str, DataFrame]) -> DataFrame:
+    """``document``: one JSON object of named parts, each a table of one row."""
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.struct(*df.columns).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out.select(F.to_json(F.struct(*parts)).alias("document"))
+
+
+def list_versions(versions: DataFrame) -> DataFrame:
+    """``model, place, version``: the versions of each model, the one activated last first."""
+    newest = Window.partitionBy("model").orderBy(F.desc("activated_at"), F.desc("version"))
+    return versions.withColumn("place", F.row_number().over(newest)).select("model", "place", "version")
+
+
 def active_versions(versions: DataFrame) -> DataFrame:
     """Per model: the version activated last, the number of versions and that version's metric."""
     return versions.groupBy("model").agg(F.max_by("version", "activated_at").alias("active"), F.count("*").alias("versions"), F.max_by("metric", "activated_at").cast("long").alias("metric"))
