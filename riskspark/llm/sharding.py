@@ -60,7 +60,8 @@ def external_shuffle(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     """All rows and columns of ``docs`` plus ``__shard``, ``__slot``.
 
     Within a bucket rows are first sorted by their hash, id and text, so the result does not depend on the order in which
-    they arrive; rows alike in both are interchangeable.  Null ids and texts are hashed as such.  An empty table gives no rows.
+    they arrive; rows alike in both are interchangeable.  Null ids and texts are hashed as such.  A long text is one record of its bucket.
+    An empty table gives no rows.
     Names that begin with ``__shard``, ``__slot``, ``__bucket``, ``__place``, ``__hash`` or ``__offset`` are taken.
     """
     total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64)).first()[0] or 0
@@ -68,8 +69,11 @@ def external_shuffle(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     hashed = docs.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
     hashed = hashed.withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(n_buckets)))
     counts = hashed.groupBy("__bucket").agg(F.count("*").alias("n"))
-    # Offsets: one row per bucket (total bytes / bucket_bytes of them).
-    offsets = cut(counts.select(F.col("__bucket").alias("__at"), (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__offset")))
+    # Offsets: one row per bucket (total bytes / bucket_bytes of them), summed in runs of 4096 buckets, then over the runs.
+    runs = cut(counts.withColumn("run", F.floor(F.col("__bucket") / 4096)))
+    before = runs.groupBy("run").agg(F.sum("n").alias("m")).select(F.col("run").alias("r"), (F.sum("m").over(Window.orderBy("run")) - F.col("m")).alias("before"))
+    within = Window.partitionBy("run").orderBy("__bucket")
+    offsets = cut(runs.join(before, runs["run"] == before["r"]).select(F.col("__bucket").alias("__at"), (F.col("before") + F.sum("n").over(within) - F.col("n")).alias("__offset")))
     scattered = hashed.repartition("__bucket").sortWithinPartitions("__bucket", "__hash", id_col)
     schema = T.StructType([*scattered.schema.fields, T.StructField("__place", T.LongType())])
     shuffled = scattered.mapInArrow(lambda batches: _shuffle_buckets(batches, seed), schema)
