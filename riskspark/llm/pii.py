@@ -24,6 +24,7 @@ from riskspark.llm.common import documents
 
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
 SCHEMES = ("http://", "https://", "ftp://")
+ASCII_LOW = {c: c + 32 for c in range(65, 91)}
 CUES = ("iban", "account", "passport", "ssn", "token", "password", "api_key", "secret")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +39,7 @@ GIVEN = re.compile(r"[\x20\t]*(?:number|no\.?|#)?[\x20\t]*[:=#][\x20\t]*[\"']?([
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Anchor -> kind of anchor."""
+    """Anchor (in lower case) -> kind of anchor."""
     found = ahocorasick.Automaton()
     for d in "0123456789":
         found.add_word(d, ("digit", 1))
@@ -46,12 +47,17 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("+", ("plus", 1))
     for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
         for w in words:
-            for form in {w, w.upper(), w.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case with every character in its place; only A-Z where the whole case mapping would move some."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(ASCII_LOW)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -89,7 +95,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
     """Spans by kind, in order; code point offsets, end exclusive."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)  # per kind, where the next match may start
-    for last, (kind, size) in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(lowered(text)):
         at = last - size + 1
         if kind == "digit":
             if at >= done["ip"] and (m := ADDRESS.match(text, at)):

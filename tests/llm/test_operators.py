@@ -273,6 +273,21 @@ def test_forward_backward_against_all_paths():
     assert log_z == pytest.approx(math.log(total))
 
 
+def test_long_chains(monkeypatch):
+    """A chain far longer than the others, worked on token by token at its end, against all chains together."""
+    rng = np.random.default_rng(4)
+    lengths = [3, 400, 1, 57, 8, 2]
+    n = sum(lengths)
+    chain, place = np.repeat(np.arange(6), lengths), np.concatenate([np.arange(x) for x in lengths])
+    emission, move = rng.normal(size=n), rng.normal(size=(2, 2))
+    few = toxicity.marginals(emission, move, chain, place)
+    monkeypatch.setattr(toxicity, "TOGETHER", 1)
+    every = toxicity.marginals(emission, move, chain, place)
+    assert np.allclose(few[0], every[0]) and np.allclose(few[1], every[1]) and few[2] == pytest.approx(every[2])
+    alone = toxicity.marginals(emission[3:403], move, np.zeros(400, int), np.arange(400))
+    assert np.allclose(few[0][3:403], alone[0])
+
+
 def test_language_id(spark, empty):
     rng = random.Random(5)
     sounds = {"en": ["the", "ing", "wh", "th"], "de": ["sch", "ung", "ei", "ch"], "fr": ["eau", "oi", "que", "é"], "es": ["ción", "os", "ar", "ll"]}
@@ -454,6 +469,13 @@ def test_whole_secrets():
     assert pii.find("IBAN DE88370400440532013000 Please", anchors)["iban"] == []
 
 
+def test_cues_in_any_case():
+    anchors = pii.automaton()
+    for cue in ("token", "Token", "TOKEN", "toKeN"):
+        assert pii.find(f"İ my {cue}: abcdef12345 end", anchors)["account"] == [(7 + len(cue), 18 + len(cue))]
+    assert pii.find("see HtTpS://Example.org/x now", anchors)["url"] == [(4, 25)]
+
+
 def test_null_ids(spark):
     """A null id is a value like any other: rows stay, nothing fails."""
     df = spark.createDataFrame([(None, "a b c d e f", "en", None, 0, 0, 0, 0), (None, None, None, None, 0, 0, 0, 0), (3, "a b c d e f", "en", "s", 0, 0, 0, 0)], SCHEMA)
