@@ -1,8 +1,8 @@
 """Matching texts with rule tables: phrases, negative markers, contacts, calls to action.
 
 Texts are rows (case_id, source_ord, source_field, place, time_s, text): the metadata, each spoken segment and each frame of a case; nothing is
-put together to one long text per case.  All rules go over a text in one projection: their patterns are literals, so each is compiled once, and a
-text that no rule meets is dropped first.  "First" always means the smallest of (place, rule_ord, pos).
+put together to one long text per case.  All rules go over a text in one projection: their patterns are literals, so each is compiled once, and
+places are looked for only where a rule is met.  "First" always means the smallest of (place, rule_ord, pos).
 """
 
 from __future__ import annotations
@@ -48,10 +48,11 @@ def find_matches(texts: DataFrame, rules: DataFrame, every: bool = True) -> Data
     rows = rules.select("ord", "pattern", "is_regex").orderBy("ord").limit(RULES_MOST + 1).collect()
     whole = F.expr("concat('(?iu)', case when is_regex then pattern else concat('\\\\Q', pattern, '\\\\E') end)")
     if 0 < len(rows) <= RULES_MOST:
-        text, low = F.col("text"), F.lower("text")
-        met = [F.when(text.rlike("(?iu)" + r["pattern"]) if r["is_regex"] else F.contains(low, F.lit(r["pattern"].lower())), F.lit(r["ord"]).cast("int")) for r in rows]
-        any_rule = "(?iu)" + "|".join(r["pattern"] if r["is_regex"] else quoted(r["pattern"]) for r in rows)
-        pairs = texts.where(text.rlike(any_rule)).withColumn("ord", F.explode(F.array_compact(F.array(*met))))
+        text = F.col("text")
+        test = lambda r, low: text.rlike("(?iu)" + r["pattern"]) if r["is_regex"] else F.contains(low, F.lit(r["pattern"].lower()))
+        # As a parameter the lowered text is made once for all tests; an outer explode keeps the tests from being repeated in a filter before it.
+        met = F.transform(F.array(F.lower(text)), lambda low: F.array_compact(F.array(*[F.when(test(r, low), F.lit(r["ord"]).cast("int")) for r in rows])))[0]
+        pairs = texts.withColumn("ord", F.explode_outer(met)).where("ord is not null")
         hits = pairs.join(F.broadcast(rules.withColumn("__p", whole)), "ord")  # RULES_MOST rows at most
     else:
         hits = texts.join(rules.withColumn("__p", whole), F.expr("text rlike __p"))
@@ -108,7 +109,7 @@ def extract_links(texts: DataFrame) -> DataFrame:
         return F.transform(values, lambda v, i: F.struct(F.lit(k).alias("kind_ord"), F.lit(kind).alias("kind"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("value"), (i + 1).alias("at")))
 
     each = [found(k, kind, regex) for k, (kind, regex, *_) in enumerate(config.LINKS)]
-    rows = texts.select("case_id", "source_field", "place", F.explode(F.concat(*each)).alias("l")).select("case_id", "source_field", "place", "l.*").where("value <> ''")
+    rows = texts.select("case_id", "source_field", "place", F.explode_outer(F.concat(*each)).alias("l")).select("case_id", "source_field", "place", "l.*").where("value <> ''")
     return first_per(rows.withColumn("low", F.lower("value")), ["case_id", "kind", "low"], ["place", "at"]).select("case_id", "kind_ord", "kind", "value", "source_field", "place", "at")
 
 

@@ -18,6 +18,15 @@ def build(name: str = "riskspark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input has fewer partitions than there are cores (a file with one row group is one task).
+
+    A large input has more partitions than cores and is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names, which the driver and all executors see.
 

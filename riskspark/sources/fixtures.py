@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskspark import config
+from riskspark.session import spread
 
 
 def _text(x: object) -> str:
@@ -70,7 +71,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture, or one of the given tables."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(_bound(SQL[name], INPUTS.get(name, ())), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in INPUTS.get(name, ())})
+    found = spark.sql(_bound(SQL[name], INPUTS.get(name, ())), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in INPUTS.get(name, ())})
+    return spread(found) if name == "posts" else found
 
 
 def _bound(sql: str, tables: tuple[str, ...]) -> str:
