@@ -20,6 +20,7 @@ OPERATORS = {
     "op8_lm_scoring": ("lm_scoring", "op8"),
     "op9_bpe": ("bpe", "op9"),
     "op10_pii": ("pii", "op10"),
+    "op13_whitening": ("whitening", "op13"),
 }
 
 
@@ -31,6 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _query(*where) for name, where in OPERATORS.items()}
 
 
+#: Modules with SQL for their query; the others are not imported for it, so what one of them needs may be missing.
+WITH_SQL = {"op2_exact_dedup": "exact_dedup"}
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"riskspark.llm.{module}"), "ORACLE_SQL", None) for name, (module, _) in OPERATORS.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: import_module(f"riskspark.llm.{module}").ORACLE_SQL for name, module in WITH_SQL.items()}

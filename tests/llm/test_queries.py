@@ -66,6 +66,7 @@ def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -335,3 +336,73 @@ def test_recall_of_near_duplicates(spark):
     assert len(linked) > 20
     assert sum(got[k] == find(k) for k in linked) >= 0.9 * len(linked)
     assert all(got[k] == k for k in sets if find(k) == k)
+
+
+# ---- embeddings ------------------------------------------------------------------------------------------------------
+VECTORS = "vec_id long, embedding array<float>, label int, key int, i int, component string"
+
+
+def vectors(n=400, width=8, seed=5):
+    """Near and exact copies, groups of copies, null, zero and broken vectors, null labels, repeated rows; inner column names as extra columns."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        if k % 41 == 0:
+            e = (None, [], [0.0] * width, [1.0, None] + [0.5] * (width - 2), [float("nan")] + [1.0] * (width - 1), [float("inf")] * width)[k // 41 % 6]
+        elif k % 4 == 0 and k > 20 and rows[k - 8][1] and None not in rows[k - 8][1]:
+            e = (np.array(rows[k - 8][1]) + (0 if k % 3 == 0 else rng.normal(0, 0.02, len(rows[k - 8][1])))).tolist()
+        else:
+            e = rng.normal(0, 0.35, width).tolist()
+        e = None if e is None else [None if x is None else float(np.float32(x)) for x in e]
+        rows.append((k, e, None if k % 29 == 0 else (rows[k - 8][2] if k % 4 == 0 and k > 20 else int(rng.integers(3))), 1, 2, "x"))
+    centre = rng.normal(0, 0.35, width)
+    rows += [(n + k, [float(np.float32(x)) for x in centre + rng.normal(0, 0.03, width)], 1, 1, 2, "x") for k in range(60)]
+    return [*rows, rows[30], rows[30], (None, *rows[30][1:])]
+
+
+def embeddings(spark, rows, folder):
+    spark.createDataFrame(rows, VECTORS).repartition(5).write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e4])
+def test_op13(spark, tmp_path, scale):
+    rows = [(k, e if e is None or len(e) != 8 else [x if x is None else x * scale for x in e], *rest) for k, e, *rest in vectors() if e is None or len(e) == 8]
+    got = run(spark, "op13_whitening", embeddings(spark, rows, tmp_path))
+    kept = [(k, e) for k, e, *_ in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    x = [[math.floor(64 * float(np.float32(c))) + 1000000 for c in e] for _, e in kept]
+    n, sums = len(x), [sum(col) for col in zip(*x)]
+    off = [[n * a - s for a, s in zip(row, sums)] for row in x]
+    c = np.array(off, float) / n
+    v = c.T @ c / n
+    e, axes = np.linalg.eigh(v)
+    e, axes = e[::-1], axes[:, ::-1]
+    want = sorted((k is not None, k or 0, sum(a * a for a in row)) for (k, _), row in zip(kept, off))
+    assert sorted((r["vec_id"] is not None, r["vec_id"] or 0, r["deviation"]) for r in got if r["component"] == 1) == want
+    assert {r["n"] for r in got} == {n} and len(got) == 8 * n
+    white = c @ axes / np.sqrt(e)
+    for k in range(8):
+        mine = {r["vec_id"]: r for r in got if r["component"] == k + 1}
+        sign = np.sign(sum(mine[i]["whitened"] * w[k] for (i, _), w in zip(kept, white)))
+        assert all(mine[i]["whitened"] == pytest.approx(sign * w[k], abs=1e-7) for (i, _), w in zip(kept, white))
+        assert all(r["explained"] == pytest.approx(e[k] / e.sum(), rel=1e-9) for r in mine.values())
+    assert {r["identity_error"] for r in got} == {got[0]["identity_error"]} and got[0]["identity_error"] < 1e-9
+
+
+def test_op13_edges(spark, tmp_path):
+    """Constant dimensions, fewer rows than dimensions, vectors of several lengths, entries beyond whole numbers of 64 bits."""
+    odd = [(1, [0.5, 1.0, 2.0], 0, 1, 2, "x"), (2, [0.5, 3.0], 0, 1, 2, "x"), (3, [], 0, 1, 2, "x"), (4, [0.5, 3e38, -3e38], None, 1, 2, "x")]
+    got = run(spark, "op13_whitening", embeddings(spark, odd, tmp_path / "a"))
+    assert len(got) == 12 and {r["component"] for r in got} == {1, 2, 3} and {r["n"] for r in got} == {4}
+    got = run(spark, "op13_whitening", embeddings(spark, [(1, [0.5, 1.0], 0, 1, 2, "x")] * 3, tmp_path / "b"))
+    assert len(got) == 6 and {(r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in got} == {(0, None, 0.0, 0.0)}
+
+
+def test_planes_give_exact_products():
+    from riskspark.llm import whitening
+
+    rng = np.random.default_rng(8)
+    u = rng.integers(0, [1, 2, 100, 1 << 20, 1 << 45], (333, 5))
+    bits = [max(1, int(x).bit_length()) for x in u.max(0)]
+    want = [[sum(int(a) * int(b) for a, b in zip(u[:, i], u[:, j])) if i <= j else 0 for j in range(5)] for i in range(5)]
+    assert whitening.cross_products(u, bits).tolist() == want
