@@ -20,6 +20,8 @@ OPERATORS = {
     "op8_lm_scoring": ("lm_scoring", "op8"),
     "op9_bpe": ("bpe", "op9"),
     "op10_pii": ("pii", "op10"),
+    "op11_vector_dedup": ("vector_dedup", "op11"),
+    "op12_repair": ("repair", "op12"),
     "op13_whitening": ("whitening", "op13"),
 }
 
