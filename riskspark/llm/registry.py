@@ -35,7 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Modules with SQL for their query; the others are not imported for it, so what one of them needs may be missing.
-WITH_SQL = {"op2_exact_dedup": "exact_dedup"}
+WITH_SQL = {"op2_exact_dedup": "exact_dedup", "op12_repair": "repair"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -374,3 +374,25 @@ def repair_damaged(conversations: DataFrame, long_rows: int = LONG_ROWS, block:
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: The same in DuckDB: one recursion over the places in all conversations at once, with up to two insertions before a row or the end.
+ORACLE_SQL = """
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind FROM keyed),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, substr(role, 1, 1) AS i FROM hurt),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM placed),
+told AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS earlier FROM counted),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (earlier IS NOT NULL AND earlier || i NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last FROM told GROUP BY 1),
+steps AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) v(p, c, q)),
+extra AS (SELECT * FROM (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])) v(p, q, cost, audit, lines)),
+best AS (SELECT conv_id, 0::BIGINT AS n, 0 AS q, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS w FROM facts
+ UNION ALL SELECT b.conv_id, r.n, e.q, min({'cost': b.w.cost + x.cost + e.cost, 'audit': b.w.audit || x.audit || e.audit, 'lines': b.w.lines || x.lines || e.lines}) FROM best b JOIN extra x ON x.p = b.q JOIN told r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.n = b.n + 1,
+ LATERAL (SELECT x.q AS q, 2 AS cost, 'D' AS audit, []::VARCHAR[] AS lines UNION ALL
+  SELECT s.q, CASE WHEN r.fault = 'truncated' THEN 5 ELSE 0 END + a.more, a.edit, [coalesce(a.role, r.role) || ':' || r.text] FROM steps s JOIN (VALUES ('K', NULL, 0), ('R', 'user', 1), ('R', 'assistant', 1)) a(edit, role, more) ON s.c = CASE WHEN a.edit = 'K' THEN r.i ELSE substr(a.role, 1, 1) END WHERE s.p = x.q AND r.fault NOT IN ('blank', 'duplicate')) e
+ GROUP BY 1, 2, 3),
+ends AS (SELECT b.conv_id, min({'cost': b.w.cost + x.cost, 'audit': b.w.audit || x.audit, 'lines': b.w.lines || x.lines}) AS w FROM best b JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.last = b.n JOIN extra x ON x.p = b.q AND x.q IN (0, 3) GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.cost, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -67,6 +67,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], VECTORS).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([], TURNS).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -406,3 +407,152 @@ def test_planes_give_exact_products():
     bits = [max(1, int(x).bit_length()) for x in u.max(0)]
     want = [[sum(int(a) * int(b) for a, b in zip(u[:, i], u[:, j])) if i <= j else 0 for j in range(5)] for i in range(5)]
     assert whitening.cross_products(u, bits).tolist() == want
+
+
+def plain_links(rows, least=0.98):
+    """(id, links, smallest reachable) per row, by comparing all pairs of rows."""
+    ok = [e is not None and label is not None and all(x is not None and math.isfinite(x) for x in e) and any(e) for _, e, label, *_ in rows]
+    unit = [np.array(e, float) / np.linalg.norm(e) if o else None for o, (_, e, *_) in zip(ok, rows)]
+    near = collections.defaultdict(set)
+    for a, b in itertools.combinations([k for k, o in enumerate(ok) if o], 2):
+        if rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least:
+            near[a].add(b)
+            near[b].add(a)
+    out, group = [], {}
+    for k in range(len(rows)):
+        if k not in group:
+            seen, todo = {k}, [k]
+            while todo:
+                for x in near[todo.pop()] - seen:
+                    seen.add(x)
+                    todo.append(x)
+            ids = [rows[x][0] for x in seen if rows[x][0] is not None]
+            group |= dict.fromkeys(seen, min(ids) if ids else None)
+        out.append((rows[k][0], len(near[k]), group[k]))
+    return out
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r))
+
+
+def test_op11(spark, tmp_path):
+    rows = vectors()
+    got = run(spark, "op11_vector_dedup", embeddings(spark, rows, tmp_path))
+    want = plain_links(rows)
+    assert max(n for _, n, _ in want) >= 40 and sum(n > 0 for _, n, _ in want) > 100
+    assert by_id((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == by_id(want)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_op11_tiles(spark, tmp_path, monkeypatch):
+    """A component and buckets larger than a block give what they give in one."""
+    from riskspark.llm import vector_dedup
+
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    monkeypatch.setattr(vector_dedup, "TASK", 64)
+    rows = [r for r in vectors(200) if r[0] is not None]
+    got = run(spark, "op11_vector_dedup", embeddings(spark, rows, tmp_path))
+    assert by_id((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == by_id(plain_links(rows))
+
+
+def test_op11_recall_at_the_threshold(spark, tmp_path):
+    """Pairs just above the threshold among many unrelated vectors: at least 0.97 of them found, none below it."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(1500):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        c = rng.uniform(0.9801, 0.983) if k % 3 else rng.uniform(0.96, 0.9799)
+        rows += [(2 * k, a.tolist(), k % 2, 1, 2, "x"), (2 * k + 1, (c * a + math.sqrt(1 - c * c) * b).tolist(), k % 2, 1, 2, "x")]
+    got = {r["vec_id"]: r for r in run(spark, "op11_vector_dedup", embeddings(spark, rows, tmp_path))}
+    found = [got[2 * k + 1]["n_links"] == 1 and got[2 * k + 1]["component_id"] == 2 * k for k in range(1500)]
+    assert sum(f for k, f in enumerate(found) if k % 3) >= 970 and not any(f for k, f in enumerate(found) if k % 3 == 0)
+
+
+# ---- conversations ---------------------------------------------------------------------------------------------------
+BLANKS = " \t\n\x0b\x0c\r"
+FOLLOWS = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+NAMES = (("u", "user"), ("a", "assistant"))
+TURNS = "conv_id long, turn long, role string, text string, kind string, spot int, lost int"
+
+
+def talk(seed=3):
+    """Short and long conversations; null, repeated and missing turns, null ids, roles and texts, roles of other kinds."""
+    rng, rows = random.Random(seed), []
+    for c in [*range(40), None]:
+        n = rng.choice([1, 2, 5, 9, 4]) if c not in (3, None) else 300
+        for k in range(n):
+            text = rng.choice(["a.", "b", "c!", None, "", "  \n", "d? ", "zz\x85", f"t{k % 7}."])
+            rows.append((c, rng.choice([k, k, k, None, rng.randrange(n)]), rng.choice(["user", "assistant", "system", "tool", None, "", "User"]), text, "x", 1, 2))
+    return [*rows, rows[0], rows[-1]]
+
+
+def plain_repair(rows):
+    """Per conversation: damage, faults, and the cheapest edits by relaxing all states row by row, with the repaired lines at hand."""
+    after, ids = collections.defaultdict(list), {r[0] for r in rows}
+    for conv, turn, role, text, *_ in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        after[conv] += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    out = []
+    for conv in ids:
+        told, seen = sorted(after[conv], key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())), set()
+        faults = []
+        for _, role, text in told:
+            core = text.rstrip(BLANKS)
+            faults.append("blank" if not core else "duplicate" if (role, text) in seen else "truncated" if core[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {r[0] for r in told} - {None}
+
+        def closed(best):
+            for _ in range(4):
+                for q, (cost, audit, lines) in list(best.items()):
+                    for initial, name in NAMES:
+                        to, w = FOLLOWS.get((q, initial)), (cost + 5, audit + "I", [*lines, name + ":"])
+                        if to is not None and (to not in best or w[:2] < best[to][:2]):
+                            best[to] = w
+            return best
+
+        best = closed({0: (0, "", [])})
+        for (_, role, text), fault in zip(told, faults):
+            moves = collections.defaultdict(list)
+            for q, (cost, audit, lines) in best.items():
+                moves[q].append((cost + 2, audit + "D", lines))
+                if fault not in ("blank", "duplicate"):
+                    more = 5 * (fault == "truncated")
+                    for edit, initial, name, price in [("K", role[:1], role, 0), *[("R", i, n, 1) for i, n in NAMES]]:
+                        if (q, initial) in FOLLOWS:
+                            moves[FOLLOWS[q, initial]].append((cost + more + price, audit + edit, [*lines, f"{name}:{text}"]))
+            best = closed({q: min(ws, key=lambda w: w[:2]) for q, ws in moves.items()})
+        cost, audit, lines = min((best[q] for q in (0, 3) if q in best), key=lambda w: w[:2])
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(told))
+        out.append((conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return by_id(out)
+
+
+REPAIRED = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def test_op12(spark, tmp_path):
+    spark.createDataFrame(talk(), TURNS).repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = run(spark, "op12_repair", str(tmp_path))
+    assert by_id(tuple(r[c] for c in REPAIRED) for r in got) == plain_repair(talk())
+
+
+@pytest.mark.parametrize(("long_rows", "block"), [(3, 2), (40, 7)])
+def test_op12_blocks(spark, long_rows, block):
+    """Conversations in blocks of a few rows come out as they do whole."""
+    from riskspark.llm import repair
+
+    found = repair.repair_damaged(spark.createDataFrame(talk(11), TURNS).repartition(5), long_rows, block)
+    assert by_id(tuple(r[c] for c in REPAIRED) for r in found.collect()) == plain_repair(talk(11))
+
+
+def test_op12_hot_conversation(spark):
+    """Nearly all rows in one conversation: ranges cut it, and equal rows are spread too."""
+    from riskspark.llm import repair
+
+    rng = random.Random(4)
+    rows = [(7, rng.choice([None, k // 3]), rng.choice(["user", "assistant"]), rng.choice(["same.", f"text {k}."]), "x", 1, 2) for k in range(1200)] + [(k, 0, "user", "hi.", "x", 1, 2) for k in range(7)]
+    found = repair.repair_damaged(spark.createDataFrame(rows, TURNS).repartition(6), 50, 16)
+    assert by_id(tuple(r[c] for c in REPAIRED) for r in found.collect()) == plain_repair(rows)
