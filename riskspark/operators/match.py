@@ -1,24 +1,31 @@
 """Matching texts with rule tables: phrases, negative markers, contacts, calls to action.
 
 Texts are rows (case_id, source_ord, source_field, place, time_s, text): the metadata, each spoken segment and each frame of a case; nothing is
-put together to one long text per case.  All rules go over a text in one projection: their patterns are literals, so each is compiled once, and
-places are looked for only where a rule is met.  "First" always means the smallest of (place, rule_ord, pos).
+put together to one long text per case.  All rules go over a text at once as one automaton, so the number of rules does not change the plan or
+the hits.  "First" always means the smallest of (place, rule_ord, pos).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskspark import config
-from riskspark.functions.text import clip, sentence_around
+from riskspark.functions.text import clip
 
 HIT = ("case_id", "lane", "source", "seg_no", "rule_ord", "pos", "confidence", "signal", "fragment", "time_s", "dim", "chip")
 SOURCES = ("Metadata", "Audio", "OCR")
-#: Rules that are made literals of one projection; a larger table is joined instead.
-RULES_MOST = 500
+#: Rules of one automaton (some 100 bytes a character of pattern in each worker); more rules are more automata, one after the other.
+RULES_AT_ONCE = 100_000
 PLACE = 10**12
 
 
@@ -33,38 +40,166 @@ def all_texts(meta: DataFrame, speech: DataFrame, screen: DataFrame) -> DataFram
     return reduce(DataFrame.unionByName, [df.select("case_id", F.lit(k).alias("source_ord"), F.lit(name).alias("source_field"), (F.lit(k * PLACE).cast("long") + F.col("seg_no")).alias("place"), "time_s", "text") for k, name, df in parts])
 
 
-def quoted(pattern: str) -> str:
-    return "\\Q" + pattern + "\\E"
-
+#: Characters that a case-insensitive match holds for equal although neither has a form in the other case of one character.
+TWINS = {"\u1fd3": "\u0390", "\u1fe3": "\u03b0", "\ufb05": "\ufb06"}
+
+
+@lru_cache(maxsize=1 << 16)
+def _fold_one(c: str) -> str:
+    low = c.lower() if len(c.lower()) == 1 else c.lower()[0]  # the dotted capital I is the only one with a longer small form
+    up = low.upper()
+    return up if len(up) == 1 else TWINS.get(low, low)
+
+
+def fold(text: str) -> str:
+    """``text`` without case, character by character, so that places stay: two characters fold alike if a case-insensitive match takes one for the other."""
+    low = text.lower()
+    up = low.upper()
+    return up if len(low) == len(text) == len(up) else "".join(map(_fold_one, text))
+
+
+def needed(regex: str) -> str:
+    """A text that every match of ``regex`` holds: the longest run of plain characters outside of choices, groups and repetitions; empty if none is sure."""
+    runs, run, k = [], "", 0
+    while k < len(regex):
+        c = regex[k]
+        if c in "|()":
+            return ""
+        if c == "[":
+            k = regex.find("]", k + 2)
+            if k < 0:
+                return ""
+        if c == "\\":
+            k += 1
+            c = regex[k : k + 1]
+            c = "[" if c.isalnum() else "\\" + c  # a class or an anchor ends a run, an escaped sign goes on
+        if c in "?*{":  # what stands before need not occur
+            runs.append(run[:-1])
+            run = ""
+            if c == "{":
+                k = max(k, regex.find("}", k))
+        elif c in ("[", ".", "^", "$", "+"):
+            runs.append(run)
+            run = ""
+        else:
+            run += c[-1]
+        k += 1
+    return max([*runs, run], key=len)
+
+
+class Scanner:
+    """All rules as one automaton over folded text.
+
+    Plain patterns are its words.  A regular expression is looked for only in texts in which the automaton meets the text that it needs, or in all if it needs none.
+    """
 
-def find_matches(texts: DataFrame, rules: DataFrame, every: bool = True) -> DataFrame:
-    """Occurrences of each rule in each text, with the rule's columns and ``pos`` (1-based), ``matched``, ``size``, ``chip``, ``fragment``.
+    def __init__(self, rules: list[tuple[int, str, bool, bool]], case: bool = False):
+        self.fold = (lambda text: text) if case else fold
+        self.automaton = ahocorasick.Automaton()
+        self.regexes, self.always = {}, []
+        words: dict[str, list[int]] = {}
+        self.size = {}
+        for n, pattern, is_regex, _ in rules:
+            if is_regex:
+                self.regexes[n] = re.compile(pattern, 0 if case else re.IGNORECASE)
+                pattern = needed(pattern)
+                if not pattern:
+                    self.always.append(n)
+            if pattern:
+                words.setdefault(self.fold(pattern), []).append(n)
+                self.size[n] = len(pattern)
+        for word, of in words.items():
+            self.automaton.add_word(word, tuple(of))
+        if words:
+            self.automaton.make_automaton()
+        self.empty = not words
+        self.labelled = {n for n, _, _, labelled in rules if labelled}
+
+    def hits(self, text: str, every: bool) -> Iterator[tuple[int, int, str, str]]:
+        """(rule, place from 0, matched text, its chip) of each rule's occurrences, which do not overlap; else the first one of each chip."""
+        met, upto = set(self.always), {}
+        seen: set[tuple[int, str]] = set()
+
+        def shown(n: int, at: int, matched: str) -> bool:
+            # Whether to show it; a labelled rule has one chip.
+            key = (n, "" if n in self.labelled else matched.strip().lower())
+            if every or key not in seen:
+                seen.add(key)
+                return True
+            return False
+
+        for end, of in self.automaton.iter(self.fold(text)) if not self.empty else ():
+            for n in of:
+                if n in self.regexes:
+                    met.add(n)
+                    continue
+                start = end + 1 - self.size[n]
+                if start >= upto.get(n, 0):
+                    upto[n] = end + 1
+                    matched = text[start : end + 1]
+                    if shown(n, start, matched):
+                        yield n, start, matched, matched.strip().lower()
+        for n in sorted(met):
+            for m in self.regexes[n].finditer(text):
+                if m[0] and shown(n, m.start(), m[0]):
+                    yield n, m.start(), m[0], m[0].strip().lower()
+
+
+def sentence(text: str, start: int, size: int, most: int = 160) -> str:
+    """The sentence that holds the match, trimmed and cut."""
+    left = max(text.rfind(c, 0, start) for c in ".!?\n") + 1
+    ends = [e for e in (text.find(c, start + size) for c in ".!?\n") if e >= 0]
+    whole = text[left : min(ends, default=len(text))].strip(" ")
+    return whole[:most].rstrip(" ") + "…" if len(whole) > most else whole
+
+
+_scanners: dict[str, Scanner] = {}
+
+
+def _scan(batches: Iterable[pa.RecordBatch], key: str, shared, case: bool, every: bool) -> Iterator[pa.RecordBatch]:
+    if key not in _scanners:  # one per worker and rule table
+        _scanners.clear()
+        _scanners[key] = Scanner(shared.value, case)
+    scanner = _scanners[key]
+    for batch in batches:
+        others = [n for n in batch.schema.names if n != "text"]
+        rows, found = [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            for n, start, matched, chip in scanner.hits(text, every) if text else ():
+                rows.append(k)
+                found.append((n, start + 1, matched, len(matched), chip, sentence(text, start, len(matched))))
+        ord_, pos, matched, size, chip, fragment = zip(*found, strict=True) if found else ((),) * 6
+        kept = [batch.column(n).take(pa.array(rows, pa.int64())) for n in others]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(ord_, pa.int64()), pa.array(pos, pa.int32()), pa.array(matched, pa.string()), pa.array(size, pa.int32()), pa.array(chip, pa.string()), pa.array(fragment, pa.string())], [*others, "__ord", "pos", "matched", "size", "chip", "fragment"])
+
+
+def _schema(df: DataFrame, but: str, more: str) -> StructType:
+    """The columns of ``df`` but one, and ``more``."""
+    return StructType([f for f in df.schema.fields if f.name != but] + StructType.fromDDL(more).fields)
+
+
+def find_matches(texts: DataFrame, rules: DataFrame, every: bool = True, case: bool = False) -> DataFrame:
+    """Occurrences of each rule in each text: the columns of ``texts`` but the text, the rule's columns, ``pos`` (1-based), ``matched``, ``size``, ``chip``, ``fragment``.
+
+    ``rules``: ord (its number, unique), pattern, is_regex, label and what else is to be carried; any number of them.  Case does not count (unless ``case``), by one rule for
+    plain patterns and regular expressions: that of ``fold``.  The chip is the label, or the matched text in lower case.  ``every=False`` gives the first occurrence of each chip only.
+
+    A text is read once for RULES_AT_ONCE rules, whatever their number; what travels is one row per occurrence.
+    """
+    spark = texts.sparkSession
+    rows = rules.select(F.col("ord").cast("long"), "pattern", F.coalesce("is_regex", F.lit(False)), F.coalesce("label", F.lit("")) != "").where("coalesce(pattern, '') <> ''")
+    n = rows.count()
+    groups = [rows] if n <= RULES_AT_ONCE else [rows.where(F.pmod(F.xxhash64("ord"), F.lit(-(-n // RULES_AT_ONCE))) == k) for k in range(-(-n // RULES_AT_ONCE))]
+    schema = _schema(texts, "text", "__ord long, pos int, matched string, size int, chip string, fragment string")
 
-    ``rules``: ord (its number, unique), pattern, is_regex, label and what else is to be carried.  Case does not count.  The chip is the label, or
-    the matched text in lower case.  ``every=False`` gives the first occurrence only where all occurrences have the same chip.
+    def one(group: DataFrame) -> DataFrame:
+        shared, key = spark.sparkContext.broadcast([tuple(r) for r in group.collect()]), uuid.uuid4().hex
+        return texts.mapInArrow(lambda batches: _scan(batches, key, shared, case, every), schema)
 
-    Which rules a text meets is one array of tests on literals; places are looked for in the pairs that are left.
-    """
-    rows = rules.select("ord", "pattern", "is_regex").orderBy("ord").limit(RULES_MOST + 1).collect()
-    whole = F.expr("concat('(?iu)', case when is_regex then pattern else concat('\\\\Q', pattern, '\\\\E') end)")
-    if 0 < len(rows) <= RULES_MOST:
-        text = F.col("text")
-        test = lambda r, low: text.rlike("(?iu)" + r["pattern"]) if r["is_regex"] else F.contains(low, F.lit(r["pattern"].lower()))
-        # As a parameter the lowered text is made once for all tests; an outer explode keeps the tests from being repeated in a filter before it.
-        met = F.transform(F.array(F.lower(text)), lambda low: F.array_compact(F.array(*[F.when(test(r, low), F.lit(r["ord"]).cast("int")) for r in rows])))[0]
-        pairs = texts.withColumn("ord", F.explode_outer(met)).where("ord is not null")
-        hits = pairs.join(F.broadcast(rules.withColumn("__p", whole)), "ord")  # RULES_MOST rows at most
-    else:
-        hits = texts.join(rules.withColumn("__p", whole), F.expr("text rlike __p"))
-    # An occurrence starts behind the gaps and occurrences before it.
-    cut = hits.withColumn("__m", F.expr("regexp_extract_all(text, __p, 0)")).withColumn("__g", F.expr("split(text, __p, -1)"))
-    if not every:
-        cut = cut.withColumn("__m", F.when(F.col("is_regex") & (F.col("label") == ""), F.col("__m")).otherwise(F.slice("__m", 1, 1)))
-    starts = F.expr("transform(__m, (m, i) -> struct(m as matched, 1 + aggregate(slice(__g, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(__m, 1, i), 0, (a, x) -> a + length(x)) as pos))")
-    found = cut.withColumn("__o", F.explode(starts)).select(*texts.columns, *rules.columns, "__o.matched", "__o.pos").where("matched <> ''")
-    shown = F.when(F.col("is_regex"), F.col("matched")).otherwise(F.col("pattern"))
-    sized = found.withColumn("size", F.length("matched")).withColumn("chip", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lower(F.trim(shown))))
-    return sized.withColumn("fragment", sentence_around(F.col("text"), F.col("pos"), F.col("size")))
+    found = reduce(DataFrame.unionByName, map(one, groups))
+    joined = found.join(rules, F.col("__ord") == F.col("ord"))
+    kept = [c for c in texts.columns if c != "text"]
+    return joined.select(*kept, *[F.col(c) for c in rules.columns], "matched", "pos", "size", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("chip")).alias("chip"), "fragment")
 
 
 def count_phrases(found: DataFrame) -> DataFrame:
@@ -155,23 +290,54 @@ def escalate(score: Column, text: Column, has_media: Column) -> Column:
     return has_media & ((score >= config.ESCALATE_SCORE) | (F.length(F.trim(text)) < config.THIN_TEXT))
 
 
+#: Prompts that a frame is compared with at once.
+PROMPTS_AT_ONCE = 4096
+
+
+def _label(batches: Iterable[pa.RecordBatch], labels: list[str], dims: list[str], vectors: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Per frame the largest logit and the sum of exp(z - largest) over these prompts, and the prompts that can still pass ``least``."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    named = np.array([d != "" for d in dims])
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+            z = 100 * (x @ unit.T) / np.linalg.norm(x, axis=1, keepdims=True)
+            top = z.max(1)
+            e = np.exp(z - top[:, None])
+            total = e.sum(1)
+            # Others only add to the sum, so a prompt at or below ``least`` here stays there.
+            maybe = (e > least * total[:, None]) & named
+            rows = [[{"label": labels[j], "dim": dims[j], "z": float(z[i, j])} for j in np.flatnonzero(maybe[i])] for i in range(len(z))]
+            yield pa.RecordBatch.from_arrays([part.column("case_id"), part.column("frame"), pa.array(top), pa.array(total), pa.array(rows, pa.list_(pa.struct([("label", pa.string()), ("dim", pa.string()), ("z", pa.float64())])))], ["case_id", "frame", "top", "total", "maybe"])
+
+
 def image_labels(frames: DataFrame, prompts: DataFrame, least: float = config.VISION_LEAST, most: int = config.VISION_MOST) -> DataFrame:
     """Zero-shot labels: softmax over prompts of 100 * cosine per frame; labels with a dimension and p above ``least``, the best ``most`` per case.
 
-    ``prompts`` (label, dim, vector) is a handful of rows: they are collected to one array that every frame is compared with in its own row, so
-    frames are shuffled once, by case, and only those with a label.
+    ``prompts``: label, dim, vector; any number of them.  A frame is multiplied with PROMPTS_AT_ONCE of them as a matrix; with more there are several passes, whose partial sums are put
+    together per frame.  Of a frame and pass at most 1 / ``least`` labels go on.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    dot = lambda v, w: F.aggregate(F.zip_with(v, w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    rows = prompts.select("label", "dim", "vector").orderBy("label").limit(RULES_MOST + 1).collect()
-    if len(rows) > RULES_MOST:
-        raise ValueError(f"more than {RULES_MOST} prompts")
-    if not rows:
-        return frames.select("case_id", "frame", F.lit("").alias("label"), F.lit("").alias("dim"), F.lit(0.0).alias("p")).where(F.lit(False))
-    each = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["dim"]).alias("dim"), F.array(*map(F.lit, r["vector"])).alias("v")) for r in rows])
-    z = frames.withColumn("__n", norm(F.col("embedding"))).withColumn("__z", F.transform(each, lambda p: F.struct(p["label"].alias("label"), p["dim"].alias("dim"), (100 * dot(F.col("embedding"), p["v"]) / (F.col("__n") * norm(p["v"]))).alias("z"))))
-    top = z.withColumn("__m", F.array_max(F.transform("__z", lambda x: x["z"])))
-    e = top.withColumn("__e", F.transform("__z", lambda x: F.struct(x["label"].alias("label"), x["dim"].alias("dim"), F.exp(x["z"] - F.col("__m")).alias("e")))).withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x["e"]))
-    p = e.select("case_id", "frame", "__s", F.explode("__e").alias("x")).select("case_id", "frame", "x.label", "x.dim", (F.col("x.e") / F.col("__s")).alias("p"))
+    spark = frames.sparkSession
+    good = frames.where("embedding is not null and exists(embedding, x -> x <> 0)").select("case_id", "frame", "embedding")
+    rows = prompts.select("label", "dim", "vector")
+    n = rows.count()
+    kind = _schema(good, "embedding", "top double, total double, maybe array<struct<label:string,dim:string,z:double>>")
+    if not n:
+        return spark.createDataFrame([], kind).select("case_id", "frame", F.lit("").alias("label"), F.lit("").alias("dim"), F.lit(0.0).alias("p"))
+    passes = -(-n // PROMPTS_AT_ONCE)
+
+    def one(k: int) -> DataFrame:
+        some = (rows if passes == 1 else rows.where(F.pmod(F.xxhash64("label"), F.lit(passes)) == k)).orderBy("label").collect()
+        if not some:
+            return spark.createDataFrame([], kind)
+        labels, dims, vectors = [r["label"] for r in some], [r["dim"] for r in some], np.array([r["vector"] for r in some], float)
+        return good.mapInArrow(lambda batches: _label(batches, labels, dims, vectors, least), kind)
+
+    found = reduce(DataFrame.unionByName, map(one, range(passes)))
+    if passes > 1:
+        at = F.aggregate(F.collect_list(F.struct("top", "total")), F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("total")), lambda a, x: F.struct(F.greatest(a["top"], x["top"]).alias("top"), (a["total"] * F.exp(a["top"] - F.greatest(a["top"], x["top"])) + x["total"] * F.exp(x["top"] - F.greatest(a["top"], x["top"]))).alias("total")))
+        found = found.groupBy("case_id", "frame").agg(at.alias("s"), F.flatten(F.collect_list("maybe")).alias("maybe")).select("case_id", "frame", "s.top", "s.total", "maybe")
+    p = found.select("case_id", "frame", "top", "total", F.explode("maybe").alias("x")).select("case_id", "frame", "x.label", "x.dim", (F.exp(F.col("x.z") - F.col("top")) / F.col("total")).alias("p"))
     best = Window.partitionBy("case_id").orderBy(F.desc("p"), "frame", "label")
-    return p.where((F.col("dim") != "") & (F.col("p") > least)).withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= most).select("case_id", "frame", "label", "dim", "p")
+    return p.where(F.col("p") > least).withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= most).select("case_id", "frame", "label", "dim", "p")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions.text import clamp, kb_handle, kb_tag, kb_text, risk_level
+from riskspark.operators.match import find_matches
+from riskspark.session import materialise
 
 
 def fold(c: Column) -> Column:
@@ -105,26 +107,89 @@ def fingerprint(posts: DataFrame, links: DataFrame) -> DataFrame:
     return posts.select("case_id", tags.alias("tags"), kb_text(text).alias("text")).join(handles, "case_id", "left").withColumn("handles", F.coalesce("handles", F.array().cast("array<string>")))
 
 
+def postings(clusters: DataFrame) -> DataFrame:
+    """``kind, token, ord``: each handle, tag and keyword of each cluster once; empty ones are none."""
+    kinds = [("h", "handles"), ("t", "tags"), ("k", "keywords")]
+    return reduce(DataFrame.unionByName, [clusters.select(F.lit(k).alias("kind"), F.explode(F.array_distinct(c)).alias("token"), "ord") for k, c in kinds]).where("token <> ''")
+
+
+def case_tokens(prints: DataFrame, posted: DataFrame) -> DataFrame:
+    """``case_id, kind, token``: handles and tags of the cases, and the keywords of the clusters that their texts hold (one scan for all keywords)."""
+    words = posted.where("kind = 'k'").select("token").distinct()
+    rules = words.select(F.xxhash64("token").alias("ord"), F.col("token").alias("pattern"), F.lit(False).alias("is_regex"), F.lit("").alias("label"))
+    held = find_matches(prints.select("case_id", "text"), rules, every=False, case=True).select("case_id", F.lit("k").alias("kind"), F.col("pattern").alias("token")).distinct()
+    own = [prints.select("case_id", F.lit(k).alias("kind"), F.explode(F.array_distinct(c)).alias("token")) for k, c in (("h", "handles"), ("t", "tags"))]
+    return reduce(DataFrame.unionByName, [*own, held]).where("token <> ''")
+
+
+def sizes(tokens: DataFrame, key: str) -> DataFrame:
+    """``key`` and the numbers of its tokens by kind, ``n_h, n_t, n_k``."""
+    return tokens.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in "htk"])
+
+
+def likeness(common: DataFrame, tokens: DataFrame, posted: DataFrame) -> DataFrame:
+    """``case_id, ord, raw`` from the numbers of common tokens by kind (``case_id, ord, c_h, c_t, c_k``) and of all tokens of both sides."""
+    mine, theirs = sizes(tokens, "case_id").drop("n_k"), sizes(posted, "ord").select("ord", F.col("n_h").alias("m_h"), F.col("n_t").alias("m_t"), "n_k")
+    part = lambda c, whole: F.coalesce(F.col(c) / F.nullif(whole, F.lit(0)), F.lit(0.0))
+    a, b, c = config.KB_WEIGHTS
+    jaccard = lambda k: part(f"c_{k}", F.col(f"n_{k}") + F.col(f"m_{k}") - F.col(f"c_{k}"))
+    return common.join(mine, "case_id").join(theirs, "ord").select("case_id", "ord", F.round(a * jaccard("h") + b * jaccard("t") + c * part("c_k", F.col("n_k")), 9).alias("raw"))
+
+
+def in_common(tokens: DataFrame, posted: DataFrame) -> DataFrame:
+    """Numbers of common tokens by kind of every case and cluster that share one."""
+    return tokens.join(posted, ["kind", "token"]).groupBy("case_id", "ord").agg(*[F.count_if(F.col("kind") == k).alias(f"c_{k}") for k in "htk"])
+
+
 def kb_pairs(prints: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``case_id, cluster, ord, raw``: likeness of every case to every cluster of the knowledge base.
+    """``case_id, cluster, ord, raw``: likeness of every case to every cluster that it has a handle, a tag or a keyword in common with; to all others it is 0.
 
-    ``clusters`` (ord, cluster, handles, tags, keywords as arrays) is what every case is held against, so it is a stated query set; it is broadcast by
-    the optimiser where its size allows.
+    ``clusters``: ord, cluster, handles, tags, keywords (arrays).  Cases meet clusters by equal tokens, so what is joined is a posting per token, not all cases with all clusters.
     """
-    clusters = clusters.select("ord", "cluster", F.col("handles").alias("kb_handles"), F.col("tags").alias("kb_tags"), "keywords")
-    jaccard = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
-    covered = F.coalesce(F.size(F.filter("keywords", lambda k: F.contains(F.col("text"), k))) / F.nullif(F.size("keywords"), F.lit(0)), F.lit(0.0))
-    a, b, c = config.KB_WEIGHTS
-    raw = a * jaccard(F.col("handles"), F.col("kb_handles")) + b * jaccard(F.col("tags"), F.col("kb_tags")) + c * covered
-    return prints.crossJoin(clusters).select("case_id", "cluster", "ord", F.round(raw, 9).alias("raw"))
+    posted = materialise(postings(clusters))
+    tokens = materialise(case_tokens(prints, posted))
+    return likeness(in_common(tokens, posted), tokens, posted).join(clusters.select("ord", "cluster"), "ord").select("case_id", "cluster", "ord", "raw")
 
 
-def kb_similarity(prints: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``case_id, cluster, raw, kb_score`` of the most similar cluster (first on ties); below the least there is none."""
-    scored = kb_pairs(prints, clusters)
-    best = scored.groupBy("case_id").agg(F.max_by(F.struct("cluster", "raw"), F.struct("raw", -F.col("ord"))).alias("b"))
-    near = F.col("b.raw") >= config.KB_LEAST
-    return best.select("case_id", F.when(near, F.col("b.cluster")).otherwise("isolated").alias("cluster"), F.col("b.raw").alias("raw"), F.when(near, clamp(F.col("b.raw") * config.KB_SCALE)).otherwise(0).alias("kb_score"))
+#: A token of more clusters than this is looked up only for cases that it can still decide.
+COMMON = 1000
+
+
+def kb_similarity(prints: DataFrame, clusters: DataFrame, common: int = COMMON) -> DataFrame:
+    """``case_id, cluster, raw, kb_score`` of the most similar cluster (first on ties); below the least there is none.
+
+    First only clusters that share a token which at most ``common`` clusters have are compared.  A cluster that shares none but common tokens is at most at
+    w_h * (the case's common handles / its handles) + the same of tags + w_k (if it holds a common keyword): where the best one is above that bound it is the best of all,
+    and only the other cases meet the clusters of their common tokens as well.
+    """
+    posted = postings(clusters)
+    counted = posted.groupBy("kind", "token").agg(F.count("*").alias("n"))
+    posted = materialise(posted.join(counted, ["kind", "token"]).withColumn("often", F.col("n") > common).drop("n"))
+    often = counted.where(F.col("n") > common).select("kind", "token", F.lit(True).alias("often"))
+    tokens = materialise(case_tokens(prints, posted).join(often, ["kind", "token"], "left").withColumn("often", F.coalesce("often", F.lit(False))))
+    plain, all_posted = tokens.select("case_id", "kind", "token"), posted.select("kind", "token", "ord")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        # Of the pairs at hand all tokens count, common ones too.
+        full = plain.join(pairs, "case_id").join(all_posted, ["kind", "token", "ord"]).groupBy("case_id", "ord").agg(*[F.count_if(F.col("kind") == k).alias(f"c_{k}") for k in "htk"])
+        return likeness(full, plain, all_posted).groupBy("case_id").agg(F.max(F.struct("raw", (-F.col("ord")).alias("first"))).alias("b"))
+
+    def pairs(of: DataFrame, to: DataFrame) -> DataFrame:
+        return of.select("case_id", "kind", "token").join(to.select("kind", "token", "ord"), ["kind", "token"]).select("case_id", "ord").distinct()
+
+    found = materialise(best(pairs(tokens.where("not often"), posted.where("not often"))))
+    if posted.where("often").limit(1).count():
+        a, b, c = config.KB_WEIGHTS
+        share = lambda k: F.coalesce(F.count_if((F.col("kind") == k) & F.col("often")) / F.nullif(F.count_if(F.col("kind") == k), F.lit(0)), F.lit(0.0))
+        bounds = tokens.groupBy("case_id").agg((a * share("h") + b * share("t") + F.when(F.count_if((F.col("kind") == "k") & F.col("often")) > 0, c).otherwise(0.0)).alias("bound")).where("bound > 0")
+        # Bounds and likenesses are rounded alike, so a tie stays open.
+        open_ones = bounds.join(found, "case_id", "left").where(F.col("b").isNull() | (F.round("bound", 9) >= F.col("b.raw"))).select("case_id")
+        more = best(pairs(tokens.where("often").join(open_ones, "case_id", "left_semi"), posted.where("often")))
+        found = found.unionByName(more).groupBy("case_id").agg(F.max("b").alias("b"))
+    named = found.select("case_id", F.col("b.raw").alias("raw"), (-F.col("b.first")).alias("ord")).join(clusters.select("ord", "cluster"), "ord")
+    every = prints.select("case_id").join(named, "case_id", "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    near = F.col("raw") >= config.KB_LEAST
+    return every.select("case_id", F.when(near, F.col("cluster")).otherwise("isolated").alias("cluster"), "raw", F.when(near, clamp(F.col("raw") * config.KB_SCALE)).otherwise(0).alias("kb_score"))
 
 
 def raise_reused(dims: DataFrame, kb: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from riskspark import config
@@ -109,7 +111,7 @@ class Scored:
     @cached_property
     def found(self):
         rules = M.all_rules(self.t.lexicon, self.t.negatives, M.call_rules(self.t.spark))
-        return materialise(M.find_matches(self.texts, rules, every=False).drop("text"))
+        return materialise(M.find_matches(self.texts, rules, every=False))
 
     @cached_property
     def links(self):
@@ -128,7 +130,7 @@ class Scored:
         rows = [(k, c, list(h), list(g), list(w), n) for k, (c, _, n, h, g, w, _) in enumerate(config.CLUSTERS)]
         return self.t.spark.createDataFrame(rows, "ord int, cluster string, handles array<string>, tags array<string>, keywords array<string>, size int")
 
-    @property
+    @cached_property
     def kb(self):
         return S.kb_similarity(S.fingerprint(self.t.posts, self.links), self.clusters)
 
@@ -312,9 +314,10 @@ SELECT case_id, frame, label, dim, round(p, 6) AS p FROM q WHERE dim <> '' AND p
 @query("mx19_image_labels", PROMPT_SQL)
 def _(t):
     names = t.spark.createDataFrame([(k, *p) for k, p in enumerate(config.PROMPTS)], "no int, label string, dim string")
-    means = t.embeddings.select(F.col("label").alias("no"), F.posexplode("embedding").alias("k", "x")).groupBy("no", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    prompts = means.groupBy("no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("vector")).join(names, "no").select("label", "dim", "vector")
-    frames = t.embeddings.select(F.floor(F.col("vec_id") / 4).alias("case_id"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    # A prompt's vector is the mean of its label's: one buffer per label and task.
+    means = t.embeddings.groupBy(F.col("label").alias("no")).agg(Summarizer.mean(array_to_vector("embedding")).alias("m"))
+    prompts = means.join(names, "no").select("label", "dim", vector_to_array("m").alias("vector"))
+    frames = t.embeddings.select(F.floor(F.col("vec_id") / 4).alias("case_id"), F.col("vec_id").alias("frame"), "embedding")
     return M.image_labels(frames, prompts).withColumn("p", F.round("p", 6))
 
 
@@ -377,7 +380,7 @@ def _(t):
     return Scored(t).kb.withColumn("raw", F.round("raw", 6))
 
 
-@query("ag11_kb_similarity", chain("SELECT case_id, cluster, round(raw, 6) AS raw FROM kb_all"))
+@query("ag11_kb_similarity", chain("SELECT case_id, cluster, round(raw, 6) AS raw FROM kb_all WHERE raw > 0"))
 def _(t):
     s = Scored(t)
     return S.kb_pairs(S.fingerprint(t.posts, s.links), s.clusters).select("case_id", "cluster", F.round("raw", 6).alias("raw"))

@@ -1,6 +1,7 @@
 """Hand-worked cases of the scoring operators."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -123,19 +124,98 @@ def test_hits_of_all_texts(spark):
     assert sorted(r["signal"] for r in M.funnel_hits(links, kinds).collect()) == ["Канал: first_one", "Канал: second_one"]
 
 
-def test_rules_as_literals_or_joined(spark, monkeypatch):
-    """A rule table beyond the bound of literals gives the same matches by a join; no rules, no matches."""
+RULE = "ord int, pattern string, is_regex boolean, label string"
+
+
+def test_rules_in_one_automaton_or_several(spark, monkeypatch):
+    """Rules beyond one automaton give the same matches from several; no rules, no matches."""
     texts = spark.createDataFrame([(1, "Зови 5. ЗОВИ 12 друзей (a.b) 😀 a.b"), (2, ""), (3, None)], "case_id int, text string")
-    rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "зови [0-9]+", True, ""), (2, "друзей", False, "d")], "ord int, pattern string, is_regex boolean, label string")
+    rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "зови [0-9]+", True, ""), (2, "друзей", False, "d"), (3, "", False, ""), (4, "x*", True, "")], RULE)
     found = lambda **how: sorted((r["ord"], r["pos"], r["matched"], r["chip"]) for r in M.find_matches(texts, rules, **how).collect())
     want = [(0, 25, "a.b", "a.b"), (0, 32, "a.b", "a.b"), (1, 1, "Зови 5", "зови 5"), (1, 9, "ЗОВИ 12", "зови 12"), (2, 17, "друзей", "d")]
     assert found() == want
     assert found(every=False) == [x for x in want if x[:2] != (0, 32)]
     assert M.find_matches(texts, rules.limit(0)).count() == 0
-    monkeypatch.setattr(M, "RULES_MOST", 1)
+    monkeypatch.setattr(M, "RULES_AT_ONCE", 2)
     assert found() == want
 
 
+def test_hits_do_not_depend_on_the_number_of_rules(spark):
+    """Five rules, and the same five among five thousand: the same hits, those that a case-insensitive regular expression finds (final sigma, dotted capital I, long s, Kelvin sign)."""
+    texts = ["ΟΔΟΣ и οδος, οδοσ", "İstanbul ISTANBUL ıstanbul", "ſale SALE sale", "300 \u212a 300 k", "nothing", "ΟΔΟΣΟΔΟΣΟΔΟΣ straße STRASSE"]
+    few = [(0, "οδος", False), (1, "istanbul", False), (2, "sale", False), (3, "300 k", False), (4, "stra(ße|sse)", True)]
+    many = few + [(k, f"word{k} or {k * 7}", False) for k in range(5, 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "case_id int, text string")
+    of = lambda rules: sorted((r["case_id"], r["ord"], r["pos"], r["matched"]) for r in M.find_matches(df, spark.createDataFrame([(*x, "") for x in rules], RULE)).collect())
+    want = sorted((k, n, m.start() + 1, m[0]) for k, t in enumerate(texts) for n, p, is_regex in few for m in re.finditer(p if is_regex else re.escape(p), t, re.IGNORECASE))
+    assert len(want) == 16 and of(few) == want == of(many)
+
+
+def test_folding_is_the_case_rule_of_regular_expressions():
+    """Over all characters: alike when folded, as far as a case-insensitive match takes one for the other."""
+    alike = {}
+    for c in map(chr, itertools.chain(range(0xD800), range(0xE000, 0x20000))):
+        alike.setdefault(M.fold(c), []).append(c)
+        assert len(M.fold(c)) == 1
+    groups = [g for g in alike.values() if len(g) > 1]
+    assert len(groups) > 1000
+    for g in groups:
+        assert all(re.fullmatch(re.escape(a), b, re.IGNORECASE) for a, b in itertools.combinations(g, 2))
+    # No character of another group meets one of a group.
+    every = "".join(g[0] for g in alike.values())
+    for g in groups:
+        assert re.findall(re.escape(g[0]), every, re.IGNORECASE) == [g[0]]
+
+
+@pytest.mark.parametrize(("regex", "want"), [("[0-9 ]+ тенге за вечер", " тенге за вечер"), ("зови [0-9]+", "зови "), ("a|b", ""), ("(ab)?c", ""), ("abc?d", "ab"), ("ab{2,3}cd", "cd"), ("a\\.bc\\s+d", "a.bc"), ("\\d+", ""), ("[]x]ab", "ab")])
+def test_needed_text(regex, want):
+    assert M.needed(regex) == want
+
+
+def kb_plain(cases, clusters):
+    """Every case against every cluster."""
+    near = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 0
+    return {(c, n): round(0.45 * near(h, kh) + 0.3 * near(g, kg) + 0.25 * (sum(w in text for w in set(kw)) / len(set(kw)) if kw else 0), 9) for c, h, g, text in cases for n, _, kh, kg, kw in clusters}
+
+
+@pytest.mark.parametrize("common", [2, 1000])
+def test_knowledge_base_by_postings(spark, common):
+    """The best of 300 clusters is that of comparing all, also where tokens are common to many of them; no case meets a cluster by a nested loop."""
+    rng = np.random.default_rng(12)
+    some = lambda k, n, m: [f"{k}{x}" for x in sorted({int(x) for x in np.minimum(rng.geometric(0.12, n), m)})]
+    clusters = [(n, f"c{n}", some("h", rng.integers(0, 4), 40), some("#t", rng.integers(0, 4), 40), some("word", rng.integers(0, 4), 40)) for n in range(300)]
+    cases = [(c, some("h", rng.integers(0, 4), 45), some("#t", rng.integers(0, 4), 45), " ".join(some("word", rng.integers(0, 5), 45))) for c in range(80)]
+    prints = spark.createDataFrame(cases, "case_id long, handles array<string>, tags array<string>, text string")
+    kb = spark.createDataFrame(clusters, "ord int, cluster string, handles array<string>, tags array<string>, keywords array<string>")
+    want = kb_plain(cases, clusters)
+    got = {(r["case_id"], r["ord"]): r["raw"] for r in S.kb_pairs(prints, kb).collect()}
+    assert got == {k: v for k, v in want.items() if v > 0}
+    found = S.kb_similarity(prints, kb, common)
+    for r in found.collect():
+        best = max((want[r["case_id"], n], -n) for n in range(300))
+        assert r["raw"] == best[0] and r["cluster"] == (f"c{-best[1]}" if best[0] >= config.KB_LEAST else "isolated")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+def test_labels_in_several_passes(spark, monkeypatch):
+    """Any number of prompts: partial sums of several passes give the softmax over all."""
+    rng = np.random.default_rng(2)
+    prompts = [(f"p{k:02}", "d" if k % 3 else "", rng.normal(size=6).tolist()) for k in range(30)]
+    frames = [(k // 2, k, (rng.normal(size=6) * 3).tolist() if k != 5 else [0.0] * 6) for k in range(40)] + [(20, 40, None)]
+    df = spark.createDataFrame(frames, "case_id long, frame long, embedding array<double>")
+    found = lambda: sorted((r["frame"], r["label"], round(r["p"], 9)) for r in M.image_labels(df, spark.createDataFrame(prompts, "label string, dim string, vector array<double>"), least=0.05).collect())
+    unit = np.array([p[2] / np.linalg.norm(p[2]) for p in prompts])
+    want = []
+    for _, f, e in frames:
+        if e and any(e):
+            z = 100 * unit @ (np.array(e) / np.linalg.norm(e))
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            want += [(f, prompts[j][0], round(float(p[j]), 9)) for j in range(30) if p[j] > 0.05 and prompts[j][1]]
+    assert found() == sorted(want)
+    monkeypatch.setattr(M, "PROMPTS_AT_ONCE", 4)
+    assert found() == sorted(want)
+
+
 def test_fixed_formats(spark):
     """Hand-worked rows of hosts, tags, look-alikes and categories."""
     places = [("https://vk.com/a", "VK"), ("m.vkvideo.ru/x", "VK"), ("https://facebook.com/x", "Instagram"), ("https://t.me/x", "Telegram"), (None, "Instagram")]
