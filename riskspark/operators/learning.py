@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions.text import clamp, risk_level
+from riskspark.operators.metrics import ranged
 from riskspark.operators.score import blend
 from riskspark.session import drop, materialise
 
@@ -299,13 +300,56 @@ def balanced_sample(df: DataFrame, key: str, stratum: str, plan: DataFrame, seed
     return df.join(shares, df[stratum].eqNullSafe(shares["__s"])).where(u < F.col("__share")).select(*df.columns)
 
 
+def pooled(blocks: Iterable[tuple[float, float, float]]) -> list[list[float]]:
+    """Adjacent violators pooled: blocks (first score, sum of y, weight) in order of score become blocks with rising means."""
+    out: list[list[float]] = []
+    for first, total, weight in blocks:
+        out.append([first, total, weight])
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            _, total, weight = out.pop()
+            out[-1][1] += total
+            out[-1][2] += weight
+    return out
+
+
+def _pool(frame: pd.DataFrame) -> pd.DataFrame:
+    found = pooled(frame.sort_values("p")[["p", "y", "w"]].itertuples(index=False, name=None))
+    return pd.DataFrame({"at": [frame["at"].iloc[0]] * len(found), "p": [b[0] for b in found], "y": [b[1] for b in found], "w": [b[2] for b in found]})
+
+
+def isotonic_blocks(points: DataFrame, fan: int = 8) -> DataFrame:
+    """``p, mean``: the blocks of the isotonic regression, by their smallest score, from points ``p, y`` (sum) ``, w`` (count).
+
+    Points lie in ranges of about equal numbers.  Each range is pooled by itself, then ``fan`` neighbouring ranges together, and so on up: pooling is
+    the same whatever is pooled first, and a pooled block stands for all its points.  Labels of 0 and 1 have at most some n^(2/3) blocks.
+    """
+    table = ranged(points, "p")
+    cells = (table.agg(F.max("__cell")).first()[0] or 0) + 1
+    level = table.select(F.col("__cell").alias("at"), "p", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
+    while True:
+        level = materialise(level.groupBy("at").applyInPandas(_pool, "at int, p double, y double, w double"))
+        if cells == 1:
+            return level.select("p", (F.col("y") / F.col("w")).alias("mean"))
+        cells = -(-cells // fan)
+        level = level.withColumn("at", F.floor(F.col("at") / fan).cast("int"))
+
+
 def isotonic(df: DataFrame, p: str, y: str = "y") -> DataFrame:
-    """``df`` with ``calibrated``: isotonic regression of ``y`` on ``p``, fitted on one weighted row per distinct score."""
-    from pyspark.ml.regression import IsotonicRegression
+    """``df`` with ``calibrated``: isotonic regression of ``y`` on ``p``; null scores stay null.
 
-    points = df.groupBy(F.col(p).alias("__p")).agg(F.avg(y).alias("__y"), F.count("*").cast("double").alias("__w"))
-    model = IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w", predictionCol="calibrated").fit(points)
-    return model.transform(df.withColumn("__p", F.col(p))).drop("__p")
+    A score's block is the last one that begins at or below it: blocks and points lie in ranges together, each range is read in order, and what is open at the
+    end of a range goes on in the next ones.  Nothing passes the driver but the number of ranges.
+    """
+    points = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(F.col(y).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
+    blocks = isotonic_blocks(points)
+    scores = df.select(F.col(p).cast("double").alias("p")).where("p is not null").distinct()
+    both = ranged(blocks.select("p", "mean").unionByName(scores.select("p", F.lit(None).cast("double").alias("mean"))), "p")
+    last = both.where("mean is not null").groupBy("__cell").agg(F.max_by("mean", "p").alias("open"))
+    cells = both.select("__cell").distinct().join(last, "__cell", "left")  # one row per range
+    carried = cells.select("__cell", F.last("open", ignorenulls=True).over(Window.partitionBy().orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    inside = F.last("mean", ignorenulls=True).over(Window.partitionBy("__cell").orderBy("p", F.col("mean").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("__inside", inside).where("mean is null").join(carried, "__cell").select(F.col("p").alias("__p"), F.coalesce("__inside", "open").alias("calibrated"))
+    return df.join(placed, df[p].cast("double") == placed["__p"], "left").drop("__p")
 
 
 def tempered(p: Column, temperature: float | Column) -> Column:
@@ -314,10 +358,42 @@ def tempered(p: Column, temperature: float | Column) -> Column:
     return 1 / (1 + F.exp(-F.log(q / (1 - q)) / temperature))
 
 
-def fit_temperature(df: DataFrame, p: str, steps: int = 40, low: float = 0.25, high: float = 10.0) -> DataFrame:
-    """``temperature, nll`` of least log loss on a geometric grid: one aggregate for all candidates."""
-    grid = F.array(*[F.lit(low * (high / low) ** (k / steps)) for k in range(steps + 1)])
-    each = df.withColumn("temperature", F.explode(grid))
-    q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), tempered(F.col(p), F.col("temperature"))))
-    loss = each.groupBy("temperature").agg(F.avg(-F.col("y") * F.log(q) - (1 - F.col("y")) * F.log(1 - q)).alias("nll"))
-    return loss.agg(F.min_by("temperature", "nll").alias("temperature"), F.min("nll").alias("nll"))
+#: The interval of temperatures.
+COLDEST, HOTTEST = 0.25, 10.0
+
+
+def temperature_grid(low: float, high: float, points: int) -> list[float]:
+    return [low + (high - low) * k / (points + 1) for k in range(points + 2)]
+
+
+def fit_temperature(df: DataFrame, p: str, y: str = "y", points: int = 16, tolerance: float = 1e-7) -> DataFrame:
+    """``temperature, nll`` of least log loss between 0.25 and 10, as one row; 1.0 without a row or with one class only.
+
+    The loss has one minimum, so each pass of ``points`` temperatures between the ends of the bracket leaves the two next to the best of them (a golden section with many
+    points a pass): about nine passes to 1e-7.  A pass is one aggregate over distinct scores with counts.
+    """
+    spark = df.sparkSession
+    rows = materialise(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(F.when(F.col(y) >= 0.5, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) >= 0.5, 0).otherwise(1)).alias("neg")))
+    total = rows.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+
+    def losses(at: list[float]) -> list[float]:
+        def loss(t: float) -> Column:
+            q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), tempered(F.col("p"), t)))
+            return F.sum(-F.col("pos") * F.log(q) - F.col("neg") * F.log(1 - q))
+
+        found = rows.agg(*[loss(t).alias(f"l{k}") for k, t in enumerate(at)]).first()
+        return [x / ((total["pos"] or 0) + (total["neg"] or 0)) for x in found]
+
+    best, nll = 1.0, None
+    if total["pos"] and total["neg"]:
+        low, high = COLDEST, HOTTEST
+        while high - low > tolerance:
+            grid = temperature_grid(low, high, points)
+            found = losses(grid)
+            k = min(range(len(grid)), key=found.__getitem__)
+            low, high = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
+        best = (low + high) / 2
+    if total["pos"] or total["neg"]:
+        nll = losses([best])[0]
+    drop(rows)
+    return spark.createDataFrame([(best, nll)], "temperature double, nll double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import config
+from riskspark.session import materialise
 
 
 def by_score(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -13,14 +14,23 @@ def by_score(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*keys, F.col(p).alias("p")).agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("neg"))
 
 
-def running(steps: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], down: bool = False, cells: int = 1024) -> DataFrame:
+def ranged(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` with ``__cell``: ranges of about equal numbers of rows in the order of ``by``, written as they lie.
+
+    Boundaries come from a sample of the column itself, not from its limits, so a heavy tail or scores crowded near 0 make no large range; the number of ranges is the session's
+    number of shuffle partitions.  Rows that are equal in ``by`` share a range.
+    """
+    return materialise(df.repartitionByRange(*by).withColumn("__cell", F.spark_partition_id()))
+
+
+def running(steps: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], down: bool = False) -> DataFrame:
     """Sums of ``columns`` over the scores before each row's (``before_...``), scores rising or falling.
 
-    Scores between 0 and 1 lie in ``cells`` ranges.  Ranges are summed first (that many rows per key), then each range by itself, so no task
+    Rows lie in ranges of keys and scores.  Ranges are summed first (a row per key and range), then each range by itself, so no task
     sees all scores, however many are distinct.
     """
     way = F.desc if down else F.asc
-    placed = steps.withColumn("__cell", F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(F.col("p") * cells))))
+    placed = ranged(steps, *keys, "p")
     sums = placed.groupBy(*keys, "__cell").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
     earlier = Window.partitionBy(*keys).orderBy(way("__cell")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "__cell", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in columns])
@@ -44,18 +54,16 @@ def average_precision(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> Data
     return total.select(*keys, F.when(F.col("a") == 0, 0.0).otherwise(F.col("s") / F.col("a")).alias("ap"))
 
 
-def quantiles(df: DataFrame, key: str, value: str, qs: list[float], cells: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, qs: list[float]) -> DataFrame:
     """``key, q, v``: exact quantiles per key, linear between neighbours.
 
-    Values are counted in ``cells`` equal ranges per key; only the ranges that hold a wanted rank are ordered, on distinct values with counts.
+    Distinct values lie in ranges of about equal numbers, with counts; only the ranges that hold a wanted rank are ordered.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    bounds = counted.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(cells - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells))).otherwise(0).cast("int")
-    placed = counted.join(bounds, "k").select("k", "v", "c", cell.alias("cell"))
+    placed = ranged(counted, "k", "v").withColumnRenamed("__cell", "cell")
     before = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("k", "cell").agg(F.sum("c").alias("in_cell")).withColumn("before", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
-    at = bounds.select("k", F.explode(F.array(*map(F.lit, qs))).alias("q"), "n").withColumn("at", F.col("q") * (F.col("n") - 1))
+    at = ranges.groupBy("k").agg(F.sum("in_cell").alias("n")).select("k", F.explode(F.array(*map(F.lit, qs))).alias("q"), "n").withColumn("at", F.col("q") * (F.col("n") - 1))
     ranks = at.select("k", "q", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
     wanted = ranks.join(ranges, "k").where("rank >= before and rank < before + in_cell").select("k", "q", "at", "rank", "cell", "before")
     inside = Window.partitionBy("k", "cell").orderBy("v")

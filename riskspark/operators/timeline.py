@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import config
@@ -16,30 +20,83 @@ def candidates(hits: DataFrame, images: DataFrame) -> DataFrame:
     return timed.unionByName(shown)
 
 
-EVENT = "struct<time_s:double,source:string,signal:string,confidence:double>"
-
-
-def dedup(events: DataFrame, window: float = config.TIMELINE_WINDOW) -> DataFrame:
-    """Greedy, in time order: an event falls in with the first kept one of its source that is at most ``window`` seconds away or says the same.
+class Fold:
+    """Kept events of one case and source, fed in time order.
 
-    The stronger of the two stays (by severity, then confidence) and its time is the new anchor. Later events depend on that choice, so a case's
-    events are folded in order, in one expression; a case has as many events as one post gives.
+    An event falls in with the first kept one (by when it was first kept) that is at most ``window`` seconds away or says the same; the stronger of the two
+    stays at that place.  Kept events are found by their lower-cased signal and, as times rise, by a heap of those near enough (one that is too far by now stays so until it is anchored anew), so an
+    event costs a few steps of a heap however many are kept.  What is held are the kept events: not more than there are different signals.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("time_s", "source", "signal", F.col("confidence").cast("double").alias("confidence"))))
 
-    def meets(kept: Column, new: Column) -> Column:
-        return (kept["source"] == new["source"]) & ((F.abs(kept["time_s"] - new["time_s"]) <= window) | (F.lower(kept["signal"]) == F.lower(new["signal"])))
+    def __init__(self, window: float):
+        self.window, self.kept = window, []
+        self.by_signal: dict[str, list[int]] = {}
+        self.near: list[int] = []
+
+    def _note(self, k: int) -> None:
+        time_s, signal, _ = self.kept[k]
+        heapq.heappush(self.by_signal.setdefault(signal.lower(), []), k)
+        heapq.heappush(self.near, k)
+
+    def _first(self, heap: list[int], holds: Callable[[int], bool]) -> int | None:
+        while heap and not holds(heap[0]):
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def add(self, time_s: float, signal: str, confidence: float) -> None:
+        low = signal.lower()
+        said = self._first(self.by_signal.get(low, []), lambda k: self.kept[k][1].lower() == low)
+        close = self._first(self.near, lambda k: time_s - self.kept[k][0] <= self.window)
+        found = [k for k in (said, close) if k is not None]
+        if not found:
+            self.kept.append((time_s, signal, confidence))
+            self._note(len(self.kept) - 1)
+            return
+        k = min(found)
+        if strength(confidence) > strength(self.kept[k][2]):
+            self.kept[k] = (time_s, signal, confidence)
+            self._note(k)
+
+
+def strength(confidence: float) -> tuple[int, float]:
+    """What is compared between two events that are the same: severity, then confidence."""
+    return sum(confidence >= least for _, least in config.SEVERITIES), confidence
+
+
+def _dedup(batches: Iterable[pa.RecordBatch], window: float) -> Iterator[pa.RecordBatch]:
+    """Kept events of each case and source; their rows come one after the other, by time."""
+    key, fold = None, None
+
+    def kept() -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(fold.kept), 8192):
+            part = fold.kept[a : a + 8192]
+            columns = [pa.array([key[0]] * len(part), cases), pa.array([e[0] for e in part], pa.float64()), pa.array([key[1]] * len(part), pa.string()), pa.array([e[1] for e in part], pa.string()), pa.array([e[2] for e in part], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["case_id", "time_s", "source", "signal", "confidence"])
+
+    for batch in batches:
+        cases = batch.column("case_id").type
+        for case, source, *event in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if fold is None or (case, source) != key:
+                if fold is not None:
+                    yield from kept()
+                key, fold = (case, source), Fold(window)
+            fold.add(*event)
+    if fold is not None:
+        yield from kept()
 
-    def stronger(new: Column, kept: Column) -> Column:
-        a, b = severity_rank(new["confidence"]), severity_rank(kept["confidence"])
-        return (a > b) | ((a == b) & (new["confidence"] > kept["confidence"]))
 
-    def step(kept: Column, new: Column) -> Column:
-        # Place of the first kept event that the new one falls in with; 0 if none.
-        at = F.array_position(F.transform(kept, lambda k: meets(k, new)), True)
-        return F.when(at == 0, F.concat(kept, F.array(new))).otherwise(F.transform(kept, lambda k, i: F.when((i + 1 == at) & stronger(new, k), new).otherwise(k)))
+def dedup(events: DataFrame, window: float = config.TIMELINE_WINDOW) -> DataFrame:
+    """Greedy, in time order: an event falls in with the first kept one of its source that is at most ``window`` seconds away or says the same.
 
-    return events.groupBy("case_id").agg(F.aggregate(ordered, F.array().cast(f"array<{EVENT}>"), step).alias("kept")).select("case_id", F.explode("kept").alias("e")).select("case_id", "e.*")
+    The stronger of the two stays (by severity, then confidence) and its time is the new anchor.  Later events depend on that choice, so the events of a case and source are a sequence:
+    they are sorted within partitions and streamed through ``Fold``, which holds the kept ones only, and results come out as a sequence ends.
+    Ties of time go by signal, then confidence.  Events without a time are left out.
+    """
+    names = ("case_id", "source", "time_s", "signal", "confidence")
+    rows = events.where("time_s is not null").select("case_id", "source", "time_s", F.coalesce("signal", F.lit("")).alias("signal"), F.col("confidence").cast("double").alias("confidence"))
+    kind = rows.schema["case_id"].dataType.simpleString()
+    ordered = rows.repartition("case_id", "source").sortWithinPartitions(*names)
+    return ordered.mapInArrow(lambda batches: _dedup(batches, window), f"case_id {kind}, time_s double, source string, signal string, confidence double")
 
 
 def build_timeline(events: DataFrame, most: int = config.TIMELINE_MOST) -> DataFrame:

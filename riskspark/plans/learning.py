@@ -168,13 +168,22 @@ def _(t):
     return L.soft_targets(Learned(t).predictions).select("case_id", F.round("risk", 4).alias("risk"), "is_scam", "category")
 
 
-GRID = "SELECT 0.25::DOUBLE * pow(40::DOUBLE, k / 40::DOUBLE) AS t FROM (SELECT unnest(range(41)) AS k)"
 TEMPERED = "1 / (1 + exp(-ln(q / (1 - q)) / t))"
 
 
-@query("ml14_temperature", with_("scored") + f"SELECT round(arg_min(t, nll), 6) AS temperature, round(min(nll), 6) AS nll FROM (SELECT t, avg(-y * ln(p) - (1 - y) * ln(1 - p)) AS nll FROM (SELECT t, y, greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, {TEMPERED})) AS p FROM (SELECT y, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p_model)) AS q FROM scored), ({GRID})) GROUP BY 1)")
+def bracket_sql(passes: int = 9, points: int = 16) -> str:
+    """The same brackets in SQL, one pass after the other."""
+    parts = ["b0 AS (SELECT 0.25::DOUBLE AS lo, 10::DOUBLE AS hi)"]
+    for k in range(1, passes + 1):
+        parts.append(f"g{k} AS (SELECT j, lo + (hi - lo) * j / {points + 1} AS t FROM b{k - 1}, (SELECT unnest(range({points + 2})) AS j))")
+        parts.append(f"n{k} AS (SELECT j, any_value(t) AS t, sum(-pos * ln(p) - neg * ln(1 - p)) AS nll FROM (SELECT j, t, pos, neg, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, {TEMPERED})) AS p FROM heaps, g{k}) GROUP BY 1)")
+        parts.append(f"b{k} AS (SELECT max(CASE WHEN n.j = greatest(0, x.j - 1) THEN t END) AS lo, max(CASE WHEN n.j = least({points + 1}, x.j + 1) THEN t END) AS hi FROM n{k} n, (SELECT arg_min(j, nll) AS j FROM n{k}) x)")
+    return ",\n".join(parts)
+
+
+@query("ml14_temperature", with_("scored", heaps="SELECT greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p_model)) AS q, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY 1").rstrip() + ",\n" + bracket_sql() + f" SELECT round(any_value(t), 5) AS temperature, round(avg(-y * ln(p) - (1 - y) * ln(1 - p)), 6) AS nll FROM (SELECT y, t, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, {TEMPERED})) AS p FROM (SELECT y, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p_model)) AS q FROM scored), (SELECT (lo + hi) / 2 AS t FROM b9))")
 def _(t):
-    return L.fit_temperature(t.scored, "p_model").select(F.round("temperature", 6).alias("temperature"), F.round("nll", 6).alias("nll"))
+    return L.fit_temperature(t.scored, "p_model").select(F.round("temperature", 5).alias("temperature"), F.round("nll", 6).alias("nll"))
 
 
 @query("ml15_tempered", with_("scored") + f"SELECT id, round({TEMPERED}, 6) AS p FROM (SELECT id, 2.5::DOUBLE AS t, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p_model)) AS q FROM scored)")

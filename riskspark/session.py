@@ -55,11 +55,16 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+#: Tables written by ``materialise`` and not yet deleted, by session folder.
+_written: dict[str, DataFrame] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder as Parquet and go on from there, with its shuffle files removed.
 
     A lost executor then costs the step at hand, not those before it.  A table that was written has no known partitioning, so a join with it
     puts a plain exchange on both sides, which is the shape that adaptive execution can split when a key is hot.
+    The table is deleted by ``drop``, at the end of ``tables_freed``, or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
@@ -67,6 +72,9 @@ def materialise(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _written[path] = out
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return out
 
 
@@ -76,3 +84,14 @@ def drop(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.pop(df.written_to, None)
+
+
+@contextmanager
+def tables_freed() -> Iterator[None]:
+    """Delete at the end what ``materialise`` has written within: for callers that have stored their result by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        drop(*[df for path, df in _written.items() if path not in before])

@@ -87,6 +87,43 @@ def test_timeline_dedup_is_greedy(spark):
     assert sorted((r["source"], r["signal"], r["time_s"]) for r in again.collect()) == got
 
 
+def plain_fold(events):
+    """The same events one by one, every kept one looked at."""
+    rank = lambda c: (sum(c >= x for x in (45, 65, 85)), c)
+    kept = []
+    for e in sorted(events):
+        at = next((i for i, k in enumerate(kept) if k[1] == e[1] and (abs(k[0] - e[0]) <= config.TIMELINE_WINDOW or k[2].lower() == e[2].lower())), None)
+        if at is None:
+            kept.append(e)
+        elif rank(e[3]) > rank(kept[at][3]):
+            kept[at] = e
+    return kept
+
+
+def test_timeline_fold_is_the_plain_one(spark):
+    """Random cases: anchors that move, signals that change, ties, several sources; cases that partitions' batches cut."""
+    rng, rows = np.random.default_rng(7), []
+    for case in range(60):
+        for _ in range(int(rng.integers(1, 120))):
+            rows.append((case if case else None, float(rng.integers(0, 40)) / 4, "AB"[rng.integers(2)], str(rng.choice(["x", "X", "y", "z", "ÄB", "äb", *map(str, range(9))])), float(rng.integers(0, 100))))
+    df = spark.createDataFrame([*rows, (1, None, "A", "x", 5.0)], "case_id long, time_s double, source string, signal string, confidence double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    got = sorted((r["case_id"] or 0, r["time_s"], r["source"], r["signal"], r["confidence"]) for r in L.dedup(df).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for case in range(60):
+        want += [(case, *e) for e in plain_fold([r[1:] for r in rows if (r[0] or 0) == case])]
+    assert got == sorted(want)
+
+
+def test_timeline_fold_holds_kept_events_only():
+    """A million events of one case and source with 50 signals: at most 50 are held."""
+    fold = L.Fold(1.0)
+    for k in range(1_000_000):
+        fold.add(k * 0.7, f"s{k * 7919 % 50}", float(k * 31 % 97))
+    assert len(fold.kept) <= 50 and len(fold.near) < 5000
+
+
 def test_cases(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, title string, seq int")
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "id int, title string, seq int")
@@ -309,10 +346,11 @@ def test_heads_learn(spark):
     assert mixed[1]["score"] == round(0.6 * got[1]["score"] + 4) and not mixed[1]["rules_only"]
 
 
-def test_isotonic(spark):
-    """Against pooling of adjacent violators, written plainly."""
+@pytest.mark.parametrize("size", [0, 1, 80, 3000])
+def test_isotonic(spark, size):
+    """Against pooling of adjacent violators, written plainly; ranges and levels of the tree do not show."""
     rng = np.random.default_rng(9)
-    data = [(k, float(rng.integers(0, 12)) / 12, int(rng.random() < 0.5)) for k in range(80)]
+    data = [(k, float(np.round(rng.random() ** 4, 3)) if size > 100 else float(rng.integers(0, 12)) / 12, int(rng.random() < 0.5)) for k in range(size)]
     blocks = []
     for p in sorted({x[1] for x in data}):
         ys = [y for _, q, y in data if q == p]
@@ -321,8 +359,49 @@ def test_isotonic(spark):
             y, n, ps = blocks.pop()
             blocks[-1] = [blocks[-1][0] + y, blocks[-1][1] + n, blocks[-1][2] + ps]
     want = {p: y / n for y, n, ps in blocks for p in ps}
-    got = K.isotonic(spark.createDataFrame(data, "id long, p double, y int"), "p").collect()
-    assert len(got) == 80 and all(abs(r["calibrated"] - want[r["p"]]) < 1e-9 for r in got)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # all ranges stay apart
+    got = K.isotonic(spark.createDataFrame([*data, (-1, None, 1)], "id long, p double, y int"), "p").collect()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(got) == size + 1 and all(r["calibrated"] is None if r["p"] is None else abs(r["calibrated"] - want[r["p"]]) < 1e-9 for r in got)
+
+
+def test_temperature(spark):
+    """Within 1e-6 of a plain golden section; 1.0 for no row or one class."""
+    rng = np.random.default_rng(5)
+    z = rng.normal(0, 3, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-z / 2.2))).astype(int)
+    p = 1 / (1 + np.exp(-z))
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, y int")
+    loss = lambda t: -np.mean(np.log(np.where(y == 1, 1 / (1 + np.exp(-z / t)), 1 - 1 / (1 + np.exp(-z / t)))))
+    a, b, g = 0.25, 10.0, (5**0.5 - 1) / 2
+    while b - a > 1e-9:
+        c, d = b - g * (b - a), a + g * (b - a)
+        a, b = (a, d) if loss(c) < loss(d) else (c, b)
+    got = K.fit_temperature(df, "p").first()
+    assert abs(got["temperature"] - (a + b) / 2) < 1e-6 and abs(got["nll"] - loss(a)) < 1e-9
+    assert K.fit_temperature(df.where("y = 1"), "p").first()["temperature"] == 1.0
+    assert K.fit_temperature(df.limit(0), "p").first()[:] == (1.0, None)
+
+
+def test_ranges_are_balanced(spark):
+    """A log-normal column, and scores crowded near 0: no range with many more values than the others; metrics stay exact."""
+    rng = np.random.default_rng(8)
+    values = np.exp(rng.normal(0, 4, 30_000))
+    df = spark.createDataFrame([(0, float(v)) for v in values], "k int, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    sizes = [r["count"] for r in E.ranged(df, "k", "v").groupBy("__cell").count().collect()]
+    got = {r["q"]: r["v"] for r in E.quantiles(df, "k", "v", [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(sizes) > 50 and max(sizes) < 2 * 30_000 / 64
+    assert all(got[q] == pytest.approx(np.quantile(values, q), rel=1e-12) for q in got) and len(got) == 5
+    y, p = rng.integers(0, 2, 3000), np.round(rng.random(3000) ** 9, 4)
+    order = np.argsort(p)
+    ranks = np.array([np.mean(np.flatnonzero(p[order] == x)) + 1 for x in p])
+    want = (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    scored = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p, strict=True)], "y int, p double")
+    assert E.auroc(scored, "p").first()["auroc"] == pytest.approx(want, abs=1e-12)
 
 
 def test_sampling_plan(spark):
