@@ -76,6 +76,14 @@ SLOTS = (
 )
 
 
+# The dimension that each slot speaks for, in the order of SLOTS; none where it speaks for all.
+SLOT_DIMENSIONS = (
+    *config.DIMENSIONS, "urgency", "referral", "messenger", "", "",
+    "messenger", "messenger", "messenger", "referral", "messenger", "messenger", "reused", "", "", "hashtags",
+    "hashtags", "", "messenger", "messenger", "referral", "", "", "profit", "",
+)
+
+
 def numeric_slots(raw: DataFrame, tag_anchors: tuple[str, ...], text_anchors: tuple[str, ...]) -> list[Column]:
     """The 32 numeric features of ``raw_features``, each between 0 and 1, in the order of SLOTS; column expressions only."""
     c = F.col

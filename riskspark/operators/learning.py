@@ -99,8 +99,7 @@ def obfuscate(df: DataFrame, key: str = "case_id", text: str = "text", seed: int
 
 def hashed_features(grams: DataFrame, buckets: int = BUCKETS, seed: int = 3) -> DataFrame:
     """``case_id, bucket, value``: signed hashing of grams, scaled to length 1 per case."""
-    h = F.xxhash64(F.lit(seed), "gram")
-    summed = grams.select("case_id", bucket_of(F.col("gram"), buckets, seed).alias("bucket"), F.when(F.shiftright(h, 62) % 2 == 0, 1.0).otherwise(-1.0).alias("s")).groupBy("case_id", "bucket").agg(F.sum("s").alias("v")).where("v <> 0")
+    summed = grams.select("case_id", bucket_of(F.col("gram"), buckets, seed).alias("bucket"), sign_of(F.col("gram"), seed).alias("s")).groupBy("case_id", "bucket").agg(F.sum("s").alias("v")).where("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("case_id")))
     return summed.select("case_id", "bucket", (F.col("v") / norm).alias("value"))
 
@@ -136,15 +135,19 @@ def _dense(batch: dict, at: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _forward(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Probabilities of all heads: risk and dimensions by themselves, categories together."""
-    z = np.clip(x @ weights, -30, 30)
+def shares(z: np.ndarray) -> np.ndarray:
+    """Probabilities of all heads from their logits: risk and dimensions by themselves, categories together."""
+    z = np.clip(z, -30, 30)
     out = 1 / (1 + np.exp(-z))
     e = np.exp(z[:, CATS] - z[:, CATS].max(1, keepdims=True))
     out[:, CATS] = e / e.sum(1, keepdims=True)
     return out
 
 
+def _forward(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return shares(x @ weights)
+
+
 def _gap(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Derivative of the loss by the logits: risk + 1/2 mean of the dimensions + 1/2 of the categories, rows by weight."""
     g = (p - y) * w[:, None]
@@ -171,6 +174,14 @@ class HeadModel:
     def best_epoch(self) -> int:
         return min(self.history, key=lambda h: (h[1], h[0]))[0]
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of rows with a one in the last column."""
+        return _forward(x, self.weights)
+
+    def risk_gradient(self, x: np.ndarray) -> np.ndarray:
+        """Derivative of the risk logit by each input, per row."""
+        return np.broadcast_to(self.weights[:-1, 0], (len(x), len(self.weights) - 1))
+
 
 def targets(labels: DataFrame) -> DataFrame:
     """``case_id, y, w``: one array of all heads' targets per labelled row; a missing category spreads evenly, a missing weight is 1."""
@@ -179,15 +190,17 @@ def targets(labels: DataFrame) -> DataFrame:
     return labels.select("case_id", F.concat(F.array(share("risk"), *map(share, config.DIMENSIONS)), category).alias("y"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w"))
 
 
-def train_heads(rows: DataFrame, width: int, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.05, l2: float = 1e-4, parts: int = 8, seed: int = 11) -> HeadModel:
-    """A linear model of all heads from ``case_id, idx, val, y, w, held``: data-parallel Adam with averaging.
+def train_heads(rows: DataFrame, width: int, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.05, l2: float = 1e-4, parts: int | None = None, seed: int = 11) -> HeadModel:
+    """The baseline, a linear model of all heads from ``case_id, idx, val, y, w, held``: data-parallel Adam with averaging.
 
-    Every epoch each of ``parts`` partitions goes once over its rows in mini-batches, starting from the shared weights, and gives back its weights and the
+    Every epoch each of ``parts`` partitions (from the number of rows: 64 of a partition at least, and not more than cores) goes once over its rows in mini-batches, starting from the shared weights, and gives back its weights and the
     loss of those shared weights on its held rows; weights are averaged by numbers of rows.  What travels is the model, ``parts`` times; rows stay
     where they are, in an order that a hash fixes.  The weights with the least loss on held rows win.
     """
     spark = rows.sparkSession
-    placed = materialise(rows.select("case_id", "idx", "val", "y", "w", "held").repartition(parts, F.xxhash64(F.lit(seed), "case_id")).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), "case_id"), "case_id"))
+    rows = materialise(rows.select("case_id", "idx", "val", "y", "w", "held"))
+    parts = parts or max(1, min(spark.sparkContext.defaultParallelism, rows.count() // 64))
+    placed = materialise(rows.repartition(parts, F.xxhash64(F.lit(seed), "case_id")).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), "case_id"), "case_id"))
     weights, history, best = np.zeros((width + 1, len(HEADS)), np.float32), [], None
 
     def epoch(batches: Iterable[pd.DataFrame], shared, learn: bool) -> Iterator[pd.DataFrame]:
@@ -223,15 +236,18 @@ def train_heads(rows: DataFrame, width: int, epochs: int = EPOCHS, batch: int =
         if total:
             weights = sum(np.frombuffer(r["w"], np.float32).reshape(weights.shape) * np.float32(r["n"] / total) for r in found if r["n"])
         shared.unpersist()
-    drop(placed)
+    drop(rows, placed)
     return HeadModel(best[1], history)
 
 
 PREDICTION = "case_id long, prob double, " + ", ".join(f"{d} int" for d in config.DIMENSIONS) + ", category string, confidence double"
 
 
-def predict(rows: DataFrame, model: HeadModel, width: int) -> DataFrame:
-    """``case_id, prob, score, level``, the dimensions (0 to 100), ``category, confidence, uncertain`` per row of ``case_id, idx, val``."""
+def predict(rows: DataFrame, model: object, width: int) -> DataFrame:
+    """``case_id, prob, score, level``, the dimensions (0 to 100), ``category, confidence, uncertain`` per row of ``case_id, idx, val``.
+
+    ``model``: what has ``probabilities`` and a ``temperature``, such as the linear heads or the network.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,7 +256,7 @@ def predict(rows: DataFrame, model: HeadModel, width: int) -> DataFrame:
             for a in range(0, len(frame), 256):
                 part = frame.iloc[a : a + 256]
                 x = _dense({c: part[c].to_numpy() for c in ("idx", "val")}, np.arange(len(part)), width)
-                p = _forward(x, m.weights)
+                p = m.probabilities(x)
                 q = np.clip(p[:, 0], 1e-6, 1 - 1e-6)
                 prob = 1 / (1 + np.exp(-np.log(q / (1 - q)) / m.temperature))
                 dims = np.rint(100 * p[:, DIMS]).astype(int)
@@ -264,24 +280,15 @@ def soft_targets(predictions: DataFrame) -> DataFrame:
     return predictions.select("case_id", F.col("prob").alias("risk"), (F.col("prob") >= 0.5).alias("is_scam"), F.greatest(F.lit(0.2), F.col("confidence")).alias("weight"), "category", *[(F.col(d) / 100).alias(d) for d in config.DIMENSIONS])
 
 
-def attributions(rows: DataFrame, model: HeadModel, names: DataFrame, slots: tuple[str, ...], k: int = 8, buckets: int = BUCKETS) -> DataFrame:
-    """``case_id, feature, weight``: the k largest contributions (risk coefficient times value) per case, by name.
-
-    A slot has its own name, a bucket that of the first n-gram (``names``: case_id, bucket, gram) of the case that fell into it.
-    """
-    risk = F.lit([float(x) for x in model.weights[:-1, 0]])
-    each = rows.select("case_id", F.explode(F.arrays_zip("idx", "val")).alias("f")).select("case_id", F.col("f.idx").alias("bucket"), (F.element_at(risk, F.col("f.idx") + 1) * F.col("f.val")).alias("weight")).where("weight <> 0")
-    best = Window.partitionBy("case_id").orderBy(F.desc(F.abs("weight")), "bucket")
-    top = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-    first = names.groupBy("case_id", "bucket").agg(F.min("gram").alias("gram"))
-    slot = F.element_at(F.array(*map(F.lit, slots)), F.greatest(F.lit(1), F.col("bucket") - buckets + 1))
-    return top.join(first, ["case_id", "bucket"], "left").select("case_id", F.when(F.col("bucket") >= buckets, slot).otherwise(F.col("gram")).alias("feature"), "weight")
-
-
 def bucket_of(gram: Column, buckets: int = BUCKETS, seed: int = 3) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), gram), F.lit(buckets)).cast("int")
 
 
+def sign_of(gram: Column, seed: int = 3) -> Column:
+    """The sign with which a gram counts in its bucket."""
+    return F.when(F.shiftright(F.xxhash64(F.lit(seed), gram), 62) % 2 == 0, 1.0).otherwise(-1.0)
+
+
 def sampling_plan(strata: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``key, n, quota, share``: rows of each stratum, how many a balanced sample takes (alike for all, no more than there are), and that as a share.
 

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions import text as T
+from riskspark.operators import features as X
 from riskspark.operators import learning as L
+from riskspark.operators import metrics as E
+from riskspark.operators import network as N
 from riskspark.plans.base import query
 from riskspark.operators.features import SLOTS
 from riskspark.plans.scoring import CHAIN, Features, Scored, chain
 from riskspark.session import materialise
+from riskspark.sources import intake as I
 from riskspark.sources.fixtures import with_
 
+
 class RawTexts:
     """Inputs whose posts are the documents' texts and nothing else."""
 
@@ -92,10 +98,18 @@ class Learned:
     def labelled(self):
         return materialise(L.stratified_split(L.weak_labels(self.s.graded), "case_id", "is_scam"))
 
+    @cached_property
+    def goals(self):
+        return self.rows.join(L.targets(self.labelled).join(self.labelled.select("case_id", "held"), "case_id"), "case_id")
+
     @cached_property
     def model(self):
-        goals = L.targets(self.labelled).join(self.labelled.select("case_id", "held"), "case_id")
-        return L.train_heads(self.rows.join(goals, "case_id"), WIDTH)
+        """The network; here with steps of 256 rows, as a step is a job of Spark."""
+        return N.train(self.goals, WIDTH, batch=256)
+
+    @cached_property
+    def linear(self):
+        return L.train_heads(self.goals, WIDTH)
 
     @property
     def predictions(self):
@@ -116,6 +130,20 @@ def _(t):
     return Learned(t).rows.select("case_id", F.size("idx").alias("n"), F.round(F.aggregate("val", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+def history(t, m):
+    return t.spark.createDataFrame([(k, round(x, 6), k == m.best_epoch) for k, x in m.history], "epoch int, held_loss double, best boolean")
+
+
+@query("ml9_hidden_layer")
+def _(t):
+    """What the hidden layer adds: held-out loss and ranking of the network beside the linear heads."""
+    one = Learned(t)
+    held = one.labelled.where("held").select("case_id", F.col("is_scam").cast("int").alias("y"))
+    both = [L.predict(one.rows, m, WIDTH).join(held, "case_id").select("y", "prob", F.lit(n).alias("model"), F.lit(min(x for _, x in m.history)).alias("held_loss")) for n, m in (("network", one.model), ("linear", one.linear))]
+    rows = materialise(both[0].unionByName(both[1]))
+    return E.auroc(rows, "prob", ("model",)).join(rows.groupBy("model").agg(F.first("held_loss").alias("held_loss"), F.count("*").alias("n")), "model").select("model", F.round("auroc", 6).alias("auroc"), F.round("held_loss", 6).alias("held_loss"), "n")
+
+
 @query("ml10_train_and_predict")
 def _(t):
     return shown(Learned(t).predictions)
@@ -123,8 +151,18 @@ def _(t):
 
 @query("ml10_history")
 def _(t):
-    m = Learned(t).model
-    return t.spark.createDataFrame([(k, round(x, 6), k == m.best_epoch) for k, x in m.history], "epoch int, held_loss double, best boolean")
+    return history(t, Learned(t).model)
+
+
+@query("ml11_linear_baseline")
+def _(t):
+    one = Learned(t)
+    return shown(L.predict(one.rows, one.linear, WIDTH))
+
+
+@query("ml11_history")
+def _(t):
+    return history(t, Learned(t).linear)
 
 
 @query("ml12_predictions")
@@ -148,8 +186,11 @@ def _(t):
 @query("ml17_attributions")
 def _(t):
     one = Learned(t)
-    names = GRAM_ROWS(t).select("case_id", L.bucket_of(F.col("gram")).alias("bucket"), "gram")
-    return L.attributions(one.rows, one.model, names, SLOTS).withColumn("weight", F.round("weight", 4))
+    words = t.posts.select("case_id", T.words(F.col("description")).alias("w"))
+    top = X.top_ngrams(words, 8).select("case_id", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n"), "gram")).alias("pos"), "gram")
+    tags = t.posts.select("case_id", F.posexplode(I.coerce_hashtags(F.col("tags"))).alias("p", "gram")).select("case_id", (100 + F.col("p")).alias("pos"), "gram")
+    grams = top.unionByName(tags).select("case_id", "pos", "gram", L.bucket_of(F.col("gram")).alias("bucket"), L.sign_of(F.col("gram")).alias("sign"))
+    return N.attributions(one.rows, one.model, grams, X.SLOTS, X.SLOT_DIMENSIONS).withColumn("weight", F.round("weight", 4))
 
 
 @query("ml22_sampling_plan", "SELECT lang, n, least(n, min(n) OVER ()) AS quota, round(least(n, min(n) OVER ()) / n::DOUBLE, 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")

@@ -14,6 +14,7 @@ from riskspark.operators import graph as G
 from riskspark.operators import learning as K
 from riskspark.operators import match as M
 from riskspark.operators import metrics as E
+from riskspark.operators import network as N
 from riskspark.operators import score as S
 from riskspark.operators import timeline as L
 from riskspark.plans import registry
@@ -404,6 +405,93 @@ def test_ranges_are_balanced(spark):
     assert E.auroc(scored, "p").first()["auroc"] == pytest.approx(want, abs=1e-12)
 
 
+def test_network_gradient():
+    """Backpropagation against finite differences, with units left out, for weights of both layers and biases."""
+    rng = np.random.default_rng(6)
+    model = N.Network.drawn(12, 7, seed=3)
+    model.first, model.second = model.first.astype(float), rng.normal(0, 0.5, model.second.shape)
+    x = np.hstack([rng.normal(size=(9, 12)), np.ones((9, 1))])
+    y = rng.random((9, len(K.HEADS)))
+    y[:, K.CATS] /= y[:, K.CATS].sum(1, keepdims=True)
+    w, kept = rng.random(9), N.kept_units(np.arange(9), 5, 7, 0.3).astype(float)
+    grad, _ = model.backward(x, y, w, kept)
+    flat = np.concatenate([model.first.ravel(), model.second.ravel()])
+
+    def loss(v):
+        n = model.first.size
+        return N.Network(v[:n].reshape(model.first.shape), v[n:].reshape(model.second.shape)).backward(x, y, w, kept)[1]
+
+    for at in [*rng.choice(len(flat), 60, replace=False), len(flat) - 1, model.first.size - 1, model.first.size + 1]:
+        step = np.zeros_like(flat)
+        step[at] = 1e-5
+        assert grad[at] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-5, abs=1e-5)
+
+
+def test_units_are_drawn_by_row_and_step():
+    a, b = N.kept_units(np.arange(4000), 1, 16, 0.1), N.kept_units(np.arange(4000)[::-1].copy(), 1, 16, 0.1)
+    assert (a == b[::-1]).all() and not (a == N.kept_units(np.arange(4000), 2, 16, 0.1)).all()
+    assert abs((a == 0).mean() - 0.1) < 0.01 and abs(a.mean() - 1) < 0.02
+
+
+def test_gradients_in_a_tree(spark, monkeypatch):
+    """Groups of any size give the sum of all partitions."""
+    rng = np.random.default_rng(1)
+    data = rng.integers(-50, 50, (11, 3, 4)).astype(np.float32)
+    rows = [(c, p, 1.5, 2.0, data[p, c].tobytes()) for p in range(11) for c in range(3)]
+    df = spark.createDataFrame(rows, N.GRADIENT).repartition(5)
+    for fan in (2, 3, 32):
+        monkeypatch.setattr(N, "FAN", fan)
+        grad, weight, loss = N.summed(df, 11)
+        assert (grad == data.sum(0).ravel()).all() and (weight, loss) == (16.5, 22.0)
+
+
+def planted(n=900):
+    """Risk where exactly one of two marks is there: nothing for linear heads."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(n):
+        a, b = rng.random(2) < 0.5
+        bad = float(a != b)
+        idx = [int(rng.integers(0, 10)), *([10] if a else []), *([11] if b else [])]
+        rows.append((k, idx, [1.0] * len(idx), [bad] + [0.8 * bad] + [0.1] * 7 + [float(c == k % 3) for c in range(7)], 1.0, k % 6 == 0))
+    return rows
+
+
+ROWS = "case_id long, idx array<int>, val array<double>, y array<double>, w double, held boolean"
+
+
+def test_network_learns_what_linear_heads_cannot(spark):
+    df = spark.createDataFrame(planted(), ROWS).repartition(3)
+    net = N.train(df, 12, batch=150, hidden=32, epochs=20, rate=0.03)
+    losses = [x for _, x in net.history]
+    assert losses[net.best_epoch] == min(losses) < losses[0] * 0.8
+    again = N.train(df, 12, batch=150, hidden=32, epochs=2, rate=0.03)
+    assert [x for _, x in again.history] == pytest.approx(losses[:3])
+    linear = K.train_heads(df, 12)
+    held = df.where("held").select("case_id", F.col("y")[0].cast("int").alias("y"))
+    ranked = lambda m: E.auroc(K.predict(df, m, 12).join(held, "case_id"), "prob").first()[0]
+    assert ranked(net) > 0.95 > 0.65 > ranked(linear)
+    # Nothing to learn from, and nothing held.
+    assert N.train(df.limit(0), 12, hidden=4, epochs=2).history == [(0, 0.0)]
+    assert len(N.train(df.where("not held").limit(40), 12, hidden=4, epochs=2).history) == 3
+
+
+def test_attributions_are_input_times_derivative(spark):
+    """By finite differences of the risk logit; slots with their dimension, grams by their bucket, each name once, the largest first."""
+    rng = np.random.default_rng(2)
+    model = N.Network.drawn(6, 5, seed=1)
+    model.second[:-1] = rng.normal(size=(5, len(K.HEADS)))
+    rows = spark.createDataFrame([(1, [0, 4, 5], [0.5, 0.25, 1.0]), (2, [5], [0.0])], "case_id long, idx array<int>, val array<double>")
+    grams = spark.createDataFrame([(1, 1, "ab", 0, -1.0), (1, 2, "ab", 1, 1.0), (1, 3, "cd", 2, 1.0)], "case_id long, pos int, gram string, bucket int, sign double")
+    got = N.attributions(rows, model, grams, ("s0", "s1"), ("profit", ""), k=3, buckets=4).orderBy("case_id", "rank").collect()
+    x = np.array([[0.5, 0, 0, 0, 0.25, 1.0, 1.0]])
+    logit = lambda v: (np.maximum(v @ model.first, 0) @ model.second[:-1] + model.second[-1])[0, 0]
+    slope = lambda j: (logit(x + 1e-4 * np.eye(7)[j]) - logit(x - 1e-4 * np.eye(7)[j])) / 2e-4
+    want = sorted([("s0", "profit", 0.25 * slope(4)), ("s1", "", slope(5)), ("ab", "", -slope(0)), ("cd", "", slope(2))], key=lambda f: -abs(f[2]))[:3]
+    assert [(r["feature"], r["dim"]) for r in got] == [f[:2] for f in want] and [r["rank"] for r in got] == [1, 2, 3]
+    assert [r["weight"] for r in got] == pytest.approx([f[2] for f in want], abs=1e-2)
+
+
 def test_sampling_plan(spark):
     df = spark.createDataFrame([(k, "ab"[k % 10 == 0]) for k in range(5000)], "id long, s string")
     plan = K.sampling_plan(df, "s")
