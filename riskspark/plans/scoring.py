@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,9 +15,10 @@ from riskspark.operators import features as X
 from riskspark.operators import match as M
 from riskspark.operators import score as S
 from riskspark.plans.base import Inputs, query
-from riskspark.session import materialise
+from riskspark.session import materialise, shared_folder
 from riskspark.sources import intake as I
 from riskspark.sources.fixtures import SQL, _text, values, with_
+from riskspark.streaming.rescore import ARRIVAL, CaseStore
 
 # ---- the same steps in DuckDB SQL ------------------------------------------------------------------------------------
 SENTENCE = r"trim(regexp_extract(substr(text, 1, pos - 1), '[^.!?\n]*\z') || substr(text, pos, size) || regexp_extract(substr(text, pos + size), '^[^.!?\n]*'))"
@@ -298,6 +300,37 @@ def _(t):
     return Scored(t, only=changed).hits.groupBy("case_id").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
 
 
+class Touched:
+    """Inputs of some cases, with the texts that have arrived for them."""
+
+    def __init__(self, t: Inputs, texts, touched):
+        self.t, self.texts, self.touched = t, texts, touched
+
+    def __getattr__(self, name: str):
+        if name == "segments":
+            return self.texts.where("kind = 'speech'").select("case_id", F.col("no").alias("seg_no"), F.col("time_s").alias("start_s"), "text")
+        if name == "ocr":
+            return self.texts.where("kind = 'frame'").select("case_id", F.col("no").alias("frame"), "time_s", "text")
+        found = getattr(self.t, name)
+        return found.join(self.touched, "case_id", "left_semi") if name in ("posts", "visual") else found
+
+
+SCORED_CASE = ("case_id", "score", "level", "category")
+
+
+@query("mx17_second_pass", chain("SELECT case_id, score, level, category FROM category"))
+def _(t):
+    """All cases are scored from their posts; then speech and frames arrive as a stream of files, and only the cases that they touch are scored again."""
+    folder = f"{shared_folder(t.spark)}/cases-{uuid.uuid4().hex}"
+    store = CaseStore(t.spark, folder, lambda texts, touched: Scored(Touched(t, texts, touched)).graded.select(*SCORED_CASE), buckets=8)
+    store.fill(t.posts)
+    speech = t.segments.select("case_id", F.lit("speech").alias("kind"), F.col("seg_no").cast("long").alias("no"), F.col("start_s").alias("time_s"), "text")
+    frames = t.ocr.select("case_id", F.lit("frame").alias("kind"), F.col("frame").cast("long").alias("no"), "time_s", "text")
+    speech.unionByName(frames).withColumn("sent", F.lit(0).cast("long")).write.parquet(f"{folder}/arrived")
+    store.follow(t.spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", 64).parquet(f"{folder}/arrived")).awaitTermination()
+    return store.cases
+
+
 @query("mx18_escalate", chain("SELECT case_id, (filename IS NOT NULL) AND (score >= 8 OR length(trim(coalesce(text, ''))) < 40) AS escalate FROM overall JOIN (SELECT case_id, filename, text FROM posts JOIN meta USING (case_id)) USING (case_id)"))
 def _(t):
     s = Scored(t)
