@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,24 +77,57 @@ def surface_dedup(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.select(key, digest.alias("surface")).groupBy("surface").agg(F.min(key).alias(key), F.count("*").alias("n"))
 
 
-def obfuscate(df: DataFrame, key: str = "case_id", text: str = "text", seed: int = 13) -> DataFrame:
-    """A disguised twin of each row: at most two letter swaps or spacings per word, drawn by the row's key."""
-    swaps = dict(zip("асеорх", "aceopx", strict=True)) | {"о": "0", "з": "3", "i": "1", "e": "3"}
+# Letters and the signs that look like them; letters and the digits or signs written for them; what is put between letters, and between words.
+LOOKALIKE_FROM, LOOKALIKE_TO = "аоерсхкмнтву", "aoepcxkmhtby"
+DIGITS_FROM, DIGITS_TO = "озэичаб", "03314@6"
+SEPARATORS, EMOJI = (" ", ".", "-", "\u200b"), ("🔥", "💰", "🤑", "✅", "💸", "🚀", "🎰", "⚡", "💎")
+# Chances of a long word to be changed at all, of each kind of change, of a letter within it, of an emoji behind a word; changes of a word at most; shortest word.
+WORD_CHANGED, EMOJI_AFTER, CHANGES_MOST, WORD_LEAST = 0.55, 0.12, 2, 4
+KINDS = {"lookalike": (0.6, 0.5), "digits": (0.5, 0.45), "doubling": (0.25, 0.3), "spacing": (0.30, None)}
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                rng, words = np.random.default_rng([seed, int(k)]), (t or "").split(" ")
-                for n in np.flatnonzero(rng.random(len(words)) < 0.3):
-                    w = words[n]
-                    if len(w) > 3:
-                        at = int(rng.integers(1, len(w) - 1))
-                        words[n] = w[:at] + swaps.get(w[at], w[at] + ".") + w[at + 1 :]
-                out.append(" ".join(words))
-            yield pd.DataFrame({key: batch[key], "twin": out})
-
-    return df.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, f"{key} long, twin string")
+
+def draw(*of: Column | int | str) -> Column:
+    """A number in [0, 1) that a hash of all arguments gives."""
+    return F.pmod(F.xxhash64(*[x if isinstance(x, Column) else F.lit(x) for x in of]), F.lit(1 << 30)) / float(1 << 30)
+
+
+def picked(values: tuple[str, ...], at: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.floor(at * len(values)).cast("int") + 1)
+
+
+def _change(word: Column, kind: Column, letter: Callable[[str, Column], Column], separator: Column) -> Column:
+    """``word`` after one kind of change; ``letter(kind, place)`` draws for a letter."""
+    letters = F.split(word, "")
+
+    def swapped(name: str, source: str, target: str) -> Column:
+        return F.array_join(F.transform(letters, lambda c, j: F.when(letter(name, j) < KINDS[name][1], F.translate(c, source, target)).otherwise(c)), "")
+
+    doubled = F.array_join(F.transform(letters, lambda c, j: F.when(c.rlike(r"^\p{L}$") & (letter("doubling", j) < KINDS["doubling"][1]), F.concat(c, c)).otherwise(c)), "")
+    return F.when(kind == "lookalike", swapped("lookalike", LOOKALIKE_FROM, LOOKALIKE_TO)).when(kind == "digits", swapped("digits", DIGITS_FROM, DIGITS_TO)).when(kind == "doubling", doubled).otherwise(F.call_function("array_join", letters, separator))
+
+
+def disguised(text: Column, key: Column, seed: int = 13) -> Column:
+    """``text`` with about half of its longer words changed, in at most two of four ways each, and emoji between words; all draws follow from key, place and seed."""
+
+    def one(word: Column, i: Column) -> Column:
+        kinds = F.array_compact(F.array(*[F.when(draw(seed, key, i, name) < chance, F.struct(draw(seed, key, i, name, "order").alias("order"), F.lit(name).alias("name"))) for name, (chance, _) in KINDS.items()]))
+        chosen = F.transform(F.slice(F.array_sort(kinds), 1, CHANGES_MOST), lambda k: k["name"])
+        changed = F.aggregate(chosen, word, lambda w, kind: _change(w, kind, lambda name, j: draw(seed, key, i, name, j), picked(SEPARATORS, draw(seed, key, i, "separator"))))
+        out = F.when((F.length(word) >= WORD_LEAST) & (draw(seed, key, i, "word") < WORD_CHANGED), changed).otherwise(word)
+        return F.when(draw(seed, key, i, "emoji") < EMOJI_AFTER, F.concat(out, F.lit(" "), picked(EMOJI, draw(seed, key, i, "which")))).otherwise(out)
+
+    return F.array_join(F.transform(F.split(text, " ", -1), one), " ")
+
+
+def obfuscated_twins(df: DataFrame, positive: Column, key: str = "case_id", text: str = "text", rate: float = 0.45, seed: int = 13) -> DataFrame:
+    """Disguised twins of a share ``rate`` of the positive rows, with all other columns (the labels) of their parents; a twin that is empty or like its parent is none."""
+    chosen = df.where(positive & (draw(seed, F.col(key), "twin") < rate)).withColumn("__was", F.coalesce(text, F.lit("")))
+    return chosen.withColumn(text, disguised(F.col("__was"), F.col(key), seed)).where((F.col(text) != F.col("__was")) & (F.trim(text) != "")).drop("__was")
+
+
+def augmented(df: DataFrame, positive: Column, key: str = "case_id", text: str = "text", rate: float = 0.45, seed: int = 13) -> DataFrame:
+    """All rows and their twins, with ``twin`` to tell them; equal texts are left as they are (``surface_dedup`` drops them)."""
+    return df.withColumn("twin", F.lit(False)).unionByName(obfuscated_twins(df, positive, key, text, rate, seed).withColumn("twin", F.lit(True)))
 
 
 def hashed_features(grams: DataFrame, buckets: int = BUCKETS, seed: int = 3) -> DataFrame:

@@ -232,10 +232,21 @@ def _(t):
     return t.scored.select("id", F.round(L.tempered(F.col("p_model"), 2.5), 6).alias("p"))
 
 
+@query("ml18_augmented", chain("SELECT case_id, score / 100::DOUBLE AS risk, score >= 50 AS is_scam, category, sha256(coalesce(description, '')) AS text FROM category JOIN (SELECT case_id, description FROM posts) USING (case_id)"))
+def _(t):
+    """The parents among the augmented rows are the labelled posts, as they were."""
+    return _augmented(t).where("not twin").select("case_id", "risk", "is_scam", "category", F.sha2("text", 256).alias("text"))
+
+
+def _augmented(t):
+    labels = L.weak_labels(Scored(t).graded)
+    texts = t.posts.select("case_id", F.coalesce("description", F.lit("")).alias("text"))
+    return L.augmented(labels.join(texts, "case_id"), F.col("is_scam"))
+
+
 @query("ml18_obfuscated_twins")
 def _(t):
-    twins = L.obfuscate(t.posts.select("case_id", F.coalesce("description", F.lit("")).alias("text")))
-    return twins.select("case_id", F.sha2("twin", 256).alias("twin"))
+    return _augmented(t).where("twin").select("case_id", "risk", "is_scam", "category", F.sha2("text", 256).alias("twin"))
 
 
 @query("ml19_codemix", with_("posts") + "SELECT case_id, sha256(CASE WHEN case_id % 3 = 0 THEN concat_ws(' ', description, CASE case_id % 2 WHEN 0 THEN 'join now' ELSE 'тез келіңіз' END) ELSE description END) AS v FROM posts")

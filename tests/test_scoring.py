@@ -492,6 +492,49 @@ def test_attributions_are_input_times_derivative(spark):
     assert [r["weight"] for r in got] == pytest.approx([f[2] for f in want], abs=1e-2)
 
 
+def test_obfuscated_twins(spark):
+    """Positives only, with their parents' labels; each word is a parent's word after at most two kinds of change, in either order; draws repeat themselves."""
+    rng = np.random.default_rng(3)
+    words = ["казино", "заработок", "бонус", "деньги", "money", "да", "успех!", "чаша", ""]
+    rows = [(k, " ".join(rng.choice(words, int(rng.integers(0, 12)))), k % 2 == 0, 0.1 * (k % 5)) for k in range(900)] + [(900, None, True, 0.5)]
+    df = spark.createDataFrame(rows, "case_id long, text string, is_scam boolean, risk double")
+    both = K.augmented(df, F.col("is_scam"))
+    got = both.collect()
+    assert sorted((r["case_id"], r["text"]) for r in got if not r["twin"] and r["text"] is not None) == sorted(r[:2] for r in rows[:-1])
+    twins = {r["case_id"]: r for r in got if r["twin"]}
+    assert 150 < len(twins) < 225 and len(twins) == sum(r["twin"] for r in got)
+    again = {r["case_id"]: r["text"] for r in K.obfuscated_twins(df.repartition(7), F.col("is_scam")).collect()}
+    assert again == {k: r["text"] for k, r in twins.items()}
+    swaps = dict(zip(K.LOOKALIKE_FROM, K.LOOKALIKE_TO, strict=True)), dict(zip(K.DIGITS_FROM, K.DIGITS_TO, strict=True))
+
+    def forms(word):
+        """Patterns of a word after no, one or two kinds of change."""
+        one = lambda c: f"[{re.escape(''.join({c, swaps[0].get(c, c), swaps[1].get(c, c)}))}]"
+        twice = lambda p, c: f"(?:{p}){{1,2}}" if c.isalpha() else p
+        yield "".join(map(one, word))  # look-alikes, digits
+        for m in swaps:
+            each = [f"[{re.escape(''.join({c, m.get(c, c)}))}]" for c in word]
+            yield "".join(map(twice, each, word))
+            for sep in K.SEPARATORS:
+                yield re.escape(sep).join(each)
+        for sep in K.SEPARATORS:
+            s = f"(?:{re.escape(sep)})?"
+            yield s.join(f"{re.escape(c)}(?:{s}{re.escape(c)})?" if c.isalpha() else re.escape(c) for c in word)
+
+    changed = emoji = total = 0
+    for k, twin in twins.items():
+        parent = rows[k]
+        assert parent[2] and (twin["is_scam"], twin["risk"]) == parent[2:]
+        rest = "".join(f"({'|'.join(dict.fromkeys([re.escape(w), *(forms(w) if len(w) >= 4 else [])]))})( (?:{'|'.join(K.EMOJI)}))?" + (" " if n < len(parent[1].split(" ")) - 1 else "") for n, w in enumerate(parent[1].split(" ")))
+        m = re.fullmatch(rest, twin["text"])
+        assert m, (parent[1], twin["text"])
+        found = m.groups()
+        changed += sum(a != w for a, w in zip(found[::2], parent[1].split(" "), strict=True) if len(w) >= 4)
+        total += sum(len(w) >= 4 for w in parent[1].split(" "))
+        emoji += sum(e is not None for e in found[1::2])
+    assert 0.3 < changed / total < 0.6 and emoji > 50
+
+
 def test_sampling_plan(spark):
     df = spark.createDataFrame([(k, "ab"[k % 10 == 0]) for k in range(5000)], "id long, s string")
     plan = K.sampling_plan(df, "s")
