@@ -126,6 +126,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([a-zа-яёәғқңөұүһіà-öø-ÿß0-9]+)"), F.lit(1))
 
 
+def folded_words(c: Column) -> Column:
+    """``words`` after NFKC and case folding: the light word stream of the model."""
+    return words(nfkc_casefold(c))
+
+
 def word_ngrams(tokens: Column) -> Column:
     """Words, then pairs of neighbours joined by a space."""
     n = F.size(tokens)

@@ -20,12 +20,13 @@ def case_documents(posts: DataFrame, cases: DataFrame, dims: DataFrame, timeline
 
     Each part is bounded per case (eight dimensions, eight events, six cards, fifteen nodes) and grouped by case on its own, then joined.
     """
+    number = F.when(F.col("id") == "v1", 0).otherwise(F.substring("id", 2, 9).cast("int"))  # n2 before n10, the case itself first
     parts = [
         listed(dims.select("case_id", "dim_no", "dim", "value"), "dna", "dim_no"),
         listed(timeline.withColumn("n", F.substring("id", 2, 9).cast("int")), "timeline", "n"),
         listed(reduce(DataFrame.unionByName, cards), "evidence", "type"),
-        listed(nodes, "nodes", "id"),
-        listed(edges, "edges", "id"),
+        listed(nodes.withColumn("n", number), "nodes", "n", "id"),
+        listed(edges.withColumn("n", number), "edges", "n", "id"),
     ]
     head = cases.select("case_id", "score", "level", "category", "reason").join(posts.select("case_id", F.coalesce("title", F.lit("")).alias("title"), "created"), "case_id")
     joined = reduce(lambda a, b: a.join(b, "case_id", "left"), parts, head)

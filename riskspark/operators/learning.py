@@ -33,11 +33,24 @@ def weak_labels(scores: DataFrame) -> DataFrame:
     return scores.select("case_id", risk.alias("risk"), (risk >= 0.5).alias("is_scam"), label_weight(F.col("score").cast("double")).alias("weight"), "category", *[(F.col(d) / 100).alias(d) for d in config.DIMENSIONS])
 
 
+def hand_labels(given: DataFrame, weak: DataFrame) -> DataFrame:
+    """Hand-made labels (case_id, risk, is_scam, category) as label rows of weight 1: their dimensions are those of the rules on the same case's text (``weak``), 0 where the rules know it not."""
+    dims = weak.select("case_id", *config.DIMENSIONS)
+    return given.select("case_id", "risk", "is_scam", "category").join(dims, "case_id", "left").select("case_id", "risk", "is_scam", F.lit(1.0).alias("weight"), "category", *[F.coalesce(d, F.lit(0.0)).alias(d) for d in config.DIMENSIONS])
+
+
 def merge_labels(weak: DataFrame, strong: DataFrame) -> DataFrame:
-    """Hand-made labels over weak ones, by case."""
-    ranked = weak.withColumn("rank", F.lit(1)).unionByName(strong.withColumn("rank", F.lit(0)))
-    w = Window.partitionBy("case_id").orderBy("rank")
-    return ranked.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "rank")
+    """Hand-made labels over weak ones, by case, with ``source`` (gold, weak)."""
+    own = weak.join(strong.select("case_id"), "case_id", "left_anti").withColumn("source", F.lit("weak"))
+    return strong.withColumn("source", F.lit("gold")).unionByName(own)
+
+
+def training_table(cases: DataFrame, labels: DataFrame) -> DataFrame:
+    """``case_id, y`` and the dimensions within [0, 1], ``category`` (its index; unknown ones are 0), ``weight`` (not below 0) for every case; one without a label has zeros."""
+    share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
+    index = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(CATEGORY_NAMES) for x in (c, k)]), F.coalesce("category", F.lit(""))), F.lit(0))
+    joined = cases.select("case_id").join(labels, "case_id", "left")
+    return joined.select("case_id", share("risk").alias("y"), *[share(d).alias(d) for d in config.DIMENSIONS], index.alias("category"), F.greatest(F.lit(0.0), F.coalesce(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, part: float = 0.15, seed: int = 7, cells: int = 1024) -> DataFrame:

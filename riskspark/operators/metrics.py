@@ -182,3 +182,36 @@ def psi(values: DataFrame, baseline: Column, key: str, value: str, bins: int = c
     shares = every.join(counts, [key, "bin"], "left").select(key, *[F.greatest(F.coalesce(x, F.lit(0)) / F.sum(F.coalesce(x, F.lit(0))).over(w), F.lit(floor)).alias(x) for x in ("b", "c")])
     scaled = shares.select(key, *[(F.col(x) / F.sum(x).over(w)).alias(x) for x in ("b", "c")])
     return scaled.groupBy(key).agg(F.sum((F.col("c") - F.col("b")) * F.log(F.col("c") / F.col("b"))).alias("psi"))
+
+
+def slot_values(slots: DataFrame, names: tuple[str, ...], key: str = "case_id") -> DataFrame:
+    """``feature, v``: the numeric slots of all cases, one row per case and slot, by the slots' names."""
+    columns = [c for c in slots.columns if c != key]
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(c).cast("double").alias("v")) for n, c in zip(names, columns, strict=True)])
+    return slots.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+def drift_baseline(values: DataFrame, key: str = "feature", value: str = "v", bins: int = config.PSI_BINS) -> DataFrame:
+    """``key, mean, std, lo, hi, constant, edges, shares``: what is stored of a set of values to hold later ones against."""
+    stats = values.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    listed = baseline_bins(values, key, value, bins).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "edge", "share"))).alias("b"))
+    return stats.join(listed, key).select(key, "mean", "std", "lo", "hi", (F.col("hi") - F.col("lo") < 1e-12).alias("constant"), F.filter(F.transform("b", lambda x: x["edge"]), lambda e: e.isNotNull()).alias("edges"), F.transform("b", lambda x: x["share"]).alias("shares"))
+
+
+def psi_to(baseline: DataFrame, values: DataFrame, key: str = "feature", value: str = "v", floor: float = config.PSI_FLOOR) -> DataFrame:
+    """``key, psi, constant`` of values against a stored baseline: shares of both in the baseline's bins, floored and scaled to 1 again; a feature that is gone counts as nothing in every bin."""
+    found = values.join(baseline.select(key, "edges"), key).groupBy(key, F.size(F.filter("edges", lambda e: e < F.col(value))).alias("bin")).agg(F.count("*").alias("c"))
+    every = baseline.select(key, "constant", F.posexplode("shares").alias("bin", "b")).join(found, [key, "bin"], "left")
+    w = Window.partitionBy(key)
+    n = F.coalesce("c", F.lit(0))
+    total = F.sum(n).over(w)
+    floored = every.select(key, "constant", F.greatest("b", F.lit(floor)).alias("b"), F.greatest(F.when(total > 0, n / total).otherwise(0.0), F.lit(floor)).alias("c"))
+    scaled = floored.select(key, "constant", *[(F.col(x) / F.sum(x).over(w)).alias(x) for x in ("b", "c")])
+    return scaled.groupBy(key, "constant").agg(F.sum((F.col("c") - F.col("b")) * F.log(F.col("c") / F.col("b"))).alias("psi"))
+
+
+def drift_report(psi: DataFrame, key: str = "feature", most: int = 15, alarm: float = config.PSI_ALARM) -> DataFrame:
+    """``rank, feature, psi, flagged`` of the ``most`` features that moved furthest, with the report's ``n_flagged, worst, mean`` on each row."""
+    report = psi.agg(F.count_if(F.col("psi") > alarm).alias("n_flagged"), F.max("psi").alias("worst"), F.avg("psi").alias("mean"))  # one row
+    top = psi.orderBy(F.desc("psi"), key).limit(most).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("psi"), key)))
+    return top.crossJoin(F.broadcast(report)).select("rank", F.col(key).alias("feature"), "psi", (F.col("psi") > alarm).alias("flagged"), "n_flagged", "worst", "mean")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskspark import config
 from riskspark.operators import documents as D
 from riskspark.operators import graph as G
+from riskspark.operators import score as S
 from riskspark.operators import timeline as L
 from riskspark.plans.base import query
 from riskspark.plans.intake import COERCED, FLAT, TAGGED
@@ -145,8 +146,9 @@ GRAPH = with_(**CHAIN, tagged=TAGGED, handles=HANDLES, top_tags=TAGS, near=NEAR,
 
 
 class Graph:
-    def __init__(self, t):
-        self.t, s = t, Scored(t)
+    def __init__(self, t, s=None):
+        s = s or Scored(t)
+        self.t, self.s = t, s
         self.links, self.kb = s.links, s.kb
         self.tags = t.posts.select("case_id", I.resolve_hashtags(F.col("tags"), F.col("title"), F.col("description"), F.col("tags"), F.col("provided_transcript")).alias("tags"))
         self.rows = t.spark.createDataFrame(RELATED, "cluster string, n int, label string, type string")
@@ -196,10 +198,24 @@ def _(t):
 
 @query("gr6_cluster_size", GRAPH + "SELECT case_id, greatest(coalesce(size, 0), count(*)) AS size FROM nodes JOIN kb USING (case_id) LEFT JOIN clusters USING (cluster) GROUP BY case_id, size")
 def _(t):
-    g = Graph(t)
-    sizes = F.broadcast(Scored(t).clusters.select("cluster", "size"))
+    return _cluster(Graph(t)).select("case_id", "size")
+
+
+ABOUT = "SELECT * FROM " + values([(c, d) for c, d, *_ in config.CLUSTERS], "cluster, about")
+
+
+def _cluster(g):
+    """Size and description of the cluster of every case with neighbours."""
+    known = g.t.spark.createDataFrame([(c, d, n) for c, d, n, *_ in config.CLUSTERS], "cluster string, about string, size int")
     n = g.nodes.groupBy("case_id").agg(F.count("*").alias("n"))
-    return n.join(g.kb, "case_id").join(sizes, "cluster", "left").select("case_id", F.greatest(F.coalesce("size", F.lit(0)), "n").cast("long").alias("size"))
+    size = F.greatest(F.coalesce("size", F.lit(0)), "n").cast("long")
+    own = F.concat(F.lit("linked items: "), F.col("n").cast("string"))
+    return n.join(g.kb, "case_id").join(known, "cluster", "left").select("case_id", size.alias("size"), F.coalesce("about", own).alias("description"))
+
+
+@query("gr6_cluster", GRAPH.rstrip() + f",\nabout AS ({ABOUT}) SELECT case_id, greatest(coalesce(size, 0), count(*)) AS size, coalesce(about, 'linked items: ' || count(*)) AS description FROM nodes JOIN kb USING (case_id) LEFT JOIN clusters USING (cluster) LEFT JOIN about USING (cluster) GROUP BY case_id, size, about")
+def _(t):
+    return _cluster(Graph(t))
 
 
 @query("gr7_central_label", with_("posts") + LABEL)
@@ -214,12 +230,14 @@ def _(t):
     return nodes.groupBy("case_id", "type").agg(F.count("*").alias("n")).unionByName(links)
 
 
-ENTITIES = "SELECT DISTINCT case_id, lower(label) AS entity FROM (SELECT case_id, label FROM handles UNION ALL SELECT case_id, label FROM top_tags)"
+# A post's account is who published it: here the source of its document.
+ENTITIES = "SELECT DISTINCT case_id, lower(label) AS entity FROM (SELECT case_id, label FROM handles UNION ALL SELECT case_id, label FROM top_tags UNION ALL SELECT doc_id, 'account:' || source FROM documents WHERE source IS NOT NULL)"
 
 
 def _entities(t):
     g = Graph(t)
-    return G.top_handles(g.links).select("case_id", "label").unionByName(G.top_tags(g.tags).select("case_id", "label")).select("case_id", F.lower("label").alias("entity")).distinct()
+    accounts = t.documents.where("source is not null").select(F.col("doc_id").alias("case_id"), F.concat(F.lit("account:"), "source").alias("label"))
+    return G.top_handles(g.links).select("case_id", "label").unionByName(G.top_tags(g.tags).select("case_id", "label")).unionByName(accounts).select("case_id", F.lower("label").alias("entity")).distinct()
 
 
 @query("gr9_shared_edges", GRAPH + f"SELECT DISTINCT a, case_id AS b FROM (SELECT case_id, min(case_id) OVER (PARTITION BY entity) AS a FROM ({ENTITIES})) WHERE case_id > a")
@@ -232,8 +250,29 @@ def _(t):
     return G.components(G.shared_edges(_entities(t)))
 
 
-@query("ag18_case_documents")
-def _(t):
-    s, g = Scored(t), Graph(t)
+def _documents(t):
+    s = Scored(t)
+    g = Graph(t, s)
     cards = [L.speech_card(s.hits, I.assemble_transcripts(t.segments, t.posts)), L.screen_card(s.hits, t.ocr), L.image_card(t.visual), L.hit_card(s.hits, "Metadata", "metadata", t.posts.select("case_id", I.coerce_hashtags(F.col("tags")).alias("tags"))), L.link_card(s.links, s.hits), L.hit_card(s.hits, "Behavior", "engagement")]
     return D.case_documents(t.posts, s.cases, s.boosted, L.build_timeline(L.dedup(L.candidates(s.hits, t.visual))), cards, G.with_center(g.nodes, _labels(t)), G.edges(g.nodes))
+
+
+@query("ag18_case_documents")
+def _(t):
+    return _documents(t)
+
+
+@query("ag18_document_parts", GRAPH.rstrip() + f""",\nlabels_of AS ({LABEL}) SELECT c.case_id, coalesce(p.title, '') AS title, strftime(p.created, '%Y-%m-%d') AS upload_date, score, level, category, (SELECT string_agg(dim || ':' || value, ' ' ORDER BY dim_no) FROM boosted b WHERE b.case_id = c.case_id) AS dna,
+ 'v1' || coalesce((SELECT string_agg(' n' || k, '' ORDER BY k) FROM nodes n WHERE n.case_id = c.case_id), '') AS nodes, coalesce((SELECT string_agg('n' || k, ' ' ORDER BY k) FROM nodes n WHERE n.case_id = c.case_id), '') AS targets FROM category c JOIN posts p USING (case_id)""")
+def _(t):
+    """The parts of the documents that SQL can tell: head, dimensions, nodes and edges in their order."""
+    names = lambda c, f: F.array_join(F.transform(c, f), " ")
+    return _documents(t).select("case_id", "title", "upload_date", "score", "level", "category", names("dna", lambda d: F.concat_ws(":", d["dim"], d["value"].cast("string"))).alias("dna"), names("nodes", lambda n: n["id"]).alias("nodes"), names("edges", lambda e: e["target"]).alias("targets"))
+
+
+@query("wn11_strongest", chain("SELECT case_id, source, time_s, fragment, explanation, confidence FROM (SELECT case_id, source, confidence, coalesce(nullif(trim(fragment), ''), signal) AS fragment, signal AS explanation, time_s FROM hits QUALIFY row_number() OVER (PARTITION BY case_id, source ORDER BY confidence DESC, lane, seg_no, rule_ord, pos, signal DESC) = 1)"))
+def _(t):
+    """Per case and source what its strongest hit says, and when; the first one on ties."""
+    hits = Scored(t).hits
+    best = S.strongest(hits, "source", F.struct(F.col("time_s"), F.coalesce(F.nullif(F.trim("fragment"), F.lit("")), F.col("signal")).alias("fragment"), F.col("signal").alias("explanation"), F.col("confidence")))
+    return best.select("case_id", "source", "best.time_s", "best.fragment", "best.explanation", "best.confidence")

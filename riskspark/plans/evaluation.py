@@ -10,7 +10,10 @@ from riskspark.plans.base import query
 from riskspark.plans.intake import BY_HOST, HOST, VALID
 from riskspark.plans.scoring import CHAIN, Scored, chain
 from riskspark.sources import intake as I
-from riskspark.sources.fixtures import SQL, with_
+from riskspark.operators.features import SLOTS
+from riskspark.plans.scoring import FEATURED, SLOT_SQL, Features
+from riskspark.session import materialise
+from riskspark.sources.fixtures import SQL, values, with_
 
 W = with_("scored")
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -207,15 +210,79 @@ def _(t):
     return top.select(F.col("k").alias("feature"), F.round("psi", 6).alias("psi"), (F.col("psi") > 0.2).alias("flagged"))
 
 
+# ---- drift of the model's features: a baseline is stored from the cases of the first half of the month, later cases are held against it
+LONG_SLOTS = "SELECT case_id, " + ", ".join(f"round(({x})::DOUBLE, 6) AS s{k}" for k, x in enumerate(SLOT_SQL)) + " FROM raw"
+SLOT_DRIFT = (
+    FEATURED.rstrip() + f""",\nslots AS ({LONG_SLOTS}), cells AS (SELECT created < DATE '2024-01-15' AS base, unnest([{', '.join(f"{{'k': '{n}', 'v': s{k}}}" for k, n in enumerate(SLOTS))}]) AS x FROM slots JOIN (SELECT case_id, created FROM posts) USING (case_id)),
+v AS (SELECT x.k AS k, x.v AS v, base FROM cells), e AS (SELECT k, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS lo, max(v) AS hi FROM v WHERE base GROUP BY 1),
+p AS (SELECT k, len(list_filter(edges, lambda x: x < v)) AS bin, base FROM v JOIN e USING (k)), c AS (SELECT k, bin, count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS c FROM p GROUP BY 1, 2), a AS (SELECT k, edges, unnest(range(len(edges) + 1)) AS bin FROM e),
+h AS (SELECT k, bin, edges[bin + 1] AS edge, coalesce(b, 0) / sum(coalesce(b, 0)) OVER (PARTITION BY k) AS b, coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY k) AS c FROM a LEFT JOIN c USING (k, bin)),
+n AS (SELECT k, greatest(b, 1e-4) / sum(greatest(b, 1e-4)) OVER (PARTITION BY k) AS b, greatest(c, 1e-4) / sum(greatest(c, 1e-4)) OVER (PARTITION BY k) AS c FROM h),
+psi AS (SELECT k AS feature, sum((c - b) * ln(c / b)) AS psi FROM n GROUP BY 1)
+"""
+)
+
+
+def _slot_drift(t):
+    """The stored baseline and the later cases' values."""
+    slots = Features(Scored(t)).slots
+    rounded_slots = slots.select("case_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in slots.columns if c != "case_id"])
+    both = materialise(rounded_slots.join(t.posts.select("case_id", (F.col("created") < F.lit("2024-01-15").cast("date")).alias("base")), "case_id"))
+    parts = [E.slot_values(both.where(F.col("base") == early).drop("base"), SLOTS) for early in (True, False)]
+    return materialise(E.drift_baseline(parts[0])), parts[1]
+
+
+@query("ml24_slot_baseline", SLOT_DRIFT + "SELECT k AS feature, bin::INT AS bin, round(edge, 6) AS edge, round(b, 6) AS share, round(mean, 6) AS mean, round(std, 6) AS std, lo, hi, hi - lo < 1e-12 AS constant FROM h JOIN (SELECT k, mean, std, lo, hi FROM e) USING (k)")
+def _(t):
+    base, _ = _slot_drift(t)
+    return base.select("feature", F.posexplode("shares").alias("bin", "share"), "edges", "mean", "std", "lo", "hi", "constant").select("feature", "bin", F.round(F.try_element_at("edges", F.col("bin") + 1), 6).alias("edge"), R("share"), R("mean"), R("std"), "lo", "hi", "constant")
+
+
+@query("ml25_slot_psi", SLOT_DRIFT + "SELECT feature, round(psi, 6) AS psi FROM psi")
+def _(t):
+    return E.psi_to(*_slot_drift(t)).select("feature", R("psi"))
+
+
+@query("ml26_slot_report", SLOT_DRIFT + "SELECT row_number() OVER (ORDER BY psi DESC, feature)::INT AS rank, feature, round(psi, 6) AS psi, psi > 0.2 AS flagged, n_flagged, round(worst, 6) AS worst, round(mean, 6) AS mean FROM (SELECT feature, round(psi, 9) AS psi FROM psi), (SELECT count(*) FILTER (psi > 0.2) AS n_flagged, max(psi) AS worst, avg(psi) AS mean FROM psi) ORDER BY 1 LIMIT 15")
+def _(t):
+    psi = E.psi_to(*_slot_drift(t)).withColumn("psi", F.round("psi", 9))
+    return rounded(E.drift_report(psi), "rank", "feature", "flagged", "n_flagged")
+
+
 # ---- dashboard -------------------------------------------------------------------------------------------------------
 STATUS = "CASE case_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'review' ELSE 'closed' END"
 BOARD = chain("").rstrip() + ",\nboard AS (SELECT o.case_id, score, level, category, created, " + STATUS + f" AS status, coalesce(title, '') AS title, CASE WHEN platform IN {VALID} THEN platform {BY_HOST} ELSE 'Instagram' END AS platform FROM category o JOIN (SELECT case_id, created, title, platform, {HOST} AS h FROM posts) USING (case_id))\n"
 
 
-def _board(t):
+def _board(t, s=None):
     status = F.when(F.col("case_id") % 3 == 0, "new").when(F.col("case_id") % 3 == 1, "review").otherwise("closed")
     posts = t.posts.select("case_id", "created", F.coalesce("title", F.lit("")).alias("title"), I.resolve_platform(F.col("platform"), F.col("url")).alias("platform"))
-    return Scored(t).graded.select("case_id", "score", "level", "category").join(posts, "case_id").withColumn("status", status)
+    return (s or Scored(t)).graded.select("case_id", "score", "level", "category").join(posts, "case_id").withColumn("status", status)
+
+
+LEVEL_NAMES = [("critical", "Критический", "Critical"), ("high", "Высокий", "High"), ("medium", "Средний", "Medium"), ("low", "Низкий", "Low")]
+STATUS_NAMES = [("new", "Новый", "New"), ("review", "На проверке", "In review"), ("closed", "Закрыт", "Closed")]
+SOURCE_NAMES = [("Metadata", "Метаданные", "Metadata"), ("Audio", "Аудио", "Audio"), ("OCR", "Текст в кадре", "On-screen text"), ("Visual", "Видеоряд", "Visual"), ("Behavior", "Поведение", "Behavior")]
+
+
+def named(df, column, names):
+    """``df`` with the names of a code in both languages; a code without one keeps itself."""
+    known = df.sparkSession.createDataFrame(names, f"{column} string, {column}_ru string, {column}_en string")
+    return df.join(F.broadcast(known), column, "left").withColumns({f"{column}_{lang}": F.coalesce(f"{column}_{lang}", column) for lang in ("ru", "en")})  # a handful of rows
+
+
+def names_sql(column, names):
+    return f"(SELECT * FROM {values(names, f'{column}, {column}_ru, {column}_en')})"
+
+
+@query("tx26_labels", BOARD + f"SELECT case_id, level_ru, level_en, status_ru, status_en FROM board LEFT JOIN {names_sql('level', LEVEL_NAMES)} USING (level) LEFT JOIN {names_sql('status', STATUS_NAMES)} USING (status)")
+def _(t):
+    return named(named(_board(t), "level", LEVEL_NAMES), "status", STATUS_NAMES).select("case_id", "level_ru", "level_en", "status_ru", "status_en")
+
+
+@query("tx26_source_labels", chain(f"SELECT case_id, source_ru, source_en, count(*) AS n FROM hits LEFT JOIN {names_sql('source', SOURCE_NAMES)} USING (source) GROUP BY 1, 2, 3"))
+def _(t):
+    return named(Scored(t).hits.select("case_id", "source"), "source", SOURCE_NAMES).groupBy("case_id", "source_ru", "source_en").agg(F.count("*").alias("n"))
 
 
 def filter_queue(board, text=None, level=None, status=None, platform=None):
@@ -245,7 +312,8 @@ KPIS = {"analysed": "TRUE", "high": "score >= 65", "review": "status = 'review'"
 
 @query("db2_kpis", BOARD + ", seen AS (SELECT b.*, cluster FROM board b LEFT JOIN kb USING (case_id)) SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}, count(*) FILTER ({c} AND {NEW}) - count(*) FILTER ({c} AND {OLD}) AS {n}_delta" for n, c in KPIS.items()) + f", count(DISTINCT cluster) FILTER (cluster <> 'isolated') AS clusters, count(DISTINCT cluster) FILTER (cluster <> 'isolated' AND {NEW}) - count(DISTINCT cluster) FILTER (cluster <> 'isolated' AND {OLD}) AS clusters_delta FROM seen")
 def _(t):
-    seen = _board(t).join(Scored(t).kb.select("case_id", F.nullif("cluster", F.lit("isolated")).alias("cluster")), "case_id", "left")
+    s = Scored(t)
+    seen = _board(t, s).join(s.kb.select("case_id", F.nullif("cluster", F.lit("isolated")).alias("cluster")), "case_id", "left")
     new, old = F.expr(NEW), F.expr(OLD)
     counts = [x for n, c in KPIS.items() for x in (F.count_if(F.expr(c)).alias(n), (F.count_if(F.expr(c) & new) - F.count_if(F.expr(c) & old)).alias(f"{n}_delta"))]
     clusters = lambda when: F.count_distinct(F.when(when, F.col("cluster")))
@@ -297,7 +365,7 @@ def _(t):
     handles = s.links.where("kind = 'telegram'").select("case_id", F.lower("value").alias("account")).join(t.posts.select("case_id", "created"), "case_id")
     first = handles.groupBy("account").agg(F.min("created").alias("first_seen")).where("first_seen >= DATE '2024-01-22'")
     fresh = handles.join(first, "account").join(mine, "case_id").groupBy("cluster").agg(F.count_distinct("account").alias("new_accounts"))
-    cases = mine.join(_board(t), "case_id").groupBy("cluster").agg(F.count("*").alias("matches"), F.count_if(F.expr(NEW)).alias("recent"), F.count_distinct("platform").alias("platforms"), F.round(F.avg("score"), 6).alias("mean_risk"))
+    cases = mine.join(_board(t, s), "case_id").groupBy("cluster").agg(F.count("*").alias("matches"), F.count_if(F.expr(NEW)).alias("recent"), F.count_distinct("platform").alias("platforms"), F.round(F.avg("score"), 6).alias("mean_risk"))
     return cases.join(fresh, "cluster", "left").withColumn("new_accounts", F.coalesce("new_accounts", F.lit(0)))
 
 

@@ -142,16 +142,6 @@ def _(t):
     return C.unpack_cases(broken, "id BIGINT, title STRING, score INT")
 
 
-# The lines themselves, taken apart again by each engine's own JSON reader.
-LINE = "json_object('case_id', case_id, 'title', title, 'tags', tags, 'is_scam', case_id % 2 = 0)"
-
-
-@query("io19_export_examples", with_("posts") + f"SELECT case_id, title, tags, is_scam FROM (SELECT (l ->> 'case_id')::BIGINT AS case_id, l ->> 'title' AS title, l ->> 'tags' AS tags, (l ->> 'is_scam')::BOOLEAN AS is_scam FROM (SELECT {LINE} AS l FROM posts))")
-def _(t):
-    lines = C.to_lines(t.posts.select("case_id", "title", "tags", (F.col("case_id") % 2 == 0).alias("is_scam")))
-    return lines.select(F.from_json("line", "case_id BIGINT, title STRING, tags STRING, is_scam BOOLEAN").alias("x")).select("x.*")
-
-
 @query("io21_model_versions", "SELECT source AS model, max(doc_id) AS active, count(*) AS versions, CAST(arg_max(n_chars, doc_id) AS BIGINT) AS metric FROM documents GROUP BY 1")
 def _(t):
     return C.active_versions(t.documents.select(F.col("source").alias("model"), F.col("doc_id").alias("version"), F.col("doc_id").alias("activated_at"), F.col("n_chars").alias("metric")))
@@ -166,11 +156,12 @@ def _(t):
     return C.list_versions(_versions(t))
 
 
-# Version 5 of its model becomes active again.
-@query("io21_roll_back", "SELECT source AS model, CASE WHEN bool_or(doc_id = 5) THEN 5 ELSE max(doc_id) END AS active FROM documents GROUP BY 1")
+# Every model goes back to the version before its active one, if it has two.
+@query("io21_roll_back", "SELECT model, coalesce(max(version) FILTER (place = 2), max(version)) AS active FROM (SELECT source AS model, doc_id AS version, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents) GROUP BY 1")
 def _(t):
-    model = F.lit(t.documents.where("doc_id = 5").select("source").first()["source"])
-    return C.active_versions(C.roll_back(_versions(t), model, 5, F.lit(1 << 60))).select("model", "active")
+    versions = _versions(t)
+    older = C.list_versions(versions).where("place = 2")
+    return C.active_versions(C.roll_back(versions, older, F.lit(1 << 60))).select("model", "active")
 
 
 # ---- text functions -------------------------------------------------------------------------------------------------
@@ -223,8 +214,10 @@ del ORACLES["tx13_nfkc_casefold"]
 simple("tx14_fold_lookalikes", lambda: F.sha2(T.fold_lookalikes(F.col("description")), 256), f"sha256(translate(lower(description), '{T.CONFUSABLE_FROM}', '{T.CONFUSABLE_TO}'))")
 simple("tx15_collapse_separators", lambda: F.sha2(T.collapse_separators(F.lower("description")), 256), "NULL")
 del ORACLES["tx15_collapse_separators"]
+#: NFKC and case folding as far as the given texts need it: a sharp s is two letters.
+FOLDED_WORDS = "regexp_extract_all(replace(lower(nfc_normalize(description)), 'ß', 'ss'), '([a-zа-яёәғқңөұүһіà-öø-ÿß0-9]+)', 1)"
 WORDS = "regexp_extract_all(lower(description), '([a-zа-яёәғқңөұүһіà-öø-ÿß0-9]+)', 1)"
-simple("tx16_words", lambda: F.sha2(F.array_join(T.words(F.col("description")), " "), 256), f"sha256(array_to_string({WORDS}, ' '))")
+simple("tx16_words", lambda: F.sha2(F.array_join(T.folded_words(F.col("description")), " "), 256), f"sha256(array_to_string({FOLDED_WORDS}, ' '))")
 
 
 GRAMS = f"""toks AS (SELECT case_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT case_id, {WORDS} AS w FROM posts)),
@@ -263,12 +256,14 @@ def _(t):
     return t.posts.select("case_id", F.round(T.digit_ratio(d), 9).alias("digits"), F.round(T.emoji_share(d), 6).alias("emoji"), F.round(T.log_length(d), 6).alias("size"))
 
 
-ANCHORS = ("казино", "доход", "profit", "money")
+#: Plain phrases of the dimension profit, folded as the texts are.
+ANCHORS = tuple(r[1].lower().translate(str.maketrans(T.CONFUSABLE_FROM, T.CONFUSABLE_TO)) for r in config.LEXICON if r[0] == "profit" and not r[3] and len(r[1]) >= 4)
+FOLDED = f"translate({LOW}, '{T.CONFUSABLE_FROM}', '{T.CONFUSABLE_TO}')"
 
 
-@query("tx22_anchor_density", P + "SELECT case_id, least(" + " + ".join(f"(length({LOW}) - length(replace({LOW}, '{a}', ''))) // {len(a)}" for a in ANCHORS) + ", 5) / 5.0::DOUBLE AS v FROM posts")
+@query("tx22_anchor_density", P + "SELECT case_id, least(" + " + ".join(f"(length({FOLDED}) - length(replace({FOLDED}, '{a}', ''))) // {len(a)}" for a in ANCHORS) + ", 5) / 5.0::DOUBLE AS v FROM posts")
 def _(t):
-    return t.posts.select("case_id", T.anchor_density(F.lower(F.coalesce("description", F.lit(""))), ANCHORS).alias("v"))
+    return t.posts.select("case_id", T.anchor_density(T.fold_lookalikes(F.coalesce("description", F.lit(""))), ANCHORS).alias("v"))
 
 
 TAG_ANCHORS = ("заработок", "казино", "easymoney", "invest")
@@ -291,14 +286,4 @@ def _(t):
     return top_ngrams(t.posts.select("case_id", T.words(F.col("description")).alias("w")), 5)
 
 
-LABELS = [("critical", "Критический", "Critical"), ("high", "Высокий", "High"), ("medium", "Средний", "Medium"), ("low", "Низкий", "Low")]
-
-
-@query("tx26_labels", P + "SELECT case_id, ru, en FROM (SELECT case_id, CASE case_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS level FROM posts) JOIN (VALUES " + ", ".join(map(str, LABELS)) + ") AS l(level, ru, en) USING (level)")
-def _(t):
-    labels = t.spark.createDataFrame(LABELS, "level string, ru string, en string")
-    level = F.element_at(F.array(*(F.lit(x[0]) for x in LABELS)), (F.col("case_id") % 4 + 1).cast("int"))
-    return t.posts.select("case_id", level.alias("level")).join(F.broadcast(labels), "level").select("case_id", "ru", "en")
-
-
 simple("tx27_date", lambda: F.date_format("created", "dd.MM.yyyy"), "strftime(created, '%d.%m.%Y')")

@@ -15,8 +15,9 @@ from riskspark.operators import metrics as E
 from riskspark.operators import network as N
 from riskspark.plans.base import query
 from riskspark.operators.features import SLOTS
-from riskspark.plans.scoring import CHAIN, Features, Scored, chain
+from riskspark.plans.scoring import CHAIN, FEATURED, Features, Scored, chain
 from riskspark.session import materialise
+from riskspark.sources import cases as C
 from riskspark.sources import intake as I
 from riskspark.sources.fixtures import with_
 
@@ -58,16 +59,51 @@ def _(t):
     return L.weak_labels(Scored(RawTexts(t)).graded).select("case_id", "risk", "is_scam", "category")
 
 
-@query("ml4_merge_labels", "SELECT doc_id AS case_id, coalesce(l.toxic, d.doc_id % 2) AS y FROM documents d LEFT JOIN labels l USING (doc_id)")
+# Hand-made labels are those of the table ``labels``: how toxic a document was found, as risk and category; their dimensions come from the rules.
+GOLD = "SELECT doc_id AS case_id, CASE WHEN toxic = 1 THEN 0.9::DOUBLE ELSE 0.05 END AS risk, toxic = 1 AS is_scam, CASE WHEN toxic = 1 THEN 'suspicious_other' ELSE 'no_violation' END AS category FROM labels WHERE toxic IS NOT NULL"
+SHARES = ", ".join(f"{d} / 100 AS {d}" for d in config.DIMENSIONS)
+LABELLED = {"gold": GOLD, "weak": f"SELECT case_id, score / 100::DOUBLE AS risk, score >= 50 AS is_scam, {WEIGHT} AS weight, category, {SHARES} FROM category", "merged": "SELECT case_id, risk, is_scam, weight, category, " + ", ".join(config.DIMENSIONS) + ", 'weak' AS source FROM weak WHERE case_id NOT IN (SELECT case_id FROM gold) UNION ALL SELECT case_id, g.risk, g.is_scam, 1.0::DOUBLE, g.category, " + ", ".join(f"coalesce({d}, 0)" for d in config.DIMENSIONS) + ", 'gold' FROM gold g LEFT JOIN weak w USING (case_id)"}
+
+
+def labelled_sql(body):
+    return with_(**CHAIN, **LABELLED) + body
+
+
+def merged_labels(t):
+    weak = L.weak_labels(Scored(t).graded)
+    risk = F.when(F.col("toxic") == 1, 0.9).otherwise(0.05)
+    given = t.labels.where("toxic is not null").select(F.col("doc_id").alias("case_id"), risk.alias("risk"), (F.col("toxic") == 1).alias("is_scam"), F.when(F.col("toxic") == 1, "suspicious_other").otherwise("no_violation").alias("category"))
+    return L.merge_labels(weak, L.hand_labels(given, weak))
+
+
+@query("ml4_merge_labels", labelled_sql("SELECT case_id, source, round(risk, 6) AS risk, is_scam, category, round(weight, 6) AS weight, " + ", ".join(f"round({d}, 6) AS {d}" for d in config.DIMENSIONS) + " FROM merged"))
 def _(t):
-    weak = t.documents.select(F.col("doc_id").alias("case_id"), (F.col("doc_id") % 2).cast("long").alias("y"))
-    return L.merge_labels(weak, t.labels.select(F.col("doc_id").alias("case_id"), F.col("toxic").cast("long").alias("y")))
+    m = merged_labels(t)
+    return m.select("case_id", "source", F.round("risk", 6).alias("risk"), "is_scam", "category", F.round("weight", 6).alias("weight"), *[F.round(d, 6).alias(d) for d in config.DIMENSIONS])
+
+
+INDEX = "CASE category " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(L.CATEGORY_NAMES)) + " ELSE 0 END"
+
+
+# Cases on screen may lack a post, and so a label: they are in the table with zeros.
+@query("ml5_training_table", labelled_sql(f"SELECT case_id, round(least(1, greatest(0, coalesce(risk, 0))), 6) AS y, " + ", ".join(f"round(least(1, greatest(0, coalesce({d}, 0))), 6) AS {d}" for d in config.DIMENSIONS) + f", {INDEX} AS category, round(greatest(0, coalesce(weight, 0)), 6) AS weight FROM (SELECT case_id FROM posts UNION SELECT case_id FROM ocr UNION SELECT case_id + 1000000 FROM ocr) LEFT JOIN merged USING (case_id)"))
+def _(t):
+    cases = t.posts.select("case_id").union(t.ocr.select("case_id")).union(t.ocr.select(F.col("case_id") + 1_000_000)).distinct()
+    found = L.training_table(cases, merged_labels(t))
+    return found.select("case_id", F.round("y", 6).alias("y"), *[F.round(d, 6).alias(d) for d in config.DIMENSIONS], "category", F.round("weight", 6).alias("weight"))
+
+
+# The lines themselves, taken apart again by each engine's own JSON reader.
+EXAMPLE = "json_object('id', case_id, 'features', json_object('lang_hint', lang_hint, 'num_segments', num_segments, 'link_telegram', link_telegram, 'behavior_count', behavior_count, 'kb_similarity', round(kb_similarity, 6)), 'label', json_object('risk', score / 100::DOUBLE, 'is_scam', score >= 50, 'category', category))"
 
 
-@query("ml5_training_table", chain("SELECT case_id, round(least(1, greatest(0, score / 100::DOUBLE)), 6) AS y, " + ", ".join(f"round({d} / 100, 6) AS {d}" for d in config.DIMENSIONS) + " FROM category"))
+@query("io19_export_examples", FEATURED + f"SELECT (l ->> '$.id')::BIGINT AS case_id, l ->> '$.features.lang_hint' AS lang_hint, (l ->> '$.features.num_segments')::BIGINT AS num_segments, (l ->> '$.features.link_telegram')::BIGINT AS link_telegram, (l ->> '$.features.behavior_count')::BIGINT AS behavior_count, (l ->> '$.features.kb_similarity')::DOUBLE AS kb_similarity, (l ->> '$.label.risk')::DOUBLE AS risk, (l ->> '$.label.is_scam')::BOOLEAN AS is_scam, l ->> '$.label.category' AS category FROM (SELECT {EXAMPLE} AS l FROM raw JOIN category USING (case_id))")
 def _(t):
-    w = L.weak_labels(Scored(t).graded)
-    return w.select("case_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "risk")), 6).alias("y"), *[F.round(d, 6).alias(d) for d in config.DIMENSIONS])
+    s = Scored(t)
+    lines = C.to_lines(C.examples(Features(s).raw, L.weak_labels(s.graded)))
+    read = lines.select(F.from_json("line", "id BIGINT, features STRUCT<lang_hint: STRING, num_segments: BIGINT, link_telegram: BIGINT, behavior_count: BIGINT, kb_similarity: DOUBLE>, label STRUCT<risk: DOUBLE, is_scam: BOOLEAN, category: STRING>").alias("x"))
+    f = F.col("x.features")
+    return read.select(F.col("x.id").alias("case_id"), *[f[c].alias(c) for c in ("lang_hint", "num_segments", "link_telegram", "behavior_count")], F.round(f["kb_similarity"], 6).alias("kb_similarity"), "x.label.risk", "x.label.is_scam", "x.label.category")
 
 
 @query("ml6_split_sizes", "SELECT lang, count(*) AS n, CAST(greatest(1, floor(count(*) * 0.15::DOUBLE)) AS BIGINT) AS held FROM documents GROUP BY 1")
@@ -75,7 +111,7 @@ def _(t):
     return L.stratified_split(t.documents.select("doc_id", "lang"), "doc_id", "lang").groupBy("lang").agg(F.count("*").alias("n"), F.count_if("held").alias("held"))
 
 
-GRAM_ROWS = lambda t: t.posts.select("case_id", T.words(F.col("description")).alias("w")).select("case_id", F.explode(T.word_ngrams(F.col("w"))).alias("gram"))
+GRAM_ROWS = lambda t: t.posts.select("case_id", T.folded_words(F.col("description")).alias("w")).select("case_id", F.explode(T.word_ngrams(F.col("w"))).alias("gram"))
 WIDTH = L.BUCKETS + len(SLOTS)
 
 
@@ -174,8 +210,9 @@ def _(t):
 @query("ml13_with_fallback")
 def _(t):
     one = Learned(t)
-    # Every third case has no prediction, as if no model had seen it: the rules stay.
-    return L.with_fallback(one.s.graded, one.predictions.where("case_id % 3 <> 0"))
+    # Where a post has no words of its own there is nothing for a model to read: no prediction, and the rules stay.
+    read = GRAM_ROWS(t).select("case_id").distinct()
+    return L.with_fallback(one.s.graded, one.predictions.join(read, "case_id", "left_semi"))
 
 
 @query("ml16_isotonic")
@@ -186,7 +223,7 @@ def _(t):
 @query("ml17_attributions")
 def _(t):
     one = Learned(t)
-    words = t.posts.select("case_id", T.words(F.col("description")).alias("w"))
+    words = t.posts.select("case_id", T.folded_words(F.col("description")).alias("w"))
     top = X.top_ngrams(words, 8).select("case_id", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n"), "gram")).alias("pos"), "gram")
     tags = t.posts.select("case_id", F.posexplode(I.coerce_hashtags(F.col("tags"))).alias("p", "gram")).select("case_id", (100 + F.col("p")).alias("pos"), "gram")
     grams = top.unionByName(tags).select("case_id", "pos", "gram", L.bucket_of(F.col("gram")).alias("bucket"), L.sign_of(F.col("gram")).alias("sign"))
@@ -262,3 +299,43 @@ def _(t):
 @query("ml21_surface_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY sha256(text || chr(31) || lang)")
 def _(t):
     return L.surface_dedup(t.documents, "doc_id", "text", "lang").select("doc_id", "n")
+
+
+# ---- model and rules on the same held-out rows ------------------------------------------------------------------------
+def held_out(t, one=None):
+    """``id, y, p_model, p_rule, obfuscated`` and category indices of the held-out cases that the table ``labels`` knows: real predictions of the network beside the rules."""
+    one = one or Learned(t)
+    index = lambda c: F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(L.CATEGORY_NAMES) for x in (n, k)]), F.col(c))
+    rules = one.s.graded.select("case_id", (F.col("score") / 100).alias("p_rule"), index("category").alias("category"))
+    guess = one.predictions.select("case_id", F.col("prob").alias("p_model"), index("category").alias("category_pred"), *[F.col(d).alias(f"guess_{d}") for d in config.DIMENSIONS])
+    truth = t.labels.where("toxic is not null").groupBy(F.col("doc_id").alias("case_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    texts = t.posts.select("case_id", T.looks_obfuscated(F.col("description")).alias("obfuscated"))
+    held = one.labelled.where("held").select("case_id")
+    return materialise(held.join(truth, "case_id").join(rules, "case_id").join(guess, "case_id").join(texts, "case_id").withColumnRenamed("case_id", "id"))
+
+
+@query("ev15_model_and_rules")
+def _(t):
+    """All metrics of both predictors on the same held-out rows, by slice."""
+    return E.sliced_metrics(held_out(t))
+
+
+@query("ev15_held_out")
+def _(t):
+    """The rows themselves, for a review queue or other metrics."""
+    return held_out(t).select("id", "y", F.round("p_model", 6).alias("p_model"), F.round("p_rule", 6).alias("p_rule"), "obfuscated", "category", "category_pred")
+
+
+@query("ev16_summary")
+def _(t):
+    """Training in one row: sizes, share of positives, best epoch and its loss, temperature, and the mean error of each dimension on held-out cases."""
+    one = Learned(t)
+    held = one.labelled.where("held")
+    guess = one.predictions.select("case_id", *[(F.col(d) / 100).alias(f"guess_{d}") for d in config.DIMENSIONS])
+    errors = [F.avg(F.abs(F.col(d) - F.col(f"guess_{d}"))).alias(f"mae_{d}") for d in config.DIMENSIONS]
+    found = held.join(guess, "case_id").agg(*errors, F.count("*").alias("n_held"))
+    sizes = one.labelled.agg(F.count("*").alias("n"), F.avg(F.col("is_scam").cast("double")).alias("positive_share"))
+    best = dict(one.model.history)[one.model.best_epoch]
+    mean = sum((F.col(f"mae_{d}") for d in config.DIMENSIONS), F.lit(0.0)) / len(config.DIMENSIONS)
+    one_row = sizes.crossJoin(found).withColumn("mae_mean", mean)  # one row each
+    return one_row.select("n", "n_held", F.round("positive_share", 6).alias("positive_share"), F.lit(one.model.best_epoch).alias("best_epoch"), F.lit(round(best, 6)).alias("held_loss"), F.round("mae_mean", 4).alias("mae_mean"), *[F.round(f"mae_{d}", 4).alias(f"mae_{d}") for d in config.DIMENSIONS])

@@ -173,12 +173,16 @@ class Features:
     def __init__(self, s: Scored):
         self.s, self.t = s, s.t
 
+    @property
+    def parts(self):
+        """Posts with what was said and what was shown."""
+        shown = self.t.ocr.where("text <> ''").groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "text"))), lambda x: x["text"]), "\n").alias("shown"))
+        return self.t.posts.join(I.assemble_transcripts(self.t.segments, self.t.posts).select("case_id", "full_text"), "case_id", "left").join(shown, "case_id", "left")
+
     @property
     def texts(self):
         """What was said, what was shown, title, description and tags, each part on a line."""
-        shown = self.t.ocr.where("text <> ''").groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "text"))), lambda x: x["text"]), "\n").alias("shown"))
-        joined = self.t.posts.join(I.assemble_transcripts(self.t.segments, self.t.posts).select("case_id", "full_text"), "case_id", "left").join(shown, "case_id", "left")
-        return joined.select("case_id", F.concat_ws("\n", *[F.when(F.col(c) != "", F.col(c)) for c in ("full_text", "shown", "title", "description", "tags")]).alias("text"))
+        return self.parts.select("case_id", F.concat_ws("\n", *[F.when(F.col(c) != "", F.col(c)) for c in ("full_text", "shown", "title", "description", "tags")]).alias("text"))
 
     @property
     def raw(self):
@@ -216,6 +220,15 @@ SLOT_SQL = (
 FEATURED = with_(**CHAIN, media=SQL["media"], feature_texts=FEATURE_TEXTS, raw0=RAW_SQL, raw=HINTED)
 
 
+@query("tx1_case_texts", FEATURED + """SELECT p.case_id, sha256(concat_ws(chr(10), CASE WHEN trim(title) <> '' THEN title END, CASE WHEN trim(description) <> '' THEN description END, CASE WHEN trim(tags) <> '' THEN tags END, CASE WHEN trim(said) <> '' THEN said END, CASE WHEN trim(shown) <> '' THEN shown END)) AS v FROM posts p
+ LEFT JOIN (SELECT case_id, string_agg(trim(text), ' ' ORDER BY start_s, seg_no) AS said FROM (SELECT case_id, seg_no, start_s, text FROM segments WHERE trim(text) <> '' UNION ALL SELECT case_id, -1, 0, provided_transcript FROM posts WHERE trim(provided_transcript) <> '') GROUP BY 1) s USING (case_id)
+ LEFT JOIN (SELECT case_id, string_agg(text, chr(10) ORDER BY frame) AS shown FROM ocr WHERE text <> '' GROUP BY 1) o USING (case_id)""")
+def _(t):
+    """Everything that a case says: title, description, tags, what is spoken, what is shown."""
+    parts = Features(Scored(t)).parts
+    return parts.select("case_id", F.sha2(T.all_text(*[F.col(c) for c in ("title", "description", "tags", "full_text", "shown")]), 256).alias("v"))
+
+
 @query("ag16_raw_features", FEATURED + f"SELECT case_id, sha256(text) AS text, len(hashtags) AS hashtags, lang_hint, num_segments, behavior_count, round(behavior_urgency, 6) AS urgency, round(behavior_negative, 6) AS negative, {', '.join(f'link_{k}' for k in X.KINDS)}, round(visual_gambling, 6) AS gambling, duration_s::DOUBLE AS duration_s, round(kb_similarity, 6) AS kb FROM raw")
 def _(t):
     raw = Features(Scored(t)).raw
@@ -429,6 +442,19 @@ def _(t):
     return Scored(t).graded.select("case_id", "category")
 
 
+# The strongest component of text stands for a model's score; cases without any hit have none.
+SECOND = "CAST(least(100, greatest(0, round_even(text_speech, 0))) AS INTEGER)"
+MIXED = "CAST(least(100, greatest(0, round_even(0.6::DOUBLE * model + (1 - 0.6::DOUBLE) * score, 0))) AS INTEGER)"
+
+
+@query("ag15_modes", chain(f"SELECT case_id, CASE WHEN model IS NULL THEN score ELSE {MIXED} END AS blend, coalesce(model, score) AS model, score AS rules FROM (SELECT o.case_id, score, CASE WHEN h.case_id IS NOT NULL THEN {SECOND} END AS model FROM overall o LEFT JOIN (SELECT DISTINCT case_id FROM hits) h USING (case_id))"))
+def _(t):
+    s = Scored(t)
+    joined = s.scores.join(s.hits.select("case_id").distinct().withColumn("some", F.lit(True)), "case_id", "left")
+    model = F.when(F.col("some"), T.clamp(F.col("text_speech")))
+    return joined.select("case_id", *[S.blend(F.col("score"), model, mode).alias(mode) for mode in ("blend", "model", "rules")])
+
+
 @query("ag15_blend", chain("SELECT case_id, CASE WHEN case_id % 3 = 0 THEN score ELSE CAST(least(100, greatest(0, round_even(0.6::DOUBLE * (case_id % 101) + (1 - 0.6::DOUBLE) * score, 0))) AS INTEGER) END AS blended FROM overall"))
 def _(t):
     model = F.when(F.col("case_id") % 3 != 0, F.col("case_id") % 101)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.operators.metrics import running
+
 
 def upsert_cases(existing: DataFrame, updates: DataFrame, key: str = "id", version: str = "seq") -> DataFrame:
     """Union with the highest version per key; one shuffle on the key (Spark keeps one row per key and task before it)."""
@@ -47,6 +49,13 @@ def to_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
 
 
+def examples(features: DataFrame, labels: DataFrame, key: str = "case_id") -> DataFrame:
+    """``id, features, label``: every case's features and label as nested objects; a case without a label has a null one."""
+    label = F.when(F.col("__labelled"), F.struct(*[c for c in labels.columns if c != key]))
+    joined = features.select(F.col(key).alias("id"), F.struct(*[c for c in features.columns if c != key]).alias("features")).join(labels.withColumn("__labelled", F.lit(True)), F.col("id") == F.col(key), "left")
+    return joined.select("id", "features", label.alias("label"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines; characters beyond ASCII are kept as they are."""
     df.write.mode("overwrite").json(path)
@@ -62,9 +71,13 @@ def metrics_document(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def list_versions(versions: DataFrame) -> DataFrame:
-    """``model, place, version``: the versions of each model, the one activated last first."""
-    newest = Window.partitionBy("model").orderBy(F.desc("activated_at"), F.desc("version"))
-    return versions.withColumn("place", F.row_number().over(newest)).select("model", "place", "version")
+    """``model, place, version``: the versions of each model, the one activated last first.
+
+    Places are running counts over ranges, so a model with very many versions is no single task.
+    """
+    times = versions.groupBy("model", F.struct("activated_at", "version").alias("p")).agg(F.count("*").alias("n"))
+    placed = running(times, ("model",), ("n",), down=True)
+    return placed.select("model", F.explode(F.sequence((F.col("before_n") + 1).cast("long"), (F.col("before_n") + F.col("n")).cast("long"))).alias("place"), F.col("p.version").alias("version"))
 
 
 def active_versions(versions: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def active_versions(versions: DataFrame) -> DataFrame:
     return versions.groupBy("model").agg(F.max_by("version", "activated_at").alias("active"), F.count("*").alias("versions"), F.max_by("metric", "activated_at").cast("long").alias("metric"))
 
 
-def roll_back(versions: DataFrame, model: str, version: int, at: Column) -> DataFrame:
-    """Activate an older version again: its row with a newer activation."""
-    again = versions.where((F.col("model") == model) & (F.col("version") == version)).withColumn("activated_at", at)
+def roll_back(versions: DataFrame, wanted: DataFrame, at: Column) -> DataFrame:
+    """Activate older versions again: the rows of ``wanted`` (model, version) with a newer activation; what is not there is not activated."""
+    again = versions.join(wanted.select("model", "version").distinct(), ["model", "version"], "left_semi").withColumn("activated_at", at)
     return versions.unionByName(again)

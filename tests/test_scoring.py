@@ -535,6 +535,115 @@ def test_obfuscated_twins(spark):
     assert 0.3 < changed / total < 0.6 and emoji > 50
 
 
+def test_separators(spark):
+    """By a plain walk: a run between a letter and a single letter goes, other runs are one space, the rest that is no letter too."""
+    seps = " .-_*·•|/\\\u200b\u200c\u200d\ufeff\t\n"
+
+    def plain(text):
+        out, i = [], 0
+        while i < len(text):
+            if text[i] not in seps:
+                out.append(text[i])
+                i += 1
+                continue
+            j = i
+            while j < len(text) and text[j] in seps:
+                j += 1
+            single = j < len(text) and text[j].isalpha() and (j + 1 == len(text) or text[j + 1] in seps)
+            out.append("" if i and text[i - 1].isalpha() and single else " ")
+            i = j
+        return " ".join("".join(c if c.isalpha() else " " for c in "".join(out)).split())
+
+    texts = ["к а з и н о", "к.а-з_и*н·о даром", "две части", "a b cd e", "x--y", "", "12 a 3", "б•о|н/у\\с и ещё", "к\u200bа\u200bз", "конец. Новая а", " a "]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.collapse_separators(F.col("t")).alias("v")).orderBy("k").collect()
+    assert [r["v"] for r in got] == [plain(t) for t in texts]
+
+
+def test_hashed_features_and_vectors(spark):
+    """Signed sums by bucket, of length 1 per case; slots come behind the buckets; a case without grams has its slots only."""
+    grams = [(1, "a"), (1, "a"), (1, "b"), (1, "c d"), (2, "a")]
+    df = spark.createDataFrame(grams, "case_id long, gram string")
+    where = {r["gram"]: (r["b"], r["s"]) for r in df.select("gram", K.bucket_of(F.col("gram"), 16).alias("b"), K.sign_of(F.col("gram")).alias("s")).distinct().collect()}
+    want = {}
+    for case, g in grams:
+        want.setdefault(case, {}).setdefault(where[g][0], []).append(where[g][1])
+    sums = {c: {b: sum(v) for b, v in at.items() if sum(v)} for c, at in want.items()}
+    norm = {c: sum(v * v for v in at.values()) ** 0.5 for c, at in sums.items()}
+    hashed = K.hashed_features(df, 16)
+    got = {(r["case_id"], r["bucket"]): r["value"] for r in hashed.collect()}
+    assert got == pytest.approx({(c, b): v / norm[c] for c, at in sums.items() for b, v in at.items()})
+    slots = spark.createDataFrame([(1, 0.5, 0.0), (2, 0.25, 1.0), (3, 0.0, 0.75)], "case_id long, s0 double, s1 double")
+    rows = {r["case_id"]: dict(zip(r["idx"], r["val"], strict=True)) for r in K.vectors(hashed, slots, 16).collect()}
+    assert rows[3] == {16: 0.0, 17: 0.75}
+    assert rows[2] == pytest.approx({where["a"][0]: where["a"][1], 16: 0.25, 17: 1.0})
+    assert rows[1] == pytest.approx({b: v / norm[1] for b, v in sums[1].items()} | {16: 0.5, 17: 0.0})
+
+
+LABEL = "case_id long, risk double, is_scam boolean, weight double, category string, " + ", ".join(f"{d} double" for d in config.DIMENSIONS)
+
+
+def test_labels(spark):
+    """Hand-made labels win and take their dimensions from the rules; the training table is clipped, indexed, and whole; a teacher's predictions are labels too."""
+    weak = spark.createDataFrame([(1, 0.4, False, 0.5, "no_violation", *[0.1] * 8), (2, 0.7, True, 0.3, "investment_scam", *[0.2] * 8)], LABEL)
+    given = spark.createDataFrame([(2, 0.9, True, "financial_pyramid"), (5, 1.4, True, "unheard")], "case_id long, risk double, is_scam boolean, category string")
+    merged = K.merge_labels(weak, K.hand_labels(given, weak))
+    got = {r["case_id"]: (r["source"], r["risk"], r["weight"], r["profit"], r["category"]) for r in merged.collect()}
+    assert got == {1: ("weak", 0.4, 0.5, 0.1, "no_violation"), 2: ("gold", 0.9, 1.0, 0.2, "financial_pyramid"), 5: ("gold", 1.4, 1.0, 0.0, "unheard")}
+    table = {r["case_id"]: (r["y"], r["profit"], r["category"], r["weight"]) for r in K.training_table(spark.range(1, 7).withColumnRenamed("id", "case_id"), merged).collect()}
+    index = K.CATEGORY_NAMES.index
+    assert table == {1: (0.4, 0.1, index("no_violation"), 0.5), 2: (0.9, 0.2, index("financial_pyramid"), 1.0), 3: (0.0, 0.0, 0, 0.0), 4: (0.0, 0.0, 0, 0.0), 5: (1.0, 0.0, 0, 1.0), 6: (0.0, 0.0, 0, 0.0)}
+    guess = spark.createDataFrame([(1, 0.8, "no_violation", 0.1, *[50] * 8)], "case_id long, prob double, category string, confidence double, " + ", ".join(f"{d} int" for d in config.DIMENSIONS))
+    soft = K.soft_targets(guess).first()
+    assert (soft["risk"], soft["is_scam"], soft["weight"], soft["category"], soft["urgency"]) == (0.8, True, 0.2, "no_violation", 0.5)
+    assert sorted(K.targets(K.soft_targets(guess)).first()["y"][:2]) == [0.5, 0.8]
+
+
+def test_drift_against_a_stored_baseline(spark):
+    """By numpy: shares in the baseline's deciles; constant features; a feature that is gone later."""
+    rng = np.random.default_rng(4)
+    before = {"a": rng.normal(size=500), "b": np.zeros(500), "c": rng.random(500)}
+    after = {"a": rng.normal(0.8, 1, 300), "b": np.zeros(300)}
+    rows = lambda d: spark.createDataFrame([(k, float(x)) for k, xs in d.items() for x in xs], "feature string, v double")
+    base = E.drift_baseline(rows(before))
+    want = {}
+    for k, xs in before.items():
+        edges = np.unique(np.quantile(xs, np.arange(1, 10) / 10))
+        count = lambda ys: np.bincount(np.searchsorted(edges, ys, "left"), minlength=len(edges) + 1)  # noqa: E731, B023
+        shares = [np.maximum(count(ys) / max(1, len(ys)), 1e-4) for ys in (xs, after.get(k, np.zeros(0)))]
+        b, c = (s / s.sum() for s in shares)
+        want[k] = float(((c - b) * np.log(c / b)).sum())
+    psi = E.psi_to(base, rows(after))
+    got = {r["feature"]: (r["psi"], r["constant"]) for r in psi.collect()}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(want) and {k for k, v in got.items() if v[1]} == {"b"}
+    report = E.drift_report(psi, most=2).collect()
+    assert [r["feature"] for r in report] == sorted(want, key=want.get)[::-1][:2] and report[0]["n_flagged"] == sum(v > 0.2 for v in want.values())
+
+
+def test_versions(spark):
+    """Newest first within each model, ties by version; going back to a version makes it the active one; one that is not there changes nothing."""
+    rows = [("m", v, v // 2, float(v)) for v in range(9)] + [("n", 3, 7, 1.0)]
+    versions = spark.createDataFrame(rows, "model string, version int, activated_at long, metric double")
+    got = sorted((r["model"], r["place"], r["version"]) for r in C.list_versions(versions).collect())
+    assert got == [("m", k, 9 - k) for k in range(1, 10)] + [("n", 1, 3)]
+    wanted = spark.createDataFrame([("m", 4), ("n", 99)], "model string, version int")
+    assert sorted((r["model"], r["active"]) for r in C.active_versions(C.roll_back(versions, wanted, F.lit(1 << 40))).collect()) == [("m", 4), ("n", 3)]
+
+
+def test_nodes_in_order(spark):
+    """n2 stands before n10, the case itself first."""
+    from riskspark.operators import documents as D
+
+    nodes = spark.createDataFrame([(1, f"n{k}", "hashtag", "x") for k in (10, 2, 1, 11)] + [(1, "v1", "video", "y")], "case_id long, id string, type string, label string")
+    edges = spark.createDataFrame([(1, f"e{k}", "v1", f"n{k}", "hashtag") for k in (10, 2, 1, 11)], "case_id long, id string, source string, target string, type string")
+    posts = spark.createDataFrame([(1, "t", None)], "case_id long, title string, created date")
+    cases = spark.createDataFrame([(1, 1, "low", "no_violation", "")], "case_id long, score int, level string, category string, reason string")
+    dims = spark.createDataFrame([(1, 0, "profit", 3)], "case_id long, dim_no int, dim string, value int")
+    timeline = spark.createDataFrame([], "case_id long, id string")
+    cards = [spark.createDataFrame([], "case_id long, type string")]
+    doc = D.case_documents(posts, cases, dims, timeline, cards, nodes, edges).first()
+    assert [n["id"] for n in doc["nodes"]] == ["v1", "n1", "n2", "n10", "n11"] and [e["id"] for e in doc["edges"]] == ["e1", "e2", "e10", "e11"]
+
+
 def test_sampling_plan(spark):
     df = spark.createDataFrame([(k, "ab"[k % 10 == 0]) for k in range(5000)], "id long, s string")
     plan = K.sampling_plan(df, "s")
