@@ -1,5 +1,8 @@
 """From raw documents to token ids: the text operators as one pipeline.
 
+Every stage keeps extra columns, whatever their names.  Null and empty texts are of no language and go in the first stage; a stage on its own treats a null
+as an empty text.  Rows that repeat one another are copies (exact dedup keeps one), ties are settled by doc_id, an empty table stays empty.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``docs``
 (the last one: token ids).  ``run`` writes each stage's result as Parquet to the shared folder and reads it
 again, so a lost executor costs one stage at most.
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from riskspark.llm.common import documents, drop, shared_folder
-from riskspark.session import shuffles_freed
+from riskspark.session import shuffles_freed, tables_freed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``; a stage's folder is deleted when the next one is written."""
+    """Apply all stages to the documents of ``sf_dir``.
+
+    A stage's inner tables are deleted when its result is written, and its result when that of the next one is.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        with shuffles_freed(spark):
+        with shuffles_freed(spark), tables_freed():
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         if k:
             drop(docs)

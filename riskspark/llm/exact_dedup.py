@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import cut, documents, seeded, slices, text_buffer
+from riskspark.llm.common import cut, documents, seeded, slices, text_buffer, unused
 
 #: Bounds of a chunk in bytes; the pattern makes about one cut in 4096 bytes after the lower bound.
 LEAST, MOST, PATTERN = 1024, 16384, np.uint32(0xFFF00000)
@@ -158,18 +158,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; of rows alike in id and text one.
 
-    Texts are moved once, by a join with the ids and digests of the rows that stay, which is a filter and keeps nothing else of a row.
+    Texts are moved once, by a join with the ids and digests of the rows that stay, which is a filter and keeps nothing else of a row.  A null text counts as
+    empty, a null id comes first; an empty table stays empty.  Columns may have any name: those that are added take names that ``docs`` does not use.
     """
+    sha, copy = unused(docs, "__sha"), unused(docs, "__copy")
     names = {"keep_id": "__keep_id", "text_sha256": "__keep_sha", "repeats": "__keep_repeats"}
     kept = cut(exact_duplicates(docs, id_col, text_col).where("kept").select(*(F.col(a).alias(b) for a, b in names.items())))
-    named = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    same = (named["__sha"] == kept["__keep_sha"]) & named[id_col].cast("long").eqNullSafe(kept["__keep_id"])
+    named = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    same = (named[sha] == kept["__keep_sha"]) & named[id_col].cast("long").eqNullSafe(kept["__keep_id"])
     once = named.join(kept.where("__keep_repeats = 1"), same, "left_semi").select(*docs.columns)
     if kept.where("__keep_repeats > 1").isEmpty():
         return once
     # Rows alike in id and text: only these are sorted, to take the first of each.
-    first = Window.partitionBy("__sha", id_col).orderBy("__sha")
-    again = named.join(kept.where("__keep_repeats > 1"), same, "left_semi").withColumn("__copy", F.row_number().over(first)).where("__copy = 1")
+    first = Window.partitionBy(sha, id_col).orderBy(sha)
+    again = named.join(kept.where("__keep_repeats > 1"), same, "left_semi").withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1)
     return once.unionByName(again.select(*docs.columns))
 
 

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import cut, documents
+from riskspark.llm.common import cut, documents, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -118,14 +118,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its own columns.
 
-    Rows that repeat an id with the same source and size repeat one decision.  Empty documents hold no words, so they are taken 0 times.
+    Rows that repeat an id with the same source and size repeat one decision.  Empty documents and null texts hold no words, so they are taken 0 times; an empty
+    table stays empty.  Columns may have any name: those that are added take names that ``docs`` does not use.
     """
-    mixed = mix_sources(docs, id_col, text_col, source_col, **how).where("taken > 0").select(*(F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "size", "copies"))).distinct()
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = docs.withColumn("__mix_words", words)
-    same = sized[id_col].eqNullSafe(mixed["__mix_doc_id"]) & sized[source_col].eqNullSafe(mixed["__mix_source"]) & (sized["__mix_words"] == mixed["__mix_size"])
+    names = {c: unused(docs, f"__mix_{c}") for c in ("doc_id", "source", "size", "copies")}
+    mixed = mix_sources(docs, id_col, text_col, source_col, **how).where("taken > 0").select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    words, copy = unused(docs, "__mix_words"), unused(docs, "__mix_copy")
+    sized = docs.withColumn(words, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long"))
+    same = sized[id_col].eqNullSafe(mixed[names["doc_id"]]) & sized[source_col].eqNullSafe(mixed[names["source"]]) & (sized[words] == mixed[names["size"]])
     joined = sized.join(mixed, same)
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(*docs.columns)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), names["copies"]))).select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

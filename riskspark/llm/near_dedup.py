@@ -29,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import bitmap_of, cut, documents, drop, inside, mix, powers, seeded, slices, text_buffer, word_hashes
+from riskspark.llm.common import bitmap_of, cut, documents, drop, inside, mix, powers, seeded, slices, text_buffer, unused, word_hashes
 
 WORDS = 5
 CHUNKS, CHUNK = 12, 6
 POSITIONS = CHUNKS * CHUNK
+#: What the index is made for.
+LEAST_PERCENT = 75
 #: Signatures further apart than this are not at 0.75 (five standard deviations).
 FAR = 38
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 2048
-#: Bits of the bitmaps of index keys and of ids, as powers of two.
-KEY_BITS, ID_BITS = 26, 25
+#: Bits of the bitmaps of index keys and of ids, as powers of two: these at least, and 16 bits a key up to BITS_MOST (128 MB); beyond it more rows pass, none is lost.
+KEY_BITS, ID_BITS, BITS_MOST = 26, 25, 30
 #: The wide signature: 2-bit positions in 512 bytes; further apart than WIDE_FAR is not at 0.75 (384 expected, four and a half standard deviations).
 WIDE, WIDE_FAR = 2048, 464
 XOR, TIMES = seeded(101, POSITIONS), seeded(202, POSITIONS) | np.uint64(1)
@@ -127,12 +129,17 @@ def _sets(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("vertex")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["vertex", "shingles"])
 
 
+def bits_for(keys: DataFrame, least: int) -> int:
+    """Size of a bitmap for so many keys, as a power of two."""
+    return min(BITS_MOST, max(least, (16 * keys.count()).bit_length()))
+
+
 def sets_of(texts: DataFrame, vertices: DataFrame) -> DataFrame:
     """``vertex, shingles``: the full sets of the vertices in ``vertices``, and by chance of some others.
 
     The wanted ids are a bitmap of fixed size, so texts are read where they lie and not shuffled; a full bitmap lets more rows pass but loses none.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(vertices.select(F.col("vertex").alias("key")), ID_BITS))
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(vertices.select(F.col("vertex").alias("key")), bits_for(vertices, ID_BITS)))
     sets = cut(texts.select(F.col("doc_id").alias("vertex"), "text").where("vertex is not null").mapInArrow(lambda batches: _sets(batches, shared), "vertex long, shingles array<bigint>"))
     shared.destroy()
     return sets
@@ -293,7 +300,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty texts and texts without words have no shingles and no links.  Rows that repeat an id are one vertex with the links of all its rows; a null
     id has no links and a null component.  Ties do not matter: a bucket's smallest vertex is by id.  A long text is one row, and its set
     one array.  An empty table gives no rows.  Only the two named columns are read.
+
+    Chunks and distances are made for 75 percent.  Above it they find the same pairs with more certainty; below it they would lose some, so that is an error.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must lie between {LEAST_PERCENT} and 100: the index is made for {LEAST_PERCENT}")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, mark binary"))
@@ -301,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertices = cut(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark")))
     marks = vertices.select("vertex", "mark")
     buckets = cut(marks.mapInArrow(_index, "key long, vertex long").groupBy("key").agg(F.min("vertex").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
-    shared = spark.sparkContext.broadcast(bitmap_of(buckets, KEY_BITS))
+    shared = spark.sparkContext.broadcast(bitmap_of(buckets, bits_for(buckets, KEY_BITS)))
     members = cut(marks.mapInArrow(lambda batches: _index(batches, shared), "key long, vertex long").join(buckets, "key"))
     drop(buckets)
     shared.destroy()
@@ -337,9 +348,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with their own columns; rows with a null id stay."""
-    gone = cut(near_duplicates(docs, id_col, text_col, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose id is the smallest of its component, with their own columns, whatever their names; rows with a null id stay.
+
+    Null and empty texts have no links, so they stay; rows that repeat an id stay or go together; an empty table stays empty.
+    """
+    gone = cut(near_duplicates(docs, id_col, text_col, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(unused(docs, "__gone"))).distinct())
+    return docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

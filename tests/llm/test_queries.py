@@ -556,3 +556,30 @@ def test_op12_hot_conversation(spark):
     rows = [(7, rng.choice([None, k // 3]), rng.choice(["user", "assistant"]), rng.choice(["same.", f"text {k}."]), "x", 1, 2) for k in range(1200)] + [(k, 0, "user", "hi.", "x", 1, 2) for k in range(7)]
     found = repair.repair_damaged(spark.createDataFrame(rows, TURNS).repartition(6), 50, 16)
     assert by_id(tuple(r[c] for c in REPAIRED) for r in found.collect()) == plain_repair(rows)
+
+
+INNER = ("__sha", "__copy", "__keep_id", "__keep_sha", "__keep_repeats", "__gone", "__mix_words", "__mix_copy", "__mix_doc_id", "__mix_source", "__mix_size", "__mix_copies")
+
+
+def test_stages_leave_columns_of_any_name(spark, folder):
+    """Columns that are named like inner ones come out as they went in."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(n) for n in INNER])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows, name
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in INNER)
+
+
+def test_near_duplicates_below_what_the_index_is_made_for(spark):
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=50)
+
+
+def test_pipeline_leaves_one_table(spark, folder):
+    """Inner tables of all stages are gone when the pipeline has ended."""
+    from riskspark import session
+
+    before = set(session._written)
+    found = corpus_pipeline.run(spark, folder)
+    assert found.count() > 0 and set(session._written) <= before
