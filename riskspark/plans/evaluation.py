@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riskspark.functions import text as X
 from riskspark.operators import metrics as E
+from riskspark.operators.features import SLOTS
 from riskspark.plans.base import query
 from riskspark.plans.intake import BY_HOST, HOST, VALID
-from riskspark.plans.scoring import CHAIN, Scored, chain
-from riskspark.sources import intake as I
-from riskspark.operators.features import SLOTS
-from riskspark.plans.scoring import FEATURED, SLOT_SQL, Features
+from riskspark.plans.scoring import CHAIN, FEATURED, SLOT_SQL, Features, Scored, chain
 from riskspark.session import materialise
+from riskspark.sources import intake as I
 from riskspark.sources.fixtures import SQL, values, with_
 
 W = with_("scored")
@@ -249,6 +249,32 @@ def _(t):
     return rounded(E.drift_report(psi), "rank", "feature", "flagged", "n_flagged")
 
 
+# ---- scalar functions on what the pipeline computes ----------------------------------------------------------------------
+MINUTES = "CAST(round_even(greatest(time_s, 0), 0) AS BIGINT)"
+
+
+@query("tx9_hit_times", chain(f"SELECT case_id, time_s, lpad(CAST({MINUTES} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({MINUTES} % 60 AS VARCHAR), 2, '0') AS long_form, CAST({MINUTES} // 60 AS VARCHAR) || ':' || lpad(CAST({MINUTES} % 60 AS VARCHAR), 2, '0') AS short_form, count(*) AS n FROM hits WHERE time_s IS NOT NULL GROUP BY ALL"))
+def _(t):
+    timed = Scored(t).hits.where("time_s is not null").groupBy("case_id", "time_s").agg(F.count("*").alias("n"))
+    return timed.select("case_id", "time_s", X.clock(F.col("time_s")).alias("long_form"), X.short_clock(F.col("time_s")).alias("short_form"), "n")
+
+
+LEVELS = "CASE WHEN {0} >= 88 THEN 'critical' WHEN {0} >= 65 THEN 'high' WHEN {0} >= 40 THEN 'medium' ELSE 'low' END"
+
+
+@query("tx10_component_levels", chain("SELECT case_id, part, CAST(least(100, greatest(0, round_even(v, 0))) AS INTEGER) AS score, " + LEVELS.format("v") + " AS level FROM (SELECT case_id, x.part AS part, x.v AS v FROM (SELECT case_id, unnest([{'part': 'text_speech', 'v': text_speech}, {'part': 'metadata_links', 'v': metadata_links}, {'part': 'behavior', 'v': behavior}, {'part': 'overall', 'v': overall}]) AS x FROM overall))"))
+def _(t):
+    """Clamping and levels (tx10, tx11) of every component and of the unrounded score."""
+    names = ("text_speech", "metadata_links", "behavior", "overall")
+    each = Scored(t).scores.select("case_id", F.explode(F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).alias("v")) for n in names])).alias("x")).select("case_id", "x.*")
+    return each.select("case_id", "part", X.clamp(F.col("v")).alias("score"), X.risk_level(F.col("v")).alias("level"))
+
+
+@query("tx12_hit_severity", chain("SELECT case_id, source, CASE WHEN confidence >= 85 THEN 'critical' WHEN confidence >= 65 THEN 'high' WHEN confidence >= 45 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN confidence >= 85 THEN 3 WHEN confidence >= 65 THEN 2 WHEN confidence >= 45 THEN 1 ELSE 0 END AS rank, count(*) AS n FROM hits GROUP BY 1, 2, 3, 4"))
+def _(t):
+    return Scored(t).hits.groupBy("case_id", "source", X.severity(F.col("confidence")).alias("severity"), X.severity_rank(F.col("confidence")).alias("rank")).agg(F.count("*").alias("n"))
+
+
 # ---- dashboard -------------------------------------------------------------------------------------------------------
 STATUS = "CASE case_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'review' ELSE 'closed' END"
 BOARD = chain("").rstrip() + ",\nboard AS (SELECT o.case_id, score, level, category, created, " + STATUS + f" AS status, coalesce(title, '') AS title, CASE WHEN platform IN {VALID} THEN platform {BY_HOST} ELSE 'Instagram' END AS platform FROM category o JOIN (SELECT case_id, created, title, platform, {HOST} AS h FROM posts) USING (case_id))\n"

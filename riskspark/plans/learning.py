@@ -49,6 +49,21 @@ def _(t):
     return t.posts.select("case_id", F.round(L.label_weight((F.col("case_id") % 101).cast("double")), 6).alias("weight"))
 
 
+@query("ml2_weights_of_scores", chain(f"SELECT case_id, score, round({WEIGHT}, 6) AS weight FROM (SELECT case_id, score::DOUBLE AS score FROM overall)"))
+def _(t):
+    return Scored(t).scores.select("case_id", F.col("score").cast("double").alias("score"), F.round(L.label_weight(F.col("score").cast("double")), 6).alias("weight"))
+
+
+THEMES = " + ".join(f"CAST({d} >= 40 AS INT)" for d in config.DIMENSIONS)
+
+
+@query("ml20_graded_cases", chain(f"SELECT case_id, CASE WHEN NOT intent THEN 0.08::DOUBLE WHEN themes >= 4 THEN 0.95 WHEN themes = 3 THEN 0.86 WHEN themes = 2 THEN 0.74 ELSE 0.58 END AS risk FROM (SELECT case_id, coalesce(neg, 0) = 0 AND {THEMES} > 0 AS intent, {THEMES} AS themes FROM overall)"))
+def _(t):
+    """Intent: a case with a strong dimension and no warning of fraud; themes: its strong dimensions."""
+    themes = sum(((F.col(d) >= 40).cast("int") for d in config.DIMENSIONS), F.lit(0))
+    return Scored(t).scores.select("case_id", L.graded_risk((F.coalesce("neg", F.lit(0.0)) == 0) & (themes > 0), themes).alias("risk"))
+
+
 # Raw texts as posts of their own, without speech, frames or links to media.
 RAW = "SELECT doc_id AS case_id, '' AS title, text AS description, '' AS tags, CAST(NULL AS VARCHAR) AS filename, CAST(NULL AS VARCHAR) AS provided_transcript FROM documents"
 RAW_CHAIN = CHAIN | {"posts": RAW} | {n: f"SELECT * FROM ({CHAIN[n]}) WHERE FALSE" for n in ("segments", "ocr", "visual")}
