@@ -123,13 +123,19 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield tokens(data, offsets[a : b + 1])
 
 
-#: Parts of the key space: a key belongs to the one that its leading bits name.
-PART_BITS = 10
+#: Parts of the key space: a key belongs to the one that its leading bits name.  There are 2^PART_BITS of them at least, and as many more as keep a part to PART_BYTES of text.
+PART_BITS, PART_BYTES = 10, 1 << 26
 
 
-def packets(keys: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+def bits_of(texts: DataFrame) -> int:
+    """Leading bits that name a part, from the bytes of all texts: what a task holds of a part stays the same at every size."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(30, max(PART_BITS, (size // PART_BYTES).bit_length()))
+
+
+def packets(bits: int, keys: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
     """Parts of the key space, and for each part the columns' values as bytes, in one order for all columns."""
-    part = (keys >> np.uint64(64 - PART_BITS)).astype(np.int32)
+    part = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     present, first = np.unique(part[order], return_index=True)
     edges = np.append(first, len(keys))
@@ -151,7 +157,7 @@ def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(values.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
-def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Packets of sums by key per task: ``rows_of(symbols, place)`` gives an array of 64-bit columns whose first is the key; the last ``width`` are passed on."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -161,7 +167,7 @@ def _summed(batches: Iterable[pa.RecordBatch], rows_of: Callable, width: int) ->
         return rows[first], np.bincount(back, counts).astype(np.int64)
 
     def out(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        part, columns = packets(rows[:, 0], *(rows[:, k - width] for k in range(width)), counts)
+        part, columns = packets(bits, rows[:, 0], *(rows[:, k - width] for k in range(width)), counts)
         return pa.RecordBatch.from_arrays([part, *columns], ["part", *(f"k{k}" for k in range(width)), "c"])
 
     size = 0
@@ -201,10 +207,10 @@ def _merged(batches: Iterable[pa.RecordBatch], width: int, least: int) -> Iterat
         yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + (1 << 16)].astype(np.int64)) for x in columns), pa.array(c[a : a + (1 << 16)])], [*(["key"] if width == 2 else []), *names, "c"])
 
 
-def _count(texts: DataFrame, rows_of: Callable, width: int, least: int = 1) -> DataFrame:
+def _count(texts: DataFrame, rows_of: Callable, width: int, bits: int, least: int = 1) -> DataFrame:
     """``k0, c`` (one column of keys) or ``key, k0, k1, c``: a partition of the shuffle holds its parts' sums at once, so the number of shuffle partitions bounds memory."""
     names = [f"k{k}" for k in range(width)]
-    sums = texts.mapInArrow(lambda batches: _summed(batches, rows_of, width), "part int, " + "".join(f"{n} binary, " for n in names) + "c binary")
+    sums = texts.mapInArrow(lambda batches: _summed(batches, rows_of, width, bits), "part int, " + "".join(f"{n} binary, " for n in names) + "c binary")
     return sums.repartition("part").mapInArrow(lambda batches: _merged(batches, width, least), ("key long, " if width == 2 else "") + ", ".join(f"{n} long" for n in names) + ", c long")
 
 
@@ -249,9 +255,10 @@ def fit(texts: DataFrame, **how) -> tuple[Tree, DataFrame]:
     return _fit(texts, **how)[:2]
 
 
-def _fit(texts: DataFrame, most: int = DEPTH, least: int = LEAST, least_divergence: float = DIVERGENCE, discount: float = DISCOUNT) -> tuple[Tree, DataFrame, DataFrame]:
+def _fit(texts: DataFrame, most: int = DEPTH, least: int = LEAST, least_divergence: float = DIVERGENCE, discount: float = DISCOUNT, bits: int | None = None) -> tuple[Tree, DataFrame, DataFrame]:
     """The head of the tree, all words (k0, c, factor) and all longer sequences with a weight (key, c, gain, factor)."""
-    counts = cut(_count(texts, lambda symbols, place: symbols.reshape(-1, 1), 1))
+    bits = bits_of(texts) if bits is None else bits
+    counts = cut(_count(texts, lambda symbols, place: symbols.reshape(-1, 1), 1, bits))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     scale = float(total + distinct + 1)
     sc = texts.sparkSession.sparkContext
@@ -268,7 +275,7 @@ def _fit(texts: DataFrame, most: int = DEPTH, least: int = LEAST, least_divergen
             at = at[ok[at] & ok[at - 1]]
             return np.stack([joint(keys[at - 1], keys[at]), keys[at - 1], keys[at]], 1)
 
-        counted = cut(_count(texts, rows_of, 2, least))
+        counted = cut(_count(texts, rows_of, 2, bits, least))
         pairs = cut(counted.join(known.select(F.col("key").alias("k1"), F.col("p").alias("lower")), "k1").select("key", F.col("k0").alias("context"), "c", "lower"))
         share = F.col("c") - discount
         sums = pairs.groupBy("context").agg(F.sum(share).alias("a"), F.sum("lower").alias("below"), F.sum(share * F.log(share / F.col("lower"))).alias("s"))
@@ -320,7 +327,7 @@ def _packet_rows(part: pa.Array, kind: int, piece: int, *columns: pa.Array) -> p
     return pa.RecordBatch.from_arrays([part.cast(pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, piece, np.int64)), *columns, *[empty] * (5 - len(columns))], NAMES)
 
 
-def _requests(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
+def _requests(batches: Iterable[pa.RecordBatch], tree, bits: int) -> Iterator[pa.RecordBatch]:
     """Per piece of text one packet with what the head says of its rows, and packets of (row, key) for every word outside the head and every
     longer sequence that may have a weight outside the head."""
     tree, piece = tree.value, TaskContext.get().partitionId() << 36
@@ -335,21 +342,21 @@ def _requests(batches: Iterable[pa.RecordBatch], tree) -> Iterator[pa.RecordBatc
             known, base, score = (np.add.reduceat(x, edges[:-1]) for x in ((found >= 0).astype(np.int64), base, np.log10(p)))
             every = np.array([0, b - a])
             rows = [ids[a:b], known_id[a:b] + 2 * np.diff(edges), known, np.rint(base * UNIT).astype(np.int64), np.rint(score * UNIT).astype(np.int64)]
-            yield _packet_rows(pa.array([piece % (1 << PART_BITS)]), 2, piece, *(packed(x, every) for x in rows))
+            yield _packet_rows(pa.array([piece % (1 << bits)]), 2, piece, *(packed(x, every) for x in rows))
             wanted = list(tree.elsewhere(symbols, place))
             keys = np.concatenate([k for _, k in wanted])
             owner = np.concatenate([(np.searchsorted(edges, at, "right") - 1).astype(np.uint32) | (WORD_BIT if k == 0 else np.uint32(0)) for k, (at, _) in enumerate(wanted)])
             if len(keys):
-                part, columns = packets(keys, owner, keys)
+                part, columns = packets(bits, keys, owner, keys)
                 yield _packet_rows(part, 1, piece, *columns)
             piece += 1
 
 
-def _weights(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weights(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = batch.column("key").to_numpy().astype(np.uint64)
-            part, columns = packets(keys, keys, batch.column("word").to_numpy(zero_copy_only=False).astype(np.uint8), batch.column("base").to_numpy(), batch.column("weight").to_numpy())
+            part, columns = packets(bits, keys, keys, batch.column("word").to_numpy(zero_copy_only=False).astype(np.uint8), batch.column("base").to_numpy(), batch.column("weight").to_numpy())
             yield _packet_rows(part, 0, 0, *columns)
 
 
@@ -416,23 +423,24 @@ def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, mask=n % 2 == 0), pa.array(n // 2), pa.array(known), pa.array(base / UNIT), pa.array(score / UNIT)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, **how) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row, learned from the rows where ``learn`` holds.
 
-    ``how``: most (words of the longest context), least, least_divergence, discount.  Null and empty texts are one end. Without training rows every
+    ``how``: most (words of the longest context), least, least_divergence, discount.  ``bits``: leading bits of a key that name its part, by default from the size of the texts.  Null and empty texts are one end. Without training rows every
     token is unknown and has probability 1. Rows that repeat id and text get the same scores; a null id stays null. A long text is scored
     whole, in the task that reads it. An empty table gives no rows. Other columns are not read.  ``docs`` should be a table or a narrow
     selection of one, whose rows a retried task reads in the same order.
     """
-    tree, words, weights = _fit(docs.where(learn).select(F.col(text_col).alias("text")), **how)
+    bits = bits_of(docs.select(F.col(text_col).alias("text"))) if bits is None else bits
+    tree, words, weights = _fit(docs.where(learn).select(F.col(text_col).alias("text")), bits=bits, **how)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    requests = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _requests(batches, shared), PACKETS)
+    requests = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _requests(batches, shared, bits), PACKETS)
     fixed = lambda x: F.round(x * UNIT).cast("long")
     root, none = F.log10((F.col("c") + 1) / F.lit(tree.scale)), F.lit(0).cast("long")
     table = words.where(F.col("c") < max(1.0, HEAD * tree.total)).select(F.col("k0").alias("key"), F.lit(True).alias("word"), fixed(root).alias("base"), fixed(F.log10("factor")).alias("weight"))
     table = table.unionByName(weights.where(F.col("c") < SHARE * tree.total).select("key", F.lit(False).alias("word"), none.alias("base"), fixed(F.log10(F.col("gain") * F.col("factor"))).alias("weight")))
     unknown = round(-np.log10(tree.scale) * UNIT)
-    met = requests.unionByName(table.mapInArrow(_weights, PACKETS)).repartition("part").mapInArrow(lambda batches: _resolved(batches, unknown), PACKETS)
+    met = requests.unionByName(table.mapInArrow(lambda batches: _weights(batches, bits), PACKETS)).repartition("part").mapInArrow(lambda batches: _resolved(batches, unknown), PACKETS)
     scored = met.repartition("piece").mapInArrow(_together, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -583,3 +583,14 @@ def test_pipeline_leaves_one_table(spark, folder):
     before = set(session._written)
     found = corpus_pipeline.run(spark, folder)
     assert found.count() > 0 and set(session._written) <= before
+
+
+def test_scores_do_not_depend_on_parts(spark, folder):
+    """One part, a few, or more than there are keys: the same scores bit for bit."""
+    from riskspark.llm import lm_scoring
+    from riskspark.llm.common import remainder
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = [sorted(map(tuple, lm_scoring.score_documents(docs, remainder("doc_id", 7) != 2, bits=bits).collect()), key=str) for bits in (0, None, 14)]
+    assert found[0] == found[1] == found[2]
+    assert lm_scoring.bits_of(spark.range(1).select(F.lit("x").alias("text"))) == lm_scoring.PART_BITS
