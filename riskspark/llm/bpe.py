@@ -3,12 +3,13 @@
 The encoder does not apply merges over a whole word.  It keeps, for every byte position, the last token of
 the encoding of the word up to there.  That token is unique: of the vocabulary's tokens that end at the
 position it is the one that can follow the encoding before it, and whether two tokens can stand side by side
-depends on these two alone (merging their joined bytes must give the pair back).  A final
-encoding passes a token boundary at least once in every ``lookahead`` bytes, where lookahead is the length of the merge list's
-longest token, so all tokens before the point where the chains from the last ``lookahead`` positions
-meet are stable: they are emitted and forgotten.  Memory stays constant however long a word is.
+depends on these two alone (merging their joined bytes must give the pair back).  How many bytes after a
+token can still change it is computed from the merge list (``sufficient_lookahead``; 119 for the default
+vocabulary): a boundary with so many bytes behind it is final, so the tokens before it are emitted and forgotten.
+Memory stays constant however long a word is.
 
-Short words repeat, so their encodings are kept in a bounded table.  Documents are independent: no shuffle.
+Short words repeat, so their encodings are kept in a bounded table.  A long text is scanned as a stream: at
+most WORDS_AT_ONCE of its words and their ids are held.  Documents are independent: no shuffle.
 The vocabulary file is a parameter; by default that of the public tokenizers package, read where it is installed on each worker.
 """
 
@@ -20,7 +21,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,10 @@ LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]
 #: Words longer than this many characters are streamed, shorter ones kept in the table.
 SHORT = 40
 TABLE = 250_000
-#: Characters of text whose words are looked up together.
+#: Characters of short texts whose words are looked up together; a text of more is streamed.
 TOGETHER = 1 << 20
+#: Words of a streamed text that are looked up together, and characters of a long word that are taken at once.
+WORDS_AT_ONCE, PIECE = 1 << 16, 1 << 16
 #: Token ids that the decoder takes at once.
 STEP = 1 << 14
 
@@ -59,6 +62,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def sufficient_lookahead(rank: dict[tuple[int, int], tuple[int, int]], size: dict[int, int]) -> int:
+    """Bytes after a token's end that decide whether it stays: a bound over all chains of merges.
+
+    Merge (x, c) takes x away only if c stands behind it and has not itself been taken by an earlier merge with what follows, which
+    needs c's bytes and all that this earlier merge needs, and so on with falling ranks.  A token is also made of others, so whether
+    it stands there depends in the same way on its last part when that was merged.  One pass over the merges by rank.
+    """
+    taken: dict[int, int] = {}  # token -> bytes that tell whether a merge so far takes it with what follows
+    made: dict[int, int] = {}  # token -> bytes that tell whether a merge so far makes it
+    need = lambda token: max(taken.get(token, 0), made.get(token, 0))
+    for (x, c), (_, token) in sorted(rank.items(), key=lambda item: item[1]):
+        behind = need(c)
+        taken[x] = max(taken.get(x, 0), size[c] + behind)
+        made[token] = max(made.get(token, 0), behind)
+    return max(map(need, size), default=0)
+
+
 class Merges:
     """The vocabulary and its merge list."""
 
@@ -75,7 +95,8 @@ class Merges:
         for k, m in enumerate(model["merges"]):
             a, b = map(to_bytes, m.split(" ") if isinstance(m, str) else m)
             self.rank[self.ids[a], self.ids[b]] = (k, self.ids[a + b])
-        self.lookahead = max(map(len, self.ids))
+        self.longest = max(map(len, self.ids))
+        self.lookahead = sufficient_lookahead(self.rank, {i: len(b) for b, i in self.ids.items()})
         #: All endings of tokens: a search to the left from some position stops where the bytes are none.
         self.endings = {b[k:] for b in self.ids for k in range(len(b))}
         self._beside: dict[tuple[int, int], bool] = {}
@@ -114,7 +135,6 @@ class Merges:
             found = self._beside[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
 
-
     def extend(self, raw: bytes, at: int, last: list[int], before: int = -1) -> None:
         """Append the last token of the encoding up to each position after ``at`` to ``last`` (-2: none ends there)."""
         endings, ids, known, whole = self.endings, self.ids, self._beside, self.whole
@@ -137,50 +157,40 @@ class Merges:
                 token = -2
             last.append(token)
 
+
 class WordEncoder:
     """Encodes one word that arrives in pieces; ``feed`` returns the tokens that have become stable."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.raw, self.last, self.before, self.due = merges, b"", [], -1, 4 * merges.lookahead
+        self.merges, self.raw, self.last, self.before = merges, b"", [], -1
+        #: Bytes held before stable tokens are looked for: several times what has to stay, so that each byte is looked at a few times only.
+        self.due = 4 * (merges.lookahead + merges.longest)
 
-    def _extend(self, piece: bytes) -> None:
-        at, self.raw = len(self.raw), self.raw + piece
-        self.merges.extend(self.raw, at, self.last, self.before)
-
-    def _chain(self, end: int) -> list[int]:
-        """Boundaries on the way back from ``end``."""
-        out = [end]
+    def _take(self, end: int, stable: int) -> list[int]:
+        """The tokens of the encoding up to ``end`` that end at ``stable`` or before; they and their bytes are forgotten."""
+        out, cut = [], 0
         while end > 0:
-            end -= len(self.merges.bytes[self.last[end - 1]])
-            out.append(end)
-        return out
-
-    def _take(self, end: int) -> list[int]:
-        out = []
-        for e in reversed(self._chain(end)[:-1]):
-            out.append(self.last[e - 1])
+            token = self.last[end - 1]
+            if end <= stable:
+                cut = cut or end
+                out.append(token)
+            end -= len(self.merges.bytes[token])
         if out:
-            self.before = out[-1]
-        self.raw, self.last = self.raw[end:], self.last[end:]
-        return out
+            self.before = out[0]
+            self.raw, self.last = self.raw[cut:], self.last[cut:]
+        return out[::-1]
 
     def feed(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        for k in range(0, len(piece), self.merges.lookahead):
-            self._extend(piece[k : k + self.merges.lookahead])
+        for k in range(0, len(piece), self.due):
+            at, self.raw = len(self.raw), self.raw + piece[k : k + self.due]
+            self.merges.extend(self.raw, at, self.last, self.before)
             if len(self.raw) >= self.due:
-                meet: set[int] | None = None
-                for p in range(len(self.raw) - self.merges.lookahead + 1, len(self.raw) + 1):
-                    if self.last[p - 1] >= 0:
-                        chain = set(self._chain(p))
-                        meet = chain if meet is None else meet & chain
-                if stable := max(meet or {0}):
-                    out += self._take(stable)
-                self.due = len(self.raw) + 4 * self.merges.lookahead
+                out += self._take(len(self.raw), len(self.raw) - self.merges.lookahead)
         return out
 
     def finish(self) -> list[int]:
-        return self._take(len(self.raw)) if self.raw else []
+        return self._take(len(self.raw), len(self.raw))
 
 
 class Codec:
@@ -215,40 +225,69 @@ class Codec:
             self.table[word] = np.array(out[::-1], "<u4").tobytes()
         return long
 
-    def _words(self, text: str) -> list[str]:
+    def _pattern(self, text: str):
         latin = text.isascii() or len(text.encode("latin-1", "ignore")) == len(text)
-        return (LATIN_WORDS if latin else WORDS).findall(text)
+        return LATIN_WORDS if latin else WORDS
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids per text as little-endian unsigned 32-bit numbers. Special tokens that stand in a text are taken as such."""
-        parts = [[("", text)] if not any(x in text for x in self.merges.special) else self._split(text) for text in texts]
-        split = [[(special, self._words(piece)) for special, piece in part] for part in parts]
-        words = set(chain.from_iterable(words for part in split for _, words in part))
+    def _mark(self, special: str) -> bytes:
+        return np.array([self.merges.special[special]], "<u4").tobytes() if special else b""
+
+    def _looked_up(self, lists: Iterable[list[str]]) -> list[bytes]:
+        """Ids of each list of words."""
+        lists = list(lists)
+        words = set(chain.from_iterable(lists))
         if len(self.table) + len(words) > TABLE:
             self.table.clear()
         long = self._learn(words.difference(self.table))
-        look = self.table.__getitem__
-        mark = lambda special: np.array([self.merges.special[special]], "<u4").tobytes() if special else b""
-        out = [b"".join([mark(special) + b"".join(map(look, words)) for special, words in part]) for part in split]
+        out = [b"".join(map(self.table.__getitem__, some)) for some in lists]
         for word in long:
             del self.table[word]
         return out
 
-    def _split(self, text: str) -> list[tuple[str, str]]:
-        out, at, before = [], 0, ""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids per text as little-endian unsigned 32-bit numbers, for texts that are short together. Special tokens that stand in a text are taken as such."""
+        parts = [list(self._split(text)) for text in texts]
+        ids = iter(self._looked_up(self._pattern(piece).findall(piece) for part in parts for _, piece in part))
+        return [b"".join([self._mark(special) + next(ids) for special, _ in part]) for part in parts]
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The same for one text, in pieces: neither its words nor its ids are ever held all at once."""
+        for special, part in self._split(text):
+            yield self._mark(special)
+            words: list[str] = []
+            for m in self._pattern(part).finditer(part):
+                if (long := m.end() - m.start() > SHORT) or len(words) >= WORDS_AT_ONCE:
+                    yield from self._looked_up([words])
+                    words = []
+                if not long:
+                    words.append(m[0])
+                    continue
+                encoder = WordEncoder(self.merges)
+                for at in range(m.start(), m.end(), PIECE):
+                    yield np.array(encoder.feed(part[at : min(at + PIECE, m.end())].encode("utf-8")), "<u4").tobytes()
+                yield np.array(encoder.finish(), "<u4").tobytes()
+            yield from self._looked_up([words])
+
+    def _split(self, text: str) -> Iterator[tuple[str, str]]:
+        """Parts of a text, each with the special token before it."""
+        if not any(x in text for x in self.merges.special):
+            yield "", text
+            return
+        at, before = 0, ""
         for m in self.merges.specials.finditer(text):
-            out.append((before, text[at : m.start()]))
+            yield before, text[at : m.start()]
             before, at = m[0], m.end()
-        return [*out, (before, text[at:])]
+        yield before, text[at:]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return b"".join(self.pieces(text))
 
-    def decode(self, ids: bytes) -> Iterator[str]:
-        """Pieces of the text: token bytes go through an incremental UTF-8 state machine, so a character may span tokens."""
+    def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
+        """Pieces of the text of ids that come in pieces: token bytes go through an incremental UTF-8 state machine, so a character may span tokens."""
         machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.merges.bytes
-        for k in range(0, len(ids), 4 * STEP):
-            yield machine.decode(b"".join(map(table.__getitem__, np.frombuffer(ids[k : k + 4 * STEP], "<u4").tolist())))
+        for piece in ids:
+            for k in range(0, len(piece), 4 * STEP):
+                yield machine.decode(b"".join(map(table.__getitem__, np.frombuffer(piece[k : k + 4 * STEP], "<u4").tolist())))
         yield machine.decode(b"", True)
 
 
@@ -259,36 +298,52 @@ def codec_of(path: str | None) -> Codec:
 
 
 def _groups(column: pa.Array) -> Iterator[list[str]]:
+    """Texts that are short together; a text above TOGETHER is alone."""
     group, size = [], 0
     for text in column:
         text = text.as_py() or ""
-        group.append(text)
-        size += len(text)
-        if size >= TOGETHER:
+        if group and size + len(text) > TOGETHER:
             yield group
             group, size = [], 0
+        group.append(text)
+        size += len(text)
     if group:
         yield group
 
 
+class _Result:
+    """What is told of one text, from its ids as they come."""
+
+    def __init__(self, codec: Codec, pieces: Iterable[bytes], with_ids: bool):
+        self.n, ids, decoded, self.ids = 0, hashlib.sha256(), hashlib.sha256(), []
+
+        def passed() -> Iterator[bytes]:
+            for piece in pieces:
+                self.n += len(piece) // 4
+                ids.update(piece)
+                if with_ids:
+                    self.ids.append(piece)
+                yield piece
+
+        for piece in codec.decode(passed()):
+            decoded.update(piece.encode("utf-8"))
+        self.ids_sha256, self.decoded_sha256 = ids.hexdigest(), decoded.hexdigest()
+
+
 def _encode(batches: Iterable[pa.RecordBatch], path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
     codec = codec_of(path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     for batch in batches:
         at = 0
         for group in _groups(batch.column("text")):
-            raws = codec.encode_all(group)
-            counts = [len(raw) // 4 for raw in raws]
-            decoded = []
-            for raw in raws:
-                digest = hashlib.sha256()
-                for piece in codec.decode(raw):
-                    digest.update(piece.encode("utf-8"))
-                decoded.append(digest.hexdigest())
-            columns = [batch.column("doc_id").slice(at, len(group)), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(raw).hexdigest() for raw in raws], pa.string()), pa.array(decoded, pa.string())]
+            encoded = [codec.pieces(group[0])] if len(group[0]) > TOGETHER else [[raw] for raw in codec.encode_all(group)]
+            results = list(map(_Result, repeat(codec), encoded, repeat(with_ids)))
+            counts = [r.n for r in results]
+            columns = [batch.column("doc_id").slice(at, len(group)), pa.array(counts, pa.int64()), pa.array([r.ids_sha256 for r in results], pa.string()), pa.array([r.decoded_sha256 for r in results], pa.string())]
             if with_ids:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(raws))])))
+                raw = b"".join(chain.from_iterable(r.ids for r in results))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(raw)])))
             at += len(group)
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -296,7 +351,8 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str | None, with_ids: bool)
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``.
 
-    Null and empty texts have no tokens. Repeated rows are encoded each. An empty table gives no rows. Other columns are not read.
+    Null and empty texts have no tokens. Rows that repeat are encoded each, with equal results; there are no ties to break. A very long text is encoded
+    as a stream by the task that reads it; only its ``ids``, if asked for, are one value. An empty table gives no rows. Other columns are not read.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -309,7 +365,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in batches:
-            texts = ["".join(codec.decode(np.array(x.as_py() or [], "<u4").tobytes())) for x in batch.column("ids")]
+            texts = ["".join(codec.decode([np.array(x.as_py() or [], "<u4").tobytes()])) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,13 +428,70 @@ def test_bpe(spark, docs, table, empty):
 
 def test_streaming_encoder_keeps_little():
     merges = bpe.codec_of(None).merges
-    encoder, raw, out, most = bpe.WordEncoder(merges), ("abcdefgh" * 4000).encode(), [], 0
-    for k in range(0, len(raw), 100):
-        out += encoder.feed(raw[k : k + 100])
-        most = max(most, len(encoder.raw))
-    out += encoder.finish()
-    assert most <= 16 * merges.lookahead
-    assert out == bpe.WordEncoder(merges).feed(raw) + [] or b"".join(merges.bytes[t] for t in out) == raw
+    for text in ("abcdefgh" * 4000, "=" * 30_000, "ÃÂ" * 9000):
+        encoder, raw, out, most = bpe.WordEncoder(merges), text.encode(), [], 0
+        for k in range(0, len(raw), 100):
+            out += encoder.feed(raw[k : k + 100])
+            most = max(most, len(encoder.raw), len(encoder.last))
+        out += encoder.finish()
+        assert most <= encoder.due + 100
+        assert b"".join(merges.bytes[t] for t in out) == raw
+        whole = bpe.WordEncoder(merges)
+        assert out == whole.feed(raw) + whole.finish()
+
+
+def toy_merges(path, rng, n):
+    """A vocabulary of three letters and n merges of tokens that stand before them in the list."""
+    vocabulary, merges = list("abc"), []
+    while len(merges) < n:
+        a, b = rng.choice(vocabulary), rng.choice(vocabulary)
+        if a + b not in vocabulary and len(a + b) <= 8:
+            vocabulary.append(a + b)
+            merges.append(f"{a} {b}")
+    path.write_text(json.dumps({"model": {"vocab": {t: k for k, t in enumerate(vocabulary)}, "merges": merges}, "added_tokens": []}))
+    return bpe.Merges(str(path))
+
+
+def ends(merges, tokens):
+    return set(np.cumsum([len(merges.bytes[t]) for t in tokens]).tolist())
+
+
+def test_lookahead_is_sufficient(tmp_path):
+    rng, tight = random.Random(12), 0
+    for n in (1, 2, 4, 8, 16, 30, 60) * 6:
+        merges = toy_merges(tmp_path / "toy.json", rng, n)
+        for _ in range(40):
+            raw = "".join(rng.choice("abc" if rng.random() < 0.5 else "ab") for _ in range(60)).encode()
+            whole = merges.merged(raw)
+            for end in range(1, len(raw)):
+                before = ends(merges, merges.merged(raw[:end]))
+                assert {e for e in before if end - e >= merges.lookahead} <= ends(merges, whole)
+                tight += any(end - e == merges.lookahead - 1 for e in before - ends(merges, whole))
+            encoder, out = bpe.WordEncoder(merges), []
+            encoder.due = 1  # look for stable tokens after every byte
+            for byte in raw:
+                out += encoder.feed(bytes([byte]))
+            assert out + encoder.finish() == whole
+    assert tight  # one byte less would not do
+
+
+def test_long_texts_are_streamed(spark, table, monkeypatch):
+    texts = [t for _, t, *_ in table if t] + ["x<|endoftext|>" + "é" * 500 + " yes" * 90 + "<|endoftext|>", "<|endoftext|>"]
+    codec = bpe.codec_of(None)
+    whole = codec.encode_all(texts)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(bpe, "PIECE", 11)
+    for text, raw in zip(texts, whole, strict=True):
+        pieces = list(codec.pieces(text))
+        assert b"".join(pieces) == raw
+        assert max(map(len, pieces)) <= 4 * 7 * bpe.SHORT * 4
+    monkeypatch.setattr(bpe, "TOGETHER", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    rows = [r for out in bpe._encode([batch], None, True) for r in out.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    for r, raw, text in zip(rows, whole, texts, strict=True):
+        assert (np.array(r["ids"], "<u4").tobytes(), r["n_tokens"], r["ids_sha256"]) == (raw, len(raw) // 4, hashlib.sha256(raw).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
