@@ -13,6 +13,10 @@ from riskspark import config
 # Look-alike and digit substitutes and the letters they stand for.
 CONFUSABLE_FROM, CONFUSABLE_TO = "aeopcxykmhtbnru013456789@$", "аеорсхукмнтвпгиоиечѕбтв9аѕ"
 KAZAKH = "әғқңөұүһі"
+# Letters of a skeleton, characters of a word, separators that may stand within a disguised word.
+LETTERS = f"a-zа-яё{KAZAKH}І"
+WORD = f"a-zа-яё{KAZAKH}0-9#"
+SEPARATORS = r"\s\x1c-\x1f.\-_*·•|/\\\u200b\u200c\u200d\u2060"
 
 
 def all_text(*parts: Column) -> Column:
@@ -116,14 +120,19 @@ def fold_lookalikes(c: Column) -> Column:
 
 
 def collapse_separators(c: Column) -> Column:
-    """Separators between two letters go, other runs become one space, then anything but letters does."""
-    inner = F.regexp_replace(c, r"(?<=\p{L})[\s.\-_*·•|/\\​‌‍﻿]+(?=\p{L}(?:[\s.\-_*·•|/\\​‌‍﻿]|\z))", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(inner, r"[\s.\-_*·•|/\\​‌‍﻿]+", " "), r"[^\p{L}]+", " "))
+    """A run of separators between two letters goes; every other run of what is no letter becomes one space; none at the ends."""
+    joined_up = F.regexp_replace(c, rf"(?U)(?<=[{LETTERS}])[{SEPARATORS}]+(?=[{LETTERS}])", "")
+    return F.trim(F.regexp_replace(joined_up, f"[^{LETTERS}]+", " "))
+
+
+def skeleton(c: Column) -> Column:
+    """Text as it is compared against disguises: NFKC and case folding, look-alikes, then separators."""
+    return collapse_separators(F.translate(nfkc_casefold(c), CONFUSABLE_FROM, CONFUSABLE_TO))
 
 
 def words(c: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([a-zа-яёәғқңөұүһіà-öø-ÿß0-9]+)"), F.lit(1))
+    """Lower-case runs of letters, digits and number signs."""
+    return F.regexp_extract_all(F.lower(c), F.lit(f"([{WORD}]+)"), F.lit(1))
 
 
 def folded_words(c: Column) -> Column:
@@ -138,10 +147,10 @@ def word_ngrams(tokens: Column) -> Column:
 
 
 def char_ngrams(tokens: Column, least: int = 3, most: int = 5) -> Column:
-    """Character n-grams of every word with a mark at both ends."""
+    """Character n-grams of every word with a space at both ends."""
 
     def grams(w: Column) -> Column:
-        padded = F.concat(F.lit("^"), w, F.lit("$"))
+        padded = F.concat(F.lit(" "), w, F.lit(" "))
         return F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda k: F.substring(padded, k, n))).otherwise(F.array().cast("array<string>"))))
 
     return F.flatten(F.transform(tokens, grams))

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,34 +15,89 @@ from riskspark import config
 from riskspark.functions import text as T
 
 
-def _ranked(words: list[str], k: int) -> list[tuple[str, int]]:
+#: Numbers of a skeleton's characters; a space is 0. Seven bits each, so that five fit in a whole number.
+LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(ord("а"), ord("я") + 1)])) + "ё" + T.KAZAKH + "І"
+CODES = np.zeros(0x600, np.int64)
+CODES[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
+BASE = 128
+
+
+def _number(gram: str) -> int:
+    n = 0
+    for c in gram:
+        n = n * BASE + int(CODES[ord(c)])
+    return n
+
+
+def _gram(n: int) -> str:
+    out = ""
+    while n:
+        n, c = divmod(n, BASE)
+        out = LETTERS[c - 1] + out
+    return out
+
+
+def _inner(skeleton: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The character grams of a skeleton without the spaces at their ends, as numbers in rising order: how often each occurs and where first."""
+    codes = np.concatenate([[0], CODES[np.frombuffer(skeleton.encode("utf-32-le"), np.uint32)], [0]])
+    space = codes == 0
+    first = np.maximum.accumulate(np.where(space, np.arange(len(codes)), 0))  # the space before each place
+    length = np.diff(np.append(np.flatnonzero(space), len(codes)))[np.cumsum(space) - 1]  # of the word behind that space, and the space
+    grams, order = [], []
+    for n in (3, 4, 5):
+        starts = np.arange(max(0, len(codes) - n + 1))
+        inner = np.zeros(len(starts), np.int64)  # spaces within, not at an end
+        number = np.zeros(len(starts), np.int64)
+        for k in range(n):
+            number = number * BASE + codes[k : k + len(starts)]
+            inner += space[k : k + len(starts)] & (0 < k < n - 1)
+        ok = inner == 0
+        at, number = starts[ok], number[ok]
+        grams.append(np.where(number % BASE == 0, number // BASE, number))
+        order.append(3 * first[at] + (n - 3) * length[at] + at - first[at])  # by word, then n, then place
+    grams, order = np.concatenate(grams), np.concatenate(order)
+    by = np.lexsort((order, grams))
+    grams, order = grams[by], order[by]
+    fresh = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return grams[fresh], np.diff(np.append(fresh, len(grams))), order[fresh]
+
+
+def _ranked(words: list[str], skeleton: str, k: int) -> list[tuple[str, int]]:
     counts: Counter = Counter(words)
     for a, b in zip(words, words[1:]):
         counts[f"{a} {b}"] += 2
-    inner: Counter = Counter()
-    for w, c in Counter(words).items():
-        for n in range(3, 6):
-            for at in range(len(w) - n + 1):
-                inner[w[at : at + n]] += c
-    for gram, c in inner.items():
-        counts[gram] += c
-    return counts.most_common(k)  # equal counts in the order they were first seen
+    grams, times, order = _inner(skeleton)
+    both = set()
+    for w in counts:
+        if len(w) <= 5 and all(c in LETTERS for c in w):
+            number = _number(w)
+            at = int(np.searchsorted(grams, number))
+            if at < len(grams) and grams[at] == number:
+                counts[w] += int(times[at])
+                both.add(at)
+    best = counts.most_common(k)  # equal counts in the order they were first seen
+    # Of the grams that are no words, the best k can be among the best.
+    alone = np.ones(len(grams), bool)
+    alone[list(both)] = False
+    rest = np.flatnonzero(alone)
+    rest = rest[np.lexsort((order[rest], -times[rest]))[:k]]
+    return sorted([*best, *((_gram(int(grams[j])), int(times[j])) for j in rest)], key=lambda g: -g[1])[:k]
 
 
 def top_ngrams(tokens: DataFrame, k: int) -> DataFrame:
-    """``case_id, gram, n`` from rows ``case_id, w`` (the words of a case): per case the k grams of most weight.
+    """``case_id, gram, n`` from rows ``case_id, w, s`` (the words and the skeleton of a case): per case the k grams of most weight.
 
-    Words weigh 1, pairs of neighbours 2, character 3- to 5-grams within a word 1; of equal weights the first seen: words, then pairs, then
-    characters.  All grams of a case come from one row, so they are counted in that row: no gram is shuffled.
+    Words weigh 1, pairs of neighbours 2, character 3- to 5-grams of the skeleton's words, with a space at both ends that does not show, 1;
+    of equal weights the first seen: words, then pairs, then characters.  All grams of a case come from one row, so they are
+    counted in that row, the characters' as whole numbers in arrays: no gram is shuffled.  A null is an empty text.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column("case_id").to_pylist(), [_ranked(w or [], k) for w in batch.column("w").to_pylist()]
-            rows = [(i, g, n) for i, grams in zip(ids, found, strict=True) for g, n in grams]
+            rows = [(i.as_py(), g, n) for i, w, s in zip(*(batch.column(c) for c in ("case_id", "w", "s")), strict=True) for g, n in _ranked(w.as_py() or [], s.as_py() or "", k)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["case_id", "gram", "n"])
 
-    return tokens.select(F.col("case_id").cast("long").alias("case_id"), "w").mapInArrow(run, "case_id long, gram string, n long")
+    return tokens.select(F.col("case_id").cast("long").alias("case_id"), "w", "s").mapInArrow(run, "case_id long, gram string, n long")
 
 
 KINDS = tuple(config.LINK_FORMATS)

@@ -212,12 +212,17 @@ def _(t):
 simple("tx13_nfkc_casefold", lambda: F.sha2(T.nfkc_casefold(F.col("description")), 256), "NULL")
 del ORACLES["tx13_nfkc_casefold"]
 simple("tx14_fold_lookalikes", lambda: F.sha2(T.fold_lookalikes(F.col("description")), 256), f"sha256(translate(lower(description), '{T.CONFUSABLE_FROM}', '{T.CONFUSABLE_TO}'))")
-simple("tx15_collapse_separators", lambda: F.sha2(T.collapse_separators(F.lower("description")), 256), "NULL")
-del ORACLES["tx15_collapse_separators"]
 #: NFKC and case folding as far as the given texts need it: a sharp s is two letters.
-FOLDED_WORDS = "regexp_extract_all(replace(lower(nfc_normalize(description)), 'ß', 'ss'), '([a-zа-яёәғқңөұүһіà-öø-ÿß0-9]+)', 1)"
-WORDS = "regexp_extract_all(lower(description), '([a-zа-яёәғқңөұүһіà-öø-ÿß0-9]+)', 1)"
-simple("tx16_words", lambda: F.sha2(F.array_join(T.folded_words(F.col("description")), " "), 256), f"sha256(array_to_string({FOLDED_WORDS}, ' '))")
+FOLD = "replace(lower(nfc_normalize(description)), 'ß', 'ss')"
+#: Twice, as a match takes the letter that the next one begins with.
+GAP = "([" + T.LETTERS + "])[\\s\\x1c-\\x1f.\\-_*·•|/\\\\\u200b\u200c\u200d\u2060]+([" + T.LETTERS + "])"
+SKELETON = f"translate({FOLD}, '{T.CONFUSABLE_FROM}', '{T.CONFUSABLE_TO}')"
+for _ in range(2):
+    SKELETON = f"regexp_replace({SKELETON}, '{GAP}', '\\1\\2', 'g')"
+SKELETON = f"trim(regexp_replace({SKELETON}, '[^{T.LETTERS}]+', ' ', 'g'))"
+simple("tx15_collapse_separators", lambda: F.sha2(T.skeleton(F.col("description")), 256), f"sha256({SKELETON})")
+WORDS = f"regexp_extract_all({FOLD}, '([{T.WORD}]+)', 1)"
+simple("tx16_words", lambda: F.sha2(F.array_join(T.folded_words(F.col("description")), " "), 256), f"sha256(array_to_string({WORDS}, ' '))")
 
 
 GRAMS = f"""toks AS (SELECT case_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT case_id, {WORDS} AS w FROM posts)),
@@ -227,14 +232,21 @@ grams AS (SELECT case_id, w AS gram, pos, 1 AS weight FROM toks UNION ALL SELECT
 
 @query("tx17_word_ngrams", P.rstrip() + ",\n" + GRAMS + "SELECT gram, count(*) AS n FROM grams GROUP BY 1")
 def _(t):
-    tokens = t.posts.select(T.words(F.col("description")).alias("w"))
+    tokens = t.posts.select(T.folded_words(F.col("description")).alias("w"))
     return tokens.select(F.explode(T.word_ngrams(F.col("w"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("tx18_char_ngrams", P.rstrip() + ",\n" + GRAMS.split("grams AS")[0].rstrip(" ,\n") + ", p AS (SELECT '^' || w || '$' AS p FROM toks), n AS (SELECT p, unnest([3, 4, 5]) AS n FROM p), k AS (SELECT p, n, unnest(range(1, length(p) - n + 2)) AS k FROM n) SELECT substr(p, k, n) AS gram, count(*) AS n FROM k GROUP BY 1")
+#: Character grams of the words of a skeleton, with a space at both ends of a word.
+INNER = f"""bones AS (SELECT case_id, string_split({SKELETON}, ' ') AS b FROM posts), bone AS (SELECT case_id, unnest(b) AS w, generate_subscripts(b, 1) AS pos FROM bones),
+padded AS (SELECT case_id, ' ' || w || ' ' AS w, pos FROM bone WHERE w <> ''), sized AS (SELECT case_id, w, pos, unnest([3, 4, 5]) AS n FROM padded),
+cut AS (SELECT case_id, w, pos, n, unnest(range(1, length(w) - n + 2)) AS k FROM sized WHERE length(w) >= n)
+"""
+
+
+@query("tx18_char_ngrams", P.rstrip() + ",\n" + INNER + "SELECT substr(w, k, n) AS gram, count(*) AS n FROM cut GROUP BY 1")
 def _(t):
-    tokens = t.posts.select(F.explode(T.words(F.col("description"))).alias("w"))
-    return tokens.select(F.explode(T.char_ngrams(F.array("w"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    bones = t.posts.select(F.explode(F.split(T.skeleton(F.col("description")), " ")).alias("w")).where("w <> ''")
+    return bones.select(F.explode(T.char_ngrams(F.array("w"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 COUNT = "len(regexp_extract_all({0}, '{1}'))"
@@ -276,14 +288,12 @@ def _(t):
     return t.posts.select("case_id", T.suspicious_tags(I.coerce_hashtags(F.col("tags")), TAG_ANCHORS).alias("v"))
 
 
-INNER = """, within AS (SELECT case_id, w, pos, unnest([3, 4, 5]) AS n FROM toks), cut AS (SELECT case_id, w, pos, n, unnest(range(1, length(w) - n + 2)) AS k FROM within WHERE length(w) >= n),
-weighed AS (SELECT case_id, gram, pos::BIGINT AS pos, weight FROM grams UNION ALL SELECT case_id, substr(w, k, n), 1000000000000 + pos * 1000000 + n * 100000 + k, 1 FROM cut)
-"""
+WEIGHED = "weighed AS (SELECT case_id, gram, pos::BIGINT AS pos, weight FROM grams UNION ALL SELECT case_id, trim(substr(w, k, n)), (1000000000 + pos::BIGINT) * 1000000000 + n * 100000000 + k, 1 FROM cut)\n"
 
 
-@query("tx24_top_ngrams", P.rstrip() + ",\n" + GRAMS + INNER + "SELECT case_id, gram, n::BIGINT AS n FROM (SELECT case_id, gram, sum(weight) AS n, min(pos) AS pos FROM weighed GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, pos) <= 5")
+@query("tx24_top_ngrams", P.rstrip() + ",\n" + GRAMS.rstrip() + ", " + INNER.rstrip() + ", " + WEIGHED + "SELECT case_id, gram, n::BIGINT AS n FROM (SELECT case_id, gram, sum(weight) AS n, min(pos) AS pos FROM weighed GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, pos) <= 5")
 def _(t):
-    return top_ngrams(t.posts.select("case_id", T.words(F.col("description")).alias("w")), 5)
+    return top_ngrams(t.posts.select("case_id", T.folded_words(F.col("description")).alias("w"), T.skeleton(F.col("description")).alias("s")), 5)
 
 
 simple("tx27_date", lambda: F.date_format("created", "dd.MM.yyyy"), "strftime(created, '%d.%m.%Y')")

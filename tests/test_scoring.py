@@ -1,6 +1,7 @@
 """Hand-worked cases of the scoring operators."""
 
 import itertools
+import random
 import re
 
 import numpy as np
@@ -266,9 +267,29 @@ def test_fixed_formats(spark):
 
 
 def test_top_ngrams(spark):
-    rows = spark.createDataFrame([(1, ["abcd", "xy", "abcd", "xy"]), (2, []), (3, None)], "case_id long, w array<string>")
-    # Words weigh 1, pairs 2; abcd holds abc, bcd and itself once more, each twice.
-    assert [(r["case_id"], r["gram"], r["n"]) for r in X.top_ngrams(rows, 4).collect()] == [(1, "abcd", 4), (1, "abcd xy", 4), (1, "xy", 2), (1, "xy abcd", 2)]
+    """By a plain walk over all grams of a case."""
+
+    def plain(words, skeleton, k):
+        counts = {}
+        for g, n in [*((w, 1) for w in words), *((f"{a} {b}", 2) for a, b in zip(words, words[1:]))]:
+            counts[g] = counts.get(g, 0) + n
+        for w in skeleton.split():
+            padded = f" {w} "
+            for n in (3, 4, 5):
+                for at in range(len(padded) - n + 1):
+                    g = padded[at : at + n].strip()
+                    counts[g] = counts.get(g, 0) + 1
+        return sorted(counts.items(), key=lambda g: -g[1])[:k]
+
+    rng = random.Random(6)
+    cases = [(["abcd", "xy", "abcd", "xy"], "abcdxyabcdxy"), ([], ""), (["a"], "a"), (["12", "#x"], "x"), (["ёж"], "ёж І")]
+    cases += [([rng.choice(["ab", "ба", "abab", "c", "12"]) for _ in range(rng.randint(0, 30))], " ".join(rng.choice(["a", "abab", "баба", "cab" * rng.randint(1, 9)]) for _ in range(rng.randint(0, 8)))) for _ in range(60)]
+    rows = spark.createDataFrame([(k, w, s) for k, (w, s) in enumerate(cases)] + [(1000, None, None)], "case_id long, w array<string>, s string")
+    for k in (1, 4, 50):
+        got = {}
+        for r in X.top_ngrams(rows, k).collect():
+            got.setdefault(r["case_id"], []).append((r["gram"], r["n"]))
+        assert got == {case: want for case, (w, s) in enumerate(cases) if (want := plain(w, s, k))}
 
 
 def test_every_occurrence(spark):
@@ -536,8 +557,9 @@ def test_obfuscated_twins(spark):
 
 
 def test_separators(spark):
-    """By a plain walk: a run between a letter and a single letter goes, other runs are one space, the rest that is no letter too."""
-    seps = " .-_*·•|/\\\u200b\u200c\u200d\ufeff\t\n"
+    """By a plain walk: a run between two letters goes, other runs are one space, the rest that is no letter too."""
+    seps = " .-_*·•|/\\\u200b\u200c\u200d\u2060\t\n\u00a0\u2003\x1c"
+    letter = lambda c: c in "abcdefghijklmnopqrstuvwxyzёәғқңөұүһіІ" or "а" <= c <= "я"
 
     def plain(text):
         out, i = [], 0
@@ -549,14 +571,14 @@ def test_separators(spark):
             j = i
             while j < len(text) and text[j] in seps:
                 j += 1
-            single = j < len(text) and text[j].isalpha() and (j + 1 == len(text) or text[j + 1] in seps)
-            out.append("" if i and text[i - 1].isalpha() and single else " ")
+            out.append("" if i and letter(text[i - 1]) and j < len(text) and letter(text[j]) else " ")
             i = j
-        return " ".join("".join(c if c.isalpha() else " " for c in "".join(out)).split())
+        return " ".join("".join(c if letter(c) else " " for c in "".join(out)).split())
 
-    texts = ["к а з и н о", "к.а-з_и*н·о даром", "две части", "a b cd e", "x--y", "", "12 a 3", "б•о|н/у\\с и ещё", "к\u200bа\u200bз", "конец. Новая а", " a "]
+    texts = ["к а з и н о", "к.а-з_и*н·о даром", "две части", "a b cd e", "x--y", "", "12 a 3", "б•о|н/у\\с и ещё", "к\u200bа\u200bз\u2060и\u00a0н\u2003о\x1cя", "конец. Новая а", " a ", "né á 7 8.b", "a. 1 .b"]
     got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.collapse_separators(F.col("t")).alias("v")).orderBy("k").collect()
     assert [r["v"] for r in got] == [plain(t) for t in texts]
+    assert one(spark, T.skeleton(F.lit("К А 3 И Н 0 даром! Ｆｒｅｅ"))) == plain("к а 3 и н 0 даром! free".translate(str.maketrans(T.CONFUSABLE_FROM, T.CONFUSABLE_TO)))
 
 
 def test_hashed_features_and_vectors(spark):
