@@ -151,6 +151,13 @@ def kb_pairs(prints: DataFrame, clusters: DataFrame) -> DataFrame:
     return likeness(in_common(tokens, posted), tokens, posted).join(clusters.select("ord", "cluster"), "ord").select("case_id", "cluster", "ord", "raw")
 
 
+def kb_all_pairs(prints: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``kb_pairs`` with the likeness 0 of all other pairs: a row for every case and cluster, whatever they share."""
+    every = prints.select("case_id").crossJoin(F.broadcast(clusters.select("cluster", "ord")))
+    found = kb_pairs(prints, clusters).select("case_id", "ord", "raw")
+    return every.join(found, ["case_id", "ord"], "left").select("case_id", "cluster", "ord", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+
+
 #: A token of more clusters than this is looked up only for cases that it can still decide.
 COMMON = 1000
 

@@ -426,10 +426,10 @@ def _(t):
     return Scored(t).kb.withColumn("raw", F.round("raw", 6))
 
 
-@query("ag11_kb_similarity", chain("SELECT case_id, cluster, round(raw, 6) AS raw FROM kb_all WHERE raw > 0"))
+@query("ag11_kb_similarity", chain("SELECT case_id, cluster, round(raw, 6) AS raw FROM kb_all"))
 def _(t):
     s = Scored(t)
-    return S.kb_pairs(S.fingerprint(t.posts, s.links), s.clusters).select("case_id", "cluster", F.round("raw", 6).alias("raw"))
+    return S.kb_all_pairs(S.fingerprint(t.posts, s.links), s.clusters).select("case_id", "cluster", F.round("raw", 6).alias("raw"))
 
 
 @query("ag13_raise_reused", chain("SELECT case_id, dim, value FROM boosted WHERE dim = 'reused'"))

@@ -236,6 +236,16 @@ def test_knowledge_base_by_postings(spark, common):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
 
 
+def test_likeness_of_every_case_and_cluster(spark):
+    """Pairs that have nothing in common are there too, with 0."""
+    clusters = [(0, "a", ["x"], ["#t"], ["word"]), (1, "b", ["y"], [], []), (2, "c", [], [], [])]
+    cases = [(1, ["x"], [], "a word"), (2, [], [], "")]
+    prints = spark.createDataFrame(cases, "case_id long, handles array<string>, tags array<string>, text string")
+    kb = spark.createDataFrame(clusters, "ord int, cluster string, handles array<string>, tags array<string>, keywords array<string>")
+    assert {(r["case_id"], r["ord"]): r["raw"] for r in S.kb_all_pairs(prints, kb).collect()} == kb_plain(cases, clusters)
+    assert "WHERE raw > 0" not in registry.oracle_sql()["ag11_kb_similarity"]
+
+
 def test_labels_in_several_passes(spark, monkeypatch):
     """Any number of prompts: partial sums of several passes give the softmax over all."""
     rng = np.random.default_rng(2)
