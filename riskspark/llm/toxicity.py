@@ -31,6 +31,8 @@ BINS = 1 << 18
 TOGETHER = 12
 #: Feature templates: the whole word, then stems of so many bytes.
 STEMS = (4, 5, 6)
+#: Tokens of the sample that the driver works on at once: with all of them, each intermediate array would have the size of the sample.
+AT_ONCE = 1 << 16
 THRESHOLD = 0.3
 #: A mark's documents are toxic at least so many times as often as clean ones.
 LIFT = 5.0
@@ -173,19 +175,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.top[1:] + self.top[0], -30, 30)))
 
 
+def whole_documents(doc: np.ndarray, most: int = AT_ONCE) -> Iterator[slice]:
+    """Slices of the tokens of whole documents, of about ``most`` tokens (one document at least); ``doc`` rises."""
+    a = 0
+    while a < len(doc):
+        b = int(np.searchsorted(doc, doc[min(a + most, len(doc)) - 1], "right"))
+        yield slice(a, b)
+        a = b
+
+
 def token_tags(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Tags from document labels: 1 for a token of a toxic document with a feature that marks toxic documents."""
+    """Tags from document labels: 1 for a token of a toxic document with a feature that marks toxic documents; ``doc`` rises."""
     n_tox, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    key = np.unique(np.concatenate([doc.astype(np.int64) * BINS + features[:, k] for k in range(features.shape[1])]))
-    d, f = key // BINS, key % BINS
-    a = np.bincount(f[toxic[d]], minlength=BINS).astype(float)
-    b = np.bincount(f[~toxic[d]], minlength=BINS).astype(float)
+    a, b = np.zeros(BINS), np.zeros(BINS)
+    for part in whole_documents(doc):
+        key = np.unique(np.concatenate([doc[part].astype(np.int64) * BINS + features[part, k] for k in range(features.shape[1])]))
+        d, f = key // BINS, key % BINS
+        a += np.bincount(f[toxic[d]], minlength=BINS)
+        b += np.bincount(f[~toxic[d]], minlength=BINS)
     total, share = a + b, n_tox / (n_tox + n_clean)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(a > 0, a * np.log(a / (total * share)), 0) + np.where(b > 0, b * np.log(b / (total * (1 - share))), 0))
         lift = (a + 0.1) / n_tox / ((b + 0.1) / n_clean)
     marks = (g > 2 * np.log(max(2, int((total > 0).sum())))) & (lift > LIFT)
-    return toxic[doc] & marks[features].any(1)
+    tags = toxic[doc]
+    for part in whole_documents(doc):
+        tags[part] &= marks[features[part]].any(1)
+    return tags
 
 
 def fit_chain(model: Model, features: np.ndarray, chain: np.ndarray, place: np.ndarray, tags: np.ndarray, steps: int = 60) -> None:
@@ -272,23 +288,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_toxic: int = TOX
     table = distinct_enough(table)
     lengths = [len(r["place"]) // 4 for r in table]
     features = np.frombuffer(b"".join(r["features"] for r in table), np.int32).reshape(-1, 1 + len(STEMS))
-    place = np.frombuffer(b"".join(r["place"] for r in table), np.int32).astype(np.int64)
+    place = np.frombuffer(b"".join(r["place"] for r in table), np.int32)
     toxic = np.array([r["toxic"] == 1 for r in table])
-    doc = np.repeat(np.arange(len(table)), lengths)
+    n = len(table)
+    del table  # its bytes are in the arrays
+    doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
     if not len(features):
         return model
     tags = token_tags(features, doc, toxic)
     if tags.any():
-        chain = np.cumsum(place == 0) - 1
+        chain = np.cumsum(place == 0, dtype=np.int32) - 1
         # Sentences with a toxic token all count; of the others one in a few, by position.
         hot = np.zeros(int(chain.max()) + 1, bool)
         hot[chain[tags]] = True
         every = max(1, int((~hot[chain]).sum() // max(clean_tokens, clean_times * hot[chain].sum())))
         rest = np.cumsum(~hot) % every == 0
         rows_used = (hot | rest)[chain]
-        fit_chain(model, features[rows_used], np.cumsum(place[rows_used] == 0) - 1, place[rows_used], tags[rows_used])
-    p = marginals(model.emission(features), model.move, np.cumsum(place == 0) - 1, place)[0]
-    fit_top(model, Model.summary(p, doc, len(table)), toxic, size[1] / (size[0] + size[1]))
+        fit_chain(model, features[rows_used], np.cumsum(place[rows_used] == 0) - 1, place[rows_used].astype(np.int64), tags[rows_used])
+    summaries = []
+    for part in whole_documents(doc):
+        own, first = place[part].astype(np.int64), int(doc[part.start])
+        p = marginals(model.emission(features[part]), model.move, np.cumsum(own == 0) - 1, own)[0]
+        summaries.append((first, Model.summary(p, doc[part] - first, int(doc[part.stop - 1]) - first + 1)))
+    x = np.zeros((n, summaries[0][1].shape[1]))  # a document without tokens has zeros
+    for first, part in summaries:
+        x[first : first + len(part)] = part
+    fit_top(model, x, toxic, size[1] / (size[0] + size[1]))
     return model
 
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -239,6 +240,23 @@ def toxic_rows(n=400):
     return [*out, (n, None, "en", "a", 0, 0, 0, 0), (n + 1, "", "en", "a", 0, 0, 0, 0)], labels
 
 
+def test_token_tags_in_slices():
+    """The sample is worked on in slices of whole documents: the tags are those of one pass, the memory is not that of the whole."""
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 900, 2000)
+    doc, toxic = np.repeat(np.arange(2000), lengths), rng.random(2000) < 0.3
+    features = np.minimum(rng.geometric(0.0005, (len(doc), 4)), toxicity.BINS - 1).astype(np.int32)
+    features[toxic[doc] & (rng.random(len(doc)) < 0.01), 0] = 99_999
+    tracemalloc.start()
+    tags = toxicity.token_tags(features, doc, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # one pass took over 80 bytes a token
+    assert (tags == (toxic[doc] & (features == 99_999).any(1))).all() and tags.any()
+    parts = list(toxicity.whole_documents(doc, 1000))
+    assert parts[0].start == 0 and parts[-1].stop == len(doc) and all(a.stop == b.start and doc[a.stop - 1] < doc[b.start] for a, b in zip(parts, parts[1:]))
+
+
 def test_toxicity(spark, empty):
     docs, labels = toxic_rows()
     truth = dict(labels)
