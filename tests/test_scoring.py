@@ -507,6 +507,35 @@ def test_network_learns_what_linear_heads_cannot(spark):
     assert len(N.train(df.where("not held").limit(40), 12, hidden=4, epochs=2).history) == 3
 
 
+def test_network_takes_a_job_per_epoch_not_per_step(spark, monkeypatch):
+    """Sums over partitions: one an epoch, whatever the number of mini-batches; more only where a partition would take more than LOCAL steps."""
+    seen, whole = [], N.summed
+    monkeypatch.setattr(N, "summed", lambda g, parts: seen.append(parts) or whole(g, parts))
+    df = spark.createDataFrame(planted(), ROWS)
+    net = N.train(df, 12, batch=16, hidden=8, epochs=3)
+    assert len(seen) == 3 and len(net.history) == 4 and net.history[3][1] < net.history[0][1]
+    monkeypatch.setattr(N, "LOCAL", 2)
+    seen.clear()
+    N.train(df, 12, batch=16, hidden=8, epochs=2)
+    assert len(seen) == 2 * -(-750 // (4 * 16 * 2))
+
+
+def test_mean_of_partitions_is_one_pass_where_there_is_one(spark):
+    """A round over one partition is Adam over its mini-batches in the order of the rows' hashes."""
+    df = spark.createDataFrame(planted(300), ROWS)
+    net = N.train(df, 12, batch=1000, hidden=6, epochs=2, dropout=0.0)
+    rows = [r for r in df.withColumn("row", F.xxhash64(F.lit(1337), "case_id")).orderBy("row").collect() if not r["held"]]
+    x = np.zeros((len(rows), 13), np.float32)
+    for k, r in enumerate(rows):
+        x[k, r["idx"]], x[k, 12] = 1, 1
+    y, w = np.array([r["y"] for r in rows]), np.ones(len(rows))
+    start = N.Network.drawn(12, 6)
+    own = N.Adam(np.concatenate([start.flat, np.zeros(2 * len(start.flat), np.float32)]), 0, (start.first.shape, start.second.shape), K.RATE, 1e-4, 0.0)
+    for _ in range(2):
+        own.over([(x, y, w, np.zeros(len(rows)))])
+    assert net.best_epoch == 2 and own.model.flat == pytest.approx(net.flat, abs=1e-5)
+
+
 def test_attributions_are_input_times_derivative(spark):
     """By finite differences of the risk logit; slots with their dimension, grams by their bucket, each name once, the largest first."""
     rng = np.random.default_rng(2)
