@@ -106,13 +106,17 @@ def severity_rank(confidence: Column) -> Column:
     return F.when(confidence >= 85, 3).when(confidence >= 65, 2).when(confidence >= 45, 1).otherwise(0)
 
 
+#: Characters that NFKC leaves as they are beside each other, and whose case folding is their small letter: ASCII, letters of Latin-1 but for the sharp s, Cyrillic, quotation marks, dash.
+SETTLED = "\\x00-\\x7fÀ-Þà-ÿЀ-ҁҊ-ӿ«»—"
+
+
 def nfkc_casefold(c: Column) -> Column:
-    """Unicode NFKC and case folding (Arrow batches; no built-in does this)."""
+    """Unicode NFKC and case folding.  No built-in does this, so texts go through Arrow batches, but only those that hold a character outside of SETTLED; for all others it is ``lower``."""
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
-    return fold(c)
+    return F.coalesce(fold(F.when(c.rlike(f"[^{SETTLED}]"), c)), F.lower(c))
 
 
 def fold_lookalikes(c: Column) -> Column:
