@@ -3,8 +3,10 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -536,6 +538,30 @@ def test_mean_of_partitions_is_one_pass_where_there_is_one(spark):
     assert net.best_epoch == 2 and own.model.flat == pytest.approx(net.flat, abs=1e-5)
 
 
+def test_texts_that_case_folding_need_not_see(spark):
+    """Every settled character, by itself and beside each other one, folds to its small letter, so those texts need not reach Python; others fold as before."""
+    settled = [c for c in map(chr, range(0x3000)) if re.match(f"[{T.SETTLED}]", c)]
+    plain = lambda x: unicodedata.normalize("NFKC", x).casefold()
+    pairs = "".join(a + b for a in settled for b in settled)
+    assert len(settled) > 400 and plain(pairs) == pairs.lower()
+    texts = [*settled, "й", "ﬁne Straße", "Ａ", "ΑΣ", "İ", "…", "", None, "Ё\u0301", "Plain text, ёлка"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    assert {r["k"]: r["v"] for r in df.select("k", T.nfkc_casefold(F.col("x")).alias("v")).collect()} == {k: None if x is None else plain(x) for k, x in enumerate(texts)}
+
+
+def test_written_tables_use_small_batches(spark):
+    """Python gets at most 1000 rows at a time while a table is written; the session's own settings are as before."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    got = session.materialise(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"))
+    assert [r["n"] for r in got.collect()] == [1000] * 5 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    session.drop(got)
+
+
 def test_attributions_are_input_times_derivative(spark):
     """By finite differences of the risk logit; slots with their dimension, grams by their bucket, each name once, the largest first."""
     rng = np.random.default_rng(2)
