@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +151,48 @@ def hashed_features(grams: DataFrame, buckets: int = BUCKETS, seed: int = 3) ->
     return summed.select("case_id", "bucket", (F.col("v") / norm).alias("value"))
 
 
+def _summed(case: pa.Array, buckets: np.ndarray, values: np.ndarray, ends: np.ndarray, scaled: bool) -> pa.RecordBatch:
+    """``case_id, idx, val``: per row the values of equal buckets added up, in rising order of buckets, those of 0 left out; ``scaled`` to length 1.  ``ends``: where each row's pairs end."""
+    starts = np.append(0, ends[:-1])
+    out, at = [], [0]
+    for a, b in zip(starts, ends, strict=True):
+        found, where = np.unique(buckets[a:b], return_inverse=True)
+        total = np.bincount(where, values[a:b], len(found))
+        some = total != 0
+        found, total = found[some], total[some]
+        out.append((found, total / np.sqrt((total * total).sum()) if scaled else total))
+        at.append(at[-1] + len(found))
+    idx, val = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in (0, 1))
+    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, t)) for x, t in ((idx.astype(np.int32), pa.int32()), (val.astype(np.float64), pa.float64()))]
+    return pa.RecordBatch.from_arrays([case, *lists], ["case_id", "idx", "val"])
+
+
+SPARSE = "case_id long, idx array<int>, val array<double>"
+
+
+def hashed_rows(texts: DataFrame, buckets: int = BUCKETS, seed: int = 3) -> DataFrame:
+    """``case_id, idx, val``: ``sparse_rows(hashed_features(...))`` of rows ``case_id, grams`` (arrays).
+
+    The grams of a row are hashed and counted within it, so what is shuffled is one pair of arrays per row, for cases of several rows.
+    """
+
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h")
+            ends, codes = np.cumsum(h.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), h.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield _summed(batch.column("case_id"), np.mod(codes, buckets), np.where((codes >> 62) & 1 == 0, 1.0, -1.0), ends, False)
+
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, val = batch.column("idx"), batch.column("val")
+            yield _summed(batch.column("case_id"), idx.flatten().to_numpy(zero_copy_only=False), val.flatten().to_numpy(zero_copy_only=False), np.cumsum(idx.value_lengths().to_numpy(zero_copy_only=False)), True)
+
+    hashes = F.transform("grams", lambda g: F.xxhash64(F.lit(seed), g))
+    parts = texts.select(F.col("case_id").cast("long").alias("case_id"), hashes.alias("h")).mapInArrow(own, SPARSE)
+    rows = parts.groupBy("case_id").agg(F.collect_list(F.struct("idx", "val")).alias("p")).select("case_id", F.flatten("p.idx").alias("idx"), F.flatten("p.val").alias("val"))
+    return rows.mapInArrow(together, SPARSE)
+
+
 def sparse_rows(features: DataFrame) -> DataFrame:
     """``case_id, idx, val``: one row per case with parallel arrays."""
     pairs = F.array_sort(F.collect_list(F.struct("bucket", "value")))
@@ -158,9 +201,14 @@ def sparse_rows(features: DataFrame) -> DataFrame:
 
 def vectors(hashed: DataFrame, slots: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``case_id, idx, val``: the hashed features of a case, then its numeric slots (``numeric_table``) behind the buckets."""
+    return with_slots(sparse_rows(hashed), slots, buckets)
+
+
+def with_slots(rows: DataFrame, slots: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The same from rows ``case_id, idx, val``."""
     names = [c for c in slots.columns if c != "case_id"]
     numbers = slots.select("case_id", F.array(*names).alias("numbers"))
-    joined = numbers.join(sparse_rows(hashed), "case_id", "left")
+    joined = numbers.join(rows, "case_id", "left")
     places = F.array(*[F.lit(buckets + k) for k in range(len(names))])
     return joined.select("case_id", F.concat(F.coalesce("idx", F.array().cast("array<int>")), places).alias("idx"), F.concat(F.coalesce("val", F.array().cast("array<double>")), "numbers").alias("val"))
 

@@ -646,6 +646,19 @@ def test_separators(spark):
     assert one(spark, T.skeleton(F.lit("К А 3 И Н 0 даром! Ｆｒｅｅ"))) == plain("к а 3 и н 0 даром! free".translate(str.maketrans(T.CONFUSABLE_FROM, T.CONFUSABLE_TO)))
 
 
+def test_patterns_that_run_over_classes(spark):
+    """No search for what is outside of a class, which is slow in Java's matcher; results are those of such a search."""
+    texts = ["К а 3 И Н 0 даром!", "ｆｒｅｅ", "a\u2003b", "", None, "ß", "é", "a\nb\n", "«x» — y", "😀 a", "a.😀.b", "..a.-b..", "\n", "x\u200b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    t = F.col("t")
+    old = F.trim(F.regexp_replace(F.regexp_replace(t, rf"(?U)(?<=[{T.LETTERS}])[{T.SEPARATORS}]+(?=[{T.LETTERS}])", ""), f"[^{T.LETTERS}]+", " "))
+    both = df.select(T.collapse_separators(t).alias("new"), old.alias("old"), T.nfkc_casefold(t).alias("folded"), "t").collect()
+    assert [r["new"] for r in both] == [r["old"] for r in both]
+    assert [r["folded"] for r in both] == [None if x is None else unicodedata.normalize("NFKC", x).casefold() for x in texts]
+    plan = df.select(T.skeleton(t))._jdf.queryExecution().executedPlan().toString()
+    assert "[^" not in plan
+
+
 def test_hashed_features_and_vectors(spark):
     """Signed sums by bucket, of length 1 per case; slots come behind the buckets; a case without grams has its slots only."""
     grams = [(1, "a"), (1, "a"), (1, "b"), (1, "c d"), (2, "a")]
@@ -666,6 +679,20 @@ def test_hashed_features_and_vectors(spark):
     assert rows[1] == pytest.approx({b: v / norm[1] for b, v in sums[1].items()} | {16: 0.5, 17: 0.0})
 
 
+def test_hashed_rows_count_within_their_row(spark):
+    """As by way of ``hashed_features``, also for a case of several rows and for null, empty and cancelling grams; what is shuffled is a row per text, not per gram."""
+    grams = [f"g{k}" for k in range(40)]
+    data = [(1, ["a", "a", "b", "c d"]), (2, grams), (2, grams[5:] + ["a"]), (3, []), (4, None), (5, ["x"] * 3 + grams)]
+    df = spark.createDataFrame(data, "case_id long, grams array<string>")
+    want = {r["case_id"]: (r["idx"], r["val"]) for r in K.sparse_rows(K.hashed_features(df.select("case_id", F.explode("grams").alias("gram")), 16)).collect()}
+    rows = K.hashed_rows(df, 16)
+    got = {r["case_id"]: (r["idx"], r["val"]) for r in rows.collect()}
+    assert {c: v for c, v in got.items() if v[0]} == want
+    assert set(got) == {1, 2, 3, 4, 5} and not got[3][0] and not got[4][0]
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert not K.hashed_rows(df.limit(0), 16).collect()
+
+
 LABEL = "case_id long, risk double, is_scam boolean, weight double, category string, " + ", ".join(f"{d} double" for d in config.DIMENSIONS)
 
 
