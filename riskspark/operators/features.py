@@ -100,6 +100,53 @@ def top_ngrams(tokens: DataFrame, k: int) -> DataFrame:
     return tokens.select(F.col("case_id").cast("long").alias("case_id"), "w", "s").mapInArrow(run, "case_id long, gram string, n long")
 
 
+#: Characters of skeletons counted at once.
+AT_ONCE = 1 << 20
+
+
+def _windows(skeletons: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The character 3- to 5-grams of the words, spaces at their ends included, and how often each occurs."""
+    codes = CODES[np.frombuffer(f" {' '.join(skeletons)} ".encode("utf-32-le"), np.uint32)]
+    letters = np.array([" ", *LETTERS], "U1").view(np.uint32)
+    for n in (3, 4, 5):
+        m = max(0, len(codes) - n + 1)
+        number, ok = np.zeros(m, np.int64), np.ones(m, bool)
+        for k in range(n):
+            number = number * BASE + codes[k : k + m]
+            if 0 < k < n - 1:
+                ok &= codes[k : k + m] != 0
+        found, times = np.unique(number[ok], return_counts=True)
+        digits = np.stack([found // BASE ** (n - 1 - k) % BASE for k in range(n)], 1)
+        yield np.ascontiguousarray(letters[digits]).view(f"U{n}").ravel(), times
+
+
+def char_gram_counts(skeletons: DataFrame) -> DataFrame:
+    """``gram, n`` over all rows of ``s``: character 3- to 5-grams of a skeleton's words with a space at both ends.
+
+    They are counted as whole numbers, AT_ONCE characters at a time (a row is not cut), so what is shuffled are counts.  Words of a
+    skeleton may be as long as a text, as separators between letters are gone, so no gram is cut out by its place in a string.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
+            for grams, times in _windows(held):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.tolist(), pa.string()), pa.array(times, pa.int64())], ["gram", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for s in batch.column("s"):
+                text = s.as_py()
+                if text:
+                    held.append(text)
+                    size += len(text)
+                if size >= AT_ONCE:
+                    yield from counted()
+                    held, size = [], 0
+        yield from counted()
+
+    return skeletons.select("s").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 KINDS = tuple(config.LINK_FORMATS)
 BEHAVIOURS = ("urgency", "referral", "messenger")
 

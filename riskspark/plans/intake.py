@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions import text as T
-from riskspark.operators.features import top_ngrams
+from riskspark.operators.features import char_gram_counts, top_ngrams
 from riskspark.plans.base import ORACLES, query
 from riskspark.sources import cases as C
 from riskspark.sources import intake as I
@@ -245,8 +245,7 @@ cut AS (SELECT case_id, w, pos, n, unnest(range(1, length(w) - n + 2)) AS k FROM
 
 @query("tx18_char_ngrams", P.rstrip() + ",\n" + INNER + "SELECT substr(w, k, n) AS gram, count(*) AS n FROM cut GROUP BY 1")
 def _(t):
-    bones = t.posts.select(F.explode(F.split(T.skeleton(F.col("description")), " ")).alias("w")).where("w <> ''")
-    return bones.select(F.explode(T.char_ngrams(F.array("w"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return char_gram_counts(t.posts.select(T.skeleton(F.col("description")).alias("s")))
 
 
 COUNT = "len(regexp_extract_all({0}, '{1}'))"

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -679,6 +680,21 @@ def test_hashed_features_and_vectors(spark):
     assert rows[1] == pytest.approx({b: v / norm[1] for b, v in sums[1].items()} | {16: 0.5, 17: 0.0})
 
 
+def test_char_gram_counts(spark):
+    """By a plain count, also over several pieces; a word as long as a text (600,000 letters) is counted in one pass."""
+    texts = ["казино казино дом", "дом a", None, "", "і ё", "free ғқ"]
+    want = Counter(f" {w} "[a : a + n] for t in texts if t for w in t.split() for n in (3, 4, 5) for a in range(len(w) + 3 - n))
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    assert {r["gram"]: r["n"] for r in X.char_gram_counts(df).collect()} == want
+    pieces: Counter = Counter()
+    for t in texts:
+        for grams, times in X._windows([t or ""]):
+            pieces.update(dict(zip(grams.tolist(), times.tolist(), strict=True)))
+    assert pieces == want
+    long = X.char_gram_counts(spark.createDataFrame([("аб" * 300_000,)], "s string"))
+    assert {r["gram"]: r["n"] for r in long.collect()}["аба"] == 299_999
+
+
 def test_hashed_rows_count_within_their_row(spark):
     """As by way of ``hashed_features``, also for a case of several rows and for null, empty and cancelling grams; what is shuffled is a row per text, not per gram."""
     grams = [f"g{k}" for k in range(40)]
