@@ -46,6 +46,22 @@ def negatives(hits: DataFrame) -> DataFrame:
     return hits.where("dim = 'negative'").groupBy("case_id").agg(F.round(fold(F.col("confidence")), 9).alias("neg"))
 
 
+def wide_dimensions(cases: DataFrame, hits: DataFrame, images: DataFrame, kb: DataFrame) -> DataFrame:
+    """``wide(raise_reused(dimensions(...), kb))`` with ``negatives``, by one aggregate over what a case has: no case is taken apart into a row per dimension and put together again."""
+    nothing = F.lit(None)
+    parts = [
+        (cases.select("case_id"), nothing, nothing, nothing, F.lit(True)),
+        (hits.select("case_id", "dim", "confidence"), F.col("dim"), F.col("confidence"), nothing, nothing),
+        (images.where("dim not in ('', 'negative')").select("case_id", "dim", "score"), F.col("dim"), F.col("score") * 100, nothing, nothing),
+        (kb.select("case_id", "kb_score"), nothing, nothing, F.col("kb_score"), nothing),
+    ]
+    rows = reduce(DataFrame.unionByName, [df.select("case_id", dim.cast("string").alias("dim"), value.cast("double").alias("value"), least.cast("int").alias("least"), known.cast("boolean").alias("known")) for df, dim, value, least, known in parts])
+    of = lambda d: F.round(fold(F.when(F.col("dim") == d, F.col("value"))), 9)
+    summed = rows.groupBy("case_id").agg(*[of(d).alias(d) for d in config.DIMENSIONS], F.when(F.count_if(F.col("dim") == "negative") > 0, of("negative")).alias("neg"), F.max("least").alias("least"), F.max("known").alias("known")).where("known")
+    value = lambda d: F.greatest(clamp(F.col(d)), F.coalesce("least", F.lit(0))) if d == "reused" else clamp(F.col(d))
+    return summed.select("case_id", *[value(d).alias(d) for d in config.DIMENSIONS], "neg")
+
+
 def components(d: DataFrame) -> DataFrame:
     """The five components of the wide dimension table."""
     c = F.col
@@ -77,9 +93,19 @@ def main_reason(d: DataFrame, hits: DataFrame) -> DataFrame:
     return named.join(best, ["case_id", "top_dim"], "left").withColumn("reason", F.when(F.col("overall") < config.MEDIUM, low).otherwise(text)).drop("best")
 
 
+def said(text: Column) -> Column:
+    """Per rule of the categories whether the text holds one of its words; true where it asks for none."""
+    each = lambda low: F.array(*[reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) if words else F.lit(True) for _, _, _, words, _ in config.CATEGORIES])
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), each), 1)
+
+
 def category(d: DataFrame, text: Column) -> Column:
     """First rule that holds; educational rules go first when negative markers weigh enough, then all in order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return category_said(d, said(text))
+
+
+def category_said(d: DataFrame, spoken: Column) -> Column:
+    """The same from ``said`` of the case's text."""
 
     def holds(rule: tuple) -> Column:
         _, dim, least, words, _ = rule
@@ -87,7 +113,7 @@ def category(d: DataFrame, text: Column) -> Column:
         if dim:
             out = out & (F.col(dim) >= least)
         if words:
-            out = out & reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+            out = out & F.element_at(spoken, config.CATEGORIES.index(rule) + 1)
         return out
 
     significant = F.coalesce("neg", F.lit(0.0)) >= config.NEGATIVE_SIGNIFICANT

@@ -801,3 +801,15 @@ def test_no_private_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_folder(Session)
+
+
+def test_wide_dimensions_in_one_aggregate(spark):
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
+    hits = spark.createDataFrame([(1, "profit", 60.0), (1, "profit", 70.0), (1, "negative", 40.0), (2, "reused", 10.0), (2, "gambling", None), (9, "profit", 50.0)], "case_id long, dim string, confidence double")
+    images = spark.createDataFrame([(1, "gambling", 0.5), (2, "", 0.9)], "case_id long, dim string, score double")
+    kb = spark.createDataFrame([(1, 0), (2, 33), (3, 20)], "case_id long, kb_score int")
+    dims = spark.createDataFrame(list(enumerate(config.DIMENSIONS)), "dim_no int, dim string")
+    want = S.wide(S.raise_reused(S.dimensions(cases, hits, images, dims), kb)).join(S.negatives(hits), "case_id", "left").orderBy("case_id")
+    got = S.wide_dimensions(cases, hits, images, kb).orderBy("case_id")
+    assert got.dtypes == want.dtypes and got.collect() == want.collect()
+    assert "Generate" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
