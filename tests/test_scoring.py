@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -803,6 +804,30 @@ def test_no_private_folder_on_a_cluster():
         session.shared_folder(Session)
 
 
+def test_links_are_looked_for_where_they_may_be(spark):
+    odd = ["", None, "İ K z.lınk q.linK y.SITE/ab", "@abct.me/xyzw t.me/Kabc", "WHATſAPP: 12345678 wa.me/77011234567", "whatsapp\n+7 701-123-45-67", "bonuſ: ABC promo  CODE-XY1 кᲂд abc9 ПРОМОКОД:win777 коᲁ ZZ9", "https://bit.ly/x,http://cutt.ly a@bc.vk.cc goo.gl 1.bio.click"]
+    texts = spark.createDataFrame([(x,) for x in odd], "t string")
+    for kind, regex, *_ in config.LINKS:
+        plain = F.regexp_extract_all("t", F.lit("(?iu)" + regex), F.lit(1))
+        got = texts.select(F.coalesce(plain, F.array().cast("array<string>")).alias("a"), F.coalesce(M.link_values(F.col("t"), kind, regex), F.array().cast("array<string>")).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got]
+    # A long word that is no address costs its length, not the square of it.
+    began = time.time()
+    assert spark.createDataFrame([("a" * 400_000,)], "t string").select(F.size(M.link_values(F.col("t"), *config.LINKS[4][:2]))).first()[0] == 0
+    assert time.time() - began < 20
+
+
+def test_characters_are_counted_in_one_pass(spark, monkeypatch):
+    odd = ["İK ж", "Ғ hello", "ҒЫЛЫМ", "аб ab", None, "", "\u200b\U0001f300\U0001faff\U0001fb00☀➿ 12", "٣4 Åſ"]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string")
+    both = rows.select(T.language_hint(F.col("t")), T.digit_ratio(F.col("t")), T.emoji_share(F.coalesce("t", F.lit(""))))
+    assert [tuple(r) for r in both.collect()] == [("mixed", 0.0, 0.0), ("en", 0.0, 0.0), ("kz", 0.0, 0.0), ("mixed", 0.0, 0.0), ("", 0.0, 0.0), ("", 0.0, 0.0), ("", 2 / 9, 0.25), ("", 1 / 5, 0.0)]
+    assert "regexp" not in both._jdf.queryExecution().toString()
+    monkeypatch.setattr(T, "COUNTED_AT_ONCE", 3)
+    n = T.character_counts.func(pa.array(["аб1", None, "", "x", "Қ2"])).to_pylist()
+    assert [None if r is None else tuple(r.values()) for r in n] == [(2, 0, 0, 1, 0), None, (0,) * 5, (0, 1, 0, 0, 0), (0, 0, 1, 1, 0)]
+
+
 def test_wide_dimensions_in_one_aggregate(spark):
     cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
     hits = spark.createDataFrame([(1, "profit", 60.0), (1, "profit", 70.0), (1, "negative", 40.0), (2, "reused", 10.0), (2, "gambling", None), (9, "profit", 50.0)], "case_id long, dim string, confidence double")
