@@ -167,7 +167,7 @@ def char_ngrams(tokens: Column, least: int = 3, most: int = 5) -> Column:
 #: What a character counts as, by its number: Cyrillic, Latin and Kazakh letters of both cases (with the two signs whose small letter is Latin), digits, emoji and zero-width marks.
 COUNTED = {"cyrillic": "а-яА-ЯёЁ", "latin": "a-zA-Zİ\u212a", "kazakh": KAZAKH + KAZAKH.upper(), "digits": "0-9", "marks": "\U0001f300-\U0001faff☀-➿\u200b\u200c\u200d"}
 #: Bytes of text counted at once.
-COUNTED_AT_ONCE = 1 << 22
+COUNTED_AT_ONCE = 1 << 20
 
 
 def _kinds() -> np.ndarray:
