@@ -524,6 +524,21 @@ def test_network_takes_a_job_per_epoch_not_per_step(spark, monkeypatch):
     assert len(seen) == 2 * -(-750 // (4 * 16 * 2))
 
 
+def test_network_trains_on_all_partitions(spark, monkeypatch):
+    """Every partition of a round has its share of the rows, and blocks do not depend on where batches end."""
+    seen, whole = [], N.summed
+    monkeypatch.setattr(N, "summed", lambda g, parts: seen.append((parts, sorted(r["weight"] for r in g.where("chunk = 0").collect()))) or whole(g, parts))
+    df = spark.createDataFrame(planted(), ROWS)
+    net = N.train(df, 12, batch=16, hidden=8, epochs=1)
+    (parts, sizes), *_ = seen
+    assert len(sizes) == parts == min(spark.sparkContext.defaultParallelism, 750 // (16 * N.FEWEST)) and sum(sizes) == 750 and sizes[-1] < 1.5 * 750 / parts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert N.train(df, 12, batch=16, hidden=8, epochs=1).flat == pytest.approx(net.flat, abs=1e-7)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_mean_of_partitions_is_one_pass_where_there_is_one(spark):
     """A round over one partition is Adam over its mini-batches in the order of the rows' hashes."""
     df = spark.createDataFrame(planted(300), ROWS)
