@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions import text as T
-from riskspark.operators.features import char_gram_counts, top_ngrams
+from riskspark.operators.features import char_gram_counts, text_ngrams
 from riskspark.plans.base import ORACLES, query
 from riskspark.sources import cases as C
 from riskspark.sources import intake as I
@@ -292,7 +292,7 @@ WEIGHED = "weighed AS (SELECT case_id, gram, pos::BIGINT AS pos, weight FROM gra
 
 @query("tx24_top_ngrams", P.rstrip() + ",\n" + GRAMS.rstrip() + ", " + INNER.rstrip() + ", " + WEIGHED + "SELECT case_id, gram, n::BIGINT AS n FROM (SELECT case_id, gram, sum(weight) AS n, min(pos) AS pos FROM weighed GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, pos) <= 5")
 def _(t):
-    return top_ngrams(t.posts.select("case_id", T.folded_words(F.col("description")).alias("w"), T.skeleton(F.col("description")).alias("s")), 5)
+    return text_ngrams(t.posts.select("case_id", F.col("description").alias("text")), 5)
 
 
 simple("tx27_date", lambda: F.date_format("created", "dd.MM.yyyy"), "strftime(created, '%d.%m.%Y')")

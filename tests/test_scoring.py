@@ -306,6 +306,24 @@ def test_top_ngrams(spark):
         assert got == {case: want for case, (w, s) in enumerate(cases) if (want := plain(w, s, k))}
 
 
+def test_ngrams_of_texts(spark):
+    """Words and skeletons taken in the pass that counts are those of the column functions."""
+    rng = random.Random(8)
+    signs = [*"aeoABCXyz019#@$.-_*/|\\ \t\n,;!?", *"абвёЁІіҚқӘСЕ", *"\x00\x1c\x85\xa0\u200b\u2060\u2028\u3000·•ßİſΣςﬁＡ①½Å🔥e\u0301"]
+    texts = ["", None, "a", " - ", "c a s i n o", "K\u212a ſt", "к.а-з и н о, 7 топ"] + ["".join(rng.choices(signs, k=rng.randint(1, 120))) for _ in range(400)] + [" ".join(rng.choices(["деньги", "Cash", "с-т-а-в", "b3t", "да"], k=300)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "case_id long, text string").repartition(4)
+    want = X.top_ngrams(rows.select("case_id", T.folded_words(F.col("text")).alias("w"), T.skeleton(F.col("text")).alias("s")), 6).collect()
+    got = X.text_ngrams(rows, 6).collect()
+    assert len(got) > 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    codes = np.append(np.insert(np.random.default_rng(2).integers(1, 60, 20_000), np.arange(6, 20_000, 6), 0), 0)
+    codes = np.append(0, codes)
+    by_order, X.PLACE_BITS = X._inner(codes), 1
+    try:
+        assert all((a == b).all() for a, b in zip(by_order, X._inner(codes)))  # places too large for one number
+    finally:
+        X.PLACE_BITS = 28
+
+
 def test_every_occurrence(spark):
     texts = spark.createDataFrame([(1, "a.b A.B axb 12 3")], "case_id int, text string")
     rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "[0-9]+", True, "")], "ord int, pattern string, is_regex boolean, label string")
