@@ -26,6 +26,8 @@ HIT = ("case_id", "lane", "source", "seg_no", "rule_ord", "pos", "confidence", "
 SOURCES = ("Metadata", "Audio", "OCR")
 #: Rules of one automaton (some 100 bytes a character of pattern in each worker); more rules are more automata, one after the other.
 RULES_AT_ONCE = 100_000
+#: Hits that a worker holds before it hands them on.
+FOUND_AT_ONCE = 1 << 12
 PLACE = 10**12
 
 
@@ -164,13 +166,22 @@ def _scan(batches: Iterable[pa.RecordBatch], key: str, shared, case: bool, every
     for batch in batches:
         others = [n for n in batch.schema.names if n != "text"]
         rows, found = [], []
-        for k, text in enumerate(batch.column("text").to_pylist()):
+
+        def given() -> pa.RecordBatch:
+            ord_, pos, matched, size, chip, fragment = zip(*found, strict=True) if found else ((),) * 6
+            kept = [batch.column(n).take(pa.array(rows, pa.int64())) for n in others]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(ord_, pa.int64()), pa.array(pos, pa.int32()), pa.array(matched, pa.string()), pa.array(size, pa.int32()), pa.array(chip, pa.string()), pa.array(fragment, pa.string())], [*others, "__ord", "pos", "matched", "size", "chip", "fragment"])
+
+        # One text and FOUND_AT_ONCE hits at a time, whatever the session's batches hold.
+        for k, text in enumerate(batch.column("text")):
+            text = text.as_py()
             for n, start, matched, chip in scanner.hits(text, every) if text else ():
                 rows.append(k)
                 found.append((n, start + 1, matched, len(matched), chip, sentence(text, start, len(matched))))
-        ord_, pos, matched, size, chip, fragment = zip(*found, strict=True) if found else ((),) * 6
-        kept = [batch.column(n).take(pa.array(rows, pa.int64())) for n in others]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(ord_, pa.int64()), pa.array(pos, pa.int32()), pa.array(matched, pa.string()), pa.array(size, pa.int32()), pa.array(chip, pa.string()), pa.array(fragment, pa.string())], [*others, "__ord", "pos", "matched", "size", "chip", "fragment"])
+                if len(found) >= FOUND_AT_ONCE:
+                    yield given()
+                    rows, found = [], []
+        yield given()
 
 
 def _schema(df: DataFrame, but: str, more: str) -> StructType:

@@ -324,6 +324,19 @@ def test_ngrams_of_texts(spark):
         X.PLACE_BITS = 28
 
 
+def test_matches_are_handed_on_in_pieces():
+    """A worker holds one text and a bounded number of hits, however large the batch is and however many hits one text has."""
+    class Shared:
+        value = [(0, "ab", False, True), (1, "b+", True, True)]
+
+    texts = ["ab " * 9000, None, "", "xab", "ab " * 5000]
+    batch = pa.RecordBatch.from_pydict({"case_id": pa.array(range(5), pa.int64()), "text": pa.array(texts, pa.string())})
+    pieces = list(M._scan([batch], "pieces", Shared, False, True))
+    assert len(pieces) > 5 and max(p.num_rows for p in pieces) <= M.FOUND_AT_ONCE
+    got = Counter((r["case_id"], r["__ord"]) for p in pieces for r in p.to_pylist())
+    assert got == {(0, 0): 9000, (0, 1): 9000, (3, 0): 1, (3, 1): 1, (4, 0): 5000, (4, 1): 5000}
+
+
 def test_every_occurrence(spark):
     texts = spark.createDataFrame([(1, "a.b A.B axb 12 3")], "case_id int, text string")
     rules = spark.createDataFrame([(0, "a.b", False, ""), (1, "[0-9]+", True, "")], "ord int, pattern string, is_regex boolean, label string")
