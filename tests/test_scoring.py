@@ -756,6 +756,28 @@ def test_hashed_rows_count_within_their_row(spark):
     assert not K.hashed_rows(df.limit(0), 16).collect()
 
 
+def test_word_grams_are_hashed_in_one_pass(spark, monkeypatch):
+    """As Spark hashes them, for pieces of every length to 70 bytes and longer ones, in both alphabets; the vectors are those of the grams one by one, also in several slices and for cases of several rows."""
+    rng = random.Random(8)
+    pieces = ["", *("".join(rng.choices("aя9#ғ", k=n)) for n in range(1, 36) for _ in range(3)), "word" * 50, "слово" * 999]
+    data = "".join(pieces).encode()
+    ends = np.cumsum([len(x.encode()) for x in pieces])
+    got = X.xxhash64(np.frombuffer(data, np.uint8), np.append(0, ends[:-1]), ends, X.seed_of(3)).view(np.int64).tolist()
+    df = spark.createDataFrame(list(enumerate(pieces)), "k int, x string").select("k", F.xxhash64(F.lit(3), "x").alias("h"))
+    assert got == [r["h"] for r in df.orderBy("k").collect()]
+    texts = [(1, "Крутим Барабаны, без риска: WIN777 win777"), (1, "ещё раз"), (2, None), (3, ""), (4, "…!"), (5, "ﬁne Ａbc Straße İx Kelvin"), (6, "один"), *((k, " ".join(rng.choices(pieces[1:], k=k))) for k in range(7, 60))]
+    df = spark.createDataFrame(texts, "case_id long, text string")
+    want = K.hashed_rows(df.select("case_id", T.word_ngrams(T.folded_words(F.col("text"))).alias("grams")), 64)
+    want = {r["case_id"]: (r["idx"], pytest.approx(r["val"])) for r in want.collect()}
+    for rows, characters in ((256, 1 << 20), (5, 1 << 20), (256, 300)):
+        monkeypatch.setattr(K, "ROWS", rows)
+        monkeypatch.setattr(K, "CHARACTERS", characters)
+        found = K.hashed_texts(df, 64)
+        assert {r["case_id"]: (r["idx"], r["val"]) for r in found.collect()} == want and len(want) == 59
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" not in plan and "regexp_extract_all" not in plan
+
+
 LABEL = "case_id long, risk double, is_scam boolean, weight double, category string, " + ", ".join(f"{d} double" for d in config.DIMENSIONS)
 
 
