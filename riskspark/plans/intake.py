@@ -274,7 +274,7 @@ FOLDED = f"translate({LOW}, '{T.CONFUSABLE_FROM}', '{T.CONFUSABLE_TO}')"
 
 @query("tx22_anchor_density", P + "SELECT case_id, least(" + " + ".join(f"(length({FOLDED}) - length(replace({FOLDED}, '{a}', ''))) // {len(a)}" for a in ANCHORS) + ", 5) / 5.0::DOUBLE AS v FROM posts")
 def _(t):
-    return t.posts.select("case_id", T.anchor_density(T.fold_lookalikes(F.coalesce("description", F.lit(""))), ANCHORS).alias("v"))
+    return t.posts.select("case_id", T.anchor_density(F.coalesce("description", F.lit("")), ANCHORS).alias("v"))
 
 
 TAG_ANCHORS = ("заработок", "казино", "easymoney", "invest")

@@ -896,6 +896,47 @@ def test_characters_are_counted_in_one_pass(spark, monkeypatch):
     assert [None if r is None else tuple(r.values()) for r in n] == [(2, 0, 0, 1, 0), None, (0,) * 5, (0, 1, 0, 0, 0), (0, 0, 1, 1, 0)]
 
 
+def test_a_partition_of_training_is_one_task(spark, monkeypatch):
+    """Files above the session's most bytes of a task are not cut, so no round has a second wave of tasks; the settings are put back."""
+    seen, whole = [], N.summed
+    monkeypatch.setattr(N, "summed", lambda g, parts: seen.append(parts) or whole(g, parts))
+    df = spark.createDataFrame(planted(), ROWS)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in names}
+    want, heads = N.train(df, 12, batch=16, hidden=8, epochs=1), K.train_heads(df, 12, epochs=1, parts=3)
+    try:
+        for k in names:
+            spark.conf.set(k, "1000")
+        assert N.train(df, 12, batch=16, hidden=8, epochs=1).flat == pytest.approx(want.flat, abs=1e-6)
+        assert K.train_heads(df, 12, epochs=1, parts=3).weights == pytest.approx(heads.weights, abs=1e-6)
+        assert [spark.conf.get(k) for k in names] == ["1000", "1000"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen == [min(spark.sparkContext.defaultParallelism, 750 // (16 * N.FEWEST))] * 2
+
+
+def test_quicker_patterns_find_the_same(spark):
+    """Anchors, tags, knowledge-base texts and links as by the plain expressions, over odd texts; no text is looked up character by character or cut into all its words."""
+    odd = ["", "Double YOUR cash, dоивlе уоиг саsн дОИВlе", "УДВОИМ вклад, уdв0им вkлаd удвоим вкладудвоим вклад", "İK ΑΣ капает на карту", "#Тег_а,#b  x#c\t#d\n##e # #ё_Ё", "Ёлка ё \u0301", "tel 8(701) 123-45-67 +7 70 1 2", "+1234567890", "12345678901 1 2 3 4 5 6 7 8 9", "@ab_cd T.ME/Xyz1 telegram.ME/Kabc a/b/c", "a.b.bit.ly/x\u00a0y cutt.ly\u2003z .site x.Link/?q", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "case_id int, t string").where("t is not null")
+    t, anchors = F.col("t"), ("удвоим вклад", "капает на карту", "dоивlе уоиг саsн")
+    plain = sum(((F.length(T.fold_lookalikes(t)) - F.length(F.replace(T.fold_lookalikes(t), F.lit(a), F.lit("")))) / len(a) for a in anchors), F.lit(0.0))
+    pairs = [(F.least(plain, F.lit(5.0)) / 5.0, T.anchor_density(t, anchors)), (F.translate(F.lower(F.trim(t)), "ё", "е"), T.kb_text(t))]
+    pairs += [(F.regexp_extract_all(t, F.lit("(?iu)" + regex), F.lit(1)), M.link_values(t, kind, regex)) for kind, regex, *_ in config.LINKS]
+    for a, b in pairs:
+        rows = df.select(a.alias("a"), b.alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    posts = df.select("case_id", F.lit(None).cast("string").alias("title"), t.alias("description"), F.lit("#z,#Z").alias("tags"))
+    prints = S.fingerprint(posts, spark.createDataFrame([], "case_id int, kind string, value string"))
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "title", "description", "tags")), r"[ ,\n\t\r]+"), lambda w: w.startswith("#"))
+    want = {r["case_id"]: r["v"] for r in posts.select("case_id", F.array_distinct(F.filter(F.transform(words, T.kb_tag), lambda x: x != "")).alias("v")).collect()}
+    assert {r["case_id"]: r["tags"] for r in prints.collect()} == want and any(len(v) > 3 for v in want.values())
+    plan = prints._jdf.queryExecution().executedPlan().toString() + df.select(T.anchor_density(t, anchors))._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "translate(" not in plan
+    assert all(M.fold(x) == "".join(map(M._fold_one, x)) for x in odd if x)
+
+
 def test_wide_dimensions_in_one_aggregate(spark):
     cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
     hits = spark.createDataFrame([(1, "profit", 60.0), (1, "profit", 70.0), (1, "negative", 40.0), (2, "reused", 10.0), (2, "gambling", None), (9, "profit", 50.0)], "case_id long, dim string, confidence double")
