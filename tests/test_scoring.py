@@ -937,6 +937,13 @@ def test_quicker_patterns_find_the_same(spark):
     assert all(M.fold(x) == "".join(map(M._fold_one, x)) for x in odd if x)
 
 
+def test_texts_with_words(spark):
+    """As the words say; no word is made for it."""
+    texts = spark.createDataFrame([(x,) for x in ("", None, "…!", "Ａ", "№ 5", "Ёж", "ﬁ", "Ω", "#", "李", "İ")], "t string")
+    both = texts.select(F.coalesce(F.size(T.folded_words(F.col("t"))) > 0, F.lit(False)).alias("a"), F.coalesce(T.has_words(F.col("t")), F.lit(False)).alias("b")).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both] and {r["a"] for r in both} == {True, False}
+
+
 def test_wide_dimensions_in_one_aggregate(spark):
     cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
     hits = spark.createDataFrame([(1, "profit", 60.0), (1, "profit", 70.0), (1, "negative", 40.0), (2, "reused", 10.0), (2, "gambling", None), (9, "profit", 50.0)], "case_id long, dim string, confidence double")
